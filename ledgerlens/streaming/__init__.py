@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The modelled workload has no stream source, watermark, event-time window or
+stateful operator; every mart is a batch view over static tables. Incremental
+refresh of a mart is a batch rewrite through ``ledgerlens.sources.save_table``.
+"""
