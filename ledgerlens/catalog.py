@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from ledgerlens.plans import country, revenue
+from ledgerlens.plans import country, customer, product, revenue
 from ledgerlens.plans.context import Marts
 
 Builder = Callable[[Marts], DataFrame]
@@ -26,6 +26,28 @@ QUERIES: dict[str, Builder] = {
     "country_transactions": country.country_transactions,
     "country_transactions_h2": country.country_transactions_h2,
     "country_transactions_h1": country.country_transactions_h1,
+    "customer_transactions": customer.customer_transactions,
+    "customer_classification": customer.customer_classification,
+    "customer_summary": customer.customer_summary,
+    "product_transactions": product.product_transactions,
+    "product_details": product.product_details,
+    "stock_status": product.stock_status,
+    "weighted_averages": product.weighted_averages,
+    "weighted_averages_fixed": product.weighted_averages_fixed,
+    "allocation": product.allocation,
+    "allocation_fixed": product.allocation_fixed,
+    "allocation_h2": product.allocation_h2,
+    "allocation_h1": product.allocation_h1,
+    "allocation_summary": product.allocation_summary,
+    "products_report": product.products_report,
+    "discount_96": product.discount_96,
+    "discount_97_h1": product.discount_97_h1,
+    "discount_97_h2": product.discount_97_h2,
+    "discount_98": product.discount_98,
+    "p_sales_h2": product.p_sales_h2,
+    "p_sales_h2_fixed": product.p_sales_h2_fixed,
+    "p_sales_h1": product.p_sales_h1,
+    "category_performance": product.category_performance,
 }
 
 
