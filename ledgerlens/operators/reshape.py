@@ -14,26 +14,30 @@ from pyspark.sql import functions as F
 
 
 def natural_merge(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """pandas ``merge(how=...)`` on all shared column names (null-safe keys)."""
+    """pandas ``merge(how=...)`` on all shared column names (null-safe keys).
+
+    Key columns are renamed on both sides before the join, so slices of one
+    DataFrame can be merged with each other without ambiguous references.
+    """
     keys = [c for c in left.columns if c in right.columns]
     if not keys:
         raise ValueError("natural merge needs at least one shared column")
-    lk = {c: f"__l_{c}" for c in keys}
-    lhs = left.select(*[F.col(c).alias(lk[c]) if c in lk else F.col(c) for c in left.columns])
-    cond = reduce(lambda a, b: a & b, [lhs[lk[c]].eqNullSafe(right[c]) for c in keys])
-    j = lhs.join(right, cond, how)
+    lhs = left.select(*[F.col(c).alias(f"__l_{c}") if c in keys else F.col(c) for c in left.columns])
+    rhs = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(f"__l_{c}").eqNullSafe(F.col(f"__r_{c}")) for c in keys])
+    j = lhs.join(rhs, cond, how)
     out = []
     for c in left.columns:
-        if c in lk:
+        if c in keys:
             if how == "right":
-                out.append(right[c].alias(c))
-            elif how in ("left", "inner"):
-                out.append(F.col(lk[c]).alias(c))
+                out.append(F.col(f"__r_{c}").alias(c))
+            elif how in ("left", "inner", "left_outer"):
+                out.append(F.col(f"__l_{c}").alias(c))
             else:
-                out.append(F.coalesce(F.col(lk[c]), right[c]).alias(c))
+                out.append(F.coalesce(F.col(f"__l_{c}"), F.col(f"__r_{c}")).alias(c))
         else:
             out.append(F.col(c))
-    out += [right[c] for c in right.columns if c not in keys]
+    out += [F.col(c) for c in right.columns if c not in keys]
     return j.select(*out)
 
 

@@ -23,13 +23,26 @@ class Marts:
         self.impute_days = impute_days
         self.new_customer_year = new_customer_year
         self._memo: dict[str, DataFrame] = {}
+        self.sf_dir: str | None = None
+        self._full: Marts | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str, **kw) -> "Marts":
         window = kw.pop("window", "default")
         tables = (load_sales_tables(spark, sf_dir) if window == "default"
                   else load_sales_tables(spark, sf_dir, window=window))
-        return cls(tables, **kw)
+        marts = cls(tables, **kw)
+        marts.sf_dir = sf_dir
+        return marts
+
+    def full_span(self) -> "Marts":
+        """The same marts over every order in the data (no analysis window)."""
+        if self._full is None:
+            if self.sf_dir is None:
+                raise ValueError("full_span needs a Marts created with Marts.load")
+            self._full = Marts.load(self.spark, self.sf_dir, window=None,
+                                    impute_days=self.impute_days, new_customer_year=self.new_customer_year)
+        return self._full
 
     @property
     def spark(self) -> SparkSession:
