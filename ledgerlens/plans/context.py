@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.functions.dates import IMPUTE_DAYS
@@ -18,8 +19,11 @@ from ledgerlens.sources.tables import SalesTables, load_sales_tables
 
 class Marts:
     def __init__(self, tables: SalesTables, impute_days: int = IMPUTE_DAYS,
-                 new_customer_year: int = 1998):
+                 new_customer_year: int = 1998, persist: bool = True):
         self.t = tables
+        # Persist the base marts that many others read (line revenue, line
+        # shares): computed once, reused by every later query of the session.
+        self.persist = persist
         self.impute_days = impute_days
         self.new_customer_year = new_customer_year
         self._memo: dict[str, DataFrame] = {}
@@ -40,8 +44,8 @@ class Marts:
         if self._full is None:
             if self.sf_dir is None:
                 raise ValueError("full_span needs a Marts created with Marts.load")
-            self._full = Marts.load(self.spark, self.sf_dir, window=None,
-                                    impute_days=self.impute_days, new_customer_year=self.new_customer_year)
+            self._full = Marts.load(self.spark, self.sf_dir, window=None, impute_days=self.impute_days,
+                                    new_customer_year=self.new_customer_year, persist=self.persist)
         return self._full
 
     @property
@@ -53,6 +57,17 @@ class Marts:
             self._memo[key] = build()
         return self._memo[key]
 
+    def shared(self, df: DataFrame) -> DataFrame:
+        """Mark a base mart as shared: persisted (memory, spilling to disk) when
+        the context persists. Lost blocks are recomputed from the lineage."""
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
+
+    def release(self) -> None:
+        """Drop persisted marts of this context."""
+        for df in self._memo.values():
+            if df.storageLevel != StorageLevel.NONE:
+                df.unpersist()
+
 
 def mart(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Memoise a ``fn(m: Marts) -> DataFrame`` builder per context."""

@@ -13,7 +13,7 @@ Product attributes and fan-out weights reach the lines through a narrow
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, money
@@ -133,13 +133,14 @@ def product_details(m: Marts) -> DataFrame:
 
 @mart
 def product_fanout(m: Marts) -> DataFrame:
-    """Per product: its V11 row count (the fan-out factor of the source's
-    product-only join) and its display names (equal across those rows)."""
-    pdt = product_details(m)
-    return pdt.groupBy("P_ID").agg(
+    """Per product: its number of product-year rows in V11 (the fan-out factor
+    of the source's product-only join) and its display names, which are the
+    same on all those rows. V11 has exactly one row per V10 row."""
+    py = product_year(m)
+    return py.groupBy("P_ID").agg(
         F.count(F.lit(1)).alias("__w"),
-        F.max("P_Name").alias("Product_Name"),
-        F.max("Category").alias("Category"))
+        F.max(left(F.col("ProductName"), 15)).alias("Product_Name"),
+        F.max(left(F.col("CategoryName"), 15)).alias("Category"))
 
 
 SHARED = {  # line measure -> (share column, order total column)
@@ -167,14 +168,18 @@ def weighted_lines(m: Marts, fanout: bool) -> DataFrame:
     collapse (DISTINCT). ``fanout=False`` is the corrected form.
     """
     rt = revenue_lines(m)
+    # Narrow (order, product) sums: grouped inside the order-id partitions.
     pairs = rt.groupBy("O_ID", "P_ID").agg(*[F.sum(c).alias(f"__s_{c}") for c in SHARED])
     pairs = pairs.join(product_fanout(m), "P_ID", "left")
     weight = F.coalesce(F.col("__w"), F.lit(1)) if fanout else F.lit(1)
-    totals = pairs.groupBy("O_ID").agg(
-        *[F.sum(F.col(f"__s_{c}") * weight).alias(t) for c, (_, t) in SHARED.items()])
-    names = pairs.select("O_ID", "P_ID", "Product_Name", "Category")
-    lines = (rt.join(totals, "O_ID", "left")
-               .join(names, ["O_ID", "P_ID"], "left"))
+    # Order totals in one pass over the narrow rows, partitioned back by order
+    # id; a group is the distinct products of one order.
+    per_order = Window.partitionBy("O_ID")
+    attrs = pairs.select(
+        "O_ID", "P_ID", "Product_Name", "Category",
+        *[F.sum(F.col(f"__s_{c}") * weight).over(per_order).alias(t) for c, (_, t) in SHARED.items()])
+    # Both inputs are hash partitioned by order id: no shuffle of the lines.
+    lines = rt.join(attrs, ["O_ID", "P_ID"], "left")
     out = lines.select(
         F.col("O_Date").alias("Order_Date"),
         F.year("O_Date").alias("per_Year"),
@@ -190,7 +195,7 @@ def weighted_lines(m: Marts, fanout: bool) -> DataFrame:
         out = out.distinct()
     for c, (wa, t) in SHARED.items():
         out = out.withColumn(wa, share(F.col(c), F.col(t), zero_guard=(wa == "WA_Discount")))
-    return out
+    return m.shared(out)
 
 
 @mart

@@ -41,7 +41,7 @@ def revenue_lines(m: Marts) -> DataFrame:
     rt = od.join(h, "OrderID", "left")
     gross = F.col("ExtendedPrice")
     net = money.net_from_gross(gross, F.col("Discount"))
-    return rt.select(
+    return m.shared(rt.select(
         F.col("OrderDate").alias("O_Date"),
         F.col("RequiredDate").alias("Required_Date"),
         dates.impute_date(F.col("ShippedDate"), F.col("OrderDate"), m.impute_days).alias("Shipped_Date"),
@@ -62,7 +62,7 @@ def revenue_lines(m: Marts) -> DataFrame:
         F.when(F.col("ShippedDate").isNull(), F.lit(IN_TRANSIT)).otherwise(F.lit(SHIPPED)).alias("Shipping_Status"),
         F.col("Freight").alias("_Freight"),
         F.col("_CompanyName"),
-    )
+    ))
 
 
 @mart

@@ -16,6 +16,13 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Joins on (order id, product id) between two inputs that are both hash
+    # partitioned by order id need no shuffle: order id has millions of
+    # values, so a partial-key co-partitioning cannot concentrate data.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # A hot key (one order, product or customer holding a large share of the
+    # rows) is split by AQE even where that costs an extra shuffle later.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

@@ -10,7 +10,6 @@ identical to the DuckDB twin in ``oracle/sql.py``.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,21 +60,48 @@ SHIPPER_SCHEMA = StructType([
 ])
 
 
-@dataclass(frozen=True)
 class SalesTables:
-    """The logical base tables the marts read."""
-
-    orders: DataFrame          # OrderID, CustomerID, EmployeeID, OrderDate, RequiredDate, ShippedDate, ShipVia, Freight
-    order_details: DataFrame   # OrderID, ProductID, Quantity, UnitPrice, Discount, ExtendedPrice
-    customers: DataFrame       # CustomerID, CompanyName, Country
-    products: DataFrame        # ProductID, ProductName, CategoryID, SupplierID, UnitPrice, UnitsInStock, ReorderLevel, Discontinued
-    categories: DataFrame      # CategoryID, CategoryName
-    suppliers: DataFrame       # SupplierID, CompanyName
-    employees: DataFrame       # EmployeeID, TitleOfCourtesy, FirstName, LastName, Title, Country, ReportsTo
-    shippers: DataFrame        # ShipperID, CompanyName
-
-    def with_(self, **changes) -> "SalesTables":
-        return replace(self, **changes)
+    """The logical base tables the marts read.
+
+    Tables are given directly (``SalesTables(orders=df, ...)``, e.g. hand-made
+    fixtures) or produced on first access by ``loader(name)``, so a query only
+    reads the source files it needs.
+    """
+
+    NAMES = ("orders", "order_details", "customers", "products", "categories", "suppliers",
+             "employees", "shippers")
+
+    # orders:        OrderID, CustomerID, EmployeeID, OrderDate, RequiredDate, ShippedDate, ShipVia, Freight
+    # order_details: OrderID, ProductID, Quantity, UnitPrice, Discount, ExtendedPrice
+    # customers:     CustomerID, CompanyName, Country
+    # products:      ProductID, ProductName, CategoryID, SupplierID, UnitPrice, UnitsInStock, ReorderLevel, Discontinued
+    # categories:    CategoryID, CategoryName
+    # suppliers:     SupplierID, CompanyName
+    # employees:     EmployeeID, TitleOfCourtesy, FirstName, LastName, Title, Country, ReportsTo
+    # shippers:      ShipperID, CompanyName
+
+    def __init__(self, loader=None, **frames: DataFrame):
+        unknown = set(frames) - set(self.NAMES)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        self._loader = loader
+        self._frames = dict(frames)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in SalesTables.NAMES:
+            frames = self.__dict__["_frames"]
+            if name not in frames:
+                loader = self.__dict__["_loader"]
+                if loader is None:
+                    raise AttributeError(f"table {name!r} was not provided")
+                frames[name] = loader(name)
+            return frames[name]
+        raise AttributeError(name)
+
+    def with_(self, **changes: DataFrame) -> "SalesTables":
+        merged = {n: getattr(self, n) for n in self.NAMES if n in self._frames or self._loader}
+        merged.update(changes)
+        return SalesTables(**merged)
 
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,24 +192,51 @@ def suppliers_from_raw(raw_supplier: DataFrame) -> DataFrame:
 
 
 def load_sales_tables(spark: SparkSession, sf_dir: str, window=ANALYSIS_WINDOW) -> SalesTables:
-    """Logical tables over ``sf_dir``; ``window=None`` keeps every order."""
-    orders = orders_from_raw(read_raw(spark, sf_dir, "orders"), window)
-    lines = read_raw(spark, sf_dir, "lineitem")
-    if window is not None:
-        # The windowed database holds only the lines of its orders.
-        lines = lines.join(orders.select(F.col("OrderID").alias("l_orderkey")), "l_orderkey", "left_semi")
-    part = read_raw(spark, sf_dir, "part")
-    categories = categories_from_raw(part)
-    return SalesTables(
-        orders=orders,
-        order_details=details_from_raw(lines),
-        customers=customers_from_raw(read_raw(spark, sf_dir, "customer"), read_raw(spark, sf_dir, "nation")),
-        products=products_from_raw(part, categories),
-        categories=categories,
-        suppliers=suppliers_from_raw(read_raw(spark, sf_dir, "supplier")),
-        employees=employees_df(spark),
-        shippers=shippers_df(spark),
-    )
+    """Logical tables over ``sf_dir``, each built on first use; ``window=None``
+    keeps every order."""
+    raw_cache: dict[str, DataFrame] = {}
+    built: dict[str, DataFrame] = {}
+
+    def raw(name: str) -> DataFrame:
+        if name not in raw_cache:
+            raw_cache[name] = read_raw(spark, sf_dir, name)
+        return raw_cache[name]
+
+    def categories() -> DataFrame:
+        if "categories" not in built:
+            built["categories"] = categories_from_raw(raw("part"))
+        return built["categories"]
+
+    def orders() -> DataFrame:
+        if "orders" not in built:
+            built["orders"] = orders_from_raw(raw("orders"), window)
+        return built["orders"]
+
+    def load(name: str) -> DataFrame:
+        if name == "orders":
+            return orders()
+        if name == "order_details":
+            lines = raw("lineitem")
+            if window is not None:
+                # The windowed database holds only the lines of its orders.
+                keys = orders().select(F.col("OrderID").alias("l_orderkey"))
+                lines = lines.join(keys, "l_orderkey", "left_semi")
+            return details_from_raw(lines)
+        if name == "customers":
+            return customers_from_raw(raw("customer"), raw("nation"))
+        if name == "products":
+            return products_from_raw(raw("part"), categories())
+        if name == "categories":
+            return categories()
+        if name == "suppliers":
+            return suppliers_from_raw(raw("supplier"))
+        if name == "employees":
+            return employees_df(spark)
+        if name == "shippers":
+            return shippers_df(spark)
+        raise KeyError(name)
+
+    return SalesTables(loader=load)
 
 
 __all__ = [
