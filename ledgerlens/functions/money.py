@@ -1,7 +1,8 @@
 """Exact money arithmetic as native Column expressions.
 
-Money is DECIMAL(19,4); every rounding is HALF_UP on decimals, which Spark and
-DuckDB agree on. Where a rounded value would otherwise come from a division
+Money is DECIMAL(18,4): the widest decimal Spark keeps as a compact 64-bit
+value (row storage, cache, arithmetic), with room for +-99 trillion. Every
+rounding is HALF_UP on decimals, which Spark and DuckDB agree on. Where a rounded value would otherwise come from a division
 (freight allocation, rounded averages, unit prices), the rounding is done on
 integers with ``(2*num + den) div (2*den)`` so no engine-specific floating
 point tie-breaking can leak into the result.
@@ -15,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-MONEY = DecimalType(19, 4)
+MONEY = DecimalType(18, 4)
 RATE = DecimalType(9, 4)
 
 # The modelled business rules.
@@ -66,7 +67,7 @@ def to_units(c: Column, scale: int) -> Column:
     return (c * F.lit(10 ** scale)).cast("bigint")
 
 
-def from_units(units: Column, scale: int, precision: int = 19) -> Column:
+def from_units(units: Column, scale: int, precision: int = 18) -> Column:
     """Integer count of 10^-scale units -> DECIMAL(precision, scale)."""
     return (units.cast(DecimalType(precision, 0)) * dec(Decimal(1).scaleb(-scale))).cast(
         DecimalType(precision, scale))
@@ -82,7 +83,7 @@ def div_half_up(num: Column, den: Column) -> Column:
 def avg_rounded(sum_units: Column, count: Column, units_scale: int, scale: int) -> Column:
     """Average rounded half up to ``scale`` decimals, from an exact sum in units.
 
-    ``sum_units`` counts 10^-units_scale units; the result is DECIMAL(19, scale).
+    ``sum_units`` counts 10^-units_scale units; the result is DECIMAL(18, scale).
     """
     factor = 10 ** (units_scale - scale)
     return from_units(div_half_up(sum_units, count.cast("bigint") * F.lit(factor)), scale)

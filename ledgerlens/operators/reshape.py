@@ -72,3 +72,19 @@ def pivot_years(df: DataFrame, keys: list[str], period_col: str, periods: list,
         for p in periods:
             aggs.append(F.sum(F.when(F.col(period_col) == F.lit(p), F.col(col))).alias(f"{prefix}{p}"))
     return df.groupBy(*keys).agg(*aggs)
+
+
+def presence_pivot(df: DataFrame, keys: list[str], period_col: str,
+                   cells: dict[str, tuple[object, str]], flags: dict[str, object]) -> DataFrame:
+    """One row per entity (NULL keys group together) in a single aggregation.
+
+    ``cells`` maps an output column to ``(period, source column)``; ``flags``
+    maps an output column to a period and is true when the entity has a row in
+    that period. Together they express a chain of natural merges of period
+    slices (which rows survive, which cells are kept) without joining the
+    slices back to each other. Assumes one row per entity and period.
+    """
+    aggs = [F.max(F.when(F.col(period_col) == F.lit(p), F.col(src))).alias(out)
+            for out, (p, src) in cells.items()]
+    aggs += [F.max(F.col(period_col) == F.lit(p)).alias(out) for out, p in flags.items()]
+    return df.groupBy(*keys).agg(*aggs)

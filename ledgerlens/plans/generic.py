@@ -215,8 +215,8 @@ def scalar_functions(m: Marts) -> DataFrame:
 def net_sales_sql_function(m: Marts) -> DataFrame:
     """U: the net-sales rule as a session SQL function, used from SQL."""
     spark = m.spark
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION n_sales(price DECIMAL(19,4), qty INT, disc DECIMAL(9,4)) "
-              "RETURNS DECIMAL(19,4) RETURN CAST(ROUND(price * qty * (1 - disc), 2) AS DECIMAL(19,4))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION n_sales(price DECIMAL(18,4), qty INT, disc DECIMAL(9,4)) "
+              "RETURNS DECIMAL(18,4) RETURN CAST(ROUND(price * qty * (1 - disc), 2) AS DECIMAL(18,4))")
     m.t.order_details.createOrReplaceTempView("order_details_v")
     return spark.sql("SELECT OrderID AS O_ID, ProductID AS P_ID, n_sales(UnitPrice, Quantity, Discount) AS N_Sales "
                      "FROM order_details_v")

@@ -3,7 +3,8 @@
 G1-G4 reproduce the notebook: sort, ``pct_change`` per entity (previous
 *row*), ``fillna(0)`` where the notebook fills, then reshape the long table
 to one row per entity with pandas-style natural merges whose kept side
-decides which entities survive:
+decides which entities survive (expressed as one presence pivot per table,
+so the upstream plan is not copied into every merged slice):
 
 * G1 country growth: right merges -> countries present in 1998; a country
   missing in 1997 loses its 1996 figures.
@@ -12,8 +13,7 @@ decides which entities survive:
 * G4 aligned product growth: products present in 1998-H1.
 
 Every input here is already one row per entity and period, so the window and
-the merges run on small per-entity groups; the merges share the window's
-partitioning by entity id and add no shuffle of their own.
+the pivot run on small per-entity groups and share the partitioning by entity.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.growth import calendar_change, pct_change
-from ledgerlens.operators.reshape import fill_numeric, natural_merge, slice_rows
+from ledgerlens.operators.reshape import fill_numeric, natural_merge, presence_pivot
 from ledgerlens.plans.context import Marts, mart
 from ledgerlens.plans.country import country_transactions, country_transactions_h1, country_transactions_h2
 from ledgerlens.plans.product import p_sales_h1, p_sales_h2, products_report
@@ -39,34 +39,44 @@ def country_growth_long(m: Marts) -> DataFrame:
 
 @mart
 def country_growth(m: Marts) -> DataFrame:
-    """G1: full-year country growth, one row per country present in 1998."""
+    """G1: full-year country growth, one row per country present in 1998.
+
+    The notebook's ``(1996 right-merge 1997) right-merge 1998`` keeps the
+    1998 countries, their 1997 cells when present, and their 1996 cells only
+    when the country is also present in 1997; then fills 0."""
     cr = country_growth_long(m)
-    cols = ["Country", "Annual_Sales", "Annual_Profit"]
-    wide = slice_rows(cr, "Year", 1996, cols, {"Annual_Sales": "Sales_96", "Annual_Profit": "Profit_96"})
-    wide = natural_merge(wide, slice_rows(cr, "Year", 1997, cols + ["Sales_YOY"]), "right") \
-        .withColumnsRenamed({"Annual_Sales": "Sales_97", "Annual_Profit": "Profit_97", "Sales_YOY": "YOY_97"})
-    wide = natural_merge(wide, slice_rows(cr, "Year", 1998, cols + ["Sales_YOY"]), "right") \
-        .withColumnsRenamed({"Annual_Sales": "Sales_98", "Annual_Profit": "Profit_98", "Sales_YOY": "YOY_98"})
-    return fill_numeric(wide, 0).select(*COUNTRY_GROWTH_COLUMNS)
+    p = presence_pivot(cr, ["Country"], "Year", {
+        "Sales_96": (1996, "Annual_Sales"), "Profit_96": (1996, "Annual_Profit"),
+        "Sales_97": (1997, "Annual_Sales"), "Profit_97": (1997, "Annual_Profit"), "YOY_97": (1997, "Sales_YOY"),
+        "Sales_98": (1998, "Annual_Sales"), "Profit_98": (1998, "Annual_Profit"), "YOY_98": (1998, "Sales_YOY"),
+    }, {"__in97": 1997, "__in98": 1998})
+    p = p.where(F.col("__in98"))
+    for c in ("Sales_96", "Profit_96"):
+        p = p.withColumn(c, F.when(F.col("__in97"), F.col(c)))
+    return fill_numeric(p.select(*COUNTRY_GROWTH_COLUMNS), 0)
 
 
 @mart
 def country_semi_annual(m: Marts) -> DataFrame:
-    """The H2 and H1 reshaped tables merged (inner) on their shared columns."""
+    """The H2 and H1 reshaped tables merged (inner) on their shared columns:
+    countries present in 1997-H2 and in 1998-H1."""
     h2 = pct_change(country_transactions_h2(m), ["Country"], "Year", "Annual_Sales", "Sales_YOY")
-    cols = ["Country", "Annual_Sales", "Annual_Profit"]
-    new_h2 = natural_merge(
-        slice_rows(h2, "Year", 1996, cols, {"Annual_Sales": "Sales_96_H2", "Annual_Profit": "Profit_96_H2"}),
-        slice_rows(h2, "Year", 1997, cols + ["Sales_YOY"]), "right") \
-        .withColumnsRenamed({"Annual_Sales": "Sales_97_H2", "Annual_Profit": "Profit_97_H2",
-                             "Sales_YOY": "Sales_YOY_97_H2"})
     h1 = pct_change(country_transactions_h1(m), ["Country"], "Year", "Annual_Sales", "Sales_YOY")
-    new_h1 = natural_merge(
-        slice_rows(h1, "Year", 1997, cols, {"Annual_Sales": "Sales_97_H1", "Annual_Profit": "Profit_97_H1"}),
-        slice_rows(h1, "Year", 1998, cols + ["Sales_YOY"]), "right") \
-        .withColumnsRenamed({"Annual_Sales": "Sales_98_H1", "Annual_Profit": "Profit_98_H1",
-                             "Sales_YOY": "Sales_YOY_98_H1"})
-    return natural_merge(new_h2, new_h1, "inner")
+    tagged = (h2.select("Country", F.concat(F.col("Year").cast("string"), F.lit("H2")).alias("__p"),
+                        "Annual_Sales", "Annual_Profit", "Sales_YOY")
+              .unionByName(h1.select("Country", F.concat(F.col("Year").cast("string"), F.lit("H1")).alias("__p"),
+                                     "Annual_Sales", "Annual_Profit", "Sales_YOY")))
+    p = presence_pivot(tagged, ["Country"], "__p", {
+        "Sales_96_H2": ("1996H2", "Annual_Sales"), "Profit_96_H2": ("1996H2", "Annual_Profit"),
+        "Sales_97_H2": ("1997H2", "Annual_Sales"), "Profit_97_H2": ("1997H2", "Annual_Profit"),
+        "Sales_YOY_97_H2": ("1997H2", "Sales_YOY"),
+        "Sales_97_H1": ("1997H1", "Annual_Sales"), "Profit_97_H1": ("1997H1", "Annual_Profit"),
+        "Sales_98_H1": ("1998H1", "Annual_Sales"), "Profit_98_H1": ("1998H1", "Annual_Profit"),
+        "Sales_YOY_98_H1": ("1998H1", "Sales_YOY"),
+    }, {"__in97h2": "1997H2", "__in98h1": "1998H1"})
+    return p.where(F.col("__in97h2") & F.col("__in98h1")).select(
+        "Country", "Sales_96_H2", "Profit_96_H2", "Sales_97_H2", "Profit_97_H2", "Sales_YOY_97_H2",
+        "Sales_97_H1", "Profit_97_H1", "Sales_98_H1", "Profit_98_H1", "Sales_YOY_98_H1")
 
 
 @mart
@@ -82,36 +92,30 @@ PRODUCT_KEYS = ["Product_ID", "Product_Name", "Category"]
 
 @mart
 def product_growth(m: Marts) -> DataFrame:
-    """Full-year product growth, one row per product sold in 1997."""
+    """Full-year product growth, one row per product sold in 1997
+    (``1997 left-merge 1996 left-merge 1998``), NULLs filled with 0."""
     pr = fill_numeric(pct_change(products_report(m), ["Product_ID"], "per_Year", "N_Sales", "Sales_YOY"), 0)
-    vals = ["N_Sales", "N_Profit"]
-    yoy = slice_rows(pr, "per_Year", 1997, PRODUCT_KEYS + vals + ["Sales_YOY"],
-                     {"N_Sales": "N_Sales_97", "N_Profit": "N_Profit_97", "Sales_YOY": "YOY_97"})
-    yoy = natural_merge(yoy, slice_rows(pr, "per_Year", 1996, PRODUCT_KEYS + vals), "left") \
-        .withColumnsRenamed({"N_Sales": "N_Sales_96", "N_Profit": "N_Profit_96"})
-    yoy = natural_merge(yoy, slice_rows(pr, "per_Year", 1998, PRODUCT_KEYS + vals + ["Sales_YOY"]), "left") \
-        .withColumnsRenamed({"N_Sales": "N_Sales_98", "N_Profit": "N_Profit_98", "Sales_YOY": "YOY_98"})
-    return fill_numeric(yoy, 0).select(*PRODUCT_GROWTH_COLUMNS)
-
-
-def _product_half(rep: DataFrame, first: int, second: int, s1: str, s2: str, p1: str, p2: str,
-                  yoy: str) -> DataFrame:
-    h = pct_change(rep, ["Product_ID"], "per_Year", "N_Sales", "YOY")
-    vals = ["N_Sales", "Net_Profit"]
-    a = slice_rows(h, "per_Year", first, PRODUCT_KEYS + vals, {"N_Sales": s1, "Net_Profit": p1})
-    b = slice_rows(h, "per_Year", second, PRODUCT_KEYS + vals + ["YOY"])
-    return natural_merge(a, b, "right").withColumnsRenamed({"N_Sales": s2, "Net_Profit": p2, "YOY": yoy})
+    p = presence_pivot(pr, PRODUCT_KEYS, "per_Year", {
+        "N_Sales_96": (1996, "N_Sales"), "N_Profit_96": (1996, "N_Profit"),
+        "N_Sales_97": (1997, "N_Sales"), "N_Profit_97": (1997, "N_Profit"), "YOY_97": (1997, "Sales_YOY"),
+        "N_Sales_98": (1998, "N_Sales"), "N_Profit_98": (1998, "N_Profit"), "YOY_98": (1998, "Sales_YOY"),
+    }, {"__in97": 1997})
+    return fill_numeric(p.where(F.col("__in97")).select(*PRODUCT_GROWTH_COLUMNS), 0)
 
 
 @mart
 def actual_product_growth(m: Marts) -> DataFrame:
-    """Like-for-like half-year growth per product present in 1998-H1."""
-    new_h2 = _product_half(p_sales_h2(m), 1996, 1997, "N_Sales_96_H2", "N_Sales_97_H2",
-                           "Profit_96_H2", "Profit_97_H2", "YOY_97")
-    new_h1 = _product_half(p_sales_h1(m), 1997, 1998, "N_Sales_97_H1", "N_Sales_98_H1",
-                           "Net_Profit_97_H1", "Net_Profit_98_H1", "YOY_98")
-    return natural_merge(new_h2.select(*PRODUCT_KEYS, "YOY_97"),
-                         new_h1.select(*PRODUCT_KEYS, "YOY_98"), "right")
+    """Like-for-like half-year growth per product present in 1998-H1
+    (``(1996-H2 right-merge 1997-H2) right-merge (1997-H1 right-merge
+    1998-H1)``): YOY_97 kept when the product is in 1997-H2; NULLs kept."""
+    h2 = pct_change(p_sales_h2(m), ["Product_ID"], "per_Year", "N_Sales", "YOY")
+    h1 = pct_change(p_sales_h1(m), ["Product_ID"], "per_Year", "N_Sales", "YOY")
+    tagged = (h2.select(*PRODUCT_KEYS, F.concat(F.col("per_Year").cast("string"), F.lit("H2")).alias("__p"), "YOY")
+              .unionByName(h1.select(*PRODUCT_KEYS, F.concat(F.col("per_Year").cast("string"), F.lit("H1")).alias("__p"),
+                                     "YOY")))
+    p = presence_pivot(tagged, PRODUCT_KEYS, "__p", {"YOY_97": ("1997H2", "YOY"), "YOY_98": ("1998H1", "YOY")},
+                       {"__in98h1": "1998H1"})
+    return p.where(F.col("__in98h1")).select(*PRODUCT_KEYS, "YOY_97", "YOY_98")
 
 
 @mart

@@ -357,15 +357,16 @@ def half_year_report(m: Marts, slices, tag: str, divisor_year: dict[int, int] |
         F.count("Detailed_Net_Sales").alias("__ns_n"),
         F.sum("Detailed_Net_Profit").alias("Net_Profit"),
         F.sum("Allocated_Freight").alias("Freight"))
-    rates = None
-    for p in slices:
-        r = discount_rates(m, p).withColumnRenamed("P_ID", "Product_ID")
-        rates = r if rates is None else rates.unionByName(r)
+    # Discount-rate sums of each slice (one slice per year): one pass.
+    rates = (revenue_transactions(m).where(dates.in_any(F.col("O_Date"), slices))
+             .groupBy(F.col("P_ID").alias("Product_ID"), F.year("O_Date").alias("per_Year"))
+             .agg(F.sum("Discount").alias("Discount_pct")))
     g = g.join(rates, ["Product_ID", "per_Year"], "left")
     # Period divisors: one row per slice year.
     orders = (order_lines(m).where(dates.in_any(F.col("O_Date"), slices))
               .groupBy("per_Year").agg(F.count("O_ID").alias("__orders")))
-    sums = g.groupBy("per_Year").agg(F.sum("Discount").alias("__disc"), F.sum("N_Sales").alias("__ns"))
+    sums = a.groupBy("per_Year").agg(F.sum("Discount_Amount").alias("__disc"),
+                                     F.sum("Detailed_Net_Sales").alias("__ns"))
     div = sums.join(orders, "per_Year", "full")
     mapping = divisor_year or {p.year: p.year for p in slices}
     pairs = m.spark.createDataFrame([(int(k), int(v)) for k, v in mapping.items()], "per_Year int, __dy int")

@@ -87,7 +87,7 @@ def order_rollup(m: Marts) -> DataFrame:
     rt = revenue_lines(m)
     keys = ["O_ID", "O_Date", "Required_Date", "Shipped_Date", "C_ID", "E_ID", "_Freight",
             "Shipping_Status", "ShipVia", "Country", "_CompanyName"]
-    return rt.groupBy(*keys).agg(*[F.sum(c).alias(a) for c, a in LINE_MEASURES.items()])
+    return m.shared(rt.groupBy(*keys).agg(*[F.sum(c).alias(a) for c, a in LINE_MEASURES.items()]))
 
 
 ORDER_COLUMNS = [
