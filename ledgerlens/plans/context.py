@@ -19,11 +19,15 @@ from ledgerlens.sources.tables import SalesTables, load_sales_tables
 
 class Marts:
     def __init__(self, tables: SalesTables, impute_days: int = IMPUTE_DAYS,
-                 new_customer_year: int = 1998, persist: bool = True):
+                 new_customer_year: int = 1998, persist: bool | str = True):
         self.t = tables
-        # Persist the base marts that many others read (line revenue, line
-        # shares): computed once, reused by every later query of the session.
-        self.persist = persist
+        # How the base marts that many others read (line revenue, order grain,
+        # line shares) are kept once computed:
+        #   True / "memory": persisted blocks (memory, spilling to disk);
+        #   "table": written as tables bucketed by order id in the shared folder
+        #            (durable; readers keep the order-id partitioning);
+        #   False: recomputed by every query.
+        self.persist = "memory" if persist is True else persist
         self.impute_days = impute_days
         self.new_customer_year = new_customer_year
         self._memo: dict[str, DataFrame] = {}
@@ -57,10 +61,16 @@ class Marts:
             self._memo[key] = build()
         return self._memo[key]
 
-    def shared(self, df: DataFrame) -> DataFrame:
-        """Mark a base mart as shared: persisted (memory, spilling to disk) when
-        the context persists. Lost blocks are recomputed from the lineage."""
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
+    def shared(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Keep a base mart for reuse according to ``self.persist``. ``key`` is
+        the order-id column the mart is partitioned by."""
+        if self.persist == "memory":
+            # Lost blocks are recomputed from the lineage.
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        if self.persist == "table":
+            from ledgerlens.sources.sinks import save_bucketed
+            return save_bucketed(df, name, key)
+        return df
 
     def release(self) -> None:
         """Drop persisted marts of this context."""

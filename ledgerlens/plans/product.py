@@ -195,7 +195,7 @@ def weighted_lines(m: Marts, fanout: bool) -> DataFrame:
         out = out.distinct()
     for c, (wa, t) in SHARED.items():
         out = out.withColumn(wa, share(F.col(c), F.col(t), zero_guard=(wa == "WA_Discount")))
-    return m.shared(out)
+    return m.shared(out, "weighted_lines_fanout" if fanout else "weighted_lines", "Order_ID")
 
 
 @mart

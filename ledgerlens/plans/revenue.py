@@ -62,7 +62,7 @@ def revenue_lines(m: Marts) -> DataFrame:
         F.when(F.col("ShippedDate").isNull(), F.lit(IN_TRANSIT)).otherwise(F.lit(SHIPPED)).alias("Shipping_Status"),
         F.col("Freight").alias("_Freight"),
         F.col("_CompanyName"),
-    ))
+    ), "revenue_lines", "O_ID")
 
 
 @mart
@@ -87,7 +87,8 @@ def order_rollup(m: Marts) -> DataFrame:
     rt = revenue_lines(m)
     keys = ["O_ID", "O_Date", "Required_Date", "Shipped_Date", "C_ID", "E_ID", "_Freight",
             "Shipping_Status", "ShipVia", "Country", "_CompanyName"]
-    return m.shared(rt.groupBy(*keys).agg(*[F.sum(c).alias(a) for c, a in LINE_MEASURES.items()]))
+    return m.shared(rt.groupBy(*keys).agg(*[F.sum(c).alias(a) for c, a in LINE_MEASURES.items()]),
+                    "order_rollup", "O_ID")
 
 
 ORDER_COLUMNS = [
