@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import dates, money, text
 from ledgerlens.operators import quality
 from ledgerlens.operators.reshape import fill_numeric, natural_merge, slice_rows
+from ledgerlens.plans import views
 from ledgerlens.plans.context import Marts
 from ledgerlens.plans.country import country_transactions
 from ledgerlens.plans.growth import (actual_country_growth, actual_product_growth, country_growth,
@@ -24,15 +25,6 @@ from ledgerlens.plans.revenue import order_lines, order_transactions, revenue_tr
 from ledgerlens.plans.shipping import shipping_report
 from ledgerlens.sources.sinks import save_table
 
-# View names of the source, for loading a mart by name.
-VIEW_NAMES = {
-    "Revnue_Transactions": revenue_transactions,
-    "Order_Transactions": order_transactions,
-    "Country_Transactions": country_transactions,
-    "Product_Transactions": product_transactions,
-    "Products_Report": products_report,
-    "Shipping_Report": shipping_report,
-}
 
 
 def scan_table(m: Marts) -> DataFrame:
@@ -52,7 +44,7 @@ def scan_ordered(m: Marts) -> DataFrame:
 
 def load_query(m: Marts, name: str = "Country_Transactions") -> DataFrame:
     """A4: a mart loaded by its view name (lazy; nothing is collected)."""
-    return VIEW_NAMES[name](m)
+    return views.view(m, name)
 
 
 def save_table_roundtrip(m: Marts) -> DataFrame:
@@ -63,8 +55,7 @@ def save_table_roundtrip(m: Marts) -> DataFrame:
 
 def named_view(m: Marts) -> DataFrame:
     """Marts registered as temporary views and queried with SQL."""
-    for name, fn in VIEW_NAMES.items():
-        fn(m).createOrReplaceTempView(name)
+    views.register_views(m, ["Revnue_Transactions", "Country_Transactions", "Shipping_Report"])
     return m.spark.sql("SELECT Country, Country_ID, Year, Annual_Sales, Annual_Profit FROM Country_Transactions")
 
 

@@ -46,3 +46,14 @@ def test_table_mode_matches_memory_mode(spark):
         b = build(tab).exceptAll(build(mem)).count()
         assert a == 0 and b == 0, build.__name__
     mem.release()
+
+
+def test_source_view_names(spark):
+    from ledgerlens.plans.views import SOURCE_NAMES, register_views
+    m = Marts.load(spark, SF)
+    names = register_views(m)
+    assert len(names) == len(SOURCE_NAMES) == 33
+    n = spark.sql("SELECT COUNT(*) AS n FROM Shipping_Report_H1").first()["n"]
+    assert n == 6  # three shippers x two half-year periods
+    assert spark.sql("SELECT SUM(Annual_Sales) AS s FROM Country_Transactions").first()["s"] == \
+        spark.sql("SELECT SUM(Detailed_Net_Sales) AS s FROM Revnue_Transactions").first()["s"]
