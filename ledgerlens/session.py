@@ -70,3 +70,26 @@ def table_root(spark: SparkSession) -> str:
     """Root for written tables: a sibling ``tables`` folder of the checkpoint dir."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables") if "://" not in base else base.rstrip("/") + "/tables"
+
+
+def cluster_conf(fact_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run over ``fact_bytes`` of order
+    lines (compressed parquet) on ``total_cores`` executor cores.
+
+    The widest shuffle is the line table by order id, a little larger than
+    the compressed input once decoded, so the partition count targets
+    ``target_partition_bytes`` per post-shuffle partition (a size one task
+    sorts and aggregates within its memory share, spilling rarely) and is at
+    least two waves of tasks. AQE then coalesces the small shuffles of the
+    aggregate marts from that starting point. Example: 100 TB of lines on
+    1000 executors x 8 cores gives about 745,000 shuffle partitions of 256 MiB.
+    """
+    decoded = fact_bytes * 2
+    partitions = max(2 * total_cores, -(-decoded // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }

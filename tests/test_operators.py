@@ -107,3 +107,11 @@ def test_quality_reports(spark):
     assert rules == {("k", "INT"): 1, ("s", "NVARCHAR(5)"): 1}
     with pytest.raises(ValueError):
         assert_clean(null_report(df, "t", ["k"]), "Null_Count")
+
+
+def test_cluster_conf_sizing():
+    from ledgerlens.session import cluster_conf
+    big = cluster_conf(100 * 10**12, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 745059
+    small = cluster_conf(10 << 20, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16   # at least two waves
