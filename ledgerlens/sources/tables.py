@@ -80,12 +80,26 @@ class SalesTables:
     # employees:     EmployeeID, TitleOfCourtesy, FirstName, LastName, Title, Country, ReportsTo
     # shippers:      ShipperID, CompanyName
 
-    def __init__(self, loader=None, **frames: DataFrame):
+    def __init__(self, loader=None, all_lines=None, **frames: DataFrame):
         unknown = set(frames) - set(self.NAMES)
         if unknown:
             raise TypeError(f"unknown tables: {sorted(unknown)}")
         self._loader = loader
         self._frames = dict(frames)
+        # For a windowed database: a builder of the order lines of *all*
+        # orders. The lines of the window are exactly those with a windowed
+        # order, so joining them to the windowed orders (inner) gives the
+        # window's lines without a separate semi-join.
+        self._all_lines = all_lines
+
+    def lines_with_orders(self):
+        """(order lines, join type) to attach the order header to each line:
+        a single inner join on a windowed database, otherwise the left join
+        that keeps lines without an order."""
+        all_lines = self.__dict__["_all_lines"]
+        if all_lines is not None:
+            return all_lines(), "inner"
+        return self.order_details, "left"
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SalesTables.NAMES:
@@ -236,7 +250,8 @@ def load_sales_tables(spark: SparkSession, sf_dir: str, window=ANALYSIS_WINDOW)
             return shippers_df(spark)
         raise KeyError(name)
 
-    return SalesTables(loader=load)
+    all_lines = (lambda: details_from_raw(raw("lineitem"))) if window is not None else None
+    return SalesTables(loader=load, all_lines=all_lines)
 
 
 __all__ = [
