@@ -62,3 +62,14 @@ def register_views(m: Marts, names=None) -> list[str]:
         SOURCE_NAMES[name](m).createOrReplaceTempView(name)
         done.append(name)
     return done
+
+
+GROWTH_TABLES = ("Country_Growth", "Actual_Country_Growth", "Product_Growth", "Actual_Product_Growth")
+
+
+def save_growth_tables(m: Marts, root: str | None = None, mode: str = "errorifexists") -> dict[str, str]:
+    """Store the four growth tables as parquet tables (like the notebook's
+    ``to_sql``: fails if a table exists unless ``mode`` says otherwise).
+    Returns table name -> path."""
+    from ledgerlens.sources.sinks import save_table
+    return {name: save_table(SOURCE_NAMES[name](m), name, root=root, mode=mode) for name in GROWTH_TABLES}

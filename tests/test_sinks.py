@@ -57,3 +57,14 @@ def test_source_view_names(spark):
     assert n == 6  # three shippers x two half-year periods
     assert spark.sql("SELECT SUM(Annual_Sales) AS s FROM Country_Transactions").first()["s"] == \
         spark.sql("SELECT SUM(Detailed_Net_Sales) AS s FROM Revnue_Transactions").first()["s"]
+
+
+def test_save_growth_tables(spark, tmp_path):
+    from ledgerlens.plans.views import GROWTH_TABLES, save_growth_tables
+    m = Marts.load(spark, SF)
+    paths = save_growth_tables(m, root=str(tmp_path))
+    assert set(paths) == set(GROWTH_TABLES)
+    back = spark.read.parquet(paths["Country_Growth"])
+    assert back.columns[:3] == ["Country", "Sales_96", "Profit_96"] and back.count() > 0
+    with pytest.raises(AnalysisException):
+        save_growth_tables(m, root=str(tmp_path))
