@@ -176,7 +176,8 @@ def weighted_lines(m: Marts, fanout: bool) -> DataFrame:
     # narrow pairs: a hot order is split by AQE instead of landing in one task.
     totals = pairs.groupBy("O_ID").agg(
         *[F.sum(F.col(f"__s_{c}") * weight).alias(t) for c, (_, t) in SHARED.items()])
-    attrs = pairs.select("O_ID", "P_ID", "Product_Name", "Category").join(totals, "O_ID", "left")
+    attrs = (pairs.select("O_ID", "P_ID", "Product_Name", "Category").join(totals, "O_ID", "left")
+             .withColumnsRenamed({"O_ID": "__a_O", "P_ID": "__a_P"}))
     base = rt.select("O_ID", "P_ID", "O_Date", "_Freight", "Q", "SP", "Total_Sales", "Discount_Amount",
                      "Discount", "Detailed_Net_Sales", "Detailed_Net_Profit")
     if fanout:
@@ -184,7 +185,10 @@ def weighted_lines(m: Marts, fanout: bool) -> DataFrame:
         # (order, product), so deduplicating the line columns first is the same
         # set, with 11 keys instead of 21. Runs inside the order-id partitions.
         base = base.distinct()
-    lines = base.join(attrs, ["O_ID", "P_ID"], "left")
+    # Null-safe on the product id: a line without a product still gets its
+    # order's totals (its pair row has a NULL product id).
+    match = (F.col("O_ID") == F.col("__a_O")) & F.col("P_ID").eqNullSafe(F.col("__a_P"))
+    lines = base.join(attrs, match, "left").drop("__a_O", "__a_P")
     out = lines.select(
         F.col("O_Date").alias("Order_Date"),
         F.year("O_Date").alias("per_Year"),

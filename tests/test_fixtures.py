@@ -231,3 +231,14 @@ def test_window_filter_reaches_scan(spark):
 def Marts_load(spark):
     from ledgerlens.plans.context import Marts
     return Marts.load(spark, "/root/testdata/sf0.001", persist=False)
+
+
+def test_line_without_product_keeps_order_totals(spark):
+    m = make_marts(spark, [order(1, freight="9.00")],
+                   [line(1, 1, 2, "5"), (1, None, 1, M("5"), M("0"), M("5"))])
+    fixed = product.weighted_averages_fixed(m).collect()
+    assert sum(r["WA_Q"] for r in fixed) == pytest.approx(1.0)
+    alloc = sum(r["Allocated_Freight"] for r in product.allocation_fixed(m).collect())
+    assert alloc == M("9.0000")
+    faithful = {r["Product_ID"]: r["WA_Q"] for r in product.weighted_averages(m).collect()}
+    assert faithful[None] == pytest.approx(1 / 3) and faithful[1] == pytest.approx(2 / 3)

@@ -28,12 +28,12 @@ def nodes(plan):
     if name == "AdaptiveSparkPlanExec":
         yield from nodes(plan.executedPlan())
         return
-    if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec"):
-        yield from nodes(plan.plan())
-        return
     if name == "TableCacheQueryStageExec":
         yield "InMemoryTableScanExec", plan
         return
+    if name.endswith("QueryStageExec"):  # shuffle, broadcast and result stages
+        yield from nodes(plan.plan())
+        return
     yield name, plan
     children = plan.children()
     for i in range(children.size()):
