@@ -43,6 +43,7 @@ MARTS: dict[str, Builder] = {
     "allocation_h2": product.allocation_h2,                               # V14
     "allocation_h1": product.allocation_h1,                               # V15
     "allocation_summary": product.allocation_summary,                     # V16
+    "allocation_summary_by_year": lambda m: product.allocation_summary(m, frame="year"),  # V16 fix
     "products_report": product.products_report,                           # V17
     "discount_96": product.discount_96,                                   # V18
     "discount_97_h1": product.discount_97_h1,                             # V19

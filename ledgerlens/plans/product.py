@@ -275,10 +275,11 @@ SUMMARY_AVERAGES = {  # output column -> source column rounded to cents
 
 
 @mart
-def allocation_summary(m: Marts) -> DataFrame:
+def allocation_summary(m: Marts, frame: str = "cumulative") -> DataFrame:
     """Per product and year, averages over all its allocation rows up to
-    that year (cumulative), money rounded half up to cents, quantity average
-    truncated to an integer."""
+    that year (cumulative, as the source's ordered window frame), money
+    rounded half up to cents, quantity average truncated to an integer.
+    ``frame="year"`` averages each year on its own (the stated intent)."""
     a = allocation(m)
     keys = ["Product_ID", "per_Year", "Year_ID", "Product_Name", "Category"]
     sums = {f"__u_{src}": F.sum(money.to_units(F.col(src), 4)) for src in set(SUMMARY_AVERAGES.values())}
@@ -286,7 +287,8 @@ def allocation_summary(m: Marts) -> DataFrame:
     pre = a.groupBy(*keys).agg(F.sum("Q").alias("__q"), F.count("Q").alias("__nq"),
                                *[v.alias(k) for k, v in sums.items()],
                                *[v.alias(k) for k, v in counts.items()])
-    run = running_totals(pre, ["Product_ID"], "per_Year", ["__q", "__nq", *sums, *counts])
+    run = (running_totals(pre, ["Product_ID"], "per_Year", ["__q", "__nq", *sums, *counts])
+           if frame == "cumulative" else pre)
     return run.select(
         "per_Year", "Year_ID", "Product_ID", "Product_Name", "Category",
         F.when(F.col("__nq") > 0, F.call_function("div", F.col("__q"), F.col("__nq"))).cast("int").alias("Quantity_SOld"),

@@ -242,3 +242,11 @@ def test_line_without_product_keeps_order_totals(spark):
     assert alloc == M("9.0000")
     faithful = {r["Product_ID"]: r["WA_Q"] for r in product.weighted_averages(m).collect()}
     assert faithful[None] == pytest.approx(1 / 3) and faithful[1] == pytest.approx(2 / 3)
+
+
+def test_m16_year_frame_option(spark):
+    orders = [order(1, date=D(1996, 8, 1)), order(2, date=D(1996, 9, 1)), order(3, date=D(1997, 2, 1))]
+    details = [line(1, 1, 10, "1"), line(2, 1, 20, "1"), line(3, 1, 30, "1")]
+    m = make_marts(spark, orders, details)
+    got = dict(rows(product.allocation_summary(m, frame="year"), "per_Year", "Quantity_SOld"))
+    assert got == {1996: 15, 1997: 30}
