@@ -1,4 +1,5 @@
-"""Hot-key robustness: a third of all order lines moved onto one order.
+"""Hot-key robustness: a third of all order lines moved onto one order, or
+onto one product.
 
 The skewed copy is derived by Spark from the sf0.01 tables. AQE skew
 thresholds are lowered and runtime broadcasts disabled (as at scale), so the
@@ -22,23 +23,33 @@ KEYS = ["revenue_transactions", "order_transactions", "customer_summary", "weigh
         "employee_performance", "actual_product_growth", "top_category"]
 
 
-@pytest.fixture(scope="module")
-def skewed_dir(spark, tmp_path_factory):
-    out = str(tmp_path_factory.mktemp("skew"))
+def _skewed_copy(spark, out, column):
     for t in TABLES:
         df = spark.read.parquet(f"{SRC}/{t}.parquet")
         if t == "lineitem":
-            # Hot order: the first order of the analysis window.
-            hot = (spark.read.parquet(f"{SRC}/orders.parquet")
-                   .where("o_orderdate >= TIMESTAMP '1996-07-01 00:00:00'")
-                   .agg(F.min("o_orderkey")).first()[0])
+            if column == "l_orderkey":  # hot order: the first order of the analysis window
+                hot = (spark.read.parquet(f"{SRC}/orders.parquet")
+                       .where("o_orderdate >= TIMESTAMP '1996-07-01 00:00:00'")
+                       .agg(F.min("o_orderkey")).first()[0])
+            else:                       # hot product
+                hot = 1
             moved = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(3)) == 0
-            df = df.withColumn("l_orderkey", F.when(moved, F.lit(hot)).otherwise(F.col("l_orderkey")))
+            df = df.withColumn(column, F.when(moved, F.lit(hot)).otherwise(F.col(column)))
         # Several files, so the shuffle has several map outputs to split by.
         df.repartition(8).write.parquet(f"{out}/{t}.parquet")
     return out
 
 
+@pytest.fixture(scope="module")
+def skewed_dir(spark, tmp_path_factory):
+    return _skewed_copy(spark, str(tmp_path_factory.mktemp("skew")), "l_orderkey")
+
+
+@pytest.fixture(scope="module")
+def hot_product_dir(spark, tmp_path_factory):
+    return _skewed_copy(spark, str(tmp_path_factory.mktemp("skewp")), "l_partkey")
+
+
 @pytest.fixture()
 def low_skew_thresholds(spark):
     keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
@@ -60,14 +71,34 @@ def low_skew_thresholds(spark):
             spark.conf.set(k, v)
 
 
-def test_hot_order_results_match_duckdb(spark, skewed_dir, low_skew_thresholds):
+def _duck(path):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{skewed_dir}/{t}.parquet/*.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet/*.parquet')")
+    return con
+
+
+def _compare(spark, path, con):
+    queries, oracle = entry.queries(), entry.oracle_sql()
+    for key in KEYS:
+        got = queries[key](spark, path).toPandas()
+        want = con.execute(oracle[key]).df()
+        assert len(got) == len(want), key
+        assert row_hash(got)[0] == row_hash(want)[0], key
+
+
+def test_hot_product_results_match_duckdb(spark, hot_product_dir, low_skew_thresholds):
+    con = _duck(hot_product_dir)
+    share = con.execute("SELECT MAX(n) * 1.0 / SUM(n) FROM (SELECT COUNT(*) n FROM lineitem GROUP BY l_partkey)").fetchone()[0]
+    assert share > 0.25
+    _compare(spark, hot_product_dir, con)
+
+
+def test_hot_order_results_match_duckdb(spark, skewed_dir, low_skew_thresholds):
+    con = _duck(skewed_dir)
     hot_lines = con.execute("SELECT MAX(n) FROM (SELECT COUNT(*) n FROM lineitem GROUP BY l_orderkey)").fetchone()[0]
     total = con.execute("SELECT COUNT(*) FROM lineitem").fetchone()[0]
     assert hot_lines > total / 4
-    queries, oracle = entry.queries(), entry.oracle_sql()
     # The line-to-order join is a sort-merge join whose hot partition is split.
     from ledgerlens.plans.context import Marts
     from ledgerlens.plans.revenue import revenue_transactions
@@ -75,8 +106,4 @@ def test_hot_order_results_match_duckdb(spark, skewed_dir, low_skew_thresholds):
     v1.collect()
     final = v1._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in final and "SortMergeJoin(skew=true)" in final
-    for key in KEYS:
-        got = queries[key](spark, skewed_dir).toPandas()
-        want = con.execute(oracle[key]).df()
-        assert len(got) == len(want), key
-        assert row_hash(got)[0] == row_hash(want)[0], key
+    _compare(spark, skewed_dir, con)
