@@ -80,9 +80,12 @@ def country_semi_annual(m: Marts) -> DataFrame:
 
 
 @mart
-def actual_country_growth(m: Marts) -> DataFrame:
-    """Like-for-like half-year growth per country (NULLs kept)."""
-    return country_semi_annual(m).select("Country", "Sales_YOY_97_H2", "Sales_YOY_98_H1")
+def actual_country_growth(m: Marts, fill_zero: bool = False) -> DataFrame:
+    """Like-for-like half-year growth per country. NULLs are kept, as the
+    notebook stores them; ``fill_zero=True`` reports them as 0 like the
+    full-year table."""
+    g = country_semi_annual(m).select("Country", "Sales_YOY_97_H2", "Sales_YOY_98_H1")
+    return fill_numeric(g, 0) if fill_zero else g
 
 
 PRODUCT_GROWTH_COLUMNS = ["Product_ID", "Product_Name", "Category", "N_Sales_96", "N_Sales_97", "N_Sales_98",
@@ -104,7 +107,7 @@ def product_growth(m: Marts) -> DataFrame:
 
 
 @mart
-def actual_product_growth(m: Marts) -> DataFrame:
+def actual_product_growth(m: Marts, fill_zero: bool = False) -> DataFrame:
     """Like-for-like half-year growth per product present in 1998-H1
     (``(1996-H2 right-merge 1997-H2) right-merge (1997-H1 right-merge
     1998-H1)``): YOY_97 kept when the product is in 1997-H2; NULLs kept."""
@@ -115,7 +118,8 @@ def actual_product_growth(m: Marts) -> DataFrame:
                                      "YOY")))
     p = presence_pivot(tagged, PRODUCT_KEYS, "__p", {"YOY_97": ("1997H2", "YOY"), "YOY_98": ("1998H1", "YOY")},
                        {"__in98h1": "1998H1"})
-    return p.where(F.col("__in98h1")).select(*PRODUCT_KEYS, "YOY_97", "YOY_98")
+    g = p.where(F.col("__in98h1")).select(*PRODUCT_KEYS, "YOY_97", "YOY_98")
+    return fill_numeric(g, 0, subset=["YOY_97", "YOY_98"]) if fill_zero else g
 
 
 @mart

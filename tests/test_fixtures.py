@@ -250,3 +250,10 @@ def test_m16_year_frame_option(spark):
     m = make_marts(spark, orders, details)
     got = dict(rows(product.allocation_summary(m, frame="year"), "per_Year", "Quantity_SOld"))
     assert got == {1996: 15, 1997: 30}
+
+
+def test_m11_fill_zero_option(spark):
+    o, d = _country_orders([(1, D(1997, 9, 1), "100"), (1, D(1998, 3, 1), "80")])
+    m = make_marts(spark, o, d)
+    row = growth.actual_country_growth(m, fill_zero=True).collect()[0]
+    assert row["Sales_YOY_97_H2"] == 0 and row["Sales_YOY_98_H1"] == 0
