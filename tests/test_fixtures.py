@@ -257,3 +257,35 @@ def test_m11_fill_zero_option(spark):
     m = make_marts(spark, o, d)
     row = growth.actual_country_growth(m, fill_zero=True).collect()[0]
     assert row["Sales_YOY_97_H2"] == 0 and row["Sales_YOY_98_H1"] == 0
+
+
+def test_g5_row_vs_calendar_lag(spark):
+    o, d = _country_orders([(1, D(1995, 3, 1), "10"), (1, D(1996, 3, 1), "20"), (1, D(1998, 3, 1), "60")])
+    m = make_marts(spark, o, d)
+    row = {r["Year"]: r["Sales_YOY"] for r in growth.growth_long(m).collect()}
+    cal = {r["Year"]: r["Sales_YOY"] for r in growth.growth_long(m, calendar=True).collect()}
+    assert row[1996] == pytest.approx(1.0) and row[1998] == pytest.approx(2.0)
+    assert cal[1996] == pytest.approx(1.0) and cal[1998] is None
+
+
+def test_g6_aligned_halves_and_cutoff(spark):
+    o, d = _country_orders([(1, D(1996, 2, 1), "10"), (1, D(1996, 9, 1), "100"),
+                            (1, D(1997, 2, 1), "15"), (1, D(1997, 6, 20), "5"), (1, D(1997, 9, 1), "50")])
+    m = make_marts(spark, o, d)
+    got = {(r["Year"], r["Half"]): r["Aligned_YOY"] for r in growth.period_aligned_growth(m).collect()}
+    assert got[(1997, "H1")] == pytest.approx(20 / 10 - 1)
+    assert got[(1997, "H2")] == pytest.approx(50 / 100 - 1)
+    assert got[(1996, "H1")] is None
+    cut = {(r["Year"], r["Half"]): r["Aligned_YOY"] for r in growth.period_aligned_growth(m, cutoff=(5, 6)).collect()}
+    assert cut[(1997, "H1")] == pytest.approx(15 / 10 - 1)       # 20 June 1997 is past the cutoff
+    assert (1997, "H2") not in cut
+
+
+def test_g7_comparison_keeps_full_year_rows(spark):
+    o, d = _country_orders([(1, D(1996, 9, 1), "10"), (1, D(1997, 2, 1), "10"), (1, D(1997, 9, 1), "20"),
+                            (1, D(1998, 2, 1), "30"), (2, D(1998, 2, 1), "5")])
+    m = make_marts(spark, o, d)
+    got = {r["Country"]: r for r in growth.growth_comparison(m).collect()}
+    assert set(got) == {"Norway", "Poland"}
+    assert got["Norway"]["Sales_YOY_98_H1"] == pytest.approx(2.0)
+    assert got["Poland"]["Sales_YOY_97_H2"] is None and got["Poland"]["YOY_98"] == 0
