@@ -289,3 +289,31 @@ def test_g7_comparison_keeps_full_year_rows(spark):
     assert set(got) == {"Norway", "Poland"}
     assert got["Norway"]["Sales_YOY_98_H1"] == pytest.approx(2.0)
     assert got["Poland"]["Sales_YOY_97_H2"] is None and got["Poland"]["YOY_98"] == 0
+
+
+def test_kpi_delivery_and_top_shipper(spark):
+    from ledgerlens.plans import kpi
+    d = D(1997, 3, 1)
+    orders = [order(1, date=d, via=1, required=D(1997, 3, 10), shipped=D(1997, 3, 5), freight="5"),
+              order(2, date=d, via=2, required=D(1997, 3, 10), shipped=D(1997, 3, 12), freight="7"),
+              order(3, date=d, via=2, shipped=None, freight="7"),
+              order(4, date=d, via=3, required=D(1997, 3, 10), shipped=D(1997, 3, 9), freight="1")]
+    m = make_marts(spark, orders, [line(i, 1, 1, "10") for i in (1, 2, 3, 4)])
+    r = kpi.delivery_performance(m).first()
+    assert (r["Shipped_Orders"], r["On_Time_Orders"], r["Orders"]) == (3, 2, 4)
+    top = kpi.top_freight_shipper_by_year(m).first()
+    assert top["Shipping_Company"] == "Bluewave Cargo" and top["Freight"] == M("14.0000")
+    # Tie on on-time deliveries (Atlas 1, Comet 1): the alphabetically first wins.
+    assert kpi.top_on_time_shipper_by_year(m).first()["Shipping_Company"] == "Atlas Freight"
+
+
+def test_kpi_stock_mix_shares(spark):
+    from ledgerlens.plans import kpi
+    products = [(1, "A", 1, 1, M("1"), 5, 10, 0), (2, "B", 1, 1, M("1"), 50, 10, 0),
+                (3, "C", 1, 1, M("1"), 50, 10, 1), (4, "D", 1, 1, M("1"), 60, 10, 0)]
+    m = make_marts(spark, [order(1)], [line(1, p, 1, "1") for p in (1, 2, 3, 4)], products=products)
+    got = {(r["Discontinued"], r["Stock_Status"]): (r["Rows"], r["Pct_of_All"], r["Pct_of_Flag"])
+           for r in kpi.stock_status_mix(m).collect()}
+    assert got[(0, "Safe_Stock")] == (2, pytest.approx(0.5), pytest.approx(2 / 3))
+    assert got[(0, "Restock")] == (1, pytest.approx(0.25), pytest.approx(1 / 3))
+    assert got[(1, "No_Restock")] == (1, pytest.approx(0.25), pytest.approx(1.0))
