@@ -80,14 +80,20 @@ LINE_MEASURES = {
 }
 
 
+ORDER_ATTRIBUTES = ["O_Date", "Required_Date", "Shipped_Date", "C_ID", "E_ID", "_Freight",
+                    "Shipping_Status", "ShipVia", "Country", "_CompanyName"]
+
+
 @mart
 def order_rollup(m: Marts) -> DataFrame:
-    """Order grain with internal columns. Every grouping key is a function of
-    the order id, so the grouping runs inside the order-id partitions."""
+    """Order grain with internal columns. The source groups by the order id
+    and ten order attributes; the attributes all come from the order's own
+    row, so grouping by the order id alone (attributes taken with ``max``,
+    which returns that single value) gives the same rows while hashing one
+    64-bit key. It runs inside the order-id partitions of the lines."""
     rt = revenue_lines(m)
-    keys = ["O_ID", "O_Date", "Required_Date", "Shipped_Date", "C_ID", "E_ID", "_Freight",
-            "Shipping_Status", "ShipVia", "Country", "_CompanyName"]
-    return m.shared(rt.groupBy(*keys).agg(*[F.sum(c).alias(a) for c, a in LINE_MEASURES.items()]),
+    return m.shared(rt.groupBy("O_ID").agg(*[F.max(c).alias(c) for c in ORDER_ATTRIBUTES],
+                                           *[F.sum(c).alias(a) for c, a in LINE_MEASURES.items()]),
                     "order_rollup", "O_ID")
 
 
