@@ -161,6 +161,18 @@ OPERATOR_COVERAGE = {
     "W6 pct_change": "growth_long",
     "S3 union_distinct": "allocation_h2",
     "S5 merge_halves": "actual_country_growth",
+    "F1 net_sales": "scalar_functions, net_sales_sql_function, revenue_transactions",
+    "F2 round_money": "scalar_functions, revenue_transactions, allocation_summary",
+    "F3 cast_decimal": "scalar_functions, order_transactions, shipping_report_h2",
+    "F4 cast_date": "project_alias, revenue_transactions",
+    "F5 year_month": "scalar_functions, monthly_transactions",
+    "F6 date_add_days": "scalar_functions, project_alias",
+    "F7 date_diff_days": "scalar_functions, avg_days_to_ship",
+    "F8 str_left": "scalar_functions, customer_summary, shipping_report_h2",
+    "F9 str_concat_plus": "scalar_functions, country_transactions",
+    "F10 str_concat_fn": "scalar_functions, products_report, employee_transactions",
+    "F11 cast_int_string": "scalar_functions, product_transactions",
+    "F12 arith": "scalar_functions, customer_transactions",
 }
 
 QUERIES: dict[str, Builder] = {**MARTS, **GENERIC}
