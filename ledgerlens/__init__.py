@@ -9,6 +9,7 @@ plans/      the named marts, growth tables, KPIs and ad-hoc reports
 streaming/  intentionally empty: the modelled workload is batch only
 """
 
-from ledgerlens.session import build_session, checkpoint_dir
+from ledgerlens.plans.context import Marts
+from ledgerlens.session import build_session, checkpoint_dir, cluster_conf
 
-__all__ = ["build_session", "checkpoint_dir"]
+__all__ = ["Marts", "build_session", "checkpoint_dir", "cluster_conf"]
