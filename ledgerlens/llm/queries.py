@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe
+from ledgerlens.llm import bpe, language, pii
 from ledgerlens.llm.common import read_table
 
 
@@ -19,6 +19,13 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_vocabulary() -> str:
+    """Path of the default vocabulary of pieces for many languages."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def sha256_hex(text) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -37,7 +44,37 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document, base ones counted by kind."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.spans_column("text").alias("pii"))
+    base = F.filter("pii", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        sha256_hex(pii.span_list(base)).alias("base_sha256"),
+        pii.span_list(F.col("pii")).alias("spans"),
+        (F.size("pii") - F.size(base)).cast("long").alias("n_added"),
+    )
+
+
+def held_out(modulus: int, remainder: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op4_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """The language of every document, learned from those not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    split = F.coalesce(held_out(4, 2), F.lit(False))
+    model = language.fit(docs.where(~split).select("text", "lang"), vocabulary or piece_vocabulary())
+    found = docs.select("doc_id", split.alias("held_out"), language.predict_column(spark, model, "text").alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_pii": op3_pii,
+    "op4_language": op4_language,
 }
 ORACLE: dict[str, str] = {}
