@@ -24,7 +24,9 @@ word by word.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Callable
 
 import ahocorasick
@@ -35,10 +37,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_VOCABULARY_BYTES = 16 << 20
-#: Encoded words kept per worker before the cache starts afresh.
-CACHED_WORDS = 300_000
-#: Words of at most this many bytes are cached.
-CACHED_WORD_BYTES = 64
+#: Encoded words kept per worker: two generations of this many.
+CACHED_WORDS = 250_000
+#: Judged pairs kept per worker before they are forgotten.
+CACHED_PAIRS = 300_000
+#: Words of at most this many characters are cached.
+CACHED_WORD_CHARS = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -62,16 +66,13 @@ class PairTable:
             pair = vocab[left], vocab[right]
             self.merged.setdefault(pair, (rank, whole))
             self.parts.setdefault(whole, (rank, *pair))
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the texts of both tokens, side by side, merge to just these
         two. Undo the merges of the pair from the latest to the earliest: the
         pair is broken if at some moment the two tokens that touch could merge
         before the merge undone last on either side."""
-        found = self.known.get((left, right))
-        if found is not None:
-            return found
         a, b = left, right
         # A merge across the border wins if it has a lower rank than the merge
         # that would take its left token away, or an equal or lower one than
@@ -90,12 +91,33 @@ class PairTable:
                 limit, from_left, a = pa_[0], True, pa_[2]
             else:
                 limit, from_left, b = pb_[0], False, pb_[1]
-        if len(self.known) >= 2_000_000:
+        if len(self.known) >= CACHED_PAIRS:
             self.known.clear()
-        self.known[left, right] = good
+        self.known[left << 32 | right] = good
         return good
 
 
+class EncodedWords(dict):
+    """word -> its ids as the bytes of 32-bit integers, encoded on first use.
+    When full, the words move to an older generation, from which they come
+    back if met again."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= CACHED_WORD_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Text to ids for one vocabulary (built once per worker process)."""
 
@@ -108,9 +130,12 @@ class Encoder:
         self.mark = "\0" if suffix else ""
         self.alphabet = byte_alphabet()
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.words = regex.compile(_split_pattern(spec["pre_tokenizer"]))
+        self.special_at = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
+        pattern = _split_pattern(spec["pre_tokenizer"])
+        self.words, self.latin_words = regex.compile(pattern), _spelled_out(pattern, 0x100)
         steps = _steps(spec.get("normalizer"), "normalizers")
+        if not self.words.search("".join(map(chr, WHITE_SPACE))):
+            steps = [s for s in steps if s["type"] != "Replace"]  # no word holds white space
         self.normal = [{"NFC": _nfc, "Lowercase": _lower, "Replace": _collapse}[s["type"]] for s in steps]
         automaton = ahocorasick.Automaton()
         self.size: dict[int, int] = {}
@@ -124,7 +149,7 @@ class Encoder:
         self.shorter: dict[int, int | None] = {}
         self.texts = {i: t for t, i in self.vocab.items()}
         self.suffix = suffix
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache = EncodedWords(self._word)
 
     def _shorten(self, token: int) -> int | None:
         """The longest token that is a proper prefix of a token."""
@@ -149,14 +174,23 @@ class Encoder:
             longest[end - size[token] + 1] = token  # later ends are longer
         open_ = bytearray(b"\1") * (n + 1)
         out: list[int] = []
-        at = 0
+        at, last = 0, -1
         token = longest[0]
-        compatible = self.pairs.compatible
+        known, compatible = self.pairs.known, self.pairs.compatible
         while at < n:
-            while token is not None and not (open_[at + size[token]] and (not out or compatible(out[-1], token))):
+            while token is not None:
+                if open_[at + size[token]]:
+                    if last < 0:
+                        break
+                    good = known.get(last << 32 | token)
+                    if good is None:
+                        good = compatible(last, token)
+                    if good:
+                        break
                 token = self._shorten(token)
             if token is not None:
                 out.append(token)
+                last = token
                 at += size[token]
                 token = longest[at] if at < n else None
             else:
@@ -164,40 +198,33 @@ class Encoder:
                     raise ValueError("the vocabulary can't spell this word")
                 open_[at] = 0
                 token = out.pop()
+                last = out[-1] if out else -1
                 at -= size[token]
                 token = self._shorten(token)
         return out
 
-    def _word(self, word: str) -> list[int]:
-        raw = word.encode("utf-8")
-        ids = self.encode_word("".join(map(self.alphabet.__getitem__, raw)) + self.mark)
-        if len(raw) <= CACHED_WORD_BYTES:
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            self.cache[word] = ids
-        return ids
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            chars = word  # the alphabet leaves visible ASCII as it is
+        else:
+            chars = "".join(map(self.alphabet.__getitem__, word.encode("utf-8")))
+        return array("i", self.encode_word(chars + self.mark)).tobytes()
 
-    def _plain(self, text: str, out: list[int]) -> None:
+    def _plain(self, text: str) -> bytes:
         for step in self.normal:
             text = step(text)
-        get, extend = self.cache.get, out.extend
-        for word in self.words.findall(text):
-            ids = get(word)
-            extend(self._word(word) if ids is None else ids)
+        words = self.latin_words if _is_latin(text) else self.words
+        return b"".join(map(self.cache.__getitem__, words.findall(text)))
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return out
+            return np.empty(0, np.int32)
         if self.special_at is None or "<" not in text:
-            self._plain(text, out)
-            return out
-        for part in self.special_at.split(text):
-            if part in self.specials:
-                out.append(self.specials[part])
-            elif part:
-                self._plain(part, out)
-        return out
+            raw = self._plain(text)
+        else:
+            parts = self.special_at.split(text)
+            raw = b"".join(array("i", [self.specials[p]]).tobytes() if p in self.specials else self._plain(p) for p in parts if p)
+        return np.frombuffer(raw, dtype=np.int32)
 
 
 def _steps(node: dict | None, inner: str) -> list[dict]:
@@ -213,6 +240,38 @@ def _split_pattern(node: dict) -> str:
     return steps[0]["pattern"]["Regex"]
 
 
+#: Code points with the White_Space property.
+WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+def _ranges(points: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    out, start = [], None
+    for a, b in zip(points, [*points[1:], -1], strict=True):
+        start = a if start is None else start
+        if b != a + 1:
+            out.append(f"\\U{start:08x}-\\U{a:08x}")
+            start = None
+    return "".join(out)
+
+
+def _spelled_out(pattern: str, below: int) -> re.Pattern:
+    """A pattern with the classes L, N and white space as ranges of code points
+    below a bound: for texts of such characters it matches alike, and faster."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(below)]
+    for name in "LN":
+        pattern = pattern.replace(f"\\p{{{name}}}", _ranges([i for i, k in enumerate(kinds) if k == name]))
+    return re.compile(pattern.replace("\\s", _ranges([c for c in WHITE_SPACE if c < below])))
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _nfc(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFC", text)
 
@@ -222,7 +281,7 @@ def _lower(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
-_SPACE = regex.compile(r"\s+")
+_SPACE = re.compile("[" + _ranges(WHITE_SPACE) + "]+")
 
 
 def _collapse(text: str) -> str:
@@ -280,7 +339,7 @@ def encode_column(shared, text: Column | str) -> Column:
         encoder = _built(Encoder, shared)
         rows, sizes = [], []
         for t in texts:
-            ids = np.array(encoder.encode(t.as_py()), dtype=np.int32)
+            ids = encoder.encode(t.as_py())
             rows.append(ids)
             sizes.append(len(ids))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
