@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, language, pii
-from ledgerlens.llm.common import read_table
+from ledgerlens.llm import bpe, language, pii, quality_rules
+from ledgerlens.llm.common import materialize, read_table
 
 
 def word_vocabulary() -> str:
@@ -72,9 +72,22 @@ def op4_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the weakly supervised verdict of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = materialize(quality_rules.statistics(docs), "quality-rules")
+    judged = quality_rules.judge(stats)
+    failed = quality_rules.base_failed()
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "p_good",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
+    "op7_quality_rules": op7_quality_rules,
 }
 ORACLE: dict[str, str] = {}
