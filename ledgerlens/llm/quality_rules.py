@@ -1,12 +1,14 @@
 """Quality rules combined by weak supervision, in DataFrame operations only.
 
-Each rule looks at one statistic of a document and votes good (1), bad (-1) or
-abstains (0). Nobody says how far a rule can be trusted: expectation-
-maximisation estimates, per rule, how often it votes good on good documents
-and bad on bad ones (two accuracies, since junk of one kind trips one rule
-and passes the others), and the share of good documents. The posterior
-probability of being good replaces the all-must-pass filter; a document is
-kept if it is at least ``KEEP_AT``.
+Each rule looks at one statistic of a document and votes bad (-1) or good (1)
+where its condition holds, else abstains (0). Detectors of one kind of junk
+only ever vote bad, since the absence of one kind says little about the
+others; rules that recognise plain running text only ever vote good. Nobody
+says how far a rule can be trusted: expectation-maximisation estimates each
+rule's accuracy, the chance that its vote is right, from how the rules agree
+and clash over the corpus. The posterior probability of being good replaces
+the all-must-pass filter; a document is kept if it is at least ``KEEP_AT``,
+so one on which every rule abstains stays.
 
 The corpus is summarised as the number of documents per vote pattern, at most
 3 to the power of the number of rules (``MAX_PATTERNS``), whatever its size;
@@ -17,10 +19,9 @@ characters other than blank, tab, line feed, vertical tab, form feed and
 carriage return. Three-word windows are compared by 64-bit hashes within one
 document. Nothing is exploded or shuffled: arrays are handled inside the row.
 
-Defined cases: a document without words has all counts 0 and every rule but
-the length rule abstains; an empty table gives an empty result; extra columns
-are not read; repeated rows are judged alike; ties in a rule's ratio belong to
-the side its docstring condition names.
+Defined cases: a document without words has all counts 0 and every rule
+abstains; an empty table gives an empty result; extra columns
+are not read; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEEP_AT = 0.5
-MAX_PATTERNS = 3 ** 9
+MAX_PATTERNS = 3 ** 10
 ROUNDS = 60
+#: Accuracy of every rule before the first round, and the bounds of estimates.
+FIRST_ACCURACY = 0.9
+LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.99
 SPACE_CHARS = [" ", "\t", "\n", "\x0b", "\f", "\r"]
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -49,6 +53,10 @@ def _count(text: Column, chars) -> Column:
     return (F.length(text) - F.length(_without(text, chars))).cast("long")
 
 
+def _occurrences(text: Column, strings: list[str]) -> Column:
+    return sum((F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))) / len(x) for x in strings).cast("long")
+
+
 def statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of ``df`` and each document's counts."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -62,9 +70,10 @@ def statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         F.length(_without(F.col("_text"), SPACE_CHARS)).cast("long").alias("word_chars"),
         _count(F.col("_text"), SYMBOLS).alias("n_symbols"),
         _count(F.col("_text"), "!").alias("n_bangs"),
+        _occurrences(F.col("_text"), [". ", ".\n"]).alias("n_sentences"),
         (F.length("_text") - F.length(F.regexp_replace("_text", "\\p{Lu}+", ""))).cast("long").alias("n_upper"),
     )
-    counts = ["word_chars", "n_symbols", "n_bangs", "n_upper"]
+    counts = ["word_chars", "n_symbols", "n_bangs", "n_sentences", "n_upper"]
     second = first.select(
         *keep,
         *counts,
@@ -117,14 +126,14 @@ def base_failed() -> Column:
 
 @dataclass
 class Rule:
-    """Votes bad or good where the conditions hold, bad first; else abstains."""
+    """Votes ``side`` (1 good, -1 bad) where the condition holds, else abstains."""
 
     name: str
-    bad: Column
-    good: Column
+    side: int
+    holds: Column
 
     def vote(self) -> Column:
-        return F.when(self.bad, -1).when(self.good, 1).otherwise(0).cast("int").alias(f"v_{self.name}")
+        return F.when(self.holds, self.side).otherwise(0).cast("int").alias(f"v_{self.name}")
 
 
 def default_rules() -> list[Rule]:
@@ -132,60 +141,48 @@ def default_rules() -> list[Rule]:
     n = c("n_words")
     some = n > 0
     return [
-        Rule("length", n < 50, n >= 100),
-        Rule("symbols", some & (10 * c("n_symbols") > n), some & (50 * c("n_symbols") <= n)),
-        Rule("case", some & (2 * c("n_upper") > c("word_chars")), some & (5 * c("n_upper") <= c("word_chars"))),
-        Rule("bangs", some & (10 * c("n_bangs") > n), some & (100 * c("n_bangs") <= n)),
-        Rule("word_length", some & ((c("word_chars") < 2 * n) | (c("word_chars") > 15 * n)), some & (c("word_chars") >= 3 * n) & (c("word_chars") <= 12 * n)),
-        Rule("lines", some & (10 * c("n_dup_lines") > 3 * c("n_lines")), some & (10 * c("n_dup_lines") <= c("n_lines"))),
-        Rule("repeats", some & (10 * c("n_repeat_words") > 3 * n), some & (20 * c("n_repeat_words") <= 3 * n)),
-        Rule("variety", some & (10 * c("n_distinct") < 2 * n), some & (10 * c("n_distinct") >= 3 * n)),
+        Rule("symbols", -1, some & (10 * c("n_symbols") > n)),
+        Rule("symbol_chars", -1, some & (20 * c("n_symbols") > c("word_chars"))),
+        Rule("capitals", -1, some & (2 * c("n_upper") > c("word_chars"))),
+        Rule("bangs", -1, some & (10 * c("n_bangs") > n)),
+        Rule("word_length", -1, some & ((c("word_chars") < 2 * n) | (c("word_chars") > 15 * n))),
+        Rule("lines", -1, some & (10 * c("n_dup_lines") > 3 * c("n_lines"))),
+        Rule("repeats", -1, some & (10 * c("n_repeat_words") > 3 * n)),
+        Rule("variety", -1, some & (10 * c("n_distinct") < 2 * n)),
+        Rule("plain", 1, some & (50 * c("n_symbols") <= n) & (100 * c("n_bangs") <= n) & (5 * c("n_upper") <= c("word_chars")) & (10 * c("n_distinct") >= 3 * n)),
+        Rule("sentences", 1, some & (c("n_sentences") > 0) & (n >= 4 * c("n_sentences")) & (n <= 20 * c("n_sentences"))),
     ]
 
 
 @dataclass
 class LabelModel:
-    """Share of good documents; per rule the chance of a good vote on good and
-    of a bad vote on bad documents, given that the rule votes."""
+    """Each rule's accuracy: the chance that a vote it casts is right."""
 
-    prior: float
-    on_good: list[float]
-    on_bad: list[float]
+    accuracy: list[float]
 
     def log_odds(self, votes: list[Column]) -> Column:
-        total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for vote, g, b in zip(votes, self.on_good, self.on_bad, strict=True):
-            total = total + F.when(vote == 1, math.log(g / (1 - b))).when(vote == -1, math.log((1 - g) / b)).otherwise(0.0)
+        total = F.lit(0.0)
+        for vote, a in zip(votes, self.accuracy, strict=True):
+            total = total + vote * F.lit(math.log(a / (1 - a)))
         return total
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> LabelModel:
-    """EM over (votes, number of documents). Accuracies begin at plausible
-    values and stay above one half, so that good can't swap with bad."""
+    """EM over (votes, number of documents), good and bad equally likely before
+    any vote: expected number of right votes of a rule over its votes cast."""
     rules = len(patterns[0][0]) if patterns else 0
-    total = sum(n for _, n in patterns)
-    prior, on_good, on_bad = 0.8, [0.95] * rules, [0.4] * rules
-    for _ in range(rounds if total else 0):
-        good_sum = 0.0
-        good = [[1.0, 1.0, 0.0] for _ in range(rules)]  # votes on good documents: bad, good
-        bad = [[1.0, 1.0, 0.0] for _ in range(rules)]
+    accuracy = [FIRST_ACCURACY] * rules
+    for _ in range(rounds):
+        right, cast = [0.0] * rules, [0] * rules
+        weight = [math.log(a / (1 - a)) for a in accuracy]
         for votes, n in patterns:
-            odds = math.log(prior / (1 - prior))
-            for j, v in enumerate(votes):
-                if v:
-                    odds += math.log(on_good[j] / (1 - on_bad[j])) if v > 0 else math.log((1 - on_good[j]) / on_bad[j])
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            good_sum += p * n
+            good = 1 / (1 + math.exp(-sum(v * w for v, w in zip(votes, weight, strict=True))))
             for j, v in enumerate(votes):
                 if v:
-                    good[j][v > 0] += p * n
-                    bad[j][v > 0] += (1 - p) * n
-        prior = min(0.999, max(0.001, good_sum / total))
-        on_good = [min(0.9999, max(0.5, g[1] / (g[0] + g[1]))) for g in good]
-        # A rule sees one kind of junk only, so it may miss most bad documents;
-        # but a bad vote must stay likelier on bad documents than on good ones.
-        on_bad = [min(0.9999, max(1.01 * (1 - a), b[0] / (b[0] + b[1]))) for a, b in zip(on_good, bad, strict=True)]
-    return LabelModel(prior, on_good, on_bad)
+                    cast[j] += n
+                    right[j] += n * (good if v > 0 else 1 - good)
+        accuracy = [min(MOST_ACCURACY, max(LEAST_ACCURACY, r / k)) if k else FIRST_ACCURACY for r, k in zip(right, cast, strict=True)]
+    return LabelModel(accuracy)
 
 
 def fit(votes: DataFrame, names: list[str]) -> LabelModel:
@@ -203,6 +200,5 @@ def judge(stats: DataFrame, rules: list[Rule] | None = None, keep_at: float = KE
     voted = stats.select("*", *[r.vote() for r in rules])
     names = [f"v_{r.name}" for r in rules]
     model = fit(voted, names)
-    odds = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), model.log_odds([F.col(n) for n in names])))
-    scored = voted.withColumn("p_good", 1 / (1 + F.exp(-odds)))
+    scored = voted.withColumn("p_good", 1 / (1 + F.exp(-model.log_odds([F.col(n) for n in names]))))
     return scored.withColumn("kept", F.col("p_good") >= keep_at)
