@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, decontaminate, language, pii, quality_rules
+from ledgerlens.llm import bpe, chat, decontaminate, language, pii, quality_rules, rule_ensemble, warc
 from ledgerlens.llm.common import materialize, read_table
 
 
@@ -74,6 +74,17 @@ def op4_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records on which the archive of the pages and a damaged replica disagree."""
+    pages = read_table(spark, sf_dir, "pages")
+    return warc.audit(pages, warc.damaged_replica(pages))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the weakly supervised verdict of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,12 +108,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    stats = materialize(rule_ensemble.with_statistics(docs), "text-statistics")
+    train = labels.where(~held_out(5, 0) & F.col("quality").isin(0, 1)).join(stats, "doc_id")
+    model = rule_ensemble.fit(materialize(train, "quality-train"), "quality")
+    scored = stats.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), model.score().alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= rule_ensemble.THRESHOLD, 1).otherwise(0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
+    "op5_chat": op5_chat,
+    "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 #: Words of whole texts, their 13-word windows (or the whole of a shorter item),
@@ -133,6 +158,55 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
+#: Conversations as lists of distinct rows; a is dropped if it equals the part
+#: of another up to a's last turn, and of equal ones all but the smallest id.
+OP5_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -9223372036854775808) AS turn, role, text FROM conversations),
+pre AS (
+  SELECT DISTINCT conv_id, turn,
+         list({'t': turn, 'r': role, 'x': text} ORDER BY turn, role NULLS FIRST, text NULLS FIRST)
+           OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l
+  FROM t),
+k AS (SELECT conv_id, turn, len(l) AS n, md5(CAST(list_sort(l) AS VARCHAR)) AS h FROM pre),
+whole AS (SELECT conv_id, max(turn) AS turn, max(n) AS n, arg_max(h, turn) AS h FROM k GROUP BY conv_id),
+one AS (SELECT n, h, min(conv_id) AS conv_id FROM whole GROUP BY n, h),
+longer AS (SELECT DISTINCT k.n, k.h FROM k JOIN whole w ON k.conv_id IS NOT DISTINCT FROM w.conv_id WHERE k.n < w.n),
+kept AS (SELECT conv_id, n FROM one WHERE NOT EXISTS (SELECT 1 FROM longer g WHERE g.n = one.n AND g.h = one.h))
+SELECT t.conv_id, t.turn >> 6 AS part, max(kept.n) AS n_turns,
+       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+                  ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS text
+FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id
+GROUP BY t.conv_id, t.turn >> 6
+"""
+
+#: Both archives record by record, without a tree.
+OP6_SQL = """
+WITH a AS (SELECT 0 AS side, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+b AS (
+  SELECT 1 AS side, page_id, url,
+         CASE page_id % 100 WHEN 1 THEN '~' || substr(html, 2) WHEN 2 THEN substr(html, 1, length(html) // 2) ELSE html END AS html
+  FROM a WHERE page_id % 100 IS DISTINCT FROM 3),
+c AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT 1, page_id + 1000000000, url, html FROM b WHERE page_id % 100 = 4),
+r AS (
+  SELECT side, page_id, encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+         || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: '
+         || CAST(octet_length(encode(html)) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)) AS body
+  FROM c),
+v AS (SELECT side, page_id, octet_length(body) AS bytes, sha256(body) AS h, count(*) AS copies FROM r GROUP BY ALL),
+e AS (SELECT side, page_id, sum(bytes * copies) AS bytes, string_agg(h || ':' || copies, ',' ORDER BY h || ':' || copies) AS versions FROM v GROUP BY side, page_id),
+o AS (SELECT *, CAST(floor(page_id / 128) AS BIGINT) AS file,
+             CAST(coalesce(sum(bytes) OVER (PARTITION BY side, floor(page_id / 128) ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at
+      FROM e),
+j AS (
+  SELECT coalesce(x.page_id, y.page_id) AS page_id, coalesce(x.file, y.file) AS file, x.at AS offset, y.at AS replica_offset,
+         CASE WHEN y.side IS NULL THEN 'missing' WHEN x.side IS NULL THEN 'extra' WHEN x.versions <> y.versions THEN 'changed'
+              WHEN x.at <> y.at THEN 'moved' END AS status
+  FROM (SELECT * FROM o WHERE side = 0) x FULL JOIN (SELECT * FROM o WHERE side = 1) y ON x.page_id IS NOT DISTINCT FROM y.page_id)
+SELECT * FROM j WHERE status IS NOT NULL
+"""
+
 ORACLE: dict[str, str] = {
+    "op5_chat": OP5_SQL,
+    "op6_warc": OP6_SQL,
     "op8_decontamination": OP8_SQL,
 }
