@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 MAX_VOCABULARY_BYTES = 16 << 20
 #: Encoded words kept per worker: two generations of this many.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 330_000
 #: Judged pairs kept per worker before they are forgotten.
 CACHED_PAIRS = 300_000
 #: Words of at most this many characters are cached.
@@ -138,48 +138,40 @@ class Encoder:
             steps = [s for s in steps if s["type"] != "Replace"]  # no word holds white space
         self.normal = [{"NFC": _nfc, "Lowercase": _lower, "Replace": _collapse}[s["type"]] for s in steps]
         automaton = ahocorasick.Automaton()
-        self.size: dict[int, int] = {}
+        #: By token id: characters, and the longest token that is a proper prefix (-1: none).
+        self.size = [0] * (max(self.vocab.values(), default=0) + 1)
+        self.shorter = [-1] * len(self.size)
         for token, token_id in self.vocab.items():
             whole = bool(suffix) and token.endswith(suffix) and len(token) > len(suffix)
             chars = token.removesuffix(suffix) + self.mark if whole else token
             automaton.add_word(chars, token_id)
             self.size[token_id] = len(chars)
+            for n in range(len(chars) - 1, 0, -1):
+                if (found := self.vocab.get(chars[:n])) is not None:
+                    self.shorter[token_id] = found
+                    break
         automaton.make_automaton()
         self.automaton = automaton
-        self.shorter: dict[int, int | None] = {}
-        self.texts = {i: t for t, i in self.vocab.items()}
-        self.suffix = suffix
         self.cache = EncodedWords(self._word)
 
-    def _shorten(self, token: int) -> int | None:
-        """The longest token that is a proper prefix of a token."""
-        if token not in self.shorter:
-            text = self.texts[token]
-            if self.suffix and text.endswith(self.suffix) and len(text) > len(self.suffix):
-                text = text.removesuffix(self.suffix) + self.mark
-            found = None
-            for n in range(len(text) - 1, 0, -1):
-                found = self.vocab.get(text[:n])
-                if found is not None:
-                    break
-            self.shorter[token] = found
-        return self.shorter[token]
-
     def encode_word(self, chars: str) -> list[int]:
         """Ids of one word given in the byte alphabet, its end mark included."""
         n = len(chars)
-        longest: list[int | None] = [None] * n
-        size = self.size
+        size, shorter = self.size, self.shorter
+        longest = [-1] * (n + 1)
         for end, token in self.automaton.iter(chars):
-            longest[end - size[token] + 1] = token  # later ends are longer
-        open_ = bytearray(b"\1") * (n + 1)
+            longest[end - size[token]] = token  # one before its start; later ends are longer
+        token = longest[-1]  # the start at 0
+        if size[token] == n and token >= 0:
+            return [token]
+        known, compatible = self.pairs.known, self.pairs.compatible
+        hopeless: set[int] = set()
         out: list[int] = []
         at, last = 0, -1
-        token = longest[0]
-        known, compatible = self.pairs.known, self.pairs.compatible
-        while at < n:
-            while token is not None:
-                if open_[at + size[token]]:
+        while True:
+            while token >= 0:
+                end = at + size[token]
+                if end not in hopeless:
                     if last < 0:
                         break
                     good = known.get(last << 32 | token)
@@ -187,21 +179,21 @@ class Encoder:
                         good = compatible(last, token)
                     if good:
                         break
-                token = self._shorten(token)
-            if token is not None:
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                last = token
-                at += size[token]
-                token = longest[at] if at < n else None
+                if end == n:
+                    return out
+                last, at = token, end
+                token = longest[at - 1]
             else:
                 if not out:
                     raise ValueError("the vocabulary can't spell this word")
-                open_[at] = 0
+                hopeless.add(at)
                 token = out.pop()
                 last = out[-1] if out else -1
                 at -= size[token]
-                token = self._shorten(token)
-        return out
+                token = shorter[token]
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():

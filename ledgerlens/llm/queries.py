@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, language, pii, quality_rules, rule_ensemble, warc
+from ledgerlens.llm import bpe, chat, decontaminate, language, ngram_join, pii, quality_rules, rule_ensemble, warc
 from ledgerlens.llm.common import materialize, read_table
 
 
@@ -108,6 +108,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and near-duplicate component of every document."""
+    found = ngram_join.similar_components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels not held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
@@ -205,7 +212,31 @@ j AS (
 SELECT * FROM j WHERE status IS NOT NULL
 """
 
+#: All pairs that share a shingle, by their intersections; then the smallest id
+#: reachable.
+OP9_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                      ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (SELECT doc_id, hash(list(g ORDER BY g)) AS h FROM s GROUP BY doc_id),
+rep AS (SELECT h, min(doc_id) AS r FROM sets GROUP BY h),
+one AS (SELECT s.doc_id, s.g FROM s JOIN rep ON s.doc_id = rep.r),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link UNION SELECT r, r FROM rep),
+reach AS (SELECT x, y FROM edge UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x),
+comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (h) LEFT JOIN comp ON comp.x = rep.r
+"""
+
 ORACLE: dict[str, str] = {
+    "op9_ngram_join": OP9_SQL,
     "op5_chat": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op8_decontamination": OP8_SQL,
