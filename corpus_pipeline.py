@@ -1,29 +1,75 @@
 """A corpus pipeline of five stages over the operators of ``ledgerlens.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next stage's documents.
+as Parquet and read again as the next stage's documents. All but the last
+return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe
+from ledgerlens.llm import bpe, decontaminate, language, line_dedup, ngram_join
 from ledgerlens.llm.common import materialize, read_table
-from ledgerlens.llm.queries import word_vocabulary
+from ledgerlens.llm.queries import piece_vocabulary, sha256_hex, word_vocabulary
+
+#: A document goes if its likeliest language has no more than this posterior.
+LEAST_LANGUAGE_SCORE = 0.5
+#: A text with no character but white space.
+BLANK = "^[\\x20\\x09-\\x0D]*$"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter or a likeliest language go. The
+    models are learned from all documents with a language."""
+    model = language.fit(docs, piece_vocabulary())
+    found = docs.withColumn("_found", language.predict_column(spark, model, "text"))
+    sure = (F.col("_found.lang") != language.UNKNOWN_LANGUAGE) & (F.col("_found.score") > LEAST_LANGUAGE_SCORE)
+    return found.where(sure).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: later matches are cut; a document that consisted of nothing
+    else goes."""
+    cut = line_dedup.remove_repeated_lines(docs, count="_removed")
+    return cut.where((F.col("_removed") == 0) | ~F.col("text").rlike(BLANK)).select(*docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of linked documents the smallest id stays."""
+    return ngram_join.one_per_component(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: contaminated documents go."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding: documents with their token ids and the decoded text."""
-    path = word_vocabulary()
-    return bpe.decode(bpe.encode(docs, path), path)
+    """BPE encoding: documents with their token ids, and digests of the ids and
+    of what they decode to."""
+    shared = bpe.vocabulary(spark, word_vocabulary())
+    coded = docs.withColumn("ids", bpe.encode_column(shared, "text")).withColumn("_decoded", bpe.decode_column(shared, "ids"))
+    return coded.select(
+        *docs.columns,
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        sha256_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256_hex(F.col("_decoded")).alias("decoded_sha256"),
+    )
 
 
 STAGES = [
+    ("language", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", join_near_copies),
+    ("decontamination", remove_benchmark),
     ("bpe", encode),
 ]
 
-#: Several stages learn or iterate; SQL can't express them.
+#: Language models are learned by expectation-maximisation, and BPE follows a
+#: vocabulary file: SQL can't express these stages.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, language, ngram_join, pii, quality_rules, rule_ensemble, warc
+from ledgerlens.llm import bpe, chat, decontaminate, language, line_dedup, ngram_join, pii, quality_rules, rule_ensemble, warc
 from ledgerlens.llm.common import materialize, read_table
 
 
@@ -44,6 +44,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that match an earlier line."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs, count="n_removed")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document, base ones counted by kind."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -127,6 +133,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
     "op5_chat": op5_chat,
@@ -235,7 +242,29 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component_id, d.d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (h) LEFT JOIN comp ON comp.x = rep.r
 """
 
+#: Distinct word sets of lines, their pairs by common words, and the lines that
+#: match an earlier one (by document, then line).
+OP2_SQL = """
+WITH l AS (
+  SELECT doc_id, i, x, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS s
+  FROM (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))),
+big AS (SELECT doc_id, i, s FROM l WHERE len(s) >= 5),
+c AS (SELECT row_number() OVER (ORDER BY min((doc_id, i))) AS k, s, len(s) AS n, min((doc_id, i)) AS head FROM big GROUP BY s),
+w AS (SELECT k, n, unnest(s) AS w FROM c),
+f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
+o AS (SELECT k, n, w.w, row_number() OVER (PARTITION BY k ORDER BY df, w.w) AS p FROM w JOIN f USING (w)),
+pre AS (SELECT k, n, w FROM o WHERE p <= n - CAST(ceil(n * 80 / 100.0) AS BIGINT) + 1),
+cand AS (SELECT DISTINCT a.k AS x, b.k AS y FROM pre a JOIN pre b ON a.w = b.w AND a.k < b.k AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+hit AS (SELECT y FROM cand JOIN c p ON p.k = x JOIN c q ON q.k = y WHERE 180 * len(list_intersect(p.s, q.s)) >= 80 * (p.n + q.n)),
+gone AS (SELECT doc_id, i FROM big JOIN c USING (s) WHERE k IN (SELECT y FROM hit) OR (doc_id, i) <> head)
+SELECT d.doc_id, coalesce(t.text, d.text) AS text, coalesce(t.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN (
+  SELECT l.doc_id, coalesce(string_agg(CASE WHEN g.i IS NULL THEN x END, chr(10) ORDER BY l.i), '') AS text, count(g.i) AS n_removed
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id) t ON d.doc_id = t.doc_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op9_ngram_join": OP9_SQL,
     "op5_chat": OP5_SQL,
     "op6_warc": OP6_SQL,
