@@ -3,21 +3,22 @@
 A document's set is its distinct word shingles. Documents of equal sets are
 one node. Nodes are indexed by position blocks (see ``setjoin``): the lists of
 the index are skipped block by block, and only nodes that share a whole block
-meet. Within a list, answers are derived from a similar set's answers: every
-member is compared with the list's leader only. Let a member differ from the
-leader in ``a`` missing and ``b`` extra shingles; two members whose differences
-don't overlap are linked only if both are linked with the leader, and two that
-are linked with the leader are connected through it, so nothing about them is
-left to find out. Only members not linked with their leader are compared with
-the others of the list. Thus a group of copies costs as many comparisons as
-it has members, and no link between different sets that would join two
+meet. Within a list, answers are derived from those of a similar set, the
+list's leader, chosen as the node whose blocks the others share most. Every
+member is compared with the leader only, and its difference from the leader is
+kept. Two members' intersection follows from their differences and what these
+have in common: if that is nothing, they can only be linked if both are linked
+with the leader, and then they are connected through it. So only members not
+linked with their leader are looked at again, together with members whose
+difference shares an element that the link would need (a prefix of the
+difference, found by a join on leader and element). A group of copies thus
+costs as many comparisons as it has members, and no link that would join two
 components is lost.
 
-Counting a shared prefix of every list (leader, then members) is an
-aggregation and a join on the key, which Spark splits where a key is hot.
-Full sets are built for members of shared lists only; a bit table of fixed
-size (``NEEDED_BITS``) names them in the second pass over the texts, false
-positives drop out in the join.
+Finding the lists with several members is an aggregation and a join on the
+key, which Spark splits where a key is hot. Full sets are built for members of
+such lists only; a bit table of fixed size (``NEEDED_BITS``) names them in the
+second pass over the texts, false positives drop out in the join.
 
 Words: A-Z in lower case, runs of characters other than blank, tab, line feed,
 vertical tab, form feed and carriage return; shingles are compared by 64-bit
@@ -160,39 +161,57 @@ def _bit_table(digests: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _linked(num: int, den: int) -> Column:
-    both = F.size(F.array_intersect("x_set", "y_set"))
-    return F.lit(den) * both >= F.lit(num) * (F.col("x_n") + F.col("y_n") - both)
-
-
-def _judge(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, x2, y2, linked) for pairs of set digests d1."""
-    left = sets.select(F.col("d1").alias("x"), F.col("d2").alias("x2"), F.col("n").alias("x_n"), F.col("shingles").alias("x_set"))
+def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, x2, y2, cost, slack, diff) of each member x and leader y: diff has
+    what x has more, then what it lacks; x and y are linked if cost <= slack."""
+    left = sets.select(F.col("d1").alias("x"), F.col("d2").alias("x2"), F.col("shingles").alias("x_set"))
     right = sets.select(F.col("d1").alias("y"), F.col("d2").alias("y2"), F.col("n").alias("y_n"), F.col("shingles").alias("y_set"))
-    near = F.lit(num) * F.greatest("x_n", "y_n") <= F.lit(den) * F.least("x_n", "y_n")
     joined = pairs.join(left, "x").join(right, "y")
-    return joined.select("x", "y", "x2", "y2", F.when(near, _linked(num, den)).otherwise(False).alias("linked"))
+    found = joined.select("x", "y", "x2", "y2", "y_n", F.array_except("x_set", "y_set").alias("more"), F.array_except("y_set", "x_set").alias("less"))
+    cost = F.lit(den) * F.size("less") + F.lit(num) * F.size("more")
+    return found.select("x", "y", "x2", "y2", cost.cast("long").alias("cost"), (F.lit(den - num) * F.col("y_n")).cast("long").alias("slack"), F.concat("more", "less").alias("diff"))
+
+
+def _prefix(needed: Column) -> Column:
+    """The elements of a difference of which one at least must be in common if
+    ``needed`` are (none if there are fewer)."""
+    count = F.size("diff") - F.greatest(F.lit(1), needed.cast("int")) + 1
+    return F.when(count > 0, F.slice(F.col("diff"), F.lit(1), count)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _between_members(judged: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, x2, y, y2): linked members of one leader, x not linked with the leader."""
+    far = judged.where("cost > slack")
+    leaders = far.select(F.col("y").alias("f"), F.col("y2").alias("f2")).distinct()
+    near = judged.join(leaders, (F.col("y") == F.col("f")) & (F.col("y2") == F.col("f2")), "left_semi")
+    unit = num + den
+    probe = far.select("y", "y2", "x", "x2", F.explode(_prefix(F.ceil((F.col("cost") - F.col("slack")) / unit))).alias("e"))
+    index = near.select("y", "y2", F.col("x").alias("o"), F.col("x2").alias("o2"), F.explode(_prefix(F.ceil((F.col("cost") + 1) / unit))).alias("e"))
+    pairs = probe.join(index, ["y", "y2", "e"]).where("x <> o OR x2 <> o2").select("y", "y2", "x", "x2", "o", "o2").distinct()
+    a = judged.select("y", "y2", "x", "x2", "cost", "slack", "diff")
+    b = judged.select("y", "y2", F.col("x").alias("o"), F.col("x2").alias("o2"), F.col("cost").alias("o_cost"), F.col("diff").alias("o_diff"))
+    both = pairs.join(a, ["y", "y2", "x", "x2"]).join(b, ["y", "y2", "o", "o2"])
+    shared = F.size(F.array_intersect("diff", "o_diff"))
+    return both.where(F.col("cost") + F.col("o_cost") <= F.col("slack") + F.lit(unit) * shared).select("x", "x2", F.col("o").alias("y"), F.col("o2").alias("y2"))
 
 
 def links(docs: DataFrame, found: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
     """(u, v) nodes of links that connect what is connected."""
     spark = docs.sparkSession
-    keyed = found.select(F.explode("keys").alias("key"), F.col("d1").alias("x"))
-    lead = keyed.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("z")).where("y < z").select("key", "y")
-    members = materialize(keyed.join(lead, "key").distinct(), "ngram-members")
+    keyed = found.select(F.explode("keys").alias("key"), F.col("d1").alias("x"), F.size("keys").alias("m"))
+    several = keyed.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("key")
+    members = materialize(keyed.join(several, "key").distinct(), "ngram-members")
     needed = spark.sparkContext.broadcast(_bit_table(members.select(F.col("x").alias("d1"))))
     sets = materialize(full_sets(docs, text, width, needed).groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "ngram-sets")
-    star = members.where("x <> y").select("x", "y").distinct()
-    judged = materialize(_judge(star, sets, num, den), "ngram-judged")
-    # Members not linked with their list's leader meet the others of the list.
-    far = members.join(judged.where(~F.col("linked")).select("x", "y").distinct(), ["x", "y"])
-    others = members.select("key", F.col("x").alias("o"), F.col("y").alias("lead"))
-    rest = far.select("key", "x").join(others, "key").where("x <> o AND o <> lead")
-    rest = rest.select(F.least("x", "o").alias("x"), F.greatest("x", "o").alias("y")).distinct()
-    more = _judge(rest, sets, num, den)
+    # The more of a member's blocks others share, the better it leads.
+    length = members.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+    weight = members.join(length, "key").groupBy("x").agg((F.sum("length") / F.max("m")).alias("weight"))
+    lead = members.join(weight, "x").groupBy("key").agg(F.max(F.struct("weight", "x")).alias("l")).select("key", F.col("l.x").alias("y"))
+    star = members.select("key", "x").join(lead, "key").where("x <> y").select("x", "y").distinct()
+    judged = materialize(_differences(star, sets, num, den), "ngram-judged")
+    both = judged.where("cost <= slack").select("x", "x2", "y", "y2").unionByName(_between_members(judged, num, den))
     node = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
-    both = judged.unionByName(more).where("linked")
-    return both.select(node("x", "x2").alias("u"), node("y", "y2").alias("v"))
+    return both.select(node("x", "x2").alias("u"), node("y", "y2").alias("v")).distinct()
 
 
 def similar_components(
