@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import WordHashes, chunks, materialize, mix, text_bytes
-from ledgerlens.llm.ngram_join import NEEDED_BITS, _bit_table, text_digest
+from ledgerlens.llm.ngram_join import _bit_table, in_table, suspect_column, text_digest
 from ledgerlens.llm.setjoin import block_keys, sums, threshold
 
 NUM, DEN = 80, 100
@@ -211,8 +211,7 @@ def word_sets(docs: DataFrame, text: str, needed) -> DataFrame:
 
             def wanted(d: int, n: int, texts=texts) -> np.ndarray:
                 td = np.uint64(xxhash.xxh3_64_intdigest(text_bytes(texts[d])))
-                at = _place(np.full(n, td), np.arange(n)) % np.uint64(NEEDED_BITS)
-                return np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                return np.flatnonzero(in_table(bits, _place(np.full(n, td), np.arange(n))))
 
             for *_, line, values, owner in _line_words(texts, wanted):
                 if not len(values):
@@ -326,15 +325,8 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     gone = repeated_lines(docs, doc_id, text, **kw).groupBy(F.col("doc_id").alias("_id"), F.col("td").alias("_td")).agg(F.collect_list("line").alias("_gone"))
     gone = materialize(gone, "lines-gone")
     table = spark.sparkContext.broadcast(_bit_table(gone.select(F.col("_td").alias("d1"))))
-
-    @F.arrow_udf("boolean")
-    def suspect(digests: pa.Array) -> pa.Array:
-        bits = np.frombuffer(table.value, dtype=np.uint8)
-        at = digests.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(NEEDED_BITS)
-        return pa.array(((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool))
-
     kept = [c for c in docs.columns if c != count]
-    marked = docs.select(*kept).withColumn("_own_td", text_digest(F.col(text))).withColumn("_suspect", suspect(F.col("_own_td")))
+    marked = docs.select(*kept).withColumn("_own_td", text_digest(F.col(text))).withColumn("_suspect", suspect_column(table, F.col("_own_td")))
     none = F.lit(0).cast("long")
     clear = marked.where(~F.col("_suspect")).select(*kept, none.alias("_cut"))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_td") == F.col("_td"))

@@ -46,6 +46,8 @@ SHINGLE = 3
 NUM, DEN = 90, 100
 #: Bits of the table of sets that the second pass builds.
 NEEDED_BITS = 1 << 20
+#: Bits of the parity of a difference.
+PARITY_BITS = 512
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xA0761D6478BD642F)]
 _WORDS = WordHashes()
@@ -128,29 +130,51 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den:
     return rows.mapInArrow(sketch, "doc_id long, td long, n long, d1 long, d2 long, keys array<long>")
 
 
-def full_sets(docs: DataFrame, text: str, width: int, needed) -> DataFrame:
-    """(d1, d2, n, shingles) of the texts whose set digest is in the bit table."""
+def place_hash(td: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """A document (text digest and id) as one hash."""
+    with np.errstate(over="ignore"):
+        return mix(td.astype(np.uint64) ^ mix(doc_id.astype(np.uint64)))
+
+
+def in_table(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(NEEDED_BITS)
+    return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def full_sets(docs: DataFrame, doc_id: str, text: str, width: int, needed) -> DataFrame:
+    """(d1, d2, n, shingles) of the documents that are in the bit table."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(needed.value, dtype=np.uint8)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(1).to_pylist()
+            td = np.array([xxhash.xxh3_64_intdigest(text_bytes(t)) for t in texts], dtype=np.uint64)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            texts = [t for t, hit in zip(texts, in_table(bits, place_hash(td, ids)), strict=True) if hit]
             for first, last, values, owner, sizes in shingle_sets(texts, width):
                 with np.errstate(over="ignore"):
                     d1, d2 = _digests(values, owner, sizes)
-                at = d1.view(np.uint64) % np.uint64(NEEDED_BITS)
-                hit = (sizes > 0) & ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                number = np.cumsum(hit) - 1
-                mine = hit[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d1[hit]), pa.array(d2[hit]), pa.array(sizes[hit].astype(np.int64)), _lists(values[mine], number[owner[mine]], int(hit.sum()))],
-                    names=["d1", "d2", "n", "shingles"],
+                    [pa.array(d1), pa.array(d2), pa.array(sizes.astype(np.int64)), _lists(values, owner, last - first)], names=["d1", "d2", "n", "shingles"]
                 )
 
-    rows = docs.select(F.col(text).alias("text"))
+    rows = docs.select(known_id(F.col(doc_id)).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(build, "d1 long, d2 long, n long, shingles array<long>")
 
 
+def known_id(doc_id: Column) -> Column:
+    """An id for use in hashes: a null one is the least number."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
+def place_column(td: Column, doc_id: Column) -> Column:
+    @F.arrow_udf("long")
+    def place(tds: pa.Array, ids: pa.Array) -> pa.Array:
+        return pa.array(place_hash(tds.to_numpy(zero_copy_only=False).view(np.uint64), ids.to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64))
+
+    return place(td, known_id(doc_id))
+
+
 def _bit_table(digests: DataFrame) -> bytes:
     """Bits of the digests in column d1, modulo the table's size."""
     bits = np.zeros(NEEDED_BITS // 8, dtype=np.uint8)
@@ -162,14 +186,45 @@ def _bit_table(digests: DataFrame) -> bytes:
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, x2, y2, cost, slack, diff) of each member x and leader y: diff has
-    what x has more, then what it lacks; x and y are linked if cost <= slack."""
-    left = sets.select(F.col("d1").alias("x"), F.col("d2").alias("x2"), F.col("shingles").alias("x_set"))
-    right = sets.select(F.col("d1").alias("y"), F.col("d2").alias("y2"), F.col("n").alias("y_n"), F.col("shingles").alias("y_set"))
+    """(x, y, x2, y2, cost, slack, diff, parity) of each member x and leader y:
+    diff has what x has more, then what it lacks; x and y are linked if cost <=
+    slack; parity has a bit for each residue, 1 if diff has an odd number of it."""
+    left = sets.select("d1", "d2", "n", "shingles").withColumnsRenamed({"d1": "x", "d2": "x2", "n": "x_n", "shingles": "x_set"})
+    right = sets.select("d1", "d2", "n", "shingles").withColumnsRenamed({"d1": "y", "d2": "y2", "n": "y_n", "shingles": "y_set"})
     joined = pairs.join(left, "x").join(right, "y")
     found = joined.select("x", "y", "x2", "y2", "y_n", F.array_except("x_set", "y_set").alias("more"), F.array_except("y_set", "x_set").alias("less"))
     cost = F.lit(den) * F.size("less") + F.lit(num) * F.size("more")
-    return found.select("x", "y", "x2", "y2", cost.cast("long").alias("cost"), (F.lit(den - num) * F.col("y_n")).cast("long").alias("slack"), F.concat("more", "less").alias("diff"))
+    costed = found.select("x", "y", "x2", "y2", cost.cast("long").alias("cost"), (F.lit(den - num) * F.col("y_n")).cast("long").alias("slack"), F.concat("more", "less").alias("diff"))
+    return costed.withColumn("parity", _parity(F.col("diff")))
+
+
+def _parity(diff: Column) -> Column:
+    @F.arrow_udf("binary")
+    def parity(lists: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(lists), 1000):
+            part = lists.slice(at, 1000)
+            sizes = np.diff(part.offsets.to_numpy())
+            values = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(len(part)), sizes)
+            odd = np.bincount(row * PARITY_BITS + (values % np.uint64(PARITY_BITS)).astype(np.int64), minlength=len(part) * PARITY_BITS) & 1
+            packed = np.packbits(odd.astype(np.uint8).reshape(len(part), PARITY_BITS), axis=1)
+            out += [r.tobytes() for r in packed]
+        return pa.array(out, pa.binary())
+
+    return parity(diff)
+
+
+def _bits_apart(left: Column, right: Column) -> Column:
+    """In how many bits two parities differ: no more than the differences do in elements."""
+
+    @F.arrow_udf("int")
+    def apart(a: pa.Array, b: pa.Array) -> pa.Array:
+        x = np.frombuffer(b"".join(a.to_pylist()), dtype=np.uint64).reshape(len(a), -1)
+        y = np.frombuffer(b"".join(b.to_pylist()), dtype=np.uint64).reshape(len(b), -1)
+        return pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))
+
+    return apart(left, right)
 
 
 def _prefix(needed: Column) -> Column:
@@ -188,21 +243,35 @@ def _between_members(judged: DataFrame, num: int, den: int) -> DataFrame:
     probe = far.select("y", "y2", "x", "x2", F.explode(_prefix(F.ceil((F.col("cost") - F.col("slack")) / unit))).alias("e"))
     index = near.select("y", "y2", F.col("x").alias("o"), F.col("x2").alias("o2"), F.explode(_prefix(F.ceil((F.col("cost") + 1) / unit))).alias("e"))
     pairs = probe.join(index, ["y", "y2", "e"]).where("x <> o OR x2 <> o2").select("y", "y2", "x", "x2", "o", "o2").distinct()
-    a = judged.select("y", "y2", "x", "x2", "cost", "slack", "diff")
-    b = judged.select("y", "y2", F.col("x").alias("o"), F.col("x2").alias("o2"), F.col("cost").alias("o_cost"), F.col("diff").alias("o_diff"))
-    both = pairs.join(a, ["y", "y2", "x", "x2"]).join(b, ["y", "y2", "o", "o2"])
+    # What two differences can have in common at most, by their sizes and parities.
+    brief = judged.select("y", "y2", "x", "x2", "cost", "slack", F.size("diff").alias("size"), "parity")
+    other = brief.drop("slack").withColumnsRenamed({"x": "o", "x2": "o2", "cost": "o_cost", "size": "o_size", "parity": "o_parity"})
+    both = pairs.join(brief, ["y", "y2", "x", "x2"]).join(other, ["y", "y2", "o", "o2"])
+    apart = both.withColumn("apart", _bits_apart(F.col("parity"), F.col("o_parity")))
+    most = F.floor((F.col("size") + F.col("o_size") - F.col("apart")) / 2)
+    likely = apart.where(F.col("cost") + F.col("o_cost") <= F.col("slack") + F.lit(unit) * most)
+    likely = materialize(likely.select("y", "y2", "x", "x2", "cost", "slack", "o", "o2", "o_cost"), "ngram-likely")
+    # The differences themselves, for these few pairs.
+    names = likely.select(F.col("x").bitwiseXOR(F.col("y")).alias("d1")).union(likely.select(F.col("o").bitwiseXOR(F.col("y"))))
+    table = judged.sparkSession.sparkContext.broadcast(_bit_table(names))
+    named = judged.where(suspect_column(table, F.col("x").bitwiseXOR(F.col("y")))).select("y", "y2", "x", "x2", "diff")
+    a = likely.join(named, ["y", "y2", "x", "x2"])
+    b = a.join(named.withColumnsRenamed({"x": "o", "x2": "o2", "diff": "o_diff"}), ["y", "y2", "o", "o2"])
     shared = F.size(F.array_intersect("diff", "o_diff"))
-    return both.where(F.col("cost") + F.col("o_cost") <= F.col("slack") + F.lit(unit) * shared).select("x", "x2", F.col("o").alias("y"), F.col("o2").alias("y2"))
+    return b.where(F.col("cost") + F.col("o_cost") <= F.col("slack") + F.lit(unit) * shared).select("x", "x2", F.col("o").alias("y"), F.col("o2").alias("y2"))
 
 
-def links(docs: DataFrame, found: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, doc_id: str, text: str, width: int, num: int, den: int) -> DataFrame:
     """(u, v) nodes of links that connect what is connected."""
     spark = docs.sparkSession
     keyed = found.select(F.explode("keys").alias("key"), F.col("d1").alias("x"), F.size("keys").alias("m"))
     several = keyed.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("key")
     members = materialize(keyed.join(several, "key").distinct(), "ngram-members")
-    needed = spark.sparkContext.broadcast(_bit_table(members.select(F.col("x").alias("d1"))))
-    sets = materialize(full_sets(docs, text, width, needed).groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "ngram-sets")
+    # One document of each node that is in a list.
+    one = found.groupBy("d1", "d2").agg(F.min_by("td", known_id(F.col("doc_id"))).alias("td"), F.min(known_id(F.col("doc_id"))).alias("doc_id"))
+    one = one.join(members.select(F.col("x").alias("d1")).distinct(), "d1", "left_semi")
+    needed = spark.sparkContext.broadcast(_bit_table(one.select(place_column(F.col("td"), F.col("doc_id")).alias("d1"))))
+    sets = materialize(full_sets(docs, doc_id, text, width, needed), "ngram-sets")
     # The more of a member's blocks others share, the better it leads.
     length = members.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
     weight = members.join(length, "key").groupBy("x").agg((F.sum("length") / F.max("m")).alias("weight"))
@@ -220,7 +289,7 @@ def similar_components(
     """(doc_id, td, n_shingles, component_id) of every row; td is a 64-bit digest
     of its text."""
     found = materialize(sketches(docs, doc_id, text, width, num, den), "ngram-sketches")
-    edges = materialize(links(docs, found, text, width, num, den), "ngram-links")
+    edges = materialize(links(docs, found, doc_id, text, width, num, den), "ngram-links")
     labels = components(edges)
     node = F.concat_ws(":", F.col("d1").cast("string"), F.col("d2").cast("string"))
     nodes = found.where("n > 0").groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"))
@@ -252,19 +321,22 @@ def text_digest(text: Column) -> Column:
     return digest(text)
 
 
+def suspect_column(table, digests: Column) -> Column:
+    """Whether a digest's bit is set in a broadcast table."""
+
+    @F.arrow_udf("boolean")
+    def suspect(digests: pa.Array) -> pa.Array:
+        return pa.array(in_table(np.frombuffer(table.value, dtype=np.uint8), digests.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return suspect(digests)
+
+
 def without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``docs`` less the rows with (id, text digest) in ``gone`` (_id, _td). Only
     rows whose digest is in the bit table of ``gone`` are shuffled."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(_bit_table(gone.select(F.col("_td").alias("d1"))))
-
-    @F.arrow_udf("boolean")
-    def suspect(digests: pa.Array) -> pa.Array:
-        bits = np.frombuffer(table.value, dtype=np.uint8)
-        at = digests.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(NEEDED_BITS)
-        return pa.array(((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool))
-
-    marked = docs.withColumn("_own_td", text_digest(F.col(text))).withColumn("_suspect", suspect(F.col("_own_td")))
+    marked = docs.withColumn("_own_td", text_digest(F.col(text))).withColumn("_suspect", suspect_column(table, F.col("_own_td")))
     clear = marked.where(~F.col("_suspect")).select(*docs.columns)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_td") == F.col("_td"))
     checked = marked.where(F.col("_suspect")).join(gone, same, "left_anti").select(*docs.columns)
