@@ -51,7 +51,7 @@ LEAST_PROB = 1e-12
 #: Words scored together by the vectorised passes.
 BATCH = 20_000
 #: Scored words kept per worker.
-CACHED = 400_000
+CACHED = 500_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -206,7 +206,6 @@ class LanguageModel:
     languages: list[str]
     #: One row per piece, then the unknown character, then zeros (no piece).
     probs: np.ndarray
-    #: Share of training words by language is not used: all are equally likely.
 
 
 def word_counts(train: DataFrame, text: str, lang: str) -> DataFrame:
@@ -259,7 +258,7 @@ def _expected(counts: DataFrame, shared) -> DataFrame:
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, languages, probs = shared.value
-        pieces = _pieces(shared.id if hasattr(shared, "id") else id(shared), texts)
+        pieces = _pieces(texts)
         total = np.zeros((len(texts) + 1, len(languages)))
         for batch in batches:
             tags = np.array(batch.column(0).to_pylist(), dtype=object)
@@ -278,10 +277,11 @@ def _expected(counts: DataFrame, shared) -> DataFrame:
     return parts.groupBy("language", "piece").agg(F.sum("n").alias("n"))
 
 
-_PIECES: dict[object, Pieces] = {}
+_PIECES: dict[tuple[int, int], Pieces] = {}
 
 
-def _pieces(key: object, texts: list[str]) -> Pieces:
+def _pieces(texts: list[str]) -> Pieces:
+    """A vocabulary's table, built once per worker."""
     key = (len(texts), hash(tuple(texts)))
     if key not in _PIECES:
         _PIECES.clear()
@@ -291,50 +291,68 @@ def _pieces(key: object, texts: list[str]) -> Pieces:
 
 def predict_column(spark: SparkSession, model: LanguageModel, text: Column | str) -> Column:
     """struct(lang, score) of a text column: the likeliest language and its
-    posterior under equal priors, per letter pair of evidence."""
+    posterior under equal priors."""
     shared = spark.sparkContext.broadcast((model.pieces, model.languages, model.probs))
 
     @F.arrow_udf("lang string, score double")
     def predict(texts: pa.Array) -> pa.Array:
         vocabulary, languages, probs = shared.value
-        cache = _scores(shared)
+        scores_of = _scores(shared, vocabulary, probs)
         langs, scores = [], []
         rows = texts.to_pylist()
-        for at in range(0, len(rows), 500):
-            split = [words_of(t) for t in rows[at:at + 500]]
-            new = list({w for ws in split for w in ws if w not in cache})
-            if new and languages:
-                if len(cache) + len(new) > CACHED:
-                    cache.clear()
-                    new = list({w for ws in split for w in ws})
-                logs = word_logs(_pieces(None, vocabulary), probs, new)
-                cache.update(zip(new, logs, strict=True))
-            for ws in split:
-                if not ws or not languages:
-                    langs.append(UNKNOWN_LANGUAGE)
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(languages))
-                for part in range(0, len(ws), 4096):
-                    total += np.array(list(map(cache.__getitem__, ws[part:part + 4096]))).sum(axis=0)
-                best = int(total.argmax())
-                odds = np.exp(total - total[best])
-                langs.append(languages[best])
-                scores.append(float(1.0 / odds.sum()))
+        for at in range(0, len(rows), 200):
+            split = [words_of(t) if languages else [] for t in rows[at:at + 200]]
+            total = scores_of.sums(split)
+            best = total.argmax(axis=1) if languages else np.zeros(len(split), dtype=int)
+            odds = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if languages else best
+            for ws, k, p in zip(split, best.tolist(), odds.tolist(), strict=True):
+                langs.append(languages[k] if ws else UNKNOWN_LANGUAGE)
+                scores.append(p if ws else 0.0)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return predict(F.col(text) if isinstance(text, str) else text)
 
 
-_SCORES: dict[int, dict[str, np.ndarray]] = {}
+class WordScores:
+    """Word scores of one model: word -> row of a matrix, filled as words come."""
+
+    def __init__(self, vocabulary: list[str], probs: np.ndarray) -> None:
+        self.pieces, self.probs = _pieces(vocabulary), probs
+        self.rows: dict[str, int] = {}
+        self.logs = np.empty((CACHED, probs.shape[1]))
+
+    def sums(self, split: list[list[str]]) -> np.ndarray:
+        """Summed scores of each list of words, one column per model."""
+        out = np.zeros((len(split), self.probs.shape[1]))
+        flat = [w for ws in split for w in ws]
+        if not flat:
+            return out
+        new = list(set(flat).difference(self.rows))
+        if len(self.rows) + len(new) > CACHED:
+            self.rows.clear()
+            new = list(set(flat))
+        if len(new) > CACHED:
+            self.logs = np.empty((len(new), self.probs.shape[1]))
+        first = len(self.rows)
+        self.logs[first:first + len(new)] = word_logs(self.pieces, self.probs, new)
+        self.rows.update(zip(new, range(first, first + len(new)), strict=True))
+        at = np.fromiter(map(self.rows.__getitem__, flat), dtype=np.int64, count=len(flat))
+        sizes = np.array([len(ws) for ws in split])
+        ends = np.cumsum(sizes)
+        some = np.flatnonzero(sizes)
+        out[some] = np.add.reduceat(self.logs[at], (ends - sizes)[some], axis=0)
+        return out
+
+
+_SCORES: dict[int, WordScores] = {}
 
 
-def _scores(shared) -> dict[str, np.ndarray]:
-    """This worker's cache of word scores for one broadcast model."""
+def _scores(shared, vocabulary: list[str], probs: np.ndarray) -> WordScores:
+    """This worker's word scores for one broadcast model."""
     key = id(shared.value)
     if key not in _SCORES:
         _SCORES.clear()
-        _SCORES[key] = {}
+        _SCORES[key] = WordScores(vocabulary, probs)
     return _SCORES[key]
 
 
