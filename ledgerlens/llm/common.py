@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Words are hashed once per worker; beyond this many the cache starts afresh.
-WORD_CACHE = 200_000
-#: Tokens handled at a time by the vectorised passes; bounds a task's memory.
-CHUNK_TOKENS = 400_000
+#: Bytes of text handled at a time by the vectorised passes (one text at least).
+CHUNK_BYTES = 2 << 20
+#: Bytes hashed at a time.
+PIECE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,21 +38,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class WordHashes(dict):
-    """word (bytes) -> signed 64-bit hash, computed on first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        value -= (value >> 63) << 64
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = value
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (finaliser with odd multipliers)."""
     x = x.astype(np.uint64, copy=True)
@@ -70,13 +54,55 @@ def text_bytes(text: str | None) -> bytes:
     return text.encode("utf-8") if text else b""
 
 
-def chunks(sizes: np.ndarray, limit: int = CHUNK_TOKENS) -> Iterator[tuple[int, int]]:
+def chunks(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes add up to about ``limit``."""
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if total and total + size > limit:
             yield start, i
             start, total = i, 0
-        total += int(size)
+        total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+#: Blank, tab, line feed, vertical tab, form feed, carriage return.
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: An odd number and its inverse modulo 2^64: word hashes are polynomials in it.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            table = np.full(n, base, dtype=np.uint64)
+            table[0] = 1
+            _POWERS[i] = np.cumprod(table)
+    return _POWERS
+
+
+def hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts): a 64-bit hash of each run of non-blank bytes and where
+    it begins. Prefix sums of a polynomial give all hashes at once."""
+    hashes, starts, at = [], [], 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE_BYTES)
+        if end < len(raw):  # cut between words
+            ends = [x for x in (raw.find(b" ", end), raw.find(b"\n", end)) if x >= 0]
+            end = min(ends, default=len(raw))
+        piece = np.frombuffer(raw, dtype=np.uint8, count=end - at, offset=at)
+        gap = np.ones(len(piece) + 2, dtype=bool)
+        gap[1:-1] = _GAP[piece]
+        begin, stop = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        up, down = _powers(max(PIECE_BYTES, len(piece)))
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=sums[1:])
+        hashes.append(mix((sums[stop] - sums[begin]) * down[begin]))
+        starts.append(begin + at)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts)

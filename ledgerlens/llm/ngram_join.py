@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WordHashes, chunks, materialize, mix, text_bytes
+from ledgerlens.llm.common import chunks, hash_words, materialize, mix, text_bytes
 from ledgerlens.llm.components import components
 from ledgerlens.llm.setjoin import block_keys, distinct_sorted, sums, threshold
 
@@ -50,30 +50,22 @@ NEEDED_BITS = 1 << 20
 PARITY_BITS = 512
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xA0761D6478BD642F)]
-_WORDS = WordHashes()
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return text_bytes(text).lower().split()
-
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, values, owner, sizes) for runs of texts: each text's
     distinct shingles as ascending hashes, owner counted from ``first``."""
     with np.errstate(over="ignore"):
-        for first, last in chunks(np.array([len(t or "") // 5 for t in texts])):
-            words = [words_of(t) for t in texts[first:last]]
-            counts = np.array([len(w) for w in words])
-            flat = _WORDS.array([w for ws in words for w in ws]).view(np.uint64)
-            owner = np.repeat(np.arange(last - first), counts)
+        for first, last in chunks([len(t or "") for t in texts]):
+            raws = [text_bytes(t).lower() for t in texts[first:last]]
+            flat, starts = hash_words(b"\n".join(raws))
+            ends = np.cumsum([len(r) + 1 for r in raws])
+            owner = np.searchsorted(ends, starts, side="right")
+            counts = np.bincount(owner, minlength=last - first)
             ends = np.cumsum(counts)
-            total = np.zeros(len(flat), dtype=np.uint64)
-            for k in range(width):
-                shifted = np.zeros(len(flat), dtype=np.uint64)
-                if k < len(flat):
-                    shifted[: len(flat) - k] = flat[k:]
-                total += mix(shifted + np.uint64(k)) * _FACTORS[k]
             begins = ends - counts
+            total = np.zeros(len(flat), dtype=np.uint64)
+            for k in range(min(width, len(flat))):
+                total[: len(flat) - k] += flat[k:] * _FACTORS[k]
             inside = np.arange(len(flat)) + width <= ends[owner]
             for d in np.flatnonzero((counts > 0) & (counts < width)):
                 # The whole sequence as one shingle, apart from all full ones.
@@ -240,9 +232,20 @@ def _between_members(judged: DataFrame, num: int, den: int) -> DataFrame:
     leaders = far.select(F.col("y").alias("f"), F.col("y2").alias("f2")).distinct()
     near = judged.join(leaders, (F.col("y") == F.col("f")) & (F.col("y2") == F.col("f2")), "left_semi")
     unit = num + den
-    probe = far.select("y", "y2", "x", "x2", F.explode(_prefix(F.ceil((F.col("cost") - F.col("slack")) / unit))).alias("e"))
-    index = near.select("y", "y2", F.col("x").alias("o"), F.col("x2").alias("o2"), F.explode(_prefix(F.ceil((F.col("cost") + 1) / unit))).alias("e"))
-    pairs = probe.join(index, ["y", "y2", "e"]).where("x <> o OR x2 <> o2").select("y", "y2", "x", "x2", "o", "o2").distinct()
+    # x is the farther of two; what they need in common grows with x's excess,
+    # so members are indexed by bands of it, with shorter prefixes for higher ones.
+    excess, room = F.col("cost") - F.col("slack"), F.lit(unit) * F.size("diff") - F.col("cost")
+    band = F.when(8 * excess < F.col("slack"), 0).when(2 * excess < F.col("slack"), 1).when(excess < 2 * F.col("slack"), 2).otherwise(3)
+    probe = far.select("y", "y2", "x", "x2", "cost", excess.alias("excess"), band.alias("band"), F.explode(_prefix(F.ceil(excess / unit))).alias("e"))
+    lows = [F.lit(1).cast("long"), F.ceil(F.col("slack") / 8), F.ceil(F.col("slack") / 2), 2 * F.col("slack")]
+    banded = near.select("*", room.alias("room"), F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.greatest(F.lit(1), low).cast("long").alias("low")) for i, low in enumerate(lows)])).alias("b"))
+    banded = banded.where("room >= b.low")
+    index = banded.select(
+        "y", "y2", F.col("x").alias("o"), F.col("x2").alias("o2"), F.col("cost").alias("o_cost"), "room", "b.band",
+        F.explode(_prefix(F.ceil((F.col("cost") + F.col("b.low")) / unit))).alias("e"),
+    )
+    pairs = probe.join(index, ["y", "y2", "band", "e"]).where("(x <> o OR x2 <> o2) AND o_cost <= cost AND room >= excess")
+    pairs = pairs.select("y", "y2", "x", "x2", "o", "o2").distinct()
     # What two differences can have in common at most, by their sizes and parities.
     brief = judged.select("y", "y2", "x", "x2", "cost", "slack", F.size("diff").alias("size"), "parity")
     other = brief.drop("slack").withColumnsRenamed({"x": "o", "x2": "o2", "cost": "o_cost", "size": "o_size", "parity": "o_parity"})
