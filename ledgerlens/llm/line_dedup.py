@@ -7,19 +7,19 @@ goes too. Lines of fewer than ``LEAST_WORDS`` distinct words are left alone.
 
 1. Words are counted over all lines, by hash bucket (``BUCKETS`` counters that
    stop at 255), and each line's words are ordered from rare to frequent.
-2. Prefix filter: matching lines share one of their first
-   n - ceil(n * num / den) + 1 words. Lists of words that occur at most
-   ``LIST_LIMIT`` times are joined with themselves; sizes (length filter),
-   positions (positional filter) and a 64-bit parity of the sets, which can't
-   differ in more bits than the sets do in words, leave few pairs.
-3. Longer lists aren't joined: a line with such a word in its prefix is also
-   indexed by position blocks (see ``setjoin``), whose lists are compared with
-   their leader, and only members that don't match an earlier leader with the
-   others. So frequent words and large groups of near copies cost no more than
-   their members, and no match is lost.
+   Lines with equal sets become one class, numbered in order of first lines.
+2. Prefix filter: the first n - ceil(n * num / den) + 2 words of matching lines
+   share at least two words. A word that occurs at most ``LIST_LIMIT`` times is
+   a key by itself; of the others each pair is a key.
+3. Classes of a key's list are joined if sizes (length filter), positions
+   (positional filter) and a 64-bit parity of the sets, which can't differ in
+   more bits than the sets do in words, allow a match. Lists of more than
+   ``LONG_LIST`` classes aren't joined with themselves: their members are
+   compared with the first class of the list, and only those that don't match
+   it with the other earlier ones. So a group of near copies costs no more than
+   its members, and no match is lost that decides about a line.
 4. What remains is verified on the full sets, built for candidates only.
 
-Lines with equal sets are one class; near matches are found between classes.
 Texts are rewritten where the removed lines' documents are joined by id and
 text digest; other documents aren't shuffled.
 
@@ -40,37 +40,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WordHashes, chunks, materialize, mix, text_bytes
+from ledgerlens.llm.common import chunks, hash_words, materialize, mix, text_bytes
 from ledgerlens.llm.ngram_join import _bit_table, in_table, suspect_column, text_digest
-from ledgerlens.llm.setjoin import block_keys, sums, threshold
+from ledgerlens.llm.setjoin import distinct_sorted, sums
 
 NUM, DEN = 80, 100
 LEAST_WORDS = 5
 BUCKETS = 1 << 21
-LIST_LIMIT = 32
+LIST_LIMIT = 48
+LONG_LIST = 64
 
-_WORDS = WordHashes()
 
-
-def _line_words(texts: list[str | None], wanted=None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _line_words(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, document, line, word hash, owner) for runs of texts: the
-    lines with enough words, and their words; ``wanted``(text number, lines)
-    names the line numbers to look at."""
-    for first, last in chunks(np.array([len(t or "") // 5 for t in texts])):
-        docs, numbers, words, counts = [], [], [], []
-        for d in range(first, last):
-            if not texts[d]:
-                continue
-            lines = text_bytes(texts[d]).lower().split(b"\n")
-            for i in range(len(lines)) if wanted is None else wanted(d, len(lines)):
-                found = lines[i].split()
-                if len(found) >= LEAST_WORDS:
-                    docs.append(d - first)
-                    numbers.append(i)
-                    words.extend(found)
-                    counts.append(len(found))
-        hashes = _WORDS.array(words).view(np.uint64)
-        yield first, last, np.array(docs, dtype=np.int64), np.array(numbers, dtype=np.int32), mix(hashes), np.repeat(np.arange(len(counts)), counts)
+    lines that have words, by text and number, and their words."""
+    for first, last in chunks([len(t or "") for t in texts]):
+        raws = [text_bytes(t).lower() for t in texts[first:last]]
+        raw = b"\n".join(raws)
+        with np.errstate(over="ignore"):
+            values, starts = hash_words(raw)
+        breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+        begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])[:-1]])
+        everywhere = np.searchsorted(breaks, starts)  # line numbers over all texts
+        used, owner = np.unique(everywhere, return_inverse=True)
+        first_word = np.searchsorted(everywhere, used)
+        doc = np.searchsorted(begins, starts[first_word], side="right") - 1
+        line = used - np.searchsorted(breaks, begins[doc])
+        yield first, last, doc, line.astype(np.int32), values, owner
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
@@ -84,8 +80,7 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for *_, values, _owner in _line_words(batch.column(0).to_pylist()):
-                slots, n = np.unique(_bucket(values).astype(np.int64), return_counts=True)
-                total[slots] += n
+                total += np.bincount(_bucket(values).astype(np.int64), minlength=BUCKETS)
         full = np.flatnonzero(total)
         for at in range(0, len(full), 50_000):
             part = full[at:at + 50_000]
@@ -115,22 +110,21 @@ def _set_ids(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(sums(values, starts)).view(np.int64), mix(sums(mix(values ^ np.uint64(0x13198A2E03707344)), starts)).view(np.int64)
 
 
-LINES = "doc_id long, td long, line int, k1 long, k2 long, n int, bits long, rare array<struct<key:long,pos:int>>, blocks array<long>"
+LINES = "doc_id long, td long, line int, k1 long, k2 long, n int, bits long, keys array<struct<key:long,pos:int>>"
 
 
 def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: int) -> DataFrame:
     """One row per line with enough distinct words: where it is, its set's id,
-    size and parity, its rare prefix words and, if need be, its block keys."""
+    size and parity, and its keys."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = threshold(num, den)
         rarity = np.frombuffer(counts.value, dtype=np.uint8)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = batch.column(0).cast(pa.int64())
             for first, last, doc, line, values, owner in _line_words(texts):
                 with np.errstate(over="ignore"):
-                    part = _index_lines(values, owner, len(line), rarity, limit)
+                    part = _index_lines(values, owner, len(line), rarity, num, den)
                 if part is None:
                     continue
                 keep, columns = part
@@ -138,14 +132,14 @@ def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: i
                 where = doc[keep]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(first + where)), pa.array(td[where]), pa.array(line[keep]), *columns],
-                    names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "rare", "blocks"],
+                    names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "keys"],
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(index, LINES)
 
 
-def _index_lines(values, owner, n_lines, rarity, limit):
+def _index_lines(values, owner, n_lines, rarity, num, den):
     if not len(values):
         return None
     rank = rarity[_bucket(values).astype(np.int64)]
@@ -167,20 +161,28 @@ def _index_lines(values, owner, n_lines, rarity, limit):
     k1, k2 = _set_ids(values, starts)
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (values & np.uint64(63)), starts).view(np.int64)
     pos = np.arange(len(values)) - starts[owner]
-    prefix = sizes - -(-sizes * limit.num // limit.den) + 1
+    prefix = sizes - -(-sizes * num // den) + 2
     first = pos < prefix[owner]
     rare = first & (rank > 1) & (rank <= LIST_LIMIT)
-    hot = np.zeros(len(sizes), dtype=bool)
-    hot[owner[first & (rank > LIST_LIMIT)]] = True
-    entry = pa.StructArray.from_arrays([pa.array(values[rare].view(np.int64)), pa.array(pos[rare].astype(np.int32))], names=["key", "pos"])
-    rare_lists = pa.ListArray.from_arrays(_offsets(owner[rare], len(sizes)), entry)
-    some = hot[owner]
-    v, o = values[some], owner[some]
-    by_value = np.lexsort((v, o))
-    keys, who = block_keys(v[by_value], o[by_value], np.where(hot, sizes, 0), limit)
-    by_owner = np.argsort(who, kind="stable")
-    blocks = pa.ListArray.from_arrays(_offsets(who, len(sizes)), pa.array(keys[by_owner].view(np.int64), pa.int64()))
-    return keep, [pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), pa.array(bits), rare_lists, blocks]
+    hot = first & (rank > LIST_LIMIT)
+    keys, where, who = [values[rare]], [pos[rare]], [owner[rare]]
+    hv, hp, ho = values[hot], pos[hot], owner[hot]
+    # Pairs of frequent words: each with the one that stands 1, 2, ... places on.
+    step = 1
+    while step < len(hv):
+        same = np.flatnonzero(ho[step:] == ho[:-step])
+        if not len(same):
+            break
+        keys.append(mix(hv[same] * np.uint64(0xC2B2AE3D27D4EB4F) + hv[same + step]))
+        where.append(hp[same + step])
+        who.append(ho[same])
+        step += 1
+    keys, where, who = np.concatenate(keys), np.concatenate(where), np.concatenate(who)
+    order = np.argsort(who, kind="stable")
+    # One common word may stand before the place of a key.
+    entry = pa.StructArray.from_arrays([pa.array(keys[order].view(np.int64)), pa.array((where[order] - 1).astype(np.int32))], names=["key", "pos"])
+    lists = pa.ListArray.from_arrays(_offsets(who, len(sizes)), entry)
+    return keep, [pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), pa.array(bits), lists]
 
 
 def _offsets(owner: np.ndarray, n: int) -> pa.Array:
@@ -208,59 +210,45 @@ def word_sets(docs: DataFrame, text: str, needed) -> DataFrame:
         bits = np.frombuffer(needed.value, dtype=np.uint8)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-
-            def wanted(d: int, n: int, texts=texts) -> np.ndarray:
-                td = np.uint64(xxhash.xxh3_64_intdigest(text_bytes(texts[d])))
-                return np.flatnonzero(in_table(bits, _place(np.full(n, td), np.arange(n))))
-
-            for *_, line, values, owner in _line_words(texts, wanted):
-                if not len(values):
+            for first, last, doc, line, values, owner in _line_words(texts):
+                td = np.array([xxhash.xxh3_64_intdigest(text_bytes(t)) for t in texts[first:last]], dtype=np.uint64)
+                hit = in_table(bits, _place(td[doc], line)) if len(doc) else np.empty(0, bool)
+                if not hit.any():
                     continue
-                order = np.lexsort((values, owner))
-                values, owner = values[order], owner[order]
-                fresh = np.ones(len(values), dtype=bool)
-                fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-                values, owner = values[fresh], owner[fresh]
-                sizes = np.bincount(owner, minlength=len(line))
+                number, mine = np.cumsum(hit) - 1, hit[owner]
+                values, owner = distinct_sorted(values[mine], number[owner[mine]])
+                sizes = np.bincount(owner, minlength=int(hit.sum()))
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 with np.errstate(over="ignore"):
                     k1, k2 = _set_ids(values, starts)
-                words = pa.ListArray.from_arrays(_offsets(owner, len(line)), pa.array(values.view(np.int64)))
+                words = pa.ListArray.from_arrays(_offsets(owner, len(sizes)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), words], names=["k1", "k2", "n", "words"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(build, "k1 long, k2 long, n int, words array<long>")
 
 
-def _rare_pairs(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes that share a rare prefix word and pass the filters."""
-    rows = lines.select("k1", "n", "bits", F.explode("rare").alias("r")).select(F.col("r.key").alias("key"), "k1", "n", "bits", F.col("r.pos").alias("pos"))
-    a, b = rows.alias("a"), rows.alias("b")
-    n, m = F.col("a.n"), F.col("b.n")
+def _may_match(a: str, b: str, num: int, den: int) -> Column:
+    """Length, positional and parity filters between two keyed rows."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     length = F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)
-    # Words that can be common if this is the first common one, and those needed.
-    rest = F.least(n - F.col("a.pos"), m - F.col("b.pos"))
+    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
     position = F.lit(num + den) * rest >= F.lit(num) * (n + m)
-    parity = F.lit(num + den) * F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= F.lit(den - num) * (n + m)
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.k1") < F.col("b.k1")) & length & position & parity)
-    return joined.select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")).distinct()
+    parity = F.lit(num + den) * F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= F.lit(den - num) * (n + m)
+    return length & position & parity
 
 
-def _matches(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (x, y, ...) of set ids k1 with ``same``: whether the sets match."""
-    left = sets.select(F.col("k1").alias("x"), F.col("n").alias("x_n"), F.col("words").alias("x_words"))
-    right = sets.select(F.col("k1").alias("y"), F.col("n").alias("y_n"), F.col("words").alias("y_words"))
-    both = F.size(F.array_intersect("x_words", "y_words"))
-    near = F.lit(num) * F.greatest("x_n", "y_n") <= F.lit(den) * F.least("x_n", "y_n")
-    same = F.lit(den) * both >= F.lit(num) * (F.col("x_n") + F.col("y_n") - both)
-    return pairs.join(left, "x").join(right, "y").select(*pairs.columns, F.when(near, same).otherwise(False).alias("same"))
-
-
-def _in_order(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs with ``y_first``: whether class y begins before class x."""
-    place = F.struct("doc_id", "td", "line")
-    left = classes.select(F.col("k1").alias("x"), place.alias("x_at"))
-    right = classes.select(F.col("k1").alias("y"), place.alias("y_at"))
-    return pairs.join(left, "x").join(right, "y").select(*pairs.columns, (F.col("y_at") < F.col("x_at")).alias("y_first"))
+def _matching(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of classes (c later, e earlier) that match, by their full sets."""
+    spark = docs.sparkSession
+    names = pairs.select("c").union(pairs.select("e")).distinct()
+    places = classes.select("c", "k1", "k2", "td", "line").join(names, "c", "left_semi")
+    needed = spark.sparkContext.broadcast(_bit_table(places.select(_place_column("td", "line").alias("d1"))))
+    raw = word_sets(docs, text, needed).groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    sets = materialize(raw.join(places.select("c", "k1", "k2"), ["k1", "k2"]).select("c", "words"), "line-sets")
+    left, right = sets.withColumnRenamed("words", "c_words"), sets.withColumnsRenamed({"c": "e", "words": "e_words"})
+    both = F.size(F.array_intersect("c_words", "e_words"))
+    same = F.lit(den) * both >= F.lit(num) * (F.size("c_words") + F.size("e_words") - both)
+    return pairs.join(left, "c").join(right, "e").where(same).select("c", "e")
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -269,34 +257,38 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts = spark.sparkContext.broadcast(word_counts(docs, text).tobytes())
     lines = materialize(line_index(docs, doc_id, text, counts, num, den), "lines")
     at = F.struct("doc_id", "td", "line")
-    classes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.select("k1", "k2", "at.*", "copies"), "line-classes")
-
-    pairs = _rare_pairs(lines, num, den)
-    keyed = lines.where(F.size("blocks") > 0).select(F.explode("blocks").alias("key"), F.col("k1").alias("x"), "doc_id")
-    lead = keyed.groupBy("key").agg(F.min_by("x", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("y"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    members = materialize(keyed.select("key", "x").join(lead.where("lo < hi").select("key", "y"), "key").distinct(), "line-members")
-    star = members.where("x <> y").select("x", "y").distinct()
-
-    wanted = materialize(pairs.withColumn("star", F.lit(False)).unionByName(star.withColumn("star", F.lit(True))), "line-pairs")
-    names = wanted.select("x").union(wanted.select("y")).union(members.select("x")).distinct()
-    places = classes.join(names, classes["k1"] == names["x"], "left_semi").select(_place_column("td", "line").alias("d1"))
-    needed = spark.sparkContext.broadcast(_bit_table(places))
-    sets = materialize(word_sets(docs, text, needed).groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("words").alias("words")), "line-sets")
-
-    judged = materialize(_in_order(_matches(wanted, sets, num, den), classes), "line-judged")
-    settled = judged.where("star AND same AND y_first").select("x", "y").distinct()
-    far = members.where("x <> y").join(settled, ["x", "y"], "left_anti").select("key", "x")
-    others = members.select("key", F.col("x").alias("o"), "y").where("o <> y").select("key", "o")
-    rest = far.join(others, "key").where("x <> o").select(F.least("x", "o").alias("x"), F.greatest("x", "o").alias("y")).distinct()
-    more = _in_order(_matches(rest, sets, num, den).where("same"), classes)
-    found = judged.where("same").select("x", "y", "y_first").unionByName(more.select("x", "y", "y_first"))
-    later = found.select(F.when(F.col("y_first"), F.col("x")).otherwise(F.col("y")).alias("l1")).distinct()
+    classes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"), *[F.first(x).alias(x) for x in ("n", "bits", "keys")])
+    # Numbers in order of the first lines: the smaller, the earlier.
+    numbered = classes.select("k1", "k2", "at.*", "copies", "n", "bits", "keys").orderBy("doc_id", "td", "line")
+    classes = materialize(numbered.withColumn("c", F.monotonically_increasing_id()), "line-classes")
+
+    rows = classes.select("c", "n", "bits", F.explode("keys").alias("k")).select(F.col("k.key").alias("key"), "c", F.col("k.pos").alias("pos"), "n", "bits")
+    rows = rows.repartition("key")
+    heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    listed = rows.join(heads, "key")
+    short = listed.where(F.col("size") <= LONG_LIST).drop("size")
+    long_ = materialize(listed.where(F.col("size") > LONG_LIST).drop("size"), "line-long-lists")
+    a, b = short.alias("a"), short.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") > F.col("b.c")) & _may_match("a", "b", num, den)).select(F.col("a.c").alias("c"), F.col("b.c").alias("e"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
+    first = long_.groupBy("key").agg(F.min("c").alias("c"), F.min_by("bits", "c").alias("bits"), F.min_by(packed, "c").alias("at"))
+    first = first.select("key", "c", "bits", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    a, b = long_.alias("a"), first.alias("b")
+    star = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") > F.col("b.c")) & _may_match("a", "b", num, den)).select(F.col("a.c").alias("c"), F.col("b.c").alias("e"))
+    wanted = materialize(pairs.unionByName(star).distinct(), "line-pairs")
+    found = materialize(_matching(wanted, docs, text, classes, num, den).select("c").distinct(), "line-later")
+    # Members of long lists that are not decided yet, against all earlier ones.
+    open_ = long_.join(found, "c", "left_anti")
+    a, b = open_.alias("a"), long_.alias("b")
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") > F.col("b.c")) & _may_match("a", "b", num, den)).select(F.col("a.c").alias("c"), F.col("b.c").alias("e"))
+    rest = materialize(rest.distinct().join(wanted, ["c", "e"], "left_anti"), "line-rest")
+    if not rest.isEmpty():
+        found = found.union(_matching(rest, docs, text, classes, num, den).select("c")).distinct()
 
     # A class goes as a whole if it matches an earlier one, else all but its first line.
-    marked = classes.join(later, classes["k1"] == later["l1"], "left")
-    marked = marked.where("l1 IS NOT NULL OR copies > 1").select(
-        F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.when(F.col("l1").isNull(), F.struct("doc_id", "td", "line")).alias("stays")
+    marked = classes.select("c", "k1", "k2", "doc_id", "td", "line", "copies").join(found.withColumnRenamed("c", "later"), F.col("c") == F.col("later"), "left")
+    marked = marked.where("later IS NOT NULL OR copies > 1").select(
+        F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.when(F.col("later").isNull(), F.struct("doc_id", "td", "line")).alias("stays")
     )
     hit = lines.select("doc_id", "td", "line", "k1", "k2").join(marked, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     return hit.where(~F.struct("doc_id", "td", "line").eqNullSafe(F.col("stays"))).select("doc_id", "td", "line").distinct()
