@@ -178,22 +178,23 @@ def _bit_table(digests: DataFrame) -> bytes:
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, x2, y2, cost, slack, diff, parity) of each member x and leader y:
-    diff has what x has more, then what it lacks; x and y are linked if cost <=
-    slack; parity has a bit for each residue, 1 if diff has an odd number of it."""
+    """(x, y, x2, y2, cost, slack, diff, parity, bits) of each member x and leader
+    y: diff has what x has more, then what it lacks; x and y are linked if cost
+    <= slack; parity has a bit for each residue, 1 if diff has an odd number of
+    it, and bits the same for fewer residues."""
     left = sets.select("d1", "d2", "n", "shingles").withColumnsRenamed({"d1": "x", "d2": "x2", "n": "x_n", "shingles": "x_set"})
     right = sets.select("d1", "d2", "n", "shingles").withColumnsRenamed({"d1": "y", "d2": "y2", "n": "y_n", "shingles": "y_set"})
     joined = pairs.join(left, "x").join(right, "y")
     found = joined.select("x", "y", "x2", "y2", "y_n", F.array_except("x_set", "y_set").alias("more"), F.array_except("y_set", "x_set").alias("less"))
     cost = F.lit(den) * F.size("less") + F.lit(num) * F.size("more")
     costed = found.select("x", "y", "x2", "y2", cost.cast("long").alias("cost"), (F.lit(den - num) * F.col("y_n")).cast("long").alias("slack"), F.concat("more", "less").alias("diff"))
-    return costed.withColumn("parity", _parity(F.col("diff")))
+    return costed.withColumn("p", _parity(F.col("diff"))).select(*costed.columns, "p.parity", "p.bits")
 
 
 def _parity(diff: Column) -> Column:
-    @F.arrow_udf("binary")
+    @F.arrow_udf("parity binary, bits long")
     def parity(lists: pa.Array) -> pa.Array:
-        out = []
+        out, short = [], [np.empty(0, np.int64)]
         for at in range(0, len(lists), 1000):
             part = lists.slice(at, 1000)
             sizes = np.diff(part.offsets.to_numpy())
@@ -202,7 +203,8 @@ def _parity(diff: Column) -> Column:
             odd = np.bincount(row * PARITY_BITS + (values % np.uint64(PARITY_BITS)).astype(np.int64), minlength=len(part) * PARITY_BITS) & 1
             packed = np.packbits(odd.astype(np.uint8).reshape(len(part), PARITY_BITS), axis=1)
             out += [r.tobytes() for r in packed]
-        return pa.array(out, pa.binary())
+            short.append(np.bitwise_xor.reduce(packed.view(np.int64), axis=1))
+        return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(np.concatenate(short))], names=["parity", "bits"])
 
     return parity(diff)
 
@@ -236,17 +238,20 @@ def _between_members(judged: DataFrame, num: int, den: int) -> DataFrame:
     # so members are indexed by bands of it, with shorter prefixes for higher ones.
     excess, room = F.col("cost") - F.col("slack"), F.lit(unit) * F.size("diff") - F.col("cost")
     band = F.when(8 * excess < F.col("slack"), 0).when(2 * excess < F.col("slack"), 1).when(excess < 2 * F.col("slack"), 2).otherwise(3)
-    probe = far.select("y", "y2", "x", "x2", "cost", excess.alias("excess"), band.alias("band"), F.explode(_prefix(F.ceil(excess / unit))).alias("e"))
+    probe = far.select("y", "y2", "x", "x2", "cost", "slack", excess.alias("excess"), F.size("diff").alias("size"), "bits", band.alias("band"), F.explode(_prefix(F.ceil(excess / unit))).alias("e"))
     lows = [F.lit(1).cast("long"), F.ceil(F.col("slack") / 8), F.ceil(F.col("slack") / 2), 2 * F.col("slack")]
     banded = near.select("*", room.alias("room"), F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.greatest(F.lit(1), low).cast("long").alias("low")) for i, low in enumerate(lows)])).alias("b"))
     banded = banded.where("room >= b.low")
     index = banded.select(
-        "y", "y2", F.col("x").alias("o"), F.col("x2").alias("o2"), F.col("cost").alias("o_cost"), "room", "b.band",
+        "y", "y2", F.col("x").alias("o"), F.col("x2").alias("o2"), F.col("cost").alias("o_cost"), "room", F.size("diff").alias("o_size"), F.col("bits").alias("o_bits"), "b.band",
         F.explode(_prefix(F.ceil((F.col("cost") + F.col("b.low")) / unit))).alias("e"),
     )
-    pairs = probe.join(index, ["y", "y2", "band", "e"]).where("(x <> o OR x2 <> o2) AND o_cost <= cost AND room >= excess")
+    # Differences that differ in many bits have little in common.
+    most = F.col("size") + F.col("o_size") - F.bit_count(F.col("bits").bitwiseXOR(F.col("o_bits")))
+    enough = 2 * (F.col("cost") + F.col("o_cost") - F.col("slack")) <= F.lit(unit) * most
+    pairs = probe.join(index, ["y", "y2", "band", "e"]).where(F.expr("(x <> o OR x2 <> o2) AND o_cost <= cost AND room >= excess") & enough)
     pairs = pairs.select("y", "y2", "x", "x2", "o", "o2").distinct()
-    # What two differences can have in common at most, by their sizes and parities.
+    # The same with more bits.
     brief = judged.select("y", "y2", "x", "x2", "cost", "slack", F.size("diff").alias("size"), "parity")
     other = brief.drop("slack").withColumnsRenamed({"x": "o", "x2": "o2", "cost": "o_cost", "size": "o_size", "parity": "o_parity"})
     both = pairs.join(brief, ["y", "y2", "x", "x2"]).join(other, ["y", "y2", "o", "o2"])
