@@ -8,9 +8,10 @@ goes too. Lines of fewer than ``LEAST_WORDS`` distinct words are left alone.
 1. Words are counted over all lines, by hash bucket (``BUCKETS`` counters that
    stop at 255), and each line's words are ordered from rare to frequent.
    Lines with equal sets become one class, numbered in order of first lines.
-2. Prefix filter: the first n - ceil(n * num / den) + 2 words of matching lines
-   share at least two words. A word that occurs at most ``LIST_LIMIT`` times is
-   a key by itself; of the others each pair is a key.
+2. Prefix filter: matching lines share a word of their first
+   n - ceil(n * num / den) + 1, and another of one word more. A word that
+   occurs at most ``LIST_LIMIT`` times is a key by itself; a more frequent one is
+   a key together with each that follows it in the prefix.
 3. Classes of a key's list are joined if sizes (length filter), positions
    (positional filter) and a 64-bit parity of the sets, which can't differ in
    more bits than the sets do in words, allow a match. Lists of more than
@@ -161,10 +162,9 @@ def _index_lines(values, owner, n_lines, rarity, num, den):
     k1, k2 = _set_ids(values, starts)
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (values & np.uint64(63)), starts).view(np.int64)
     pos = np.arange(len(values)) - starts[owner]
-    prefix = sizes - -(-sizes * num // den) + 2
-    first = pos < prefix[owner]
-    rare = first & (rank > 1) & (rank <= LIST_LIMIT)
-    hot = first & (rank > LIST_LIMIT)
+    prefix = sizes - -(-sizes * num // den) + 1
+    rare = (pos < prefix[owner]) & (rank > 1) & (rank <= LIST_LIMIT)
+    hot = (pos <= prefix[owner]) & (rank > LIST_LIMIT)
     keys, where, who = [values[rare]], [pos[rare]], [owner[rare]]
     hv, hp, ho = values[hot], pos[hot], owner[hot]
     # Pairs of frequent words: each with the one that stands 1, 2, ... places on.
@@ -174,13 +174,12 @@ def _index_lines(values, owner, n_lines, rarity, num, den):
         if not len(same):
             break
         keys.append(mix(hv[same] * np.uint64(0xC2B2AE3D27D4EB4F) + hv[same + step]))
-        where.append(hp[same + step])
+        where.append(hp[same + step] - 1)  # one common word stands before it
         who.append(ho[same])
         step += 1
     keys, where, who = np.concatenate(keys), np.concatenate(where), np.concatenate(who)
     order = np.argsort(who, kind="stable")
-    # One common word may stand before the place of a key.
-    entry = pa.StructArray.from_arrays([pa.array(keys[order].view(np.int64)), pa.array((where[order] - 1).astype(np.int32))], names=["key", "pos"])
+    entry = pa.StructArray.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(where[order].astype(np.int32))], names=["key", "pos"])
     lists = pa.ListArray.from_arrays(_offsets(who, len(sizes)), entry)
     return keep, [pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), pa.array(bits), lists]
 
@@ -257,31 +256,37 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts = spark.sparkContext.broadcast(word_counts(docs, text).tobytes())
     lines = materialize(line_index(docs, doc_id, text, counts, num, den), "lines")
     at = F.struct("doc_id", "td", "line")
-    classes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"), *[F.first(x).alias(x) for x in ("n", "bits", "keys")])
-    # Numbers in order of the first lines: the smaller, the earlier.
-    numbered = classes.select("k1", "k2", "at.*", "copies", "n", "bits", "keys").orderBy("doc_id", "td", "line")
-    classes = materialize(numbered.withColumn("c", F.monotonically_increasing_id()), "line-classes")
+    # Classes of equal sets, numbered in order of their first lines.
+    classes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies")).select("k1", "k2", "at.*", "copies")
+    classes = materialize(classes.orderBy("doc_id", "td", "line").withColumn("c", F.monotonically_increasing_id()), "line-classes")
+    number = classes.select("k1", "c")
 
-    rows = classes.select("c", "n", "bits", F.explode("keys").alias("k")).select(F.col("k.key").alias("key"), "c", F.col("k.pos").alias("pos"), "n", "bits")
-    rows = rows.repartition("key")
+    rows = lines.select("k1", "n", "bits", F.explode("keys").alias("k")).select(F.col("k.key").alias("key"), "k1", F.col("k.pos").alias("pos"), "n", "bits")
+    rows = rows.repartition("key").distinct()
     heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     listed = rows.join(heads, "key")
     short = listed.where(F.col("size") <= LONG_LIST).drop("size")
-    long_ = materialize(listed.where(F.col("size") > LONG_LIST).drop("size"), "line-long-lists")
     a, b = short.alias("a"), short.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") > F.col("b.c")) & _may_match("a", "b", num, den)).select(F.col("a.c").alias("c"), F.col("b.c").alias("e"))
+    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.k1") < F.col("b.k1")) & _may_match("a", "b", num, den))
+    near = near.select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")).distinct()
+    both = near.join(number.withColumnRenamed("c", "i"), F.col("x") == F.col("k1")).drop("k1").join(number.withColumnRenamed("c", "j"), F.col("y") == F.col("k1"))
+    pairs = both.select(F.greatest("i", "j").alias("c"), F.least("i", "j").alias("e"))
+
+    long_ = materialize(listed.where(F.col("size") > LONG_LIST).drop("size").join(number, "k1").drop("k1"), "line-long-lists")
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
     first = long_.groupBy("key").agg(F.min("c").alias("c"), F.min_by("bits", "c").alias("bits"), F.min_by(packed, "c").alias("at"))
     first = first.select("key", "c", "bits", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
-    a, b = long_.alias("a"), first.alias("b")
-    star = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") > F.col("b.c")) & _may_match("a", "b", num, den)).select(F.col("a.c").alias("c"), F.col("b.c").alias("e"))
-    wanted = materialize(pairs.unionByName(star).distinct(), "line-pairs")
+
+    def earlier(left: DataFrame, right: DataFrame) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") > F.col("b.c")) & _may_match("a", "b", num, den))
+        return joined.select(F.col("a.c").alias("c"), F.col("b.c").alias("e"))
+
+    wanted = materialize(pairs.unionByName(earlier(long_, first)).distinct(), "line-pairs")
     found = materialize(_matching(wanted, docs, text, classes, num, den).select("c").distinct(), "line-later")
     # Members of long lists that are not decided yet, against all earlier ones.
-    open_ = long_.join(found, "c", "left_anti")
-    a, b = open_.alias("a"), long_.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") > F.col("b.c")) & _may_match("a", "b", num, den)).select(F.col("a.c").alias("c"), F.col("b.c").alias("e"))
-    rest = materialize(rest.distinct().join(wanted, ["c", "e"], "left_anti"), "line-rest")
+    rest = earlier(long_.join(found, "c", "left_anti"), long_).distinct()
+    rest = materialize(rest.join(wanted, ["c", "e"], "left_anti"), "line-rest")
     if not rest.isEmpty():
         found = found.union(_matching(rest, docs, text, classes, num, den).select("c")).distinct()
 
