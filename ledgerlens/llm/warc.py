@@ -72,14 +72,17 @@ class MerkleTree:
     def __init__(self, index: DataFrame, tag: str, range_bytes: int = RANGE_BYTES) -> None:
         self.records = materialize(index.withColumn("range", F.floor(F.col("offset") / range_bytes).cast("long")), f"warc-{tag}")
         self.ranges = materialize(self.records.groupBy("file", "range").agg(_hash_children(["offset", "page_id"])), f"warc-{tag}-ranges")
-        self.files = self.ranges.groupBy("file").agg(_hash_children(["range"]))
+        self.files = materialize(self.ranges.groupBy("file").agg(_hash_children(["range"])), f"warc-{tag}-files")
+        self.tag = tag
 
     def levels(self, up: int) -> list[DataFrame]:
-        """Files (level 0) and groups of files, keyed by ``node``; the last has one node."""
+        """Files (level 0) and groups of files, keyed by ``node``; the last has one
+        node. Every level is a table, so plans stay as small as one level."""
         out = [self.files.withColumnRenamed("file", "node")]
         for level in range(1, up + 1):
             parent = F.lit(0).cast("long") if level == up else F.shiftright("node", FANOUT_BITS)
-            out.append(out[-1].groupBy(parent.alias("node")).agg(_hash_children(["node"])))
+            grouped = out[-1].groupBy(parent.alias("node")).agg(_hash_children(["node"]))
+            out.append(materialize(grouped, f"warc-{self.tag}-level{level}"))
         return out
 
 
@@ -108,10 +111,11 @@ def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES) ->
     span = max(abs(x) for x in (bounds[0] or 0, bounds[1] or 0)) + 1
     up = max(1, -(-span.bit_length() // FANOUT_BITS))
     above, below = a.levels(up), b.levels(up)
-    wrong = _differ(above[up], below[up], ["node"])
+    wrong = materialize(_differ(above[up], below[up], ["node"]), "warc-wrong")
     for level in range(up - 1, -1, -1):
         parent = F.lit(0).cast("long") if level + 1 == up else F.shiftright("node", FANOUT_BITS)
         wrong = _differ(_under(above[level], wrong, parent, "node"), _under(below[level], wrong, parent, "node"), ["node"])
+        wrong = materialize(wrong, "warc-wrong")
     wrong = _differ(_under(a.ranges, wrong, F.col("file"), "node"), _under(b.ranges, wrong, F.col("file"), "node"), ["file", "range"])
     wrong = materialize(wrong, "warc-wrong")
     return _records(a.records, b.records, wrong)
