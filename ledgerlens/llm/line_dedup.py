@@ -16,7 +16,7 @@ goes too. Lines of fewer than ``LEAST_WORDS`` distinct words are left alone.
    (positional filter) and a 64-bit parity of the sets, which can't differ in
    more bits than the sets do in words, allow a match. Lists of more than
    ``LONG_LIST`` classes aren't joined with themselves: their members are
-   compared with the first class of the list, and only those that don't match
+   compared with the first class of the list, and only those that do not match
    it with the other earlier ones. So a group of near copies costs no more than
    its members, and no match is lost that decides about a line.
 4. What remains is verified on the full sets, built for candidates only.
@@ -48,8 +48,8 @@ from ledgerlens.llm.setjoin import distinct_sorted, sums
 NUM, DEN = 80, 100
 LEAST_WORDS = 5
 BUCKETS = 1 << 21
-LIST_LIMIT = 48
-LONG_LIST = 64
+LIST_LIMIT = 250
+LONG_LIST = 256
 
 
 def _line_words(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
