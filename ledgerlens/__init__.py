@@ -6,7 +6,6 @@ sources/    parquet readers, the logical sales tables, table sinks
 functions/  Column expressions: exact money, dates and periods, text ids
 operators/  reusable DataFrame transformations (shares, growth, pivots, top-1, checks)
 plans/      the named marts, growth tables, KPIs and ad-hoc reports
-streaming/  intentionally empty: the modelled workload is batch only
 """
 
 from ledgerlens.plans.context import Marts

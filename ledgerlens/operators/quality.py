@@ -41,6 +41,6 @@ def rule_report(df: DataFrame, table: str, int_cols: list[str] = (),
 
 def assert_clean(report: DataFrame, count_col: str) -> None:
     """Raise if any rule of a report has violations (runs one small job)."""
-    bad = report.where(F.col(count_col) > 0).limit(20).collect()
+    bad = report.where(F.col(count_col) > 0).collect()
     if bad:
         raise ValueError(f"constraint violations: {[r.asDict() for r in bad]}")

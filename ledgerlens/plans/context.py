@@ -32,19 +32,20 @@ class Marts:
         self.new_customer_year = new_customer_year
         self._memo: dict[str, DataFrame] = {}
         self.sf_dir: str | None = None
+        self.window = None
         self._full: Marts | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str, **kw) -> "Marts":
-        window = kw.pop("window", "default")
-        tables = (load_sales_tables(spark, sf_dir) if window == "default"
-                  else load_sales_tables(spark, sf_dir, window=window))
-        marts = cls(tables, **kw)
-        marts.sf_dir = sf_dir
+        window = kw.pop("window", None)
+        marts = cls(load_sales_tables(spark, sf_dir, window=window), **kw)
+        marts.sf_dir, marts.window = sf_dir, window
         return marts
 
     def full_span(self) -> "Marts":
-        """The same marts over every order in the data (no analysis window)."""
+        """The same marts over every order in the data (no window)."""
+        if self.sf_dir is not None and self.window is None:
+            return self
         if self._full is None:
             if self.sf_dir is None:
                 raise ValueError("full_span needs a Marts created with Marts.load")

@@ -37,11 +37,11 @@ def country_slices(m: Marts, periods, tag: str) -> DataFrame:
 
 @mart
 def country_transactions_h2(m: Marts) -> DataFrame:
-    """V5: 1996 (July onwards in the data) and July-December 1997."""
+    """V5: July-December 1996 and 1997."""
     return country_slices(m, dates.H2_SLICES, "H2-")
 
 
 @mart
 def country_transactions_h1(m: Marts) -> DataFrame:
-    """V6: January-June 1997 and 1998 (to early May in the data)."""
+    """V6: January-June 1997 and 1998."""
     return country_slices(m, dates.H1_SLICES, "H1-")

@@ -19,7 +19,8 @@ from ledgerlens.plans.product import allocation, category_performance, product_d
 from ledgerlens.plans.revenue import monthly_transactions, order_lines, revenue_transactions
 from ledgerlens.plans.shipping import shipping_report
 
-YEARS = [1996, 1997, 1998]
+# The years of the given orders, one pivot column each.
+YEARS = list(range(1995, 2002))
 
 
 def orders_summary(m: Marts) -> DataFrame:
@@ -160,15 +161,15 @@ def top_on_time_shipper_by_year(m: Marts) -> DataFrame:
                           ["Shipping_Company", "On_Time_Orders"])
 
 
-def sales_pivot_country(m: Marts) -> DataFrame:
+def sales_pivot_country(m: Marts, years=YEARS) -> DataFrame:
     """Net sales pivot, country x year."""
     ct = country_transactions(m)
-    return ct.groupBy("Country").pivot("Year", YEARS).agg(F.sum("Annual_Sales")) \
-        .withColumnsRenamed({str(y): f"Sales_{y}" for y in YEARS})
+    return ct.groupBy("Country").pivot("Year", years).agg(F.sum("Annual_Sales")) \
+        .withColumnsRenamed({str(y): f"Sales_{y}" for y in years})
 
 
-def sales_pivot_category(m: Marts) -> DataFrame:
+def sales_pivot_category(m: Marts, years=YEARS) -> DataFrame:
     """Net sales pivot, category x year."""
     cp = category_performance(m)
-    return cp.groupBy("Category").pivot("per_Year", YEARS).agg(F.sum("Category_N_Sales")) \
-        .withColumnsRenamed({str(y): f"Sales_{y}" for y in YEARS})
+    return cp.groupBy("Category").pivot("per_Year", years).agg(F.sum("Category_N_Sales")) \
+        .withColumnsRenamed({str(y): f"Sales_{y}" for y in years})

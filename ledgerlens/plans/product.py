@@ -254,7 +254,7 @@ def allocation_slices(m: Marts, periods) -> DataFrame:
 
 @mart
 def allocation_h2(m: Marts) -> DataFrame:
-    """1996 and July-December 1997."""
+    """July-December 1996 and 1997."""
     return allocation_slices(m, dates.H2_SLICES)
 
 
@@ -320,7 +320,7 @@ def discount_rates(m: Marts, period) -> DataFrame:
 
 @mart
 def discount_96(m: Marts) -> DataFrame:
-    return discount_rates(m, dates.year_period(1996))
+    return discount_rates(m, dates.second_half(1996))
 
 
 @mart
@@ -335,7 +335,7 @@ def discount_97_h2(m: Marts) -> DataFrame:
 
 @mart
 def discount_98(m: Marts) -> DataFrame:
-    return discount_rates(m, dates.year_period(1998))
+    return discount_rates(m, dates.first_half(1998))
 
 
 HALF_REPORT_COLUMNS = [

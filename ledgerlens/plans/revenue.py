@@ -36,9 +36,7 @@ def order_header(m: Marts) -> DataFrame:
 def revenue_lines(m: Marts) -> DataFrame:
     """V1 plus internal columns (``_Freight``, ``_CompanyName``) that later
     marts would otherwise fetch by joining Orders/Customers again."""
-    od, how = m.t.lines_with_orders()
-    h = order_header(m)
-    rt = od.join(h, "OrderID", how)
+    rt = m.t.order_details.join(order_header(m), "OrderID", "left")
     gross = F.col("ExtendedPrice")
     net = money.net_from_gross(gross, F.col("Discount"))
     return m.shared(rt.select(

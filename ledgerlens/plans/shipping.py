@@ -63,7 +63,7 @@ def shipper_half_report(m: Marts, slices, tag: str) -> DataFrame:
 
 @mart
 def shipping_report_h2(m: Marts) -> DataFrame:
-    """1996 and July-December 1997."""
+    """July-December 1996 and 1997."""
     return shipper_half_report(m, dates.H2_SLICES, "H2")
 
 

@@ -17,10 +17,6 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ledgerlens.functions import money
 
-# Fixed value: the analysis window of the literal-year marts (orders dated
-# 1996-07-01 up to and including 1998-05-06).
-ANALYSIS_WINDOW = (dt.date(1996, 7, 1), dt.date(1998, 5, 7))
-
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 # The employee roster (EmployeeID, TitleOfCourtesy, FirstName,
@@ -80,26 +76,12 @@ class SalesTables:
     # employees:     EmployeeID, TitleOfCourtesy, FirstName, LastName, Title, Country, ReportsTo
     # shippers:      ShipperID, CompanyName
 
-    def __init__(self, loader=None, all_lines=None, **frames: DataFrame):
+    def __init__(self, loader=None, **frames: DataFrame):
         unknown = set(frames) - set(self.NAMES)
         if unknown:
             raise TypeError(f"unknown tables: {sorted(unknown)}")
         self._loader = loader
         self._frames = dict(frames)
-        # For a windowed database: a builder of the order lines of *all*
-        # orders. The lines of the window are exactly those with a windowed
-        # order, so joining them to the windowed orders (inner) gives the
-        # window's lines without a separate semi-join.
-        self._all_lines = all_lines
-
-    def lines_with_orders(self):
-        """(order lines, join type) to attach the order header to each line:
-        a single inner join on a windowed database, otherwise the left join
-        that keeps lines without an order."""
-        all_lines = self.__dict__["_all_lines"]
-        if all_lines is not None:
-            return all_lines(), "inner"
-        return self.order_details, "left"
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SalesTables.NAMES:
@@ -130,7 +112,7 @@ def shippers_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SHIPPER_ROWS, SHIPPER_SCHEMA)
 
 
-def orders_from_raw(raw_orders: DataFrame, window=ANALYSIS_WINDOW) -> DataFrame:
+def orders_from_raw(raw_orders: DataFrame, window=None) -> DataFrame:
     o = raw_orders
     if window is not None:
         lo, hi = window
@@ -205,9 +187,9 @@ def suppliers_from_raw(raw_supplier: DataFrame) -> DataFrame:
                                F.col("s_name").alias("CompanyName"))
 
 
-def load_sales_tables(spark: SparkSession, sf_dir: str, window=ANALYSIS_WINDOW) -> SalesTables:
-    """Logical tables over ``sf_dir``, each built on first use; ``window=None``
-    keeps every order."""
+def load_sales_tables(spark: SparkSession, sf_dir: str, window=None) -> SalesTables:
+    """Logical tables over ``sf_dir``, each built on first use. All orders and
+    lines, unless a (first day, day after the last) window is asked for."""
     raw_cache: dict[str, DataFrame] = {}
     built: dict[str, DataFrame] = {}
 
@@ -232,7 +214,6 @@ def load_sales_tables(spark: SparkSession, sf_dir: str, window=ANALYSIS_WINDOW)
         if name == "order_details":
             lines = raw("lineitem")
             if window is not None:
-                # The windowed database holds only the lines of its orders.
                 keys = orders().select(F.col("OrderID").alias("l_orderkey"))
                 lines = lines.join(keys, "l_orderkey", "left_semi")
             return details_from_raw(lines)
@@ -250,11 +231,10 @@ def load_sales_tables(spark: SparkSession, sf_dir: str, window=ANALYSIS_WINDOW)
             return shippers_df(spark)
         raise KeyError(name)
 
-    all_lines = (lambda: details_from_raw(raw("lineitem"))) if window is not None else None
-    return SalesTables(loader=load, all_lines=all_lines)
+    return SalesTables(loader=load)
 
 
 __all__ = [
-    "ANALYSIS_WINDOW", "SalesTables", "load_sales_tables", "read_raw", "employees_df",
+    "SalesTables", "load_sales_tables", "read_raw", "employees_df",
     "shippers_df",
 ]

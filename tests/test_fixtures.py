@@ -221,7 +221,7 @@ def test_p_sales_divisor_quirk(spark):
 
 def test_window_filter_reaches_scan(spark):
     from ledgerlens.sources.tables import load_sales_tables
-    t = load_sales_tables(spark, "/root/testdata/sf0.001")
+    t = load_sales_tables(spark, "/root/testdata/sf0.001", window=(D(1996, 7, 1), D(1998, 5, 7)))
     plan = t.orders._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
     q = revenue.revenue_transactions(Marts_load(spark)).where(F.col("O_Date") >= F.lit(D(1997, 7, 1)))
