@@ -214,6 +214,8 @@ def _bits_apart(left: Column, right: Column) -> Column:
 
     @F.arrow_udf("int")
     def apart(a: pa.Array, b: pa.Array) -> pa.Array:
+        if not len(a):
+            return pa.array([], pa.int32())
         x = np.frombuffer(b"".join(a.to_pylist()), dtype=np.uint64).reshape(len(a), -1)
         y = np.frombuffer(b"".join(b.to_pylist()), dtype=np.uint64).reshape(len(b), -1)
         return pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))
