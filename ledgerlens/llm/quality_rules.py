@@ -190,7 +190,7 @@ def fit(votes: DataFrame, names: list[str]) -> LabelModel:
     if 3 ** len(names) > MAX_PATTERNS:
         raise ValueError("too many rules for a table of vote patterns")
     rows = votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()
-    return estimate([(tuple(r[:-1]), r[-1]) for r in rows])
+    return estimate([(tuple(r[:-1]), r[-1]) for r in rows] or [((0,) * len(names), 0)])
 
 
 def judge(stats: DataFrame, rules: list[Rule] | None = None, keep_at: float = KEEP_AT) -> DataFrame:
