@@ -48,9 +48,6 @@ NUM, DEN = 90, 100
 NEEDED_BITS = 1 << 20
 #: Bits of the parity of a difference.
 PARITY_BITS = 512
-#: Leaders of this many members have their differences' elements counted.
-LARGE_GROUP = 64
-FREQUENT_SHARE = 8
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xA0761D6478BD642F)]
 
@@ -226,22 +223,6 @@ def _bits_apart(left: Column, right: Column) -> Column:
     return apart(left, right)
 
 
-def _frequent_last(judged: DataFrame) -> DataFrame:
-    """judged with each diff's elements that are in at least one of
-    ``FREQUENT_SHARE`` differences from the same leader moved to its end, the
-    more frequent the later. Of a leader there are at most ``FREQUENT_SHARE``
-    times as many as a difference has elements on average."""
-    led = judged.groupBy("y", "y2").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= LARGE_GROUP)
-    led = led.withColumnsRenamed({"y": "l", "y2": "l2"})
-    of_leader = (F.col("y") == F.col("l")) & (F.col("y2") == F.col("l2"))
-    counts = judged.join(led, of_leader).select("l", "l2", "members", F.explode("diff").alias("e")).groupBy("l", "l2", "members", "e").agg(F.count(F.lit(1)).alias("times"))
-    often = counts.where(F.col("times") * FREQUENT_SHARE >= F.col("members"))
-    often = often.groupBy("l", "l2").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("o")).select("l", "l2", F.col("o.e").alias("often"))
-    ordered = F.concat(F.array_except("diff", "often"), F.array_intersect("often", "diff"))
-    kept = [c for c in judged.columns if c != "diff"]
-    return judged.join(often, of_leader, "left").select(*kept, F.when(F.col("often").isNull(), F.col("diff")).otherwise(ordered).alias("diff"))
-
-
 def _prefix(needed: Column) -> Column:
     """The elements of a difference of which one at least must be in common if
     ``needed`` are (none if there are fewer)."""
@@ -307,7 +288,6 @@ def links(docs: DataFrame, found: DataFrame, doc_id: str, text: str, width: int,
     lead = members.join(weight, "x").groupBy("key").agg(F.max(F.struct("weight", "x")).alias("l")).select("key", F.col("l.x").alias("y"))
     star = members.select("key", "x").join(lead, "key").where("x <> y").select("x", "y").distinct()
     judged = materialize(_differences(star, sets, num, den), "ngram-judged")
-    judged = materialize(_frequent_last(judged), "ngram-ordered")
     both = judged.where("cost <= slack").select("x", "x2", "y", "y2").unionByName(_between_members(judged, num, den))
     node = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
     return both.select(node("x", "x2").alias("u"), node("y", "y2").alias("v")).distinct()
