@@ -5,13 +5,13 @@ of their sets reaches num/den; a line goes if it matches an earlier one, by
 document id, then text digest, then line number, whether or not that one
 goes too. Lines of fewer than ``LEAST_WORDS`` distinct words are left alone.
 
-1. Words are counted over all lines, by hash bucket (``BUCKETS`` counters that
-   stop at 255), and each line's words are ordered from rare to frequent.
-   Lines with equal sets become one class, numbered in order of first lines.
+1. Words are counted over all lines, by hash bucket (``BUCKETS`` counters, kept
+   as eighths of a power of two), and each line's words are ordered from rare
+   to frequent. Lines with equal sets become one class, known by its first line.
 2. Prefix filter: matching lines share a word of their first
    n - ceil(n * num / den) + 1, and another of one word more. A word that
-   occurs at most ``LIST_LIMIT`` times is a key by itself; a more frequent one is
-   a key together with each that follows it in the prefix.
+   occurs at most ``LIST_LIMIT`` times is a key by itself, so its list is short; a
+   more frequent one is a key together with each that follows it in the prefix.
 3. Classes of a key's list are joined if sizes (length filter), positions
    (positional filter) and a 64-bit parity of the sets, which can't differ in
    more bits than the sets do in words, allow a match. Lists of more than
@@ -50,6 +50,8 @@ LEAST_WORDS = 5
 BUCKETS = 1 << 21
 LIST_LIMIT = 250
 LONG_LIST = 256
+#: Counters sent together.
+BLOCK = 1 << 15
 
 
 def _line_words(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -62,9 +64,11 @@ def _line_words(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
             values, starts = hash_words(raw)
         breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
         begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])[:-1]])
-        everywhere = np.searchsorted(breaks, starts)  # line numbers over all texts
-        used, owner = np.unique(everywhere, return_inverse=True)
-        first_word = np.searchsorted(everywhere, used)
+        bounds = np.searchsorted(starts, breaks)  # words before each line's end
+        sizes = np.diff(np.concatenate([[0], bounds, [len(starts)]]))
+        used = np.flatnonzero(sizes)  # line numbers over all texts
+        owner = np.repeat(np.arange(len(used)), sizes[used])
+        first_word = (np.cumsum(sizes) - sizes)[used]
         doc = np.searchsorted(begins, starts[first_word], side="right") - 1
         line = used - np.searchsorted(breaks, begins[doc])
         yield first, last, doc, line.astype(np.int32), values, owner
@@ -75,23 +79,37 @@ def _bucket(values: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Occurrences by word bucket over all lines, stopping at 255; BUCKETS bytes."""
+    """How often words occur over all lines, by bucket, as ceil(8 * log2(n))
+    (0: once or never); BUCKETS bytes. Tasks count apart and send the counters
+    that aren't zero, ``BLOCK`` at a time, to be added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for *_, values, _owner in _line_words(batch.column(0).to_pylist()):
+            texts = batch.column(0).to_pylist()
+            for first, last in chunks([len(t or "") for t in texts]):
+                with np.errstate(over="ignore"):
+                    values, _starts = hash_words(b"\n".join(text_bytes(t) for t in texts[first:last]).lower())
                 total += np.bincount(_bucket(values).astype(np.int64), minlength=BUCKETS)
-        full = np.flatnonzero(total)
-        for at in range(0, len(full), 50_000):
-            part = full[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.minimum(total[part], 255).astype(np.int16))], names=["bucket", "n"])
-
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "bucket int, n short")
-    summed = parts.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket", F.least("n", F.lit(255)).cast("short").alias("n"))
-    table = summed.toArrow()
+        for block, part in enumerate(total.reshape(-1, BLOCK)):
+            full = np.flatnonzero(part)
+            if len(full):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "at": [full.astype(np.uint16).tobytes()], "n": [part[full].tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = totals.setdefault(block, np.zeros(BLOCK, dtype=np.int64))
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        for block, total in totals.items():
+            codes = np.ceil(8 * np.log2(np.maximum(total, 1))).clip(0, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "codes": [codes.tobytes()]})
+
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "block int, at binary, n binary")
     out = np.zeros(BUCKETS, dtype=np.uint8)
-    out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    for block, codes in parts.repartition("block").mapInArrow(add, "block int, codes binary").collect():
+        out[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(codes, np.uint8)
     return out
 
 
@@ -111,12 +129,14 @@ def _set_ids(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(sums(values, starts)).view(np.int64), mix(sums(mix(values ^ np.uint64(0x13198A2E03707344)), starts)).view(np.int64)
 
 
-LINES = "doc_id long, td long, line int, k1 long, k2 long, n int, bits long, keys array<struct<key:long,pos:int>>"
+KEYS = "array<struct<key:long,pos:int>>"
+LINES = f"doc_id long, td long, line int, k1 long, k2 long, n int, bits long, keys {KEYS}, pairs {KEYS}"
 
 
-def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: int) -> DataFrame:
+def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: int, limit: int) -> DataFrame:
     """One row per line with enough distinct words: where it is, its set's id,
-    size and parity, and its keys."""
+    size and parity, its words that are keys and its pairs that are."""
+    code = int(8 * np.log2(limit))  # of the counters that stand for at most limit
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = np.frombuffer(counts.value, dtype=np.uint8)
@@ -125,7 +145,7 @@ def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: i
             ids = batch.column(0).cast(pa.int64())
             for first, last, doc, line, values, owner in _line_words(texts):
                 with np.errstate(over="ignore"):
-                    part = _index_lines(values, owner, len(line), rarity, num, den)
+                    part = _index_lines(values, owner, len(line), rarity, num, den, code)
                 if part is None:
                     continue
                 keep, columns = part
@@ -133,14 +153,14 @@ def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: i
                 where = doc[keep]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(first + where)), pa.array(td[where]), pa.array(line[keep]), *columns],
-                    names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "keys"],
+                    names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "keys", "pairs"],
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(index, LINES)
 
 
-def _index_lines(values, owner, n_lines, rarity, num, den):
+def _index_lines(values, owner, n_lines, rarity, num, den, limit):
     if not len(values):
         return None
     rank = rarity[_bucket(values).astype(np.int64)]
@@ -163,11 +183,11 @@ def _index_lines(values, owner, n_lines, rarity, num, den):
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (values & np.uint64(63)), starts).view(np.int64)
     pos = np.arange(len(values)) - starts[owner]
     prefix = sizes - -(-sizes * num // den) + 1
-    rare = (pos < prefix[owner]) & (rank > 1) & (rank <= LIST_LIMIT)
-    hot = (pos <= prefix[owner]) & (rank > LIST_LIMIT)
-    keys, where, who = [values[rare]], [pos[rare]], [owner[rare]]
+    rare = (pos < prefix[owner]) & (rank > 0) & (rank <= limit)
+    hot = (pos <= prefix[owner]) & (rank > limit)
     hv, hp, ho = values[hot], pos[hot], owner[hot]
     # Pairs of frequent words: each with the one that stands 1, 2, ... places on.
+    keys, where, who = [hv[:0]], [hp[:0]], [ho[:0]]
     step = 1
     while step < len(hv):
         same = np.flatnonzero(ho[step:] == ho[:-step])
@@ -177,11 +197,15 @@ def _index_lines(values, owner, n_lines, rarity, num, den):
         where.append(hp[same + step] - 1)  # one common word stands before it
         who.append(ho[same])
         step += 1
-    keys, where, who = np.concatenate(keys), np.concatenate(where), np.concatenate(who)
-    order = np.argsort(who, kind="stable")
-    entry = pa.StructArray.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(where[order].astype(np.int32))], names=["key", "pos"])
-    lists = pa.ListArray.from_arrays(_offsets(who, len(sizes)), entry)
-    return keep, [pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), pa.array(bits), lists]
+    pairs = _lists(np.concatenate(keys), np.concatenate(where), np.concatenate(who), len(sizes))
+    alone = _lists(values[rare], pos[rare], owner[rare], len(sizes))
+    return keep, [pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), pa.array(bits), alone, pairs]
+
+
+def _lists(keys: np.ndarray, pos: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    order = np.argsort(owner, kind="stable")
+    entry = pa.StructArray.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(pos[order].astype(np.int32))], names=["key", "pos"])
+    return pa.ListArray.from_arrays(_offsets(owner, n), entry)
 
 
 def _offsets(owner: np.ndarray, n: int) -> pa.Array:
@@ -208,15 +232,15 @@ def word_sets(docs: DataFrame, text: str, needed) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(needed.value, dtype=np.uint8)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for first, last, doc, line, values, owner in _line_words(texts):
-                td = np.array([xxhash.xxh3_64_intdigest(text_bytes(t)) for t in texts[first:last]], dtype=np.uint64)
-                hit = in_table(bits, _place(td[doc], line)) if len(doc) else np.empty(0, bool)
-                if not hit.any():
-                    continue
-                number, mine = np.cumsum(hit) - 1, hit[owner]
-                values, owner = distinct_sorted(values[mine], number[owner[mine]])
-                sizes = np.bincount(owner, minlength=int(hit.sum()))
+            wanted = []
+            for t in batch.column(0).to_pylist():
+                lines = (t or "").split("\n")
+                td = np.uint64(xxhash.xxh3_64_intdigest(text_bytes(t)))
+                hit = in_table(bits, _place(np.full(len(lines), td), np.arange(len(lines), dtype=np.int32)))
+                wanted += [lines[i] for i in np.flatnonzero(hit)]
+            for _first, _last, _doc, line, values, owner in _line_words(wanted):
+                values, owner = distinct_sorted(values, owner)
+                sizes = np.bincount(owner, minlength=len(line))
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 with np.errstate(over="ignore"):
                     k1, k2 = _set_ids(values, starts)
@@ -236,6 +260,64 @@ def _may_match(a: str, b: str, num: int, den: int) -> Column:
     return length & position & parity
 
 
+def _close(n, m, pos_n, pos_m, bits_n, bits_m, num: int, den: int) -> np.ndarray:
+    """The same filters over arrays."""
+    rest = np.minimum(n - pos_n, m - pos_m)
+    differ = np.bitwise_count(bits_n ^ bits_m).astype(np.int64)
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * rest >= num * (n + m)) & ((num + den) * differ <= (den - num) * (n + m))
+
+
+def _list_pairs(key, k1, n, pos, bits, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y), x < y: the classes of each key's list that may match. Lists are
+    walked by size, each member up to the last that the length filter allows."""
+    order = np.lexsort((pos, k1, n, key))
+    key, k1, n, pos, bits = key[order], k1[order], n[order], pos[order], bits[order]
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (k1[1:] != k1[:-1])
+    key, k1, n, pos, bits = key[fresh], k1[fresh], n[fresh].astype(np.int64), pos[fresh].astype(np.int64), bits[fresh].view(np.uint64)
+    xs, ys, at, step = [k1[:0]], [k1[:0]], np.arange(len(key)), 1
+    while len(at := at[at + step < len(key)]):
+        to = at + step
+        near = (key[to] == key[at]) & (num * n[to] <= den * n[at])
+        at = at[near]
+        to = at + step
+        ok = _close(n[at], n[to], pos[at], pos[to], bits[at], bits[to], num, den)
+        xs.append(k1[at[ok]])
+        ys.append(k1[to[ok]])
+        step += 1
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def joined_lists(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (x, y) of classes that share a key and may match; for keys whose
+    lists are short. Rows come sorted by key, so a task holds some lists at a time."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if left is not None:
+                columns = [np.concatenate(c) for c in zip(left, columns, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
+            left = [c[cut:] for c in columns]
+            yield from found([c[:cut] for c in columns])
+        if left is not None:
+            yield from found(left)
+
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x, y = _list_pairs(*columns, num, den)
+        if len(x):
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            fresh = np.ones(len(x), dtype=bool)
+            fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[fresh]), pa.array(y[fresh])], names=["x", "y"])
+
+    dealt = rows.select("key", "k1", "n", "pos", "bits").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(join, "x long, y long").distinct()
+
+
 def _matching(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs of classes (c later, e earlier) that match, by their full sets."""
     spark = docs.sparkSession
@@ -254,21 +336,22 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, td, line) of every line that matches an earlier one."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(word_counts(docs, text).tobytes())
-    lines = materialize(line_index(docs, doc_id, text, counts, num, den), "lines")
+    lines = materialize(line_index(docs, doc_id, text, counts, num, den, LIST_LIMIT), "lines")
+    # Classes of equal sets; c is a class's first line.
     at = F.struct("doc_id", "td", "line")
-    # Classes of equal sets, numbered in order of their first lines.
-    classes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies")).select("k1", "k2", "at.*", "copies")
-    classes = materialize(classes.orderBy("doc_id", "td", "line").withColumn("c", F.monotonically_increasing_id()), "line-classes")
+    classes = lines.groupBy("k1", "k2").agg(F.min(at).alias("c"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.select("k1", "k2", "c", "c.*", "copies"), "line-classes")
     number = classes.select("k1", "c")
 
-    rows = lines.select("k1", "n", "bits", F.explode("keys").alias("k")).select(F.col("k.key").alias("key"), "k1", F.col("k.pos").alias("pos"), "n", "bits")
-    rows = rows.repartition("key").distinct()
+    def keyed(column: str) -> DataFrame:
+        rows = lines.select("k1", "n", "bits", F.explode(column).alias("k"))
+        return rows.select(F.col("k.key").alias("key"), "k1", F.col("k.pos").alias("pos"), "n", "bits")
+
+    rows = materialize(keyed("pairs").distinct(), "line-word-pairs")
     heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     listed = rows.join(heads, "key")
     short = listed.where(F.col("size") <= LONG_LIST).drop("size")
-    a, b = short.alias("a"), short.alias("b")
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.k1") < F.col("b.k1")) & _may_match("a", "b", num, den))
-    near = near.select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")).distinct()
+    near = joined_lists(keyed("keys").unionByName(short), num, den)
     both = near.join(number.withColumnRenamed("c", "i"), F.col("x") == F.col("k1")).drop("k1").join(number.withColumnRenamed("c", "j"), F.col("y") == F.col("k1"))
     pairs = both.select(F.greatest("i", "j").alias("c"), F.least("i", "j").alias("e"))
 
