@@ -14,11 +14,12 @@ goes too. Lines of fewer than ``LEAST_WORDS`` distinct words are left alone.
    more frequent one is a key together with each that follows it in the prefix.
 3. Classes of a key's list are joined if sizes (length filter), positions
    (positional filter) and a 64-bit parity of the sets, which can't differ in
-   more bits than the sets do in words, allow a match. Lists of more than
-   ``LONG_LIST`` classes aren't joined with themselves: their members are
-   compared with the first class of the list, and only those that do not match
-   it with the other earlier ones. So a group of near copies costs no more than
-   its members, and no match is lost that decides about a line.
+   more bits than the sets do in words, allow a match. A list that yields more
+   than ``LONG_LIST`` / 16 pairs a member, or is longer than ``LIST_LIMIT``, isn't
+   joined with itself: its members are compared with the first class of the list,
+   and only those that do not match it with the other earlier ones. So a group
+   of near copies costs no more than its members, and no match is lost that
+   decides about a line.
 4. What remains is verified on the full sets, built for candidates only.
 
 Texts are rewritten where the removed lines' documents are joined by id and
@@ -48,8 +49,11 @@ from ledgerlens.llm.setjoin import distinct_sorted, sums
 NUM, DEN = 80, 100
 LEAST_WORDS = 5
 BUCKETS = 1 << 21
-LIST_LIMIT = 250
+#: A list this long costs about what the pairs of a prefix cost as keys.
+LIST_LIMIT = 1000
 LONG_LIST = 256
+#: Rows of sorted lists compared at a time.
+ROWS_AT_ONCE = 1 << 17
 #: Counters sent together.
 BLOCK = 1 << 15
 
@@ -267,55 +271,67 @@ def _close(n, m, pos_n, pos_m, bits_n, bits_m, num: int, den: int) -> np.ndarray
     return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * rest >= num * (n + m)) & ((num + den) * differ <= (den - num) * (n + m))
 
 
-def _list_pairs(key, k1, n, pos, bits, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y), x < y: the classes of each key's list that may match. Lists are
+def _list_pairs(key, k1, n, pos, bits, num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y), x < y: the classes of each key's list that may match, and the keys
+    of lists with more than ``most`` such pairs a member, given up. Lists are
     walked by size, each member up to the last that the length filter allows."""
     order = np.lexsort((pos, k1, n, key))
     key, k1, n, pos, bits = key[order], k1[order], n[order], pos[order], bits[order]
     fresh = np.ones(len(key), dtype=bool)
     fresh[1:] = (key[1:] != key[:-1]) | (k1[1:] != k1[:-1])
     key, k1, n, pos, bits = key[fresh], k1[fresh], n[fresh].astype(np.int64), pos[fresh].astype(np.int64), bits[fresh].view(np.uint64)
-    xs, ys, at, step = [k1[:0]], [k1[:0]], np.arange(len(key)), 1
+    number = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else np.empty(0, np.int64)
+    room = np.bincount(number) * most
+    left, right, at, step = [], [], np.arange(len(key)), 1
     while len(at := at[at + step < len(key)]):
         to = at + step
-        near = (key[to] == key[at]) & (num * n[to] <= den * n[at])
-        at = at[near]
+        at = at[(key[to] == key[at]) & (num * n[to] <= den * n[at])]
         to = at + step
         ok = _close(n[at], n[to], pos[at], pos[to], bits[at], bits[to], num, den)
-        xs.append(k1[at[ok]])
-        ys.append(k1[to[ok]])
+        if ok.any():
+            left.append(at[ok])
+            right.append(to[ok])
+            np.subtract.at(room, number[at[ok]], 1)
+            at = at[room[number[at]] >= 0]
         step += 1
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    return np.minimum(x, y), np.maximum(x, y)
+    i, j = (np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
+    stays = room[number[i]] >= 0
+    x, y = k1[i[stays]], k1[j[stays]]
+    return np.minimum(x, y), np.maximum(x, y), key[np.flatnonzero(np.diff(number, prepend=-1))][room < 0]
 
 
-def joined_lists(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (x, y) of classes that share a key and may match; for keys whose
-    lists are short. Rows come sorted by key, so a task holds some lists at a time."""
+def joined_lists(rows: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """(x, y, given_up): classes that share a key and may match, or as x a key
+    whose list was given up. For keys whose lists are of at most ``LIST_LIMIT``
+    rows: they come sorted by key, so a task holds some lists at a time."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
+        held, size = [], 0
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if left is not None:
-                columns = [np.concatenate(c) for c in zip(left, columns, strict=True)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
-            left = [c[cut:] for c in columns]
-            yield from found([c[:cut] for c in columns])
-        if left is not None:
-            yield from found(left)
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= ROWS_AT_ONCE:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
+                yield from found([c[:cut] for c in columns])
+                held = [[c[cut:] for c in columns]]
+                size = len(held[0][0])
+        if size:
+            yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
 
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x, y = _list_pairs(*columns, num, den)
-        if len(x):
-            order = np.lexsort((y, x))
-            x, y = x[order], y[order]
-            fresh = np.ones(len(x), dtype=bool)
-            fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[fresh]), pa.array(y[fresh])], names=["x", "y"])
+        x, y, given_up = _list_pairs(*columns, num, den, most)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        fresh = np.ones(len(x), dtype=bool)
+        fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        x, y = x[fresh], y[fresh]
+        for a, b, flag in ((x, y, False), (given_up, given_up, True)):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), flag))], names=["x", "y", "given_up"])
 
     dealt = rows.select("key", "k1", "n", "pos", "bits").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(join, "x long, y long").distinct()
+    return dealt.mapInArrow(join, "x long, y long, given_up boolean")
 
 
 def _matching(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -350,12 +366,15 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = materialize(keyed("pairs").distinct(), "line-word-pairs")
     heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     listed = rows.join(heads, "key")
-    short = listed.where(F.col("size") <= LONG_LIST).drop("size")
-    near = joined_lists(keyed("keys").unionByName(short), num, den)
+    short = listed.where(F.col("size") <= LIST_LIMIT).drop("size")
+    joined = materialize(joined_lists(keyed("keys").unionByName(short), num, den, LONG_LIST // 16), "line-lists")
+    near = joined.where("NOT given_up").select("x", "y").distinct()
+    given_up = joined.where("given_up").select(F.col("x").alias("key"))
     both = near.join(number.withColumnRenamed("c", "i"), F.col("x") == F.col("k1")).drop("k1").join(number.withColumnRenamed("c", "j"), F.col("y") == F.col("k1"))
     pairs = both.select(F.greatest("i", "j").alias("c"), F.least("i", "j").alias("e"))
 
-    long_ = materialize(listed.where(F.col("size") > LONG_LIST).drop("size").join(number, "k1").drop("k1"), "line-long-lists")
+    long_ = keyed("keys").unionByName(short).join(given_up, "key").distinct().unionByName(listed.where(F.col("size") > LIST_LIMIT).drop("size"))
+    long_ = materialize(long_.join(number, "k1").drop("k1"), "line-long-lists")
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
     first = long_.groupBy("key").agg(F.min("c").alias("c"), F.min_by("bits", "c").alias("bits"), F.min_by(packed, "c").alias("at"))
     first = first.select("key", "c", "bits", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
