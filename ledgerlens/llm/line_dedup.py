@@ -14,7 +14,8 @@ goes too. Lines of fewer than ``LEAST_WORDS`` distinct words are left alone.
    more frequent one is a key together with each that follows it in the prefix.
 3. Classes of a key's list are joined if sizes (length filter), positions
    (positional filter) and a 64-bit parity of the sets, which can't differ in
-   more bits than the sets do in words, allow a match. A list that yields more
+   more bits than the sets do in words, allow a match; a parity of 128 bits
+   tests the pairs so found. A list that yields more
    than ``LONG_LIST`` / 16 pairs a member, or is longer than ``LIST_LIMIT``, isn't
    joined with itself: its members are compared with the first class of the list,
    and only those that do not match it with the other earlier ones. So a group
@@ -52,6 +53,8 @@ BUCKETS = 1 << 21
 #: A list this long costs about what the pairs of a prefix cost as keys.
 LIST_LIMIT = 1000
 LONG_LIST = 256
+#: Bits of the table of candidate lines, a broadcast of 16 MB at any size of input.
+NEEDED_BITS = 1 << 27
 #: Rows of sorted lists compared at a time.
 ROWS_AT_ONCE = 1 << 17
 #: Counters sent together.
@@ -134,7 +137,7 @@ def _set_ids(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 KEYS = "array<struct<key:long,pos:int>>"
-LINES = f"doc_id long, td long, line int, k1 long, k2 long, n int, bits long, keys {KEYS}, pairs {KEYS}"
+LINES = f"doc_id long, td long, line int, k1 long, k2 long, n int, bits long, p1 long, p2 long, keys {KEYS}, pairs {KEYS}"
 
 
 def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: int, limit: int) -> DataFrame:
@@ -157,7 +160,7 @@ def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: i
                 where = doc[keep]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(first + where)), pa.array(td[where]), pa.array(line[keep]), *columns],
-                    names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "keys", "pairs"],
+                    names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "p1", "p2", "keys", "pairs"],
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -185,6 +188,9 @@ def _index_lines(values, owner, n_lines, rarity, num, den, limit):
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     k1, k2 = _set_ids(values, starts)
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (values & np.uint64(63)), starts).view(np.int64)
+    # A parity of 128 bits in two halves, for the pairs that the lists yield.
+    one, half = np.uint64(1) << ((values >> np.uint64(6)) & np.uint64(63)), (values >> np.uint64(12)) & np.uint64(1)
+    p1, p2 = (np.bitwise_xor.reduceat(np.where(half == side, one, np.uint64(0)), starts).view(np.int64) for side in (0, 1))
     pos = np.arange(len(values)) - starts[owner]
     prefix = sizes - -(-sizes * num // den) + 1
     rare = (pos < prefix[owner]) & (rank > 0) & (rank <= limit)
@@ -203,7 +209,7 @@ def _index_lines(values, owner, n_lines, rarity, num, den, limit):
         step += 1
     pairs = _lists(np.concatenate(keys), np.concatenate(where), np.concatenate(who), len(sizes))
     alone = _lists(values[rare], pos[rare], owner[rare], len(sizes))
-    return keep, [pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), pa.array(bits), alone, pairs]
+    return keep, [pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), pa.array(bits), pa.array(p1), pa.array(p2), alone, pairs]
 
 
 def _lists(keys: np.ndarray, pos: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -339,7 +345,7 @@ def _matching(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame,
     spark = docs.sparkSession
     names = pairs.select("c").union(pairs.select("e")).distinct()
     places = classes.select("c", "k1", "k2", "td", "line").join(names, "c", "left_semi")
-    needed = spark.sparkContext.broadcast(_bit_table(places.select(_place_column("td", "line").alias("d1"))))
+    needed = spark.sparkContext.broadcast(_bit_table(places.select(_place_column("td", "line").alias("d1")), NEEDED_BITS))
     raw = word_sets(docs, text, needed).groupBy("k1", "k2").agg(F.first("words").alias("words"))
     sets = materialize(raw.join(places.select("c", "k1", "k2"), ["k1", "k2"]).select("c", "words"), "line-sets")
     left, right = sets.withColumnRenamed("words", "c_words"), sets.withColumnsRenamed({"c": "e", "words": "e_words"})
@@ -355,8 +361,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = materialize(line_index(docs, doc_id, text, counts, num, den, LIST_LIMIT), "lines")
     # Classes of equal sets; c is a class's first line.
     at = F.struct("doc_id", "td", "line")
-    classes = lines.groupBy("k1", "k2").agg(F.min(at).alias("c"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.select("k1", "k2", "c", "c.*", "copies"), "line-classes")
+    same = [F.first(x).alias(x) for x in ("n", "p1", "p2")]
+    classes = materialize(lines.groupBy("k1", "k2").agg(F.min(at).alias("c"), F.count(F.lit(1)).alias("copies"), *same), "line-classes")
+    classes = classes.select("*", "c.*")
     number = classes.select("k1", "c")
 
     def keyed(column: str) -> DataFrame:
@@ -370,8 +377,11 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = materialize(joined_lists(keyed("keys").unionByName(short), num, den, LONG_LIST // 16), "line-lists")
     near = joined.where("NOT given_up").select("x", "y").distinct()
     given_up = joined.where("given_up").select(F.col("x").alias("key"))
-    both = near.join(number.withColumnRenamed("c", "i"), F.col("x") == F.col("k1")).drop("k1").join(number.withColumnRenamed("c", "j"), F.col("y") == F.col("k1"))
-    pairs = both.select(F.greatest("i", "j").alias("c"), F.least("i", "j").alias("e"))
+    member = classes.select("k1", "c", "n", "p1", "p2")
+    i, j = (member.select(*[F.col(x).alias(side + x) for x in member.columns]) for side in "ij")
+    differ = F.bit_count(F.col("ip1").bitwiseXOR(F.col("jp1"))) + F.bit_count(F.col("ip2").bitwiseXOR(F.col("jp2")))
+    both = near.join(i, F.col("x") == F.col("ik1")).join(j, (F.col("y") == F.col("jk1")) & (F.lit(num + den) * differ <= F.lit(den - num) * (F.col("in") + F.col("jn"))))
+    pairs = both.select(F.greatest("ic", "jc").alias("c"), F.least("ic", "jc").alias("e"))
 
     long_ = keyed("keys").unionByName(short).join(given_up, "key").distinct().unionByName(listed.where(F.col("size") > LIST_LIMIT).drop("size"))
     long_ = materialize(long_.join(number, "k1").drop("k1"), "line-long-lists")

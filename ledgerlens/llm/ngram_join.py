@@ -129,7 +129,7 @@ def place_hash(td: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
 
 
 def in_table(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes % np.uint64(NEEDED_BITS)
+    at = hashes % np.uint64(len(bits) * 8)
     return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -167,14 +167,15 @@ def place_column(td: Column, doc_id: Column) -> Column:
     return place(td, known_id(doc_id))
 
 
-def _bit_table(digests: DataFrame) -> bytes:
-    """Bits of the digests in column d1, modulo the table's size."""
-    bits = np.zeros(NEEDED_BITS // 8, dtype=np.uint8)
-    # The residue of the digest as an unsigned number, which d1 % 2^k is in two's complement.
-    slots = digests.select((F.col("d1").bitwiseAND(F.lit(NEEDED_BITS - 1))).cast("int").alias("slot")).distinct()
-    for row in slots.toLocalIterator():
-        bits[row[0] >> 3] |= np.uint8(1 << (row[0] & 7))
-    return bits.tobytes()
+def _bit_table(digests: DataFrame, size: int = NEEDED_BITS) -> bytes:
+    """Bits of the digests in column d1, modulo the table's size (a power of
+    two). Tasks put the bits together, so the driver gets at most the table."""
+    slot = F.col("d1").bitwiseAND(F.lit(size - 1))
+    bit = F.expr("shiftleft(1L, cast(d1 & 63 AS int))")
+    words = digests.select(F.shiftright(slot, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, dtype=np.int64)
+    bits[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return bits.astype("<i8").tobytes()
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
