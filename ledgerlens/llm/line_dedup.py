@@ -3,7 +3,8 @@
 A line's set is its distinct words. Two lines match if the Jaccard similarity
 of their sets reaches num/den; a line goes if it matches an earlier one, by
 document id, then text digest, then line number, whether or not that one
-goes too. Lines of fewer than ``LEAST_WORDS`` distinct words are left alone.
+goes too. Every line with a word takes part, however short; lines without a
+word (blank ones) stay.
 
 1. Words are counted over all lines, by hash bucket (``BUCKETS`` counters, kept
    as eighths of a power of two), and each line's words are ordered from rare
@@ -12,6 +13,9 @@ goes too. Lines of fewer than ``LEAST_WORDS`` distinct words are left alone.
    n - ceil(n * num / den) + 1, and another of one word more. A word that
    occurs at most ``LIST_LIMIT`` times is a key by itself, so its list is short; a
    more frequent one is a key together with each that follows it in the prefix.
+   Sets so small that only an equal one can match have no keys: their class
+   decides. Sets that one common word may suffice for (num/den of 1/2 or less)
+   have their frequent words as keys as well.
 3. Classes of a key's list are joined if sizes (length filter), positions
    (positional filter) and a 64-bit parity of the sets, which can't differ in
    more bits than the sets do in words, allow a match; a parity of 128 bits
@@ -48,7 +52,8 @@ from ledgerlens.llm.ngram_join import _bit_table, in_table, suspect_column, text
 from ledgerlens.llm.setjoin import distinct_sorted, sums
 
 NUM, DEN = 80, 100
-LEAST_WORDS = 5
+#: Lines of fewer distinct words are left alone: only those without any.
+LEAST_WORDS = 1
 BUCKETS = 1 << 21
 #: A list this long costs about what the pairs of a prefix cost as keys.
 LIST_LIMIT = 1000
@@ -141,7 +146,7 @@ LINES = f"doc_id long, td long, line int, k1 long, k2 long, n int, bits long, p1
 
 
 def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: int, limit: int) -> DataFrame:
-    """One row per line with enough distinct words: where it is, its set's id,
+    """One row per line with a word: where it is, its set's id,
     size and parity, its words that are keys and its pairs that are."""
     code = int(8 * np.log2(limit))  # of the counters that stand for at most limit
 
@@ -189,15 +194,18 @@ def _index_lines(values, owner, n_lines, rarity, num, den, limit):
     k1, k2 = _set_ids(values, starts)
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (values & np.uint64(63)), starts).view(np.int64)
     # A parity of 128 bits in two halves, for the pairs that the lists yield.
-    one, half = np.uint64(1) << ((values >> np.uint64(6)) & np.uint64(63)), (values >> np.uint64(12)) & np.uint64(1)
-    p1, p2 = (np.bitwise_xor.reduceat(np.where(half == side, one, np.uint64(0)), starts).view(np.int64) for side in (0, 1))
+    bit, half = np.uint64(1) << ((values >> np.uint64(6)) & np.uint64(63)), (values >> np.uint64(12)) & np.uint64(1)
+    p1, p2 = (np.bitwise_xor.reduceat(np.where(half == side, bit, np.uint64(0)), starts).view(np.int64) for side in (0, 1))
     pos = np.arange(len(values)) - starts[owner]
-    prefix = sizes - -(-sizes * num // den) + 1
-    rare = (pos < prefix[owner]) & (rank > 0) & (rank <= limit)
-    hot = (pos <= prefix[owner]) & (rank > limit)
+    common = -(-sizes * num // den)  # words that a match shares at least
+    prefix = sizes - common + 1
+    near = (den * sizes >= num * (sizes + 1))[owner]  # a set of one word more or less can match
+    rare = near & (pos < prefix[owner]) & (rank > 0) & (rank <= limit)
+    hot = near & (pos <= prefix[owner]) & (rank > limit)
+    one = np.flatnonzero(near & (common == 1)[owner] & (rank > limit))
     hv, hp, ho = values[hot], pos[hot], owner[hot]
     # Pairs of frequent words: each with the one that stands 1, 2, ... places on.
-    keys, where, who = [hv[:0]], [hp[:0]], [ho[:0]]
+    keys, where, who = [values[one]], [pos[one]], [owner[one]]
     step = 1
     while step < len(hv):
         same = np.flatnonzero(ho[step:] == ho[:-step])
