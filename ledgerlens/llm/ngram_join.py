@@ -44,8 +44,8 @@ from ledgerlens.llm.setjoin import block_keys, distinct_sorted, sums, threshold
 
 SHINGLE = 3
 NUM, DEN = 90, 100
-#: Bits of the table of sets that the second pass builds.
-NEEDED_BITS = 1 << 20
+#: Bits of the tables that name documents, a broadcast of 16 MB at any size of input.
+NEEDED_BITS = 1 << 27
 #: Bits of the parity of a difference.
 PARITY_BITS = 512
 
@@ -282,7 +282,9 @@ def links(docs: DataFrame, found: DataFrame, doc_id: str, text: str, width: int,
     one = found.groupBy("d1", "d2").agg(F.min_by("td", known_id(F.col("doc_id"))).alias("td"), F.min(known_id(F.col("doc_id"))).alias("doc_id"))
     one = one.join(members.select(F.col("x").alias("d1")).distinct(), "d1", "left_semi")
     needed = spark.sparkContext.broadcast(_bit_table(one.select(place_column(F.col("td"), F.col("doc_id")).alias("d1"))))
-    sets = materialize(full_sets(docs, doc_id, text, width, needed), "ngram-sets")
+    # One row of each node: rows repeated with equal id and text all pass the table.
+    raw = full_sets(docs, doc_id, text, width, needed)
+    sets = materialize(raw.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "ngram-sets")
     # The more of a member's blocks others share, the better it leads.
     length = members.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
     weight = members.join(length, "key").groupBy("x").agg((F.sum("length") / F.max("m")).alias("weight"))
