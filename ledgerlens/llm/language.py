@@ -41,8 +41,6 @@ UNKNOWN_LANGUAGE = "und"
 MAX_LANGUAGES = 64
 MAX_MODEL_BYTES = 16 << 20
 LONGEST = 24
-#: Pieces of more letters than this are left out of the lattice.
-LONGEST_PIECE = 8
 ROUNDS = 3
 #: Added to every expected count.
 SMOOTHING = 0.1
@@ -75,6 +73,7 @@ class Pieces:
         keys = self.hashes(self.texts)
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
+        self.longest = max(map(len, self.texts), default=1)
         bits = max(12, int(np.ceil(np.log2(len(keys) * 8))))
         self.mask = np.uint64((1 << bits) - 1)
         self.slot_key = np.zeros(1 << bits, dtype=np.uint64)
@@ -121,7 +120,7 @@ class Pieces:
         codes = np.zeros((len(words), width), dtype=np.uint64)
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         codes[np.arange(width) < sizes[:, None]] = flat + np.uint64(1)
-        longest = min(LONGEST_PIECE, width)
+        longest = min(self.longest, width)
         ids = np.full((longest, len(words), width), -1, dtype=np.int32)
         rolled = np.zeros_like(codes)
         for n in range(longest):
@@ -195,7 +194,7 @@ def load_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = {model.id_to_piece(i).lstrip("▁").lower() for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i)}
-    return sorted(t for t in texts if t and len(t) <= LONGEST_PIECE and _LETTERS.fullmatch(t))
+    return sorted(t for t in texts if t and _LETTERS.fullmatch(t))
 
 
 @dataclass
