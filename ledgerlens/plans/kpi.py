@@ -19,10 +19,16 @@ from ledgerlens.plans.product import allocation, category_performance, product_d
 from ledgerlens.plans.revenue import monthly_transactions, order_lines, revenue_transactions
 from ledgerlens.plans.shipping import shipping_report
 
-# The years of the given orders, one pivot column each.
+# Years that have a pivot column in any case: those of the given orders.
 YEARS = list(range(1995, 2002))
 
 
+def pivot_columns(m: Marts) -> list[int]:
+    """YEARS and any other year that the orders have (one small aggregate)."""
+    found = m.t.orders.select(F.year("OrderDate").alias("y")).where("y IS NOT NULL").distinct().collect()
+    return sorted({*YEARS, *(r.y for r in found)})
+
+
 def orders_summary(m: Marts) -> DataFrame:
     """K1: orders, ordering customers, quantity sold."""
     o = order_lines(m)
@@ -161,15 +167,17 @@ def top_on_time_shipper_by_year(m: Marts) -> DataFrame:
                           ["Shipping_Company", "On_Time_Orders"])
 
 
-def sales_pivot_country(m: Marts, years=YEARS) -> DataFrame:
+def sales_pivot_country(m: Marts, years=None) -> DataFrame:
     """Net sales pivot, country x year."""
+    years = years or pivot_columns(m)
     ct = country_transactions(m)
     return ct.groupBy("Country").pivot("Year", years).agg(F.sum("Annual_Sales")) \
         .withColumnsRenamed({str(y): f"Sales_{y}" for y in years})
 
 
-def sales_pivot_category(m: Marts, years=YEARS) -> DataFrame:
+def sales_pivot_category(m: Marts, years=None) -> DataFrame:
     """Net sales pivot, category x year."""
+    years = years or pivot_columns(m)
     cp = category_performance(m)
     return cp.groupBy("Category").pivot("per_Year", years).agg(F.sum("Category_N_Sales")) \
         .withColumnsRenamed({str(y): f"Sales_{y}" for y in years})
