@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, language, line_dedup, ngram_join, pii, quality_rules, rule_ensemble, warc
+from ledgerlens.llm import bpe, chat, decontaminate, language, line_dedup, merkle, ngram_join, pii, quality_rules, rule_ensemble, warc
 from ledgerlens.llm.common import materialize, read_table
 
 
@@ -131,6 +131,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= rule_ensemble.THRESHOLD, 1).otherwise(0))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root, and what a tampered copy folds to."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.sha256_of(merkle.leaf_text(*fields, F.col("text")))
+    changed = merkle.sha256_of(merkle.leaf_text(*fields, F.replace("text", F.lit("\n"), F.lit(""))))
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(held_out(2, 0), changed).otherwise(leaf).alias("tampered"))
+    proved = merkle.prove(rows, "source", "doc_id", "leaf")
+    folded = proved.withColumn("folded", merkle.fold(F.col("tampered"), F.col("proof")))
+    digests = [merkle.hex_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return folded.select(
+        "doc_id", *digests, sha256_hex(merkle.proof_text(F.col("proof"))).alias("proof_sha256"),
+        merkle.hex_of(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -142,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: Words of whole texts, their 13-word windows (or the whole of a shorter item),
