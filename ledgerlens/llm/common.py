@@ -106,3 +106,50 @@ def hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(hashes), np.concatenate(starts)
+
+
+def word_stops(raw: bytes) -> np.ndarray:
+    """Where each run of non-blank bytes ends (exclusive)."""
+    stops, at = [], 0
+    while at < len(raw):
+        piece = np.frombuffer(raw, dtype=np.uint8, count=min(PIECE_BYTES, len(raw) - at), offset=at)
+        gap = np.ones(len(piece) + 1, dtype=bool)
+        gap[:-1] = _GAP[piece]
+        if at + len(piece) < len(raw):
+            gap[-1] = _GAP[raw[at + len(piece)]]
+        stops.append(np.flatnonzero(~gap[:-1] & gap[1:]) + (at + 1))
+        at += len(piece)
+    return np.concatenate(stops) if stops else np.empty(0, np.int64)
+
+
+class Tally:
+    """Counts by key within a task, in bounded memory: merged when many have
+    come, to be sent on when many are distinct."""
+
+    def __init__(self, limit: int = 1 << 21) -> None:
+        self.limit, self.size, self.parts = limit, 0, []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> bool:
+        """Add counts (and further columns that follow from the key); True if
+        what has come should now be taken."""
+        self.parts.append((keys, counts, *more))
+        self.size += len(keys)
+        if self.size > 2 * self.limit:
+            self.parts = [self.merged()]
+            self.size = len(self.parts[0][0])
+        return self.size > self.limit
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        if not len(columns[0]):
+            return tuple(columns)
+        order = np.argsort(columns[0], kind="stable")
+        keys = columns[0][order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[starts], np.add.reduceat(columns[1][order], starts), *[c[order[starts]] for c in columns[2:]]
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        """All counts so far (none: an empty tuple); starts anew."""
+        out = self.merged() if self.parts else ()
+        self.size, self.parts = 0, []
+        return out

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, language, line_dedup, merkle, ngram_join, pii, quality_rules, rule_ensemble, warc
+from ledgerlens.llm import bpe, chat, decontaminate, language, line_dedup, log_bilinear, merkle, ngram_join, pii, quality_rules, rule_ensemble, warc
 from ledgerlens.llm.common import materialize, read_table
 
 
@@ -147,6 +147,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under unigram counts and the log-bilinear model,
+    both learned from those not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(held_out(5, 1), F.lit(False)).alias("held_out"))
+    model = log_bilinear.fit(docs.where("NOT held_out"), "text")
+    return log_bilinear.score(docs, model, "text", keep=["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -159,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lm_scoring": op12_lm_scoring,
 }
 
 #: Words of whole texts, their 13-word windows (or the whole of a shorter item),
