@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends
     there, so a lost executor costs a re-read and not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Of this worker: the one object built from a broadcast, by its kind.
+_BUILT: dict[str, tuple[str, object]] = {}
+
+
+def worker_object(kind: str, shared, build: Callable[[object], object]) -> object:
+    """``build`` of a broadcast's value, once per worker; told apart by the
+    broadcast's id. What another operator built here is dropped, so a worker
+    never holds the tables of two."""
+    key = f"{kind}-{getattr(shared, '_path', None) or id(shared)}"
+    if kind not in _BUILT or _BUILT[kind][0] != key:
+        _BUILT.clear()
+        _BUILT[kind] = key, build(shared.value)
+    return _BUILT[kind][1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (finaliser with odd multipliers)."""
     x = x.astype(np.uint64, copy=True)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, language, line_dedup, log_bilinear, merkle, ngram_join, pii, quality_rules, rule_ensemble, warc
+from ledgerlens.llm import alignment, bpe, chat, decontaminate, language, line_dedup, log_bilinear, merkle, ngram_join, pii, quality_rules, rule_ensemble, warc
 from ledgerlens.llm.common import materialize, read_table
 
 
@@ -155,6 +155,26 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.score(docs, model, "text", keep=["doc_id", "held_out"])
 
 
+def byte_vocabulary() -> str:
+    """Path of the default byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    """Groups and links of two tokenizers over every document, links by how many
+    documents have their pair."""
+    vocab = alignment.vocabularies(spark, a or byte_vocabulary(), b or piece_vocabulary())
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", alignment.align_column(vocab, "text").alias("x"))
+    digest = F.when(F.col("x.n_a") > 0, sha256_hex(F.col("x.groups"))).otherwise("")
+    rows = docs.select("doc_id", "x.n_a", "x.n_b", "x.n_groups", "x.n_links", digest.alias("groups_sha256"), "x.pair_steps", "x.pair_counts")
+    rows = materialize(rows, "alignment", compression="zstd")
+    table = alignment.pair_table(materialize(alignment.pair_counts(rows, vocab), "alignment-counts"), vocab)
+    found = alignment.with_link_counts(rows, vocab, table)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -168,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_lm_scoring": op12_lm_scoring,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: Words of whole texts, their 13-word windows (or the whole of a shorter item),
