@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 IMPUTE_DAYS = 8
 
 
-def as_date(c: Column) -> Column:
-    return c.cast("date")
-
-
 def impute_date(value: Column, base: Column, days: int = IMPUTE_DAYS) -> Column:
     """NULL date replaced by ``base + days``."""
     return F.when(value.isNull(), F.date_add(base, days)).otherwise(value)
@@ -57,10 +53,21 @@ class Period:
             return "H2"
         return None
 
+    @property
+    def halves(self) -> list[int]:
+        """Codes (see ``half_code``) of the half-years that it touches."""
+        return [self.year * 10 + h for h in (1, 2) if self.first_month <= 6 * h and self.last_month > 6 * (h - 1)]
+
     def contains(self, d: Column) -> Column:
         return (d >= F.lit(self.start)) & (d < F.lit(self.end))
 
 
+def half_code(d: Column) -> Column:
+    """A date's half-year as a number: 19971 for January-June 1997, 19972 for
+    the rest of it."""
+    return F.year(d) * 10 + F.when(F.month(d) <= 6, 1).otherwise(2)
+
+
 def year_period(year: int) -> Period:
     return Period(year, 1, 12)
 

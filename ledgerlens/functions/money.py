@@ -4,8 +4,9 @@ Money is DECIMAL(18,4): the widest decimal Spark keeps as a compact 64-bit
 value (row storage, cache, arithmetic), with room for +-99 trillion. Every
 rounding is HALF_UP on decimals, which Spark and DuckDB agree on. Where a rounded value would otherwise come from a division
 (freight allocation, rounded averages, unit prices), the rounding is done on
-integers with ``(2*num + den) div (2*den)`` so no engine-specific floating
-point tie-breaking can leak into the result.
+the integers' absolute values with ``(2*num + den) div (2*den)``, and the sign
+put back, so no engine-specific floating point tie-breaking can leak into the
+result and a return line rounds like the sale that it undoes.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ def cast_decimal(c: Column, scale: int, precision: int = 10) -> Column:
 
 def net_sales(unit_price: Column, quantity: Column, discount: Column) -> Column:
     """Line net sales: round(price * qty * (1 - discount), 2) as money."""
-    return round_money(unit_price * quantity * (F.lit(1) - discount))
+    return net_from_gross(to_money(unit_price * quantity), discount)
 
 
 def net_from_gross(gross: Column, discount: Column) -> Column:
-    """Same rule when the line gross (price * qty) is already known."""
+    """Same rule when the line gross (price * qty, as money) is already known."""
     return round_money(gross * (F.lit(1) - discount))
 
 
@@ -74,10 +75,12 @@ def from_units(units: Column, scale: int, precision: int = 18) -> Column:
 
 
 def div_half_up(num: Column, den: Column) -> Column:
-    """round(num / den) half up for non-negative integers; NULL when den is 0 or NULL."""
+    """round(num / den) for integers of any sign, halves away from zero (as
+    HALF_UP); NULL when den is 0 or NULL."""
     n = num.cast("bigint")
     d = den.cast("bigint")
-    return F.when(d != 0, F.call_function("div", n * 2 + d, d * 2))
+    size = F.call_function("div", F.abs(n) * 2 + F.abs(d), F.abs(d) * 2)
+    return F.when(d != 0, F.when((n < 0) != (d < 0), -size).otherwise(size))
 
 
 def avg_rounded(sum_units: Column, count: Column, units_scale: int, scale: int) -> Column:
@@ -94,6 +97,10 @@ def unit_price_from_gross(gross: Column, quantity: Column) -> Column:
     return from_units(div_half_up(to_units(gross, 4), quantity), 4)
 
 
-def ratio(num: Column, den: Column) -> Column:
-    """num / den as DOUBLE; NULL for a zero or NULL divisor (never inf)."""
-    return F.try_divide(num.cast("double"), den.cast("double"))
+def ratio(num: Column, den: Column, scale: int | None = None) -> Column:
+    """num / den as DOUBLE; NULL for a zero or NULL divisor (never inf). With
+    ``scale``, as money divided by money is kept: a decimal of that many
+    digits, rounded half up from the exact amounts (in units of 10^-4)."""
+    if scale is None:
+        return F.try_divide(num.cast("double"), den.cast("double"))
+    return from_units(div_half_up(to_units(num, 4) * F.lit(10 ** scale), to_units(den, 4)), scale)

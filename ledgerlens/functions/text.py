@@ -11,11 +11,6 @@ def left(s: Column, n: int) -> Column:
     return F.substring(s, 1, n)
 
 
-def as_text(c: Column) -> Column:
-    """Integer to text without padding."""
-    return c.cast("string")
-
-
 def concat_strict(*parts) -> Column:
     """``a + b`` on strings: any NULL part makes the result NULL."""
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -36,5 +31,6 @@ def like_any(c: Column, patterns, case_insensitive: bool = True) -> Column:
 
 
 def full_name(courtesy: Column, first: Column, last: Column) -> Column:
-    """``CONCAT(TitleOfCourtesy, ' ', LEFT(FirstName, 1), '. ', LastName)``."""
+    """Courtesy title, initial with a full stop and last name; missing parts are
+    left empty."""
     return concat_lenient(courtesy, " ", left(first, 1), ". ", last)

@@ -61,19 +61,6 @@ def union_distinct(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.union(b), parts).distinct()
 
 
-def pivot_years(df: DataFrame, keys: list[str], period_col: str, periods: list,
-                values: dict[str, str]) -> DataFrame:
-    """Long -> wide with one column per (value, period): ``<prefix><period>``.
-
-    ``values`` maps a value column to its output prefix. Missing cells are NULL.
-    """
-    aggs = []
-    for col, prefix in values.items():
-        for p in periods:
-            aggs.append(F.sum(F.when(F.col(period_col) == F.lit(p), F.col(col))).alias(f"{prefix}{p}"))
-    return df.groupBy(*keys).agg(*aggs)
-
-
 def presence_pivot(df: DataFrame, keys: list[str], period_col: str,
                    cells: dict[str, tuple[object, str]], flags: dict[str, object]) -> DataFrame:
     """One row per entity (NULL keys group together) in a single aggregation.

@@ -3,12 +3,14 @@
 A share ``x / SUM(x) OVER (PARTITION BY g)`` is planned as an aggregate of
 ``g`` joined back, never as a window: a window puts the whole group into one
 task, while the aggregate is combined map-side and its join is split by AQE
-when one key is hot. Per-period totals have one row per period, so they are
-broadcast (the number of periods is the size bound).
+when one key is hot. Per-period totals are a scalar subquery: one map from
+period to totals, read by every column that divides by them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,21 @@ def group_totals(df: DataFrame, by: list[str], values: dict[str, Column | str])
     return df.groupBy(*by).agg(*aggs)
 
 
-def attach_period_totals(df: DataFrame, totals: DataFrame, on: list[str]) -> DataFrame:
-    """Join small per-period totals (one row per period key) onto ``df``."""
-    return df.join(F.broadcast(totals), on, "left")
+def period_lookup(totals: DataFrame, period: str) -> Callable[[Column, str], Column]:
+    """``look(period column, name)``: a period's value of one column of
+    ``totals`` (one row per period), NULL for a period that has none.
+
+    The totals are gathered by a scalar subquery into one map; Spark runs it
+    once for all columns that look something up. A calendar's periods are the
+    bound of its size."""
+    names = [c for c in totals.columns if c != period]
+    entry = F.struct(F.col(period).alias("key"), F.struct(*names).alias("value"))
+    by_period = totals.where(F.col(period).isNotNull()).agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+
+    def look(key: Column, name: str) -> Column:
+        return F.try_element_at(by_period, key)[name]
+
+    return look
 
 
 def share(value: Column, total: Column, zero_guard: bool = False) -> Column:
@@ -33,15 +47,11 @@ def share(value: Column, total: Column, zero_guard: bool = False) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(r) if zero_guard else r
 
 
-def share_of_group(df: DataFrame, by: list[str], values: dict[str, str],
-                   small_groups: bool = False, zero_guard: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``<out> = value / sum(value) over by`` for each ``out -> value``.
-
-    ``small_groups=True`` declares that ``by`` has few distinct values (years,
-    categories) so the totals are broadcast.
-    """
+def share_of_group(df: DataFrame, by: list[str], values: dict[str, str], zero_guard: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``<out> = value / sum(value) over by`` for each ``out -> value``. Spark
+    broadcasts the totals if they are small."""
     tot = group_totals(df, by, {f"__tot_{o}": v for o, v in values.items()})
-    j = df.join(F.broadcast(tot) if small_groups else tot, by, "left")
+    j = df.join(tot, by, "left")
     for out, v in values.items():
         j = j.withColumn(out, share(F.col(v), F.col(f"__tot_{out}"), out in zero_guard))
     return j.drop(*[f"__tot_{o}" for o in values])

@@ -19,14 +19,17 @@ from ledgerlens.sources.tables import SalesTables, load_sales_tables
 
 class Marts:
     def __init__(self, tables: SalesTables, impute_days: int = IMPUTE_DAYS,
-                 new_customer_year: int = 1998, persist: bool | str = True):
+                 new_customer_year: int = 1998, persist: bool | str = False,
+                 line_store: str | None = None):
         self.t = tables
+        # A folder of lines stored by half-year, read instead of joining them anew.
+        self.line_store = line_store
         # How the base marts that many others read (line revenue, order grain,
         # line shares) are kept once computed:
+        #   False: nowhere; every query reads the columns and periods it needs;
         #   True / "memory": persisted blocks (memory, spilling to disk);
         #   "table": written as tables bucketed by order id in the shared folder
-        #            (durable; readers keep the order-id partitioning);
-        #   False: recomputed by every query.
+        #            (durable; readers keep the order-id partitioning).
         self.persist = "memory" if persist is True else persist
         self.impute_days = impute_days
         self.new_customer_year = new_customer_year
@@ -50,7 +53,8 @@ class Marts:
             if self.sf_dir is None:
                 raise ValueError("full_span needs a Marts created with Marts.load")
             self._full = Marts.load(self.spark, self.sf_dir, window=None, impute_days=self.impute_days,
-                                    new_customer_year=self.new_customer_year, persist=self.persist)
+                                    new_customer_year=self.new_customer_year, persist=self.persist,
+                                    line_store=self.line_store)
         return self._full
 
     @property

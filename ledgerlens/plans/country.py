@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import dates
 from ledgerlens.functions.text import concat_strict, left
 from ledgerlens.plans.context import Marts, mart
-from ledgerlens.plans.revenue import revenue_transactions
+from ledgerlens.plans.revenue import lines_in, order_lines
 
 COUNTRY_COLUMNS = ["Country", "Country_ID", "Year", "Annual_Sales", "Annual_Profit"]
 
 
-def _country_year(rt: DataFrame, id_tag: str) -> DataFrame:
+def _country_year(rows: DataFrame, id_tag: str, sales: str = "O_Net_Sales", profit: str = "O_Net_Profit") -> DataFrame:
     # Country has a handful of values: map-side partial aggregation collapses
     # each partition to a few rows before the shuffle, whatever the skew.
-    g = rt.groupBy("Country", F.year("O_Date").alias("Year")).agg(
-        F.sum("Detailed_Net_Sales").alias("Annual_Sales"),
-        F.sum("Detailed_Net_Profit").alias("Annual_Profit"))
+    g = rows.groupBy("Country", F.year("O_Date").alias("Year")).agg(
+        F.sum(sales).alias("Annual_Sales"), F.sum(profit).alias("Annual_Profit"))
     cid = concat_strict(F.col("Year").cast("string"), id_tag, left(F.col("Country"), 3))
     return g.select("Country", cid.alias("Country_ID"), "Year", "Annual_Sales", "Annual_Profit")
 
@@ -26,13 +25,15 @@ def _country_year(rt: DataFrame, id_tag: str) -> DataFrame:
 @mart
 def country_transactions(m: Marts) -> DataFrame:
     """V4: net sales and profit per country and year."""
-    return _country_year(revenue_transactions(m), "-")
+    return _country_year(order_lines(m), "-")
 
 
 def country_slices(m: Marts, periods, tag: str) -> DataFrame:
-    """Country totals over a union of disjoint period slices, one scan."""
-    rt = revenue_transactions(m).where(dates.in_any(F.col("O_Date"), periods))
-    return _country_year(rt, tag)
+    """Country totals over a union of disjoint period slices, one scan: of the
+    stored half-years where there are such, else of the order grain."""
+    if m.line_store:
+        return _country_year(lines_in(m, periods), tag, "Detailed_Net_Sales", "Detailed_Net_Profit")
+    return _country_year(order_lines(m).where(dates.in_any(F.col("O_Date"), periods)), tag)
 
 
 @mart

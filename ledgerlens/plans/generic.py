@@ -21,7 +21,7 @@ from ledgerlens.plans.growth import (actual_country_growth, actual_product_growt
                                      country_growth_long, product_growth)
 from ledgerlens.plans.kpi import sales_pivot_country
 from ledgerlens.plans.product import product_dim, product_transactions, products_report
-from ledgerlens.plans.revenue import order_lines, order_transactions, revenue_transactions
+from ledgerlens.plans.revenue import lines_in, order_lines, order_transactions, revenue_transactions
 from ledgerlens.plans.shipping import shipping_report
 from ledgerlens.sources.sinks import save_table
 
@@ -102,7 +102,7 @@ def like_no_wildcard(m: Marts) -> DataFrame:
 
 def filter_year_month(m: Marts) -> DataFrame:
     """A calendar-half slice as a date range (prunable at the scan)."""
-    rt = revenue_transactions(m).where(dates.second_half(1997).contains(F.col("O_Date")))
+    rt = lines_in(m, (dates.second_half(1997),))
     return rt.groupBy(F.month("O_Date").alias("per_Month")).agg(F.sum("Detailed_Net_Sales").alias("Net_Sales"))
 
 
@@ -160,7 +160,7 @@ def join_left_fact_dim(m: Marts) -> DataFrame:
 def join_inner(m: Marts) -> DataFrame:
     """Orders joined (inner) with employees: orders per employee."""
     o = order_transactions(m)
-    e = F.broadcast(m.t.employees.select("EmployeeID", "LastName"))
+    e = m.t.employees.select("EmployeeID", "LastName")
     j = o.join(e, o["E_ID"] == e["EmployeeID"], "inner")
     return j.groupBy("E_ID", "LastName").agg(F.count("O_ID").alias("Orders"))
 

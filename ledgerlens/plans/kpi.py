@@ -15,7 +15,7 @@ from ledgerlens.operators.ranking import top1, top1_per_group
 from ledgerlens.plans.context import Marts
 from ledgerlens.plans.country import country_transactions
 from ledgerlens.plans.customer import customer_classification, customer_transactions
-from ledgerlens.plans.product import allocation, category_performance, product_details
+from ledgerlens.plans.product import allocated_lines, category_performance, product_details, with_names
 from ledgerlens.plans.revenue import monthly_transactions, order_lines, revenue_transactions
 from ledgerlens.plans.shipping import shipping_report
 
@@ -123,20 +123,24 @@ def monthly_active_customers(m: Marts) -> DataFrame:
 
 def stock_status_mix(m: Marts) -> DataFrame:
     """Product-year rows per (discontinued flag, stock status), as a share
-    of all rows and of the rows with the same flag. The grouped table has at
+    of all rows and of the rows with the same flag, and the products behind them
+    (a product has a row for each year it sold in). The grouped table has at
     most 2 x 4 rows, so the totals are taken with a global window on it."""
-    g = product_details(m).groupBy("Discontinued", "Stock_Status").agg(F.count(F.lit(1)).alias("Rows"))
+    g = product_details(m).groupBy("Discontinued", "Stock_Status").agg(
+        F.count(F.lit(1)).alias("Rows"), F.countDistinct("P_ID").alias("Products"))
     all_rows = F.sum("Rows").over(Window.partitionBy())
     flag_rows = F.sum("Rows").over(Window.partitionBy("Discontinued"))
-    return g.select("Discontinued", "Stock_Status", "Rows",
+    return g.select("Discontinued", "Stock_Status", "Rows", "Products",
                     F.try_divide(F.col("Rows").cast("double"), all_rows.cast("double")).alias("Pct_of_All"),
-                    F.try_divide(F.col("Rows").cast("double"), flag_rows.cast("double")).alias("Pct_of_Flag"))
+                    F.try_divide(F.col("Rows").cast("double"), flag_rows.cast("double")).alias("Pct_of_Flag"),
+                    F.try_divide(F.col("Products").cast("double"), F.sum("Products").over(Window.partitionBy()).cast("double")).alias("Pct_of_Products"))
 
 
 def top_category(m: Marts) -> DataFrame:
     """Category totals over all years including allocated freight; the
     best category by net sales."""
-    a = allocation(m).groupBy("Category").agg(F.sum("Allocated_Freight").alias("Freight"))
+    per_product = allocated_lines(m, True).groupBy("Product_ID").agg(F.sum("Allocated_Freight").alias("Freight"))
+    a = with_names(m, per_product).groupBy("Category").agg(F.sum("Freight").alias("Freight"))
     c = category_performance(m).groupBy("Category").agg(
         F.sum("Category_N_Sales").alias("Net_Sales"),
         F.sum("Category_Net_Profit").alias("Net_Profit"),

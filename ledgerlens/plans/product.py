@@ -6,22 +6,24 @@ shares of each line (V12, with the fan-out of the source view; V12b without)
 averages (V16), product-year report (V17), discount-rate sums (V18-V21),
 half-year product reports (V22/V22b/V23) and category performance (V24).
 
-Partitioning: the wide line rows are shuffled once (by order id, in V1).
-Product attributes and fan-out weights reach the lines through a narrow
-(order id, product id) table, so no line-level shuffle by product id happens.
+Lines are read with the columns and periods that a mart needs. Products are
+ids until a mart shows them: names are joined to lines or sums at the end.
+Period totals come from the order totals, not from a further pass over the
+lines, through one scalar subquery.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, money
 from ledgerlens.functions.text import concat_lenient, concat_strict, left
 from ledgerlens.operators.running import running_totals
-from ledgerlens.operators.shares import attach_period_totals, share
+from ledgerlens.operators.shares import period_lookup, share
 from ledgerlens.plans.context import Marts, mart
-from ledgerlens.plans.revenue import order_lines, revenue_lines, revenue_transactions
+from ledgerlens.plans.revenue import lines_in, order_lines, revenue_lines
+from ledgerlens.sources.line_store import HALF
 
 # Stock classes (fixed values).
 RESTOCK, STOPPED, SAFE, NO_RESTOCK = "Restock", "Stopped", "Safe_Stock", "No_Restock"
@@ -53,18 +55,28 @@ def stock_status(m: Marts) -> DataFrame:
 
 
 @mart
-def product_year_totals(m: Marts) -> DataFrame:
-    """Line measures summed per (year, product) before any product join."""
-    rt = revenue_transactions(m)
-    return rt.groupBy(F.year("O_Date").alias("per_Year"), "P_ID").agg(
+def product_half_rollup(m: Marts, periods: tuple = ()) -> DataFrame:
+    """Line measures summed per product and half-year: the one pass over the
+    lines behind V10, V11, V18-V21 and V24. ``periods`` limits it to slices."""
+    rt = lines_in(m, periods) if periods else revenue_lines(m)
+    return rt.groupBy("P_ID", F.col(HALF).alias("half")).agg(
         F.sum("Q").alias("Q_Sold"),
         F.sum("Total_Sales").alias("P_Sales"),
         F.sum("Discount_Amount").alias("P_Discount"),
         F.sum("Detailed_Net_Sales").alias("P_Net_Sales"),
         F.sum("Detailed_Net_Profit").alias("P_Net_Profit"),
+        F.sum("Discount").alias("Rates"),
     )
 
 
+@mart
+def product_year_totals(m: Marts) -> DataFrame:
+    """Half-years added up to (year, product), before any product join."""
+    sums = ("Q_Sold", "P_Sales", "P_Discount", "P_Net_Sales", "P_Net_Profit")
+    year = F.floor(F.col("half") / 10).cast("int")
+    return product_half_rollup(m).groupBy(year.alias("per_Year"), "P_ID").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 @mart
 def product_year(m: Marts) -> DataFrame:
     """Product-year totals joined once with the product dimension."""
@@ -82,14 +94,21 @@ def product_transactions(m: Marts) -> DataFrame:
                      "Q_Sold", "P_Sales", "P_Discount", "P_Net_Sales", "P_Net_Profit")
 
 
+def product_period_rollup(m: Marts) -> DataFrame:
+    """Net sales and quantity per product and year, and per product, year and
+    half, in one pass (GROUPING SETS); ``Half`` is NULL on the year's rows."""
+    rt = revenue_lines(m).select("P_ID", F.year("O_Date").alias("per_Year"), (F.col(HALF) % 10).cast("int").alias("half"), "Q", "Detailed_Net_Sales")
+    g = rt.groupingSets([["P_ID", "per_Year"], ["P_ID", "per_Year", "half"]], "P_ID", "per_Year", "half").agg(
+        F.grouping("half").cast("int").alias("Whole_Year"), F.sum("Q").alias("Q_Sold"), F.sum("Detailed_Net_Sales").alias("P_Net_Sales"))
+    return g.select("P_ID", "per_Year", F.col("half").alias("Half"), "Whole_Year", "Q_Sold", "P_Net_Sales")
+
+
 @mart
 def year_divisors(m: Marts) -> DataFrame:
-    """Per year: total discount, total net sales, distinct orders (one row per year)."""
-    sums = product_year_totals(m).groupBy("per_Year").agg(
-        F.sum("P_Discount").alias("__year_discount"),
-        F.sum("P_Net_Sales").alias("__year_net_sales"))
-    orders = order_lines(m).groupBy("per_Year").agg(F.count("O_ID").alias("__year_orders"))
-    return sums.join(orders, "per_Year", "full")
+    """Per year: total discount, total net sales, distinct orders (one row per
+    year), from the order grain."""
+    return order_lines(m).groupBy("per_Year").agg(
+        F.sum("O_Discount_Amount").alias("discount"), F.sum("O_Net_Sales").alias("net_sales"), F.count("O_ID").alias("orders"))
 
 
 PRODUCT_DETAIL_COLUMNS = [
@@ -104,11 +123,13 @@ PRODUCT_DETAIL_COLUMNS = [
 def product_details(m: Marts) -> DataFrame:
     """Product-year enriched with shares of the year and stock status.
 
-    Each year is divided by its own year's totals (a handful of rows,
-    broadcast)."""
-    py = attach_period_totals(product_year(m), year_divisors(m), ["per_Year"])
+    Each year is divided by its own year's totals, which a scalar subquery
+    brings to all columns that need them."""
+    py = product_year(m)
+    of_year = period_lookup(year_divisors(m), "per_Year")
+    year = F.col("per_Year")
     avg_sp = money.ratio(F.col("P_Sales"), F.col("Q_Sold"))
-    year_id = concat_strict(F.col("per_Year").cast("string"), "-", F.col("P_ID").cast("string"))
+    year_id = concat_strict(year.cast("string"), "-", F.col("P_ID").cast("string"))
     return py.select(
         "per_Year", year_id.alias("Year_ID"), "P_ID",
         left(F.col("ProductName"), 15).alias("P_Name"),
@@ -117,12 +138,12 @@ def product_details(m: Marts) -> DataFrame:
         "SupplierID",
         left(F.col("_SupplierName"), 15).alias("Supplier_Name"),
         "Q_Sold", "P_Sales", "P_Discount", "P_Net_Sales",
-        money.ratio(F.col("P_Discount"), F.col("__year_discount")).alias("Discount_WA"),
-        money.ratio(F.col("P_Net_Sales"), F.col("__year_net_sales")).alias("NS_pct"),
+        money.ratio(F.col("P_Discount"), of_year(year, "discount")).alias("Discount_WA"),
+        money.ratio(F.col("P_Net_Sales"), of_year(year, "net_sales")).alias("NS_pct"),
         "P_Net_Profit",
         avg_sp.alias("Average_SP"),
         F.col("UnitPrice").alias("Updated_SP"),
-        money.ratio(F.col("P_Net_Sales"), F.col("__year_orders")).alias("SP_per_Order"),
+        money.ratio(F.col("P_Net_Sales"), of_year(year, "orders")).alias("SP_per_Order"),
         (F.col("UnitPrice").cast("double") - avg_sp).alias("Diff_SP"),
         F.col("UnitsInStock").alias("Q_Stock"),
         F.col("ReorderLevel").alias("Reorder_Level"),
@@ -131,16 +152,23 @@ def product_details(m: Marts) -> DataFrame:
     )
 
 
+@mart
+def product_names(m: Marts) -> DataFrame:
+    """Display names per product, joined where they are shown and no earlier."""
+    return product_dim(m).select(F.col("ProductID").alias("__n_P"), left(F.col("ProductName"), 15).alias("Product_Name"),
+                                 left(F.col("CategoryName"), 15).alias("Category"))
+
+
+def with_names(m: Marts, df: DataFrame, product: str = "Product_ID") -> DataFrame:
+    return df.join(product_names(m), F.col(product) == F.col("__n_P"), "left").drop("__n_P")
+
+
 @mart
 def product_fanout(m: Marts) -> DataFrame:
-    """Per product: its number of product-year rows in V11 (the fan-out factor
-    of the source's product-only join) and its display names, which are the
-    same on all those rows. V11 has exactly one row per V10 row."""
-    py = product_year(m)
-    return py.groupBy("P_ID").agg(
-        F.count(F.lit(1)).alias("__w"),
-        F.max(left(F.col("ProductName"), 15)).alias("Product_Name"),
-        F.max(left(F.col("CategoryName"), 15)).alias("Category"))
+    """Per product its number of product-year rows in V10, the fan-out factor of
+    the source's product-only join."""
+    years = revenue_lines(m).select("P_ID", F.year("O_Date").alias("per_Year")).distinct()
+    return years.groupBy(F.col("P_ID").alias("__f_P")).agg(F.count(F.lit(1)).alias("__w"))
 
 
 SHARED = {  # line measure -> (share column, order total column)
@@ -159,47 +187,72 @@ WEIGHTED_COLUMNS = [
 ]
 
 
+LINE_KEYS = ["O_ID", "P_ID", "O_Date", "_Freight", "Q", "SP", "Total_Sales", "Discount_Amount",
+             "Discount", "Detailed_Net_Sales", "Detailed_Net_Profit"]
+
+
+@mart
+def base_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
+    """The lines that V12 shows, with ``__copies``, how many lines of V1 each
+    stands for: identical lines of an order collapse in the source's DISTINCT
+    (``fanout=True``), and none do in the corrected form."""
+    rt = lines_in(m, slices) if slices else revenue_lines(m)
+    if fanout:
+        return rt.groupBy(*LINE_KEYS).agg(F.count(F.lit(1)).alias("__copies"))
+    return rt.select(*LINE_KEYS, F.lit(1).cast("bigint").alias("__copies"))
+
+
+@mart
+def order_product_sums(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
+    """Narrow (order, product) sums over all lines: in the fanned-out form, each
+    line counts once per product-year row."""
+    base = base_lines(m, fanout, slices)
+    sums = base.groupBy("O_ID", "P_ID").agg(
+        *[F.sum(F.col(c) * F.col("__copies")).alias(t) for c, (_, t) in SHARED.items()],
+        F.max("O_Date").alias("__date"), F.sum("Discount_Amount").alias("__discount"), F.sum("Detailed_Net_Sales").alias("__net_sales"))
+    if not fanout:
+        return sums
+    weighted = sums.join(product_fanout(m), F.col("P_ID") == F.col("__f_P"), "left")
+    weight = F.coalesce(F.col("__w"), F.lit(1))
+    return weighted.select("O_ID", "P_ID", *[(F.col(t) * weight).alias(t) for _, t in SHARED.values()], "__date", "__discount", "__net_sales")
+
+
+@mart
+def order_totals(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
+    """What an order's lines are divided by, one row per order; and its date and
+    the discounts and net sales of the lines shown."""
+    pairs = order_product_sums(m, fanout, slices)
+    return pairs.groupBy("O_ID").agg(*[F.sum(t).alias(t) for _, t in SHARED.values()], F.max("__date").alias("__date"),
+                                     F.sum("__discount").alias("__discount"), F.sum("__net_sales").alias("__net_sales"))
+
+
 @mart
-def weighted_lines(m: Marts, fanout: bool) -> DataFrame:
-    """Order lines with each measure's share of its order.
+def share_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
+    """Order lines with their order's totals, products as ids.
 
     ``fanout=True`` reproduces the source view: every line counts once per
     product-year row in the order totals, and identical lines of one order
-    collapse (DISTINCT). ``fanout=False`` is the corrected form.
-    """
-    rt = revenue_lines(m)
-    # Narrow (order, product) sums: grouped inside the order-id partitions.
-    pairs = rt.groupBy("O_ID", "P_ID").agg(*[F.sum(c).alias(f"__s_{c}") for c in SHARED])
-    pairs = pairs.join(product_fanout(m), "P_ID", "left")
-    weight = F.coalesce(F.col("__w"), F.lit(1)) if fanout else F.lit(1)
-    # Order totals as an aggregate (combined map-side) joined back to the
-    # narrow pairs: a hot order is split by AQE instead of landing in one task.
-    totals = pairs.groupBy("O_ID").agg(
-        *[F.sum(F.col(f"__s_{c}") * weight).alias(t) for c, (_, t) in SHARED.items()])
-    attrs = (pairs.select("O_ID", "P_ID", "Product_Name", "Category").join(totals, "O_ID", "left")
-             .withColumnsRenamed({"O_ID": "__a_O", "P_ID": "__a_P"}))
-    base = rt.select("O_ID", "P_ID", "O_Date", "_Freight", "Q", "SP", "Total_Sales", "Discount_Amount",
-                     "Discount", "Detailed_Net_Sales", "Detailed_Net_Profit")
-    if fanout:
-        # DISTINCT of the source view: names and order totals are functions of
-        # (order, product), so deduplicating the line columns first is the same
-        # set, with 11 keys instead of 21. Runs inside the order-id partitions.
-        base = base.distinct()
-    # Null-safe on the product id: a line without a product still gets its
-    # order's totals (its pair row has a NULL product id).
-    match = (F.col("O_ID") == F.col("__a_O")) & F.col("P_ID").eqNullSafe(F.col("__a_P"))
-    lines = base.join(attrs, match, "left").drop("__a_O", "__a_P")
-    out = lines.select(
+    collapse (DISTINCT). ``fanout=False`` is the corrected form. The totals are
+    an aggregate joined back, so a hot order is split by AQE instead of landing
+    in one window."""
+    totals = order_totals(m, fanout, slices).select(F.col("O_ID").alias("__t_O"), *[t for _, t in SHARED.values()])
+    lines = base_lines(m, fanout, slices).join(totals, F.col("O_ID") == F.col("__t_O"), "left").drop("__t_O")
+    return lines.select(
         F.col("O_Date").alias("Order_Date"),
         F.year("O_Date").alias("per_Year"),
         F.month("O_Date").alias("per_Month"),
         F.col("O_ID").alias("Order_ID"),
         F.col("P_ID").alias("Product_ID"),
-        "Product_Name", "Category",
         "Q", "SP", "Total_Sales", "Discount_Amount", "Discount",
         "Detailed_Net_Sales", "Detailed_Net_Profit",
-        "_Freight", *[t for _, t in SHARED.values()],
+        "_Freight", "__copies", *[t for _, t in SHARED.values()],
     )
+
+
+@mart
+def weighted_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
+    """Order lines with each measure's share of its order, and product names."""
+    out = with_names(m, share_lines(m, fanout, slices))
     for c, (wa, t) in SHARED.items():
         out = out.withColumn(wa, share(F.col(c), F.col(t), zero_guard=(wa == "WA_Discount")))
     return m.shared(out, "weighted_lines_fanout" if fanout else "weighted_lines", "Order_ID")
@@ -224,14 +277,25 @@ ALLOCATION_COLUMNS = [
 ]
 
 
-def _allocate(w: DataFrame) -> DataFrame:
+def allocated_freight() -> Column:
+    """A line's part of its order's freight, by quantity."""
     # round(Freight * Q / order quantity, 2) half up, on integers: Freight in
     # 1e-4 units times Q over (order quantity * 100) gives cents.
     cents = money.div_half_up(money.to_units(F.col("_Freight"), 4) * F.col("Q"), F.col("__t_Q") * F.lit(100))
-    year_id = concat_strict(F.col("per_Year").cast("string"), "-", F.col("Product_ID").cast("string"),
-                            left(F.col("Product_Name"), 2))
-    return w.select(year_id.alias("Year_ID"), *[c for c in ALLOCATION_COLUMNS[1:-1]],
-                    money.from_units(cents, 2).cast(money.MONEY).alias("Allocated_Freight"))
+    return money.from_units(cents, 2).cast(money.MONEY).alias("Allocated_Freight")
+
+
+def product_year_id() -> Column:
+    return concat_strict(F.col("per_Year").cast("string"), "-", F.col("Product_ID").cast("string"), left(F.col("Product_Name"), 2))
+
+
+def _allocate(w: DataFrame) -> DataFrame:
+    return w.select(product_year_id().alias("Year_ID"), *ALLOCATION_COLUMNS[1:-1], allocated_freight())
+
+
+def allocated_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
+    """V13 with products as ids: what the reports per product add up."""
+    return share_lines(m, fanout, slices).withColumn("Allocated_Freight", allocated_freight())
 
 
 @mart
@@ -248,7 +312,7 @@ def allocation_fixed(m: Marts) -> DataFrame:
 
 def allocation_slices(m: Marts, periods) -> DataFrame:
     """V13 rows without Discount in the given slices, as a set (UNION)."""
-    a = allocation(m).where(dates.in_any(F.col("Order_Date"), periods))
+    a = _allocate(weighted_lines(m, True, periods))
     return a.select(*[c for c in ALLOCATION_COLUMNS if c != "Discount"]).distinct()
 
 
@@ -280,17 +344,17 @@ def allocation_summary(m: Marts, frame: str = "cumulative") -> DataFrame:
     that year (cumulative, as the source's ordered window frame), money
     rounded half up to cents, quantity average truncated to an integer.
     ``frame="year"`` averages each year on its own (the stated intent)."""
-    a = allocation(m)
-    keys = ["Product_ID", "per_Year", "Year_ID", "Product_Name", "Category"]
+    a = allocated_lines(m, True)
     sums = {f"__u_{src}": F.sum(money.to_units(F.col(src), 4)) for src in set(SUMMARY_AVERAGES.values())}
     counts = {f"__n_{src}": F.count(src) for src in set(SUMMARY_AVERAGES.values())}
-    pre = a.groupBy(*keys).agg(F.sum("Q").alias("__q"), F.count("Q").alias("__nq"),
-                               *[v.alias(k) for k, v in sums.items()],
-                               *[v.alias(k) for k, v in counts.items()])
+    pre = a.groupBy("Product_ID", "per_Year").agg(F.sum("Q").alias("__q"), F.count("Q").alias("__nq"),
+                                                  *[v.alias(k) for k, v in sums.items()],
+                                                  *[v.alias(k) for k, v in counts.items()])
     run = (running_totals(pre, ["Product_ID"], "per_Year", ["__q", "__nq", *sums, *counts])
            if frame == "cumulative" else pre)
+    run = with_names(m, run)
     return run.select(
-        "per_Year", "Year_ID", "Product_ID", "Product_Name", "Category",
+        "per_Year", product_year_id().alias("Year_ID"), "Product_ID", "Product_Name", "Category",
         F.when(F.col("__nq") > 0, F.call_function("div", F.col("__q"), F.col("__nq"))).cast("int").alias("Quantity_SOld"),
         *[money.avg_rounded(F.col(f"__u_{src}"), F.col(f"__n_{src}"), 4, 2).cast(money.MONEY).alias(out)
           for out, src in SUMMARY_AVERAGES.items()],
@@ -300,22 +364,21 @@ def allocation_summary(m: Marts, frame: str = "cumulative") -> DataFrame:
 @mart
 def products_report(m: Marts) -> DataFrame:
     """Product-year totals over the (deduplicated) share rows."""
-    w = weighted_averages(m)
-    g = w.groupBy("per_Year", "Product_ID", "Product_Name", "Category").agg(
+    g = share_lines(m, True).groupBy("per_Year", "Product_ID").agg(
         F.sum("Q").alias("Q_Sold"),
         money.ratio(F.sum("SP"), F.count("SP")).alias("Avarage_SP"),
         F.sum("Discount_Amount").alias("Discount"),
         F.sum("Detailed_Net_Sales").alias("N_Sales"),
         F.sum("Detailed_Net_Profit").alias("N_Profit"))
     year_id = concat_lenient(F.col("per_Year").cast("string"), "-", F.col("Product_ID").cast("string"))
-    return g.select(year_id.alias("Year_ID"), "per_Year", "Product_ID", "Product_Name", "Category",
+    return with_names(m, g).select(year_id.alias("Year_ID"), "per_Year", "Product_ID", "Product_Name", "Category",
                     "Q_Sold", "Avarage_SP", "Discount", "N_Sales", "N_Profit")
 
 
 def discount_rates(m: Marts, period) -> DataFrame:
     """Sum of line discount rates per product within one slice."""
-    rt = revenue_transactions(m).where(period.contains(F.col("O_Date")))
-    return rt.groupBy("P_ID", F.year("O_Date").alias("per_Year")).agg(F.sum("Discount").alias("Discount_pct"))
+    halves = product_half_rollup(m, (period,))
+    return halves.groupBy("P_ID", F.floor(F.col("half") / 10).cast("int").alias("per_Year")).agg(F.sum("Rates").alias("Discount_pct"))
 
 
 @mart
@@ -353,10 +416,8 @@ def half_year_report(m: Marts, slices, tag: str, divisor_year: dict[int, int] |
     (default: its own slice). Discount_pct comes from the discount-rate sums of
     the same slice.
     """
-    alloc = allocation_fixed(m) if fixed_allocation else allocation(m)
-    a = alloc.where(dates.in_any(F.col("Order_Date"), slices))
-    keys = ["per_Year", "Product_ID", "Product_Name", "Category", "Year_ID"]
-    g = a.groupBy(*keys).agg(
+    fanout = not fixed_allocation
+    g = allocated_lines(m, fanout, slices).groupBy("per_Year", "Product_ID").agg(
         F.sum("Q").alias("Q_Sold"),
         F.count("Order_ID").alias("Assigned_Orders"),
         F.sum("SP").alias("__sp_sum"), F.count("SP").alias("__sp_n"),
@@ -365,33 +426,28 @@ def half_year_report(m: Marts, slices, tag: str, divisor_year: dict[int, int] |
         F.sum("Detailed_Net_Sales").alias("N_Sales"),
         F.count("Detailed_Net_Sales").alias("__ns_n"),
         F.sum("Detailed_Net_Profit").alias("Net_Profit"),
-        F.sum("Allocated_Freight").alias("Freight"))
-    # Discount-rate sums of each slice (one slice per year): one pass.
-    rates = (revenue_transactions(m).where(dates.in_any(F.col("O_Date"), slices))
-             .groupBy(F.col("P_ID").alias("Product_ID"), F.year("O_Date").alias("per_Year"))
-             .agg(F.sum("Discount").alias("Discount_pct")))
-    g = g.join(rates, ["Product_ID", "per_Year"], "left")
-    # Period divisors: one row per slice year.
-    orders = (order_lines(m).where(dates.in_any(F.col("O_Date"), slices))
-              .groupBy("per_Year").agg(F.count("O_ID").alias("__orders")))
-    sums = a.groupBy("per_Year").agg(F.sum("Discount_Amount").alias("__disc"),
-                                     F.sum("Detailed_Net_Sales").alias("__ns"))
-    div = sums.join(orders, "per_Year", "full")
-    mapping = divisor_year or {p.year: p.year for p in slices}
-    pairs = m.spark.createDataFrame([(int(k), int(v)) for k, v in mapping.items()], "per_Year int, __dy int")
-    div = F.broadcast(pairs).join(div.withColumnRenamed("per_Year", "__dy"), "__dy", "left").drop("__dy")
-    g = attach_period_totals(g, div, ["per_Year"])
+        F.sum("Allocated_Freight").alias("Freight"),
+        # The rates of all lines, also of those that collapsed.
+        F.sum(F.when(F.col("Product_ID").isNotNull(), F.col("Discount") * F.col("__copies"))).alias("Discount_pct"))
+    # Period divisors: one row per slice year, from the order totals.
+    div = order_totals(m, fanout, slices).groupBy(F.year("__date").alias("per_Year")).agg(
+        F.count("O_ID").alias("orders"), F.sum("__discount").alias("discount"), F.sum("__net_sales").alias("net_sales"))
+    of_period = period_lookup(div, "per_Year")
+    year = F.col("per_Year")
+    if divisor_year:
+        year = F.coalesce(*[F.when(F.col("per_Year") == k, F.lit(v)) for k, v in divisor_year.items()], year)
+    g = with_names(m, g).withColumn("Year_ID", product_year_id())
     return g.select(
         concat_strict(F.col("Year_ID"), tag).alias("Year_ID"),
         "per_Year", "Product_ID", "Product_Name", "Category", "Q_Sold", "Assigned_Orders",
-        money.ratio(F.col("N_Sales"), F.col("__orders")).alias("SP_Order"),
+        money.ratio(F.col("N_Sales"), of_period(year, "orders")).alias("SP_Order"),
         money.ratio(F.col("__sp_sum"), F.col("__sp_n")).alias("SP"),
         "Total_Sales", "Discount",
         money.cast_decimal(F.col("Discount_pct"), 2).alias("Discount_pct"),
-        money.ratio(F.col("Discount"), F.col("__disc")).alias("Discount_WA"),
+        money.ratio(F.col("Discount"), of_period(year, "discount")).alias("Discount_WA"),
         money.ratio(F.col("Discount"), F.col("Total_Sales")).alias("Deducted_DIscount_pct"),
         "N_Sales",
-        money.ratio(F.col("N_Sales"), F.col("__ns")).alias("NS_pct"),
+        money.ratio(F.col("N_Sales"), of_period(year, "net_sales")).alias("NS_pct"),
         money.ratio(F.col("N_Sales"), F.col("__ns_n")).alias("Avg_N_Sales"),
         "Net_Profit", "Freight",
     )
@@ -419,17 +475,15 @@ def p_sales_h1(m: Marts) -> DataFrame:
 @mart
 def category_performance(m: Marts) -> DataFrame:
     """Category-year totals and the share of the year's net sales."""
-    pdt = product_details(m)
-    g = pdt.groupBy("per_Year", "Category_ID", "Category").agg(
+    per_product = product_year(m)
+    g = per_product.groupBy("per_Year", F.col("CategoryID").alias("Category_ID"), left(F.col("CategoryName"), 15).alias("Category")).agg(
         F.sum("Q_Sold").alias("Category_Q_Sales"),
         F.sum("P_Sales").alias("Category_Sales"),
         F.sum("P_Discount").alias("Category_Discount"),
         F.sum("P_Net_Sales").alias("Category_N_Sales"),
         F.sum("P_Net_Profit").alias("Category_Net_Profit"))
-    # The year's net sales over V11 equal the V10 year totals: reuse those
-    # instead of deriving the product-detail plan a second time.
-    year = year_divisors(m).select("per_Year", F.col("__year_net_sales").alias("__year_ns"))
-    g = attach_period_totals(g, year, ["per_Year"])
+    # A year's net sales, over its categories' rows.
+    of_year = F.sum("Category_N_Sales").over(Window.partitionBy("per_Year"))
     return g.select("per_Year", "Category_ID", "Category", "Category_Q_Sales", "Category_Sales",
                     "Category_Discount", "Category_N_Sales", "Category_Net_Profit",
-                    money.ratio(F.col("Category_N_Sales"), F.col("__year_ns")).alias("NS_pct"))
+                    money.ratio(F.col("Category_N_Sales"), of_year).alias("NS_pct"))

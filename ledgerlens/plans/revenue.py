@@ -1,18 +1,19 @@
 """Line, order and month marts (V1 revenue lines, V2 order totals, V3 months).
 
-Partitioning note: the only line-level join is order details with the order
-header on OrderID. Customers are attached to the (much smaller) order header
-first, so the line table is shuffled exactly once, by order id, and every
-per-order aggregation downstream inherits that partitioning.
+Partitioning note: customers are attached to the order header, which is much
+smaller than the lines. V1 joins the lines to it on the order id. V2 needs no
+line-level join at all: measures depend on the line alone, so they are summed
+by order id first (combined map-side, by hash) and the header joins the sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, money
 from ledgerlens.plans.context import Marts, mart
+from ledgerlens.sources.line_store import HALF, read_line_store, write_line_store
 
 SHIPPED = "Shipped"
 IN_TRANSIT = "In_Transit"
@@ -32,35 +33,66 @@ def order_header(m: Marts) -> DataFrame:
     return o.join(c, "CustomerID", "left")
 
 
+def line_amounts() -> dict[str, Column]:
+    """Money of an order line: gross is price times quantity, net the rule of
+    ``money.net_sales``."""
+    gross = money.to_money(F.col("UnitPrice") * F.col("Quantity"))
+    net = money.net_from_gross(gross, F.col("Discount"))
+    return {
+        "Total_Sales": gross,
+        "Discount_Amount": money.discount_amount(gross, F.col("Discount")),
+        "Detailed_Net_Sales": net,
+        "Detailed_Net_Profit": money.margin(net),
+        "Expected_Profit": money.margin(gross),
+    }
+
+
+def header_columns(m: Marts) -> dict[str, Column]:
+    """What V1 and V2 take from the order header."""
+    return {
+        "O_Date": F.col("OrderDate"),
+        "Required_Date": F.col("RequiredDate"),
+        "Shipped_Date": dates.impute_date(F.col("ShippedDate"), F.col("OrderDate"), m.impute_days),
+        "C_ID": F.col("CustomerID"),
+        "Country": F.col("Country"),
+        "E_ID": F.col("EmployeeID"),
+        "ShipVia": F.col("ShipVia"),
+        "Shipping_Status": F.when(F.col("ShippedDate").isNull(), F.lit(IN_TRANSIT)).otherwise(F.lit(SHIPPED)),
+        "_Freight": F.col("Freight"),
+        "_CompanyName": F.col("_CompanyName"),
+    }
+
+
+def _joined_lines(m: Marts) -> DataFrame:
+    rt = m.t.order_details.join(order_header(m), "OrderID", "left")
+    columns = header_columns(m) | line_amounts() | {
+        "O_ID": F.col("OrderID"), "P_ID": F.col("ProductID"), "Q": F.col("Quantity"),
+        "SP": F.col("UnitPrice"), "Discount": F.col("Discount"),
+    }
+    names = [*REVENUE_COLUMNS, "_Freight", "_CompanyName"]
+    return rt.select(*[columns[c].alias(c) for c in names], dates.half_code(F.col("OrderDate")).alias(HALF))
+
+
 @mart
 def revenue_lines(m: Marts) -> DataFrame:
-    """V1 plus internal columns (``_Freight``, ``_CompanyName``) that later
-    marts would otherwise fetch by joining Orders/Customers again."""
-    rt = m.t.order_details.join(order_header(m), "OrderID", "left")
-    gross = F.col("ExtendedPrice")
-    net = money.net_from_gross(gross, F.col("Discount"))
-    return m.shared(rt.select(
-        F.col("OrderDate").alias("O_Date"),
-        F.col("RequiredDate").alias("Required_Date"),
-        dates.impute_date(F.col("ShippedDate"), F.col("OrderDate"), m.impute_days).alias("Shipped_Date"),
-        F.col("OrderID").alias("O_ID"),
-        F.col("CustomerID").alias("C_ID"),
-        F.col("Country"),
-        F.col("Discount"),
-        F.col("EmployeeID").alias("E_ID"),
-        F.col("ProductID").alias("P_ID"),
-        F.col("Quantity").alias("Q"),
-        F.col("UnitPrice").alias("SP"),
-        money.to_money(gross).alias("Total_Sales"),
-        money.discount_amount(gross, F.col("Discount")).alias("Discount_Amount"),
-        net.alias("Detailed_Net_Sales"),
-        money.margin(net).alias("Detailed_Net_Profit"),
-        money.margin(gross).alias("Expected_Profit"),
-        F.col("ShipVia"),
-        F.when(F.col("ShippedDate").isNull(), F.lit(IN_TRANSIT)).otherwise(F.lit(SHIPPED)).alias("Shipping_Status"),
-        F.col("Freight").alias("_Freight"),
-        F.col("_CompanyName"),
-    ), "revenue_lines", "O_ID")
+    """V1 plus internal columns (``_Freight``, ``_CompanyName``, ``_Half``) that
+    later marts would otherwise fetch by joining Orders/Customers again."""
+    lines = _joined_lines(m)
+    if m.line_store:
+        return read_line_store(m.spark, m.line_store, lines.schema)
+    return m.shared(lines, "revenue_lines", "O_ID")
+
+
+def store_lines(m: Marts, folder: str) -> str:
+    """Write V1's lines as a table partitioned by half-year (see ``line_store``)."""
+    return write_line_store(_joined_lines(m), folder)
+
+
+def lines_in(m: Marts, periods) -> DataFrame:
+    """V1's lines within calendar periods. The half-years are named as well, so
+    a stored table reads their folders only."""
+    rt = revenue_lines(m).where(dates.in_any(F.col("O_Date"), periods))
+    return rt.where(F.col(HALF).isin(sorted({h for p in periods for h in p.halves}))) if m.line_store else rt
 
 
 @mart
@@ -78,21 +110,17 @@ LINE_MEASURES = {
 }
 
 
-ORDER_ATTRIBUTES = ["O_Date", "Required_Date", "Shipped_Date", "C_ID", "E_ID", "_Freight",
-                    "Shipping_Status", "ShipVia", "Country", "_CompanyName"]
-
-
 @mart
 def order_rollup(m: Marts) -> DataFrame:
-    """Order grain with internal columns. The source groups by the order id
-    and ten order attributes; the attributes all come from the order's own
-    row, so grouping by the order id alone (attributes taken with ``max``,
-    which returns that single value) gives the same rows while hashing one
-    64-bit key. It runs inside the order-id partitions of the lines."""
-    rt = revenue_lines(m)
-    return m.shared(rt.groupBy("O_ID").agg(*[F.max(c).alias(c) for c in ORDER_ATTRIBUTES],
-                                           *[F.sum(c).alias(a) for c, a in LINE_MEASURES.items()]),
-                    "order_rollup", "O_ID")
+    """Order grain with internal columns. The source groups the joined lines by
+    the order id and ten order attributes; the attributes come from the order's
+    own row, so summing the lines by order id and joining the header to the
+    sums gives the same rows, hashes one number and sorts nothing."""
+    amounts = line_amounts() | {"Q": F.col("Quantity")}
+    sums = m.t.order_details.groupBy("OrderID").agg(*[F.sum(amounts[c]).alias(a) for c, a in LINE_MEASURES.items()])
+    joined = sums.join(order_header(m), "OrderID", "left")
+    return m.shared(joined.select(F.col("OrderID").alias("O_ID"), *[c.alias(n) for n, c in header_columns(m).items()],
+                                  *LINE_MEASURES.values()), "order_rollup", "O_ID")
 
 
 ORDER_COLUMNS = [

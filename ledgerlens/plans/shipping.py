@@ -3,12 +3,11 @@ reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, money
 from ledgerlens.functions.text import concat_strict, left
-from ledgerlens.operators.shares import attach_period_totals
 from ledgerlens.plans.context import Marts, mart
 from ledgerlens.plans.revenue import SHIPPED, order_lines
 
@@ -24,9 +23,7 @@ def shipping_report(m: Marts) -> DataFrame:
     """One row per order with its shipper and the on-time flag (shipped,
     and not after the required date)."""
     o = order_lines(m)
-    # Three shipping companies: a fixed, bounded broadcast.
-    s = F.broadcast(m.t.shippers.select(F.col("ShipperID").alias("ShipVia"),
-                                        F.col("CompanyName").alias("Shipping_Company")))
+    s = m.t.shippers.select(F.col("ShipperID").alias("ShipVia"), F.col("CompanyName").alias("Shipping_Company"))
     j = o.join(s, "ShipVia", "left")
     on_time = F.when((F.col("Shipped_Date") <= F.col("Required_Date")) & (F.col("Shipping_Status") == SHIPPED),
                      F.lit(1)).otherwise(F.lit(0))
@@ -47,8 +44,8 @@ def shipper_half_report(m: Marts, slices, tag: str) -> DataFrame:
         F.sum(money.to_units(F.col("Days_to_Ship"), 2)).alias("__days_units"),
         F.count("Days_to_Ship").alias("__days_n"),
         F.sum("Delivery_Status").alias("__on_time"))
-    tot = g.groupBy("per_Year").agg(F.sum("Shipping_Cost").alias("__period_freight"))
-    g = attach_period_totals(g, tot, ["per_Year"])
+    # A year's freight: over its shippers' rows, a handful.
+    g = g.withColumn("__period_freight", F.sum("Shipping_Cost").over(Window.partitionBy("per_Year")))
     on_time_pct = money.from_units(money.div_half_up(F.col("__on_time") * F.lit(10_000), F.col("Handeled_Orders")), 4)
     year_id = concat_strict(F.col("per_Year").cast("string"), f"{tag}-", left(F.col("Shipping_Company"), 1))
     return g.select(

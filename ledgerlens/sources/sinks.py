@@ -52,7 +52,9 @@ def save_bucketed(df: DataFrame, name: str, bucket_col: str, buckets: int | None
     survives executor loss (unlike cached blocks, nothing is recomputed).
     """
     spark = df.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        buckets = min(most, int(spark.conf.get("spark.sql.shuffle.partitions")))
     label = f"{name}_{uuid.uuid4().hex[:12]}"
     path = _join(root or table_root(spark), label)
     (df.write.mode("errorifexists").bucketBy(buckets, bucket_col).sortBy(bucket_col)

@@ -172,8 +172,7 @@ def products_from_raw(raw_part: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def customers_from_raw(raw_customer: DataFrame, raw_nation: DataFrame) -> DataFrame:
-    # nation has 25 rows by definition of the schema: a safe broadcast.
-    n = F.broadcast(raw_nation.select("n_nationkey", "n_name"))
+    n = raw_nation.select("n_nationkey", "n_name")
     c = raw_customer.join(n, raw_customer["c_nationkey"] == n["n_nationkey"], "left")
     return c.select(
         F.col("c_custkey").alias("CustomerID"),
