@@ -28,6 +28,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -36,6 +37,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import worker_object
+
 MAX_VOCABULARY_BYTES = 16 << 20
 #: Encoded words kept per worker: two generations of this many.
 CACHED_WORDS = 330_000
@@ -303,15 +306,23 @@ class OffsetTable:
         return whole[: len(whole) - self.separator].tobytes()
 
 
-_BUILT: dict[tuple[str, int], object] = {}
+class _Tables:
+    """Encoder and offset table of one vocabulary, built when first asked for."""
+
+    def __init__(self, raw: str) -> None:
+        self.raw = raw
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        return Encoder(json.loads(self.raw))
+
+    @cached_property
+    def offsets(self) -> OffsetTable:
+        return OffsetTable(json.loads(self.raw))
 
 
-def _built(kind: Callable, shared) -> object:
-    key = (kind.__name__, shared.id if hasattr(shared, "id") else id(shared))
-    if key not in _BUILT:
-        _BUILT.clear() if len(_BUILT) > 4 else None
-        _BUILT[key] = kind(json.loads(shared.value))
-    return _BUILT[key]
+def _tables(shared) -> _Tables:
+    return worker_object("bpe", shared, _Tables)
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -328,7 +339,7 @@ def encode_column(shared, text: Column | str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder = _built(Encoder, shared)
+        encoder = _tables(shared).encoder
         rows, sizes = [], []
         for t in texts:
             ids = encoder.encode(t.as_py())
@@ -346,7 +357,7 @@ def decode_column(shared, ids: Column | str) -> Column:
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        table = _built(OffsetTable, shared)
+        table = _tables(shared).offsets
         flat = rows.values.to_numpy(zero_copy_only=False)
         at = rows.offsets.to_numpy()
         gone = rows.is_null().to_pylist() if rows.null_count else None

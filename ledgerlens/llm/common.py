@@ -39,7 +39,7 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
 
 
 #: Of this worker: the one object built from a broadcast, by its kind.
-_BUILT: dict[str, tuple[str, object]] = {}
+_BUILT: dict[str, tuple[str, object, object]] = {}
 
 
 def worker_object(kind: str, shared, build: Callable[[object], object]) -> object:
@@ -49,7 +49,7 @@ def worker_object(kind: str, shared, build: Callable[[object], object]) -> objec
     key = f"{kind}-{getattr(shared, '_path', None) or id(shared)}"
     if kind not in _BUILT or _BUILT[kind][0] != key:
         _BUILT.clear()
-        _BUILT[kind] = key, build(shared.value)
+        _BUILT[kind] = key, build(shared.value), shared  # kept, so that its id stays its own
     return _BUILT[kind][1]
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize
+from ledgerlens.llm.common import materialize, worker_object
 
 UNKNOWN_LANGUAGE = "und"
 MAX_LANGUAGES = 64
@@ -295,8 +295,8 @@ def predict_column(spark: SparkSession, model: LanguageModel, text: Column | str
 
     @F.arrow_udf("lang string, score double")
     def predict(texts: pa.Array) -> pa.Array:
-        vocabulary, languages, probs = shared.value
-        scores_of = _scores(shared, vocabulary, probs)
+        languages = shared.value[1]
+        scores_of = worker_object("language", shared, lambda v: WordScores(v[0], v[2]))
         langs, scores = [], []
         rows = texts.to_pylist()
         for at in range(0, len(rows), 200):
@@ -343,18 +343,6 @@ class WordScores:
         return out
 
 
-_SCORES: dict[int, WordScores] = {}
-
-
-def _scores(shared, vocabulary: list[str], probs: np.ndarray) -> WordScores:
-    """This worker's word scores for one broadcast model."""
-    key = id(shared.value)
-    if key not in _SCORES:
-        _SCORES.clear()
-        _SCORES[key] = WordScores(vocabulary, probs)
-    return _SCORES[key]
-
-
 def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``df`` with columns ``lang_pred`` and ``lang_score``."""
     found = df.withColumn("lang_pred", predict_column(df.sparkSession, model, text))

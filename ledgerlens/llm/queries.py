@@ -295,7 +295,7 @@ OP2_SQL = """
 WITH l AS (
   SELECT doc_id, i, x, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS s
   FROM (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))),
-big AS (SELECT doc_id, i, s FROM l WHERE len(s) >= 5),
+big AS (SELECT doc_id, i, s FROM l WHERE len(s) >= 1),
 c AS (SELECT row_number() OVER (ORDER BY min((doc_id, i))) AS k, s, len(s) AS n, min((doc_id, i)) AS head FROM big GROUP BY s),
 w AS (SELECT k, n, unnest(s) AS w FROM c),
 f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
