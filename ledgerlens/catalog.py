@@ -128,7 +128,11 @@ GENERIC: dict[str, Builder] = {
     "join_natural_right": generic.join_natural_right,      # C5
     "join_natural_left": generic.join_natural_left,        # C6
     "join_natural_inner": growth.country_semi_annual,      # C7
+    "stored_slices": generic.stored_slices,                # B7 on a stored table
+    "product_period_rollup": product.product_period_rollup,  # D1 over grouping sets
     "agg_count": generic.order_counts_by_year,             # D2
+    "agg_ratio": generic.freight_share,                    # D6
+    "union_distinct": generic.union_distinct_slices,       # S3
     "agg_count_distinct": generic.distinct_customers_by_year,  # D3
     "sort_multi": generic.sort_multi,                      # S1
     "head_n": kpi.best_months,                             # S2
@@ -148,7 +152,6 @@ OPERATOR_COVERAGE = {
     "D1 agg_sum_group": "country_transactions",
     "D4 agg_avg": "products_report",
     "D5 agg_avg_int_trunc": "avg_days_to_ship, allocation_summary",
-    "D6 agg_ratio": "shipping_report_h2",
     "D7 agg_global": "orders_summary",
     "D8 distinct_rows": "weighted_averages, customer_classification",
     "D9 agg_conditional_count": "employee_performance",
@@ -159,7 +162,6 @@ OPERATOR_COVERAGE = {
     "W4 win_running_sum": "discount_96",
     "W5 win_min_over_group": "customer_classification",
     "W6 pct_change": "growth_long",
-    "S3 union_distinct": "allocation_h2",
     "S5 merge_halves": "actual_country_growth",
     "F1 net_sales": "scalar_functions, net_sales_sql_function, revenue_transactions",
     "F2 round_money": "scalar_functions, revenue_transactions, allocation_summary",

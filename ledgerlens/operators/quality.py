@@ -1,42 +1,58 @@
-"""Schema enforcement as data: NOT NULL, integer type and length rules.
+"""Table constraints: NOT NULL, integer and length rules, as counts and as a gate.
 
-The source tightens column types after loading a table (NOT NULL keys,
-INT, NVARCHAR(n)). Here each rule is counted in one aggregation pass and
-reported as rows; :func:`assert_clean` turns a report into a failure.
+The source tightens column types after loading a table (NOT NULL keys, INT,
+NVARCHAR(n)). :func:`null_report` and :func:`rule_report` count violations, all
+rules of a table in one aggregate. ``sources.sinks.publish_table`` enforces the
+same :class:`Rules` while it writes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def null_report(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
-    """One row per column: NULL count and row count (single scan)."""
-    aggs = [F.count(F.lit(1)).alias("__rows")] + [F.count_if(F.col(c).isNull()).alias(c) for c in cols]
-    g = df.agg(*aggs)
-    rows = [g.select(F.lit(table).alias("Table_Name"), F.lit(c).alias("Column_Name"),
-                     F.col(c).alias("Null_Count"), F.col("__rows").alias("Row_Count")) for c in cols]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+@dataclass(frozen=True)
+class Rules:
+    """Constraints of one table: columns that hold no NULL, columns stored as
+    INT, and the longest text of columns."""
 
+    not_null: Sequence[str] = ()
+    ints: Sequence[str] = ()
+    max_len: Mapping[str, int] = field(default_factory=dict)
 
-def rule_report(df: DataFrame, table: str, int_cols: list[str] = (),
-                max_len: dict[str, int] | None = None) -> DataFrame:
+    def column_type(self, name: str, stored: str) -> str:
+        """A column's type in the table's definition."""
+        kind = "INT" if name in self.ints else f"VARCHAR({self.max_len[name]})" if name in self.max_len else stored
+        return kind + (" NOT NULL" if name in self.not_null else "")
+
+
+def _counted(df: DataFrame, table: str, checks: list[tuple[dict[str, str], Column]], into: str, rows: bool = False) -> DataFrame:
+    """A row for each check, with the number of rows for which it holds: one
+    aggregate over the table, its counts laid out as rows."""
+    counts = [F.count_if(condition).alias(f"n{i}") for i, (_, condition) in enumerate(checks)]
+    one = df.agg(F.count(F.lit(1)).alias("all"), *counts)
+    cells = [
+        F.struct(F.lit(table).alias("Table_Name"), *[F.lit(v).alias(k) for k, v in labels.items()], F.col(f"n{i}").alias(into), *([F.col("all").alias("Row_Count")] if rows else []))
+        for i, (labels, _) in enumerate(checks)
+    ]
+    return one.select(F.inline(F.array(*cells)))
+
+
+def null_report(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
+    """One row per column: NULL count and row count."""
+    return _counted(df, table, [({"Column_Name": c}, F.col(c).isNull()) for c in cols], "Null_Count", rows=True)
+
+
+def rule_report(df: DataFrame, table: str, int_cols: Sequence[str] = (), max_len: Mapping[str, int] | None = None) -> DataFrame:
     """Violations of ``INT`` (value not representable as a 32-bit integer) and
     ``NVARCHAR(n)`` (longer than n characters) rules, one row per rule."""
-    checks: list[tuple[str, str, object]] = []
-    for c in int_cols:
-        bad = F.col(c).isNotNull() & F.col(c).cast("string").try_cast("int").isNull()
-        checks.append((c, "INT", bad))
-    for c, n in (max_len or {}).items():
-        checks.append((c, f"NVARCHAR({n})", F.length(F.col(c)) > F.lit(n)))
-    aggs = [F.count_if(cond).alias(f"__v{i}") for i, (_, _, cond) in enumerate(checks)]
-    g = df.agg(*aggs)
-    rows = [g.select(F.lit(table).alias("Table_Name"), F.lit(c).alias("Column_Name"), F.lit(rule).alias("Rule"),
-                     F.col(f"__v{i}").alias("Violations")) for i, (c, rule, _) in enumerate(checks)]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    checks = [({"Column_Name": c, "Rule": "INT"}, F.col(c).isNotNull() & F.col(c).cast("string").try_cast("int").isNull()) for c in int_cols]
+    checks += [({"Column_Name": c, "Rule": f"NVARCHAR({n})"}, F.length(c) > F.lit(n)) for c, n in (max_len or {}).items()]
+    return _counted(df, table, checks, "Violations")
 
 
 def assert_clean(report: DataFrame, count_col: str) -> None:

@@ -83,6 +83,10 @@ def revenue_lines(m: Marts) -> DataFrame:
     return m.shared(lines, "revenue_lines", "O_ID")
 
 
+def lines_schema(m: Marts):
+    return _joined_lines(m).schema
+
+
 def store_lines(m: Marts, folder: str) -> str:
     """Write V1's lines as a table partitioned by half-year (see ``line_store``)."""
     return write_line_store(_joined_lines(m), folder)

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ledgerlens.plans import country, customer, employee, growth, product, revenue, shipping
+from ledgerlens.operators.quality import Rules
 from ledgerlens.plans.context import Marts
+from ledgerlens.sources.sinks import publish_table
 
 # The source's view and table names (spelling as in the source).
 SOURCE_NAMES = {
@@ -67,9 +69,17 @@ def register_views(m: Marts, names=None) -> list[str]:
 GROWTH_TABLES = ("Country_Growth", "Actual_Country_Growth", "Product_Growth", "Actual_Product_Growth")
 
 
-def save_growth_tables(m: Marts, root: str | None = None, mode: str = "errorifexists") -> dict[str, str]:
-    """Store the four growth tables as parquet tables (like the notebook's
-    ``to_sql``: fails if a table exists unless ``mode`` says otherwise).
-    Returns table name -> path."""
-    from ledgerlens.sources.sinks import save_table
-    return {name: save_table(SOURCE_NAMES[name](m), name, root=root, mode=mode) for name in GROWTH_TABLES}
+# The constraints that the source puts on its stored growth tables.
+GROWTH_RULES = {
+    "Country_Growth": Rules(("Country",), (), {"Country": 15}),
+    "Actual_Country_Growth": Rules(("Country",), (), {"Country": 15}),
+    "Product_Growth": Rules(("Product_ID", "Product_Name", "Category"), ("Product_ID",), {"Product_Name": 40, "Category": 15}),
+    "Actual_Product_Growth": Rules(("Product_ID", "Product_Name", "Category"), ("Product_ID",), {"Product_Name": 40, "Category": 15}),
+}
+
+
+def save_growth_tables(m: Marts, root: str | None = None) -> dict[str, str]:
+    """Store the four growth tables in the catalog, under their constraints. A
+    table that exists or whose rows break a rule fails, and is not published.
+    Returns table name -> folder."""
+    return {name: publish_table(SOURCE_NAMES[name](m), name, GROWTH_RULES[name], root) for name in GROWTH_TABLES}

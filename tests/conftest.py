@@ -10,24 +10,17 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql.types import (DateType, DecimalType, IntegerType, LongType, StringType,  # noqa: E402
                                StructField, StructType)
 
 from ledgerlens.plans.context import Marts  # noqa: E402
+from ledgerlens.session import build_session  # noqa: E402
 from ledgerlens.sources.tables import SalesTables, employees_df, shippers_df  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    s = (SparkSession.builder.master("local[4]").appName("ledgerlens-tests")
-         .config("spark.sql.shuffle.partitions", "8")
-         .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.adaptive.enabled", "true")
-         .getOrCreate())
-    s.sparkContext.setLogLevel("ERROR")
+    s = build_session("local[4]", app="ledgerlens-tests", shuffle_partitions=8)
     yield s
     s.stop()
 
