@@ -80,6 +80,8 @@ class Tokenizers:
         self.b_texts = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes = np.array([len(t) for t in self.a_texts], np.int64)
         self.b_sizes = np.array([len(t) for t in self.b_texts], np.int64)
+        self.a_at, self.b_at = np.cumsum(self.a_sizes) - self.a_sizes, np.cumsum(self.b_sizes) - self.b_sizes
+        self.a_bytes, self.b_bytes = np.frombuffer(b"".join(self.a_texts), np.uint8), np.frombuffer(b"".join(self.b_texts), np.uint8)
         self.encode_a = self._ranked(tree) or self._library(spec)
         # No piece has a blank behind another character, and texts are not rewritten.
         plain = b"identity" in model and not any("▁" in p.lstrip("▁") for p in pieces)
@@ -131,8 +133,12 @@ class Tokenizers:
         return [*out, text[start:]]
 
     def learn(self, stretches: set[str]) -> None:
-        """Encode stretches not met before."""
+        """Encode stretches not met before: those that may stand side by side as
+        one text, the others one by one."""
         new = [s for s in stretches if s not in self.a_ids]
+        whole = [s for s in new if not (s[0].isspace() or s[-1].isspace())] if self.splits else []
+        if whole and self._learn_joined(whole):
+            new = [s for s in new if s not in self.a_ids]
         if not new:
             return
         for s, a, b in zip(new, self.encode_a([" " + s for s in new]), self.b.encode(new, num_threads=1), strict=True):
@@ -142,6 +148,33 @@ class Tokenizers:
                 a, b = [], []
             self.a_ids[s], self.b_ids[s] = np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()
 
+    def _learn_joined(self, stretches: list[str]) -> bool:
+        """Ids of stretches from one encoding of all; False, and nothing learned,
+        unless both tokenizers give back every byte and end where each ends."""
+        text = " ".join(stretches)
+        raw = np.frombuffer((" " + text).encode(), np.uint8)
+        stops = np.cumsum([len(s.encode()) + 1 for s in stretches])
+        slices = []
+        for ids, sizes, at, pool in (
+            (self.encode_a([" " + text])[0], self.a_sizes, self.a_at, self.a_bytes),
+            (self.b.encode(text), self.b_sizes, self.b_at, self.b_bytes),
+        ):
+            ids = np.array(ids, np.int64)
+            size = sizes[ids]
+            ends = np.cumsum(size)
+            if not len(ids) or ends[-1] != len(raw):
+                return False
+            if (pool[np.arange(ends[-1]) + np.repeat(at[ids] - (ends - size), size)] != raw).any():
+                return False
+            last = np.searchsorted(ends, stops)
+            if (ends[last] != stops).any():
+                return False
+            cuts = [0, *((last + 1) * np.dtype(self.kind).itemsize).tolist()]
+            slices.append((ids.astype(self.kind).tobytes(), cuts))
+        for known, (ids, cuts) in zip((self.a_ids, self.b_ids), slices, strict=True):
+            known.update(zip(stretches, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        return True
+
     def forget(self, stretches: set[str]) -> None:
         """Keep what is cached within its bounds."""
         if len(self.a_ids) > CACHED:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at a time by the vectorised passes (one text at least).
@@ -15,6 +17,23 @@ CHUNK_BYTES = 2 << 20
 PIECE_BYTES = 1 << 20
 
 
+def _give_back() -> None:
+    """Let this process return large arrays to the system when they are freed.
+    The C library otherwise raises the size from which it does so to that of the
+    largest array it has met, and a worker keeps its peak for good. Where there
+    is no such setting nothing changes."""
+    try:
+        setting = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    setting(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    setting(-1, 8 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +57,20 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names under unused ones, and the renaming
+    that brings them back (for ``withColumnsRenamed``)."""
+    taken, back = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            n = 0
+            while (free := f"_aside{n}") in taken:
+                n += 1
+            taken.add(free)
+            back[free] = c
+    return df.withColumnsRenamed({c: free for free, c in back.items()}), back
+
+
 #: Of this worker: the one object built from a broadcast, by its kind.
 _BUILT: dict[str, tuple[str, object, object]] = {}
 

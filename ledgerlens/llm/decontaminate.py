@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, text_bytes
+from ledgerlens.llm.common import materialize, set_aside, text_bytes
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -167,12 +167,18 @@ def _digest(texts: Column) -> Column:
     return digest(texts)
 
 
+RESULTS = ("n_words", "n_hit", "hit_spans", "item_ids", "contaminated")
+INTERNAL = ("_m", "_d", "_n", "_s", "_i", "_hid", "_hd")
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id",
     item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_spans`` (word ranges),
-    ``item_ids`` (ascending) and ``contaminated``."""
+    ``item_ids`` (ascending) and ``contaminated``; columns of these names are
+    replaced."""
+    docs, back = set_aside(docs.drop(*RESULTS), *INTERNAL)
     sc = docs.sparkSession.sparkContext
     parts = blocks(items, item_id, item_text, block_bytes)
 
@@ -192,7 +198,8 @@ def contamination(
     else:
         hits = _in_blocks(docs, [first, second], parts, index, text, doc_id)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return hits.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+    found = hits.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+    return found.withColumnsRenamed(back)
 
 
 def _in_blocks(docs, first, rest, index, text, doc_id) -> DataFrame:
@@ -222,4 +229,5 @@ def _in_blocks(docs, first, rest, index, text, doc_id) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """The documents that are not contaminated, columns as they were."""
-    return contamination(docs, items, **kw).where(~F.col("contaminated")).select(*docs.columns)
+    rows, back = set_aside(docs, *RESULTS)
+    return contamination(rows, items, **kw).where(~F.col("contaminated")).select(*rows.columns).withColumnsRenamed(back)

@@ -12,9 +12,10 @@ summed by (language, word) and kept as a table, so a round of EM reads
 distinct words, and only sums by (language, piece), bounded by the vocabulary
 times ``MAX_LANGUAGES``, reach the driver.
 
-Words are maximal runs of letters in lower case; a word of more than
-``LONGEST`` letters is scored in stretches of that many. A character outside
-the vocabulary is a piece of its own, all such sharing one probability.
+Words are maximal runs of letters, with the marks that follow them, in lower
+case. Words of more than ``LONGEST`` characters are walked letter by letter with
+logarithms, so that no length underflows. A character outside the vocabulary is
+a piece of its own, all such sharing one probability.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 ties go to the language first in order; training rows with null text or null
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,16 +53,19 @@ BATCH = 20_000
 #: Scored words kept per worker.
 CACHED = 500_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that follow them.
+_LETTERS = regex.compile(r"(?:\p{L}\p{M}*+)++")
+#: The same, and faster, for texts of the blocks up to U+024F and some signs: all
+#: that counts as a word character there, but for digits, powers and fractions.
+_LATIN = re.compile("[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+_BEYOND_LATIN = re.compile("[^\\x00-\u024f\u2010-\u2027\u20ac]")
 
 
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
-    found = _LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) > LONGEST:
-        found = [w[i:i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    text = text.lower()
+    return (_LETTERS if _BEYOND_LATIN.search(text) else _LATIN).findall(text)
 
 
 @dataclass
@@ -149,10 +154,32 @@ def forward(ids: np.ndarray, sizes: np.ndarray, probs: np.ndarray) -> np.ndarray
     return alpha
 
 
+def long_forward(ids: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log alpha[i, k] of one word of any length. ids: its lattice, (length,
+    letter); logs: the logarithms of probs."""
+    longest, width = ids.shape
+    out = np.zeros((width + 1, logs.shape[1]))
+    for i in range(1, width + 1):
+        n = np.arange(min(longest, i))
+        ways = out[i - 1 - n] + logs[ids[n, i - 1 - n]]
+        most = ways.max(axis=0)
+        out[i] = most + np.log(np.exp(ways - most).sum(axis=0))
+    return out
+
+
+def _logs(probs: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(probs)
+
+
 def word_logs(pieces: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray:
     """log likelihood of each word (rows) under each model (columns)."""
     out = np.empty((len(words), probs.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    order = sorted((i for i in range(len(words)) if len(words[i]) <= LONGEST), key=lambda i: len(words[i]))
+    if len(order) < len(words):
+        logs = _logs(probs)
+        for i in (i for i in range(len(words)) if len(words[i]) > LONGEST):
+            out[i] = long_forward(pieces.lattice([words[i]])[0][:, 0], logs)[-1]
     for at in range(0, len(order), BATCH):
         part = order[at:at + BATCH]
         ids, sizes = pieces.lattice([words[i] for i in part])
@@ -164,8 +191,12 @@ def word_logs(pieces: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray
 def expected_counts(pieces: Pieces, probs: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected piece counts of words that occur ``counts`` times, one model."""
     total = np.zeros(len(pieces.texts) + 1)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    order = sorted((i for i in range(len(words)) if len(words[i]) <= LONGEST), key=lambda i: len(words[i]))
     one = probs[:, None]
+    if len(order) < len(words):
+        logs = _logs(one)
+        for i in (i for i in range(len(words)) if len(words[i]) > LONGEST):
+            total += _long_counts(pieces.lattice([words[i]])[0][:, 0], logs, len(total)) * counts[i]
     for at in range(0, len(order), BATCH):
         part = order[at:at + BATCH]
         ids, sizes = pieces.lattice([words[i] for i in part])
@@ -188,6 +219,23 @@ def expected_counts(pieces: Pieces, probs: np.ndarray, words: list[str], counts:
     return total
 
 
+def _long_counts(ids: np.ndarray, logs: np.ndarray, size: int) -> np.ndarray:
+    """Expected piece counts of one word of any length, one model."""
+    longest, width = ids.shape
+    alpha, logs = long_forward(ids, logs)[:, 0], logs[:, 0]
+    beta = np.zeros(width + 1)
+    for i in range(width - 1, -1, -1):
+        n = np.arange(min(longest, width - i))
+        ways = logs[ids[n, i]] + beta[i + 1 + n]
+        beta[i] = ways.max() + np.log(np.exp(ways - ways.max()).sum())
+    total = np.zeros(size)
+    for n in range(longest):
+        at = np.flatnonzero(ids[n, :width - n] >= 0)
+        edge = ids[n, at]
+        total += np.bincount(edge, np.exp(alpha[at] + logs[edge] + beta[at + n + 1] - alpha[-1]), minlength=size)
+    return total
+
+
 def load_pieces(path: str) -> list[str]:
     """The letter strings of a SentencePiece vocabulary, lower case, once each."""
     import sentencepiece

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import chunks, hash_words, materialize, mix, text_bytes
+from ledgerlens.llm.common import chunks, hash_words, materialize, mix, set_aside, text_bytes
 from ledgerlens.llm.ngram_join import _bit_table, in_table, suspect_column, text_digest
 from ledgerlens.llm.setjoin import distinct_sorted, sums
 
@@ -442,7 +442,8 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     gone = repeated_lines(docs, doc_id, text, **kw).groupBy(F.col("doc_id").alias("_id"), F.col("td").alias("_td")).agg(F.collect_list("line").alias("_gone"))
     gone = materialize(gone, "lines-gone")
     table = spark.sparkContext.broadcast(_bit_table(gone.select(F.col("_td").alias("d1"))))
-    kept = [c for c in docs.columns if c != count]
+    docs, back = set_aside(docs.drop(count) if count else docs, "_own_td", "_suspect", "_cut", "_id", "_td", "_gone")
+    kept = docs.columns
     marked = docs.select(*kept).withColumn("_own_td", text_digest(F.col(text))).withColumn("_suspect", suspect_column(table, F.col("_own_td")))
     none = F.lit(0).cast("long")
     clear = marked.where(~F.col("_suspect")).select(*kept, none.alias("_cut"))
@@ -453,4 +454,4 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     out = clear.unionByName(changed)
     if "n_chars" in kept:
         out = out.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumnRenamed("_cut", count) if count else out.drop("_cut")
+    return (out.withColumnRenamed("_cut", count) if count else out.drop("_cut")).withColumnsRenamed(back)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import chunks, hash_words, materialize, mix, text_bytes
+from ledgerlens.llm.common import chunks, hash_words, materialize, mix, set_aside, text_bytes
 from ledgerlens.llm.components import components
 from ledgerlens.llm.setjoin import block_keys, distinct_sorted, sums, threshold
 
@@ -348,9 +348,10 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFra
     """``docs`` less the rows with (id, text digest) in ``gone`` (_id, _td). Only
     rows whose digest is in the bit table of ``gone`` are shuffled."""
     spark = docs.sparkSession
+    docs, back = set_aside(docs, "_own_td", "_suspect", "_id", "_td")
     table = spark.sparkContext.broadcast(_bit_table(gone.select(F.col("_td").alias("d1"))))
     marked = docs.withColumn("_own_td", text_digest(F.col(text))).withColumn("_suspect", suspect_column(table, F.col("_own_td")))
     clear = marked.where(~F.col("_suspect")).select(*docs.columns)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_td") == F.col("_td"))
     checked = marked.where(F.col("_suspect")).join(gone, same, "left_anti").select(*docs.columns)
-    return clear.unionByName(checked)
+    return clear.unionByName(checked).withColumnsRenamed(back)

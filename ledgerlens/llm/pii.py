@@ -245,12 +245,18 @@ _AT_WORDS = r"at|arroba|arobase|chez"
 _DOT_WORDS = r"dot|point|punkt|punto"
 _BRACKETED = re.compile(rf"\x20?[\[({{<][\x20]*(?:({_AT_WORDS}|@)|({_DOT_WORDS}|\.))[\x20]*[\])}}>][\x20]*", re.I)
 _DASHED = re.compile(rf"\x20?([-_*/|~])(?:({_AT_WORDS})|({_DOT_WORDS}))\1[\x20]*", re.I)
-#: "name at host dot tld", any number of parts: at least one dot word after the at.
+#: "name at host dot tld", any number of parts: at least one dot word after the
+#: at. Found from the at, which has its own names before and behind it up to the
+#: next at, so that long chains of dots are walked once.
 _LABEL = r"[A-Za-z0-9-]+"
-_PLAIN_AT = re.compile(
-    rf"(?<![\w.%+-])[A-Za-z0-9._%+-]+(?:\x20(?:{_DOT_WORDS})\x20[A-Za-z0-9._%+-]+)*\x20?(\x20(?:{_AT_WORDS})\x20|\x20?@\x20?)\x20?{_LABEL}(?:(?:\x20(?:{_DOT_WORDS})\x20|\x20?\.\x20?){_LABEL})*?(?:\x20(?:{_DOT_WORDS})\x20)[A-Za-z]{{2,}}(?:\x20(?:{_DOT_WORDS})\x20[A-Za-z]{{2,}})*(?!\w)",
-    re.I,
+_NAME = r"[A-Za-z0-9._%+-]+"
+_PLAIN_SIGN = re.compile(rf"(?=(\x20(?:{_AT_WORDS})\x20))|@", re.I)
+_PLAIN_HOST = re.compile(
+    rf"{_LABEL}(?:(?:\x20(?:{_DOT_WORDS})\x20|\x20?\.\x20?){_LABEL})*?(?:\x20(?:{_DOT_WORDS})\x20)[A-Za-z]{{2,}}(?:\x20(?:{_DOT_WORDS})\x20[A-Za-z]{{2,}})*(?!\w)", re.I
 )
+#: The names before the at, in a text read backwards.
+_EMAN = re.compile(rf"{_NAME}(?:\x20(?:{'|'.join(w[::-1] for w in _DOT_WORDS.split('|'))})\x20{_NAME})*", re.I)
+_NAME_EDGE = re.compile(r"[\w.%+-]")
 #: Endings that make "name at host.tld" an address.
 _COMMON_TLD = r"com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|us|ch|at|nl|it|ru|cn|jp|br|ca|au|in|test|example"
 _HALF_AT = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]+(\x20(?:{_AT_WORDS})\x20){_LABEL}(?:\.{_LABEL})*\.(?:{_COMMON_TLD})(?![\w-])", re.I)
@@ -269,6 +275,30 @@ _TLD_HINT = re.compile(rf"\.(?:{_COMMON_TLD})(?![\w-])", re.I)
 _GAP_HINT = re.compile(r"\.\x20?[0-9]")
 
 
+def _plain_addresses(text: str) -> list[tuple[int, int]]:
+    """Where a name, an at, and a host with a dot word stand, left to right."""
+    found: list[tuple[int, int]] = []
+    back, size, done = text[::-1], len(text), 0
+    for m in _PLAIN_SIGN.finditer(text):
+        # An at word has a blank on either side, and may have one more; an @ up to two.
+        at, end, room = (m.start(), m.end(1), 1) if m[1] else (m.start(), m.end(), 2)
+        at -= room - len(text[max(0, at - room):at].rstrip(" ")) if at >= room else 0
+        end += room - len(text[end:end + room].lstrip(" ")) if end + room <= size else 0
+        names = _EMAN.match(back, size - at)
+        host = _PLAIN_HOST.match(text, end) if names else None
+        if not host:
+            continue
+        start = size - names.end()
+        # The first name must not be the end of something longer, nor of the last address.
+        while start < at and (start < done or (start and _NAME_EDGE.match(text[start - 1]))):
+            dot = _DOT_IN.search(text, start, at)
+            start = dot.end() if dot else at
+        if start < at:
+            found.append((start, host.end()))
+            done = host.end()
+    return found
+
+
 def disguised_signs(text: str) -> list[tuple[int, int, str]]:
     words = plain_words(text)
     has_at, has_dot, sign = not _AT_BYTES.isdisjoint(words), not _DOT_BYTES.isdisjoint(words), "@" in text
@@ -277,9 +307,9 @@ def disguised_signs(text: str) -> list[tuple[int, int, str]]:
         edits += [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
         edits += [(m.start(), m.end(), "@" if m[2] else ".") for m in _DASHED.finditer(text)]
     if has_dot and (has_at or sign):
-        for m in _PLAIN_AT.finditer(text):
-            edits += [(x.start(), x.end(), "@") for x in _AT_IN.finditer(text, m.start(), m.end())]
-            edits += [(x.start(), x.end(), ".") for x in _DOT_IN.finditer(text, m.start(), m.end())]
+        for start, end in _plain_addresses(text):
+            edits += [(x.start(), x.end(), "@") for x in _AT_IN.finditer(text, start, end)]
+            edits += [(x.start(), x.end(), ".") for x in _DOT_IN.finditer(text, start, end)]
     if has_at and _TLD_HINT.search(text):
         edits += [(*m.span(1), "@") for m in _HALF_AT.finditer(text)]
     if sign and (" @" in text or "@ " in text or " . " in text):
