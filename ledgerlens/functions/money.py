@@ -19,6 +19,7 @@ from pyspark.sql.types import DecimalType
 
 MONEY = DecimalType(18, 4)
 RATE = DecimalType(9, 4)
+MONEY_SUM = DecimalType(28, 4)
 
 # The modelled business rules.
 PROFIT_MARGIN = Decimal("0.07")   # profit is 7 % of net sales (and of gross for expected profit)
@@ -58,6 +59,34 @@ def discount_amount(gross: Column, discount: Column) -> Column:
     return round_money(gross * discount)
 
 
+def line_units(price: Column, quantity: Column, discount: Column) -> dict[str, Column]:
+    """A line's money as integers, from its unit price and discount rate in units
+    of 10^-4: gross in 10^-4, the others in cents. The rules are those of
+    ``net_sales``, ``discount_amount`` and ``margin``, without a decimal
+    in between, so that sums of lines stay in generated code."""
+    gross = price.cast("bigint") * quantity
+    net = div_half_up(gross * (F.lit(10_000) - discount), F.lit(10 ** 6))
+    percent = int(PROFIT_MARGIN * 100)
+    return {
+        "gross": gross,
+        "off": div_half_up(gross * discount, F.lit(10 ** 6)),
+        "net": net,
+        "profit": div_half_up(net * percent, F.lit(100)),
+        "expected": div_half_up(gross * percent, F.lit(10 ** 4)),
+    }
+
+
+def sum_units(units: Column, scale: int) -> Column:
+    """Sum of integers of 10^-scale units as DECIMAL(28,4). Cents are added up as
+    they are; finer units as cents and the rest of a cent, so that the sum
+    has room for 9 * 10^16 (Spark raises beyond it)."""
+    if scale <= MONEY_SCALE:
+        return from_units(F.sum(units), scale, 28).cast(MONEY_SUM)
+    step = F.lit(10 ** (scale - MONEY_SCALE))
+    whole, rest = F.sum(F.call_function("div", units, step)), F.sum(units % step)
+    return (from_units(whole, MONEY_SCALE, 28) + from_units(rest, scale, 28)).cast(MONEY_SUM)
+
+
 def margin(amount: Column, rate: Decimal = PROFIT_MARGIN) -> Column:
     """Profit at a fixed margin, rounded per line."""
     return round_money(amount * dec(rate))

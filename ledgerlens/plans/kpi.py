@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import money
 from ledgerlens.operators.ranking import top1, top1_per_group
 from ledgerlens.plans.context import Marts
 from ledgerlens.plans.country import country_transactions
@@ -139,7 +140,8 @@ def stock_status_mix(m: Marts) -> DataFrame:
 def top_category(m: Marts) -> DataFrame:
     """Category totals over all years including allocated freight; the
     best category by net sales."""
-    per_product = allocated_lines(m, True).groupBy("Product_ID").agg(F.sum("Allocated_Freight").alias("Freight"))
+    per_product = allocated_lines(m, True).groupBy("Product_ID").agg(
+        money.sum_units(F.col("__u_Allocated_Freight"), 2).alias("Freight"))
     a = with_names(m, per_product).groupBy("Category").agg(F.sum("Freight").alias("Freight"))
     c = category_performance(m).groupBy("Category").agg(
         F.sum("Category_N_Sales").alias("Net_Sales"),

@@ -22,7 +22,7 @@ from ledgerlens.functions.text import concat_lenient, concat_strict, left
 from ledgerlens.operators.running import running_totals
 from ledgerlens.operators.shares import period_lookup, share
 from ledgerlens.plans.context import Marts, mart
-from ledgerlens.plans.revenue import lines_in, order_lines, revenue_lines
+from ledgerlens.plans.revenue import line_amounts, lines_in, order_lines, revenue_lines
 from ledgerlens.sources.line_store import HALF
 
 # Stock classes (fixed values).
@@ -59,13 +59,14 @@ def product_half_rollup(m: Marts, periods: tuple = ()) -> DataFrame:
     """Line measures summed per product and half-year: the one pass over the
     lines behind V10, V11, V18-V21 and V24. ``periods`` limits it to slices."""
     rt = lines_in(m, periods) if periods else revenue_lines(m)
+    units = line_amounts(quantity="Q")
     return rt.groupBy("P_ID", F.col(HALF).alias("half")).agg(
         F.sum("Q").alias("Q_Sold"),
-        F.sum("Total_Sales").alias("P_Sales"),
-        F.sum("Discount_Amount").alias("P_Discount"),
-        F.sum("Detailed_Net_Sales").alias("P_Net_Sales"),
-        F.sum("Detailed_Net_Profit").alias("P_Net_Profit"),
-        F.sum("Discount").alias("Rates"),
+        money.sum_units(units["gross"], 4).alias("P_Sales"),
+        money.sum_units(units["off"], 2).alias("P_Discount"),
+        money.sum_units(units["net"], 2).alias("P_Net_Sales"),
+        money.sum_units(units["profit"], 2).alias("P_Net_Profit"),
+        money.sum_units(F.col("_rate"), 4).alias("Rates"),
     )
 
 
@@ -97,9 +98,10 @@ def product_transactions(m: Marts) -> DataFrame:
 def product_period_rollup(m: Marts) -> DataFrame:
     """Net sales and quantity per product and year, and per product, year and
     half, in one pass (GROUPING SETS); ``Half`` is NULL on the year's rows."""
-    rt = revenue_lines(m).select("P_ID", F.year("O_Date").alias("per_Year"), (F.col(HALF) % 10).cast("int").alias("half"), "Q", "Detailed_Net_Sales")
+    rt = revenue_lines(m).select("P_ID", F.year("O_Date").alias("per_Year"), (F.col(HALF) % 10).cast("int").alias("half"), "Q",
+                                 line_amounts(quantity="Q")["net"].alias("net"))
     g = rt.groupingSets([["P_ID", "per_Year"], ["P_ID", "per_Year", "half"]], "P_ID", "per_Year", "half").agg(
-        F.grouping("half").cast("int").alias("Whole_Year"), F.sum("Q").alias("Q_Sold"), F.sum("Detailed_Net_Sales").alias("P_Net_Sales"))
+        F.grouping("half").cast("int").alias("Whole_Year"), F.sum("Q").alias("Q_Sold"), money.sum_units(F.col("net"), 2).alias("P_Net_Sales"))
     return g.select("P_ID", "per_Year", F.col("half").alias("Half"), "Whole_Year", "Q_Sold", "P_Net_Sales")
 
 
@@ -171,15 +173,29 @@ def product_fanout(m: Marts) -> DataFrame:
     return years.groupBy(F.col("P_ID").alias("__f_P")).agg(F.count(F.lit(1)).alias("__w"))
 
 
-SHARED = {  # line measure -> (share column, order total column)
-    "Q": ("WA_Q", "__t_Q"),
-    "SP": ("WA_SP", "__t_SP"),
-    "Total_Sales": ("WA_Sales", "__t_Sales"),
-    "Discount_Amount": ("WA_Discount", "__t_Discount"),
-    "Detailed_Net_Sales": ("WA_Net_Sales", "__t_Net_Sales"),
-    "Detailed_Net_Profit": ("WA_Net_Profit", "__t_Net_Profit"),
+# Line measure -> (share column, order total column, integer amount, its scale).
+SHARED = {
+    "Q": ("WA_Q", "__t_Q", "Q", None),
+    "SP": ("WA_SP", "__t_SP", "_price", 4),
+    "Total_Sales": ("WA_Sales", "__t_Sales", "gross", 4),
+    "Discount_Amount": ("WA_Discount", "__t_Discount", "off", 2),
+    "Detailed_Net_Sales": ("WA_Net_Sales", "__t_Net_Sales", "net", 2),
+    "Detailed_Net_Profit": ("WA_Net_Profit", "__t_Net_Profit", "profit", 2),
 }
 
+
+def line_measures() -> dict[str, Column]:
+    """The integer amount of each of them."""
+    units = line_amounts(quantity="Q") | {"Q": F.col("Q"), "_price": F.col("_price")}
+    return {c: units[u] for c, (_, _, u, _) in SHARED.items()}
+
+
+def summed(c: str, amount: Column) -> Column:
+    """The sum of a measure's integers, in its own type."""
+    scale = SHARED[c][3]
+    return F.sum(amount) if scale is None else money.sum_units(amount, scale)
+
+
 WEIGHTED_COLUMNS = [
     "Order_Date", "per_Year", "per_Month", "Order_ID", "Product_ID", "Product_Name", "Category",
     "Q", "WA_Q", "SP", "WA_SP", "Total_Sales", "WA_Sales", "Discount_Amount", "WA_Discount",
@@ -187,8 +203,8 @@ WEIGHTED_COLUMNS = [
 ]
 
 
-LINE_KEYS = ["O_ID", "P_ID", "O_Date", "_Freight", "Q", "SP", "Total_Sales", "Discount_Amount",
-             "Discount", "Detailed_Net_Sales", "Detailed_Net_Profit"]
+# What tells the lines of an order apart: all other measures follow from these.
+LINE_KEYS = ["O_ID", "P_ID", "O_Date", "_Freight", "Q", "_price", "_rate"]
 
 
 @mart
@@ -206,15 +222,19 @@ def base_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
 def order_product_sums(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
     """Narrow (order, product) sums over all lines: in the fanned-out form, each
     line counts once per product-year row."""
-    base = base_lines(m, fanout, slices)
-    sums = base.groupBy("O_ID", "P_ID").agg(
-        *[F.sum(F.col(c) * F.col("__copies")).alias(t) for c, (_, t) in SHARED.items()],
-        F.max("O_Date").alias("__date"), F.sum("Discount_Amount").alias("__discount"), F.sum("Detailed_Net_Sales").alias("__net_sales"))
+    units = line_measures()
+    sums = base_lines(m, fanout, slices).groupBy("O_ID", "P_ID").agg(
+        *[summed(c, units[c] * F.col("__copies")).alias(t) for c, (_, t, _, _) in SHARED.items()],
+        F.max("O_Date").alias("__date"), *[summed(c, units[c]).alias(f"__shown_{c}") for c in SHOWN])
     if not fanout:
         return sums
     weighted = sums.join(product_fanout(m), F.col("P_ID") == F.col("__f_P"), "left")
     weight = F.coalesce(F.col("__w"), F.lit(1))
-    return weighted.select("O_ID", "P_ID", *[(F.col(t) * weight).alias(t) for _, t in SHARED.values()], "__date", "__discount", "__net_sales")
+    return weighted.select("O_ID", "P_ID", *[(F.col(t) * weight).alias(t) for _, t, _, _ in SHARED.values()], "__date", *[f"__shown_{c}" for c in SHOWN])
+
+
+# Measures whose period totals over the lines shown are asked for.
+SHOWN = ("Discount_Amount", "Detailed_Net_Sales")
 
 
 @mart
@@ -222,8 +242,8 @@ def order_totals(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
     """What an order's lines are divided by, one row per order; and its date and
     the discounts and net sales of the lines shown."""
     pairs = order_product_sums(m, fanout, slices)
-    return pairs.groupBy("O_ID").agg(*[F.sum(t).alias(t) for _, t in SHARED.values()], F.max("__date").alias("__date"),
-                                     F.sum("__discount").alias("__discount"), F.sum("__net_sales").alias("__net_sales"))
+    return pairs.groupBy("O_ID").agg(*[F.sum(t).alias(t) for _, t, _, _ in SHARED.values()], F.max("__date").alias("__date"),
+                                     *[F.sum(f"__shown_{c}").alias(f"__shown_{c}") for c in SHOWN])
 
 
 @mart
@@ -235,17 +255,20 @@ def share_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
     collapse (DISTINCT). ``fanout=False`` is the corrected form. The totals are
     an aggregate joined back, so a hot order is split by AQE instead of landing
     in one window."""
-    totals = order_totals(m, fanout, slices).select(F.col("O_ID").alias("__t_O"), *[t for _, t in SHARED.values()])
+    totals = order_totals(m, fanout, slices).select(F.col("O_ID").alias("__t_O"), *[t for _, t, _, _ in SHARED.values()])
     lines = base_lines(m, fanout, slices).join(totals, F.col("O_ID") == F.col("__t_O"), "left").drop("__t_O")
+    units = line_measures()
     return lines.select(
         F.col("O_Date").alias("Order_Date"),
         F.year("O_Date").alias("per_Year"),
         F.month("O_Date").alias("per_Month"),
         F.col("O_ID").alias("Order_ID"),
         F.col("P_ID").alias("Product_ID"),
-        "Q", "SP", "Total_Sales", "Discount_Amount", "Discount",
-        "Detailed_Net_Sales", "Detailed_Net_Profit",
-        "_Freight", "__copies", *[t for _, t in SHARED.values()],
+        "Q", *[money.from_units(units[c], scale).cast(money.MONEY).alias(c) for c, (_, _, _, scale) in SHARED.items() if scale],
+        money.from_units(F.col("_rate"), 4).cast(money.RATE).alias("Discount"),
+        "_Freight", "__copies", *[t for _, t, _, _ in SHARED.values()],
+        # The same as integers, for sums.
+        F.col("_rate").alias("__u_Discount"), *[units[c].alias(f"__u_{c}") for c in SHARED],
     )
 
 
@@ -253,7 +276,7 @@ def share_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
 def weighted_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
     """Order lines with each measure's share of its order, and product names."""
     out = with_names(m, share_lines(m, fanout, slices))
-    for c, (wa, t) in SHARED.items():
+    for c, (wa, t, _, _) in SHARED.items():
         out = out.withColumn(wa, share(F.col(c), F.col(t), zero_guard=(wa == "WA_Discount")))
     return m.shared(out, "weighted_lines_fanout" if fanout else "weighted_lines", "Order_ID")
 
@@ -277,12 +300,11 @@ ALLOCATION_COLUMNS = [
 ]
 
 
-def allocated_freight() -> Column:
-    """A line's part of its order's freight, by quantity."""
+def freight_cents() -> Column:
+    """A line's part of its order's freight, by quantity, in cents."""
     # round(Freight * Q / order quantity, 2) half up, on integers: Freight in
     # 1e-4 units times Q over (order quantity * 100) gives cents.
-    cents = money.div_half_up(money.to_units(F.col("_Freight"), 4) * F.col("Q"), F.col("__t_Q") * F.lit(100))
-    return money.from_units(cents, 2).cast(money.MONEY).alias("Allocated_Freight")
+    return money.div_half_up(money.to_units(F.col("_Freight"), 4) * F.col("Q"), F.col("__t_Q") * F.lit(100))
 
 
 def product_year_id() -> Column:
@@ -290,12 +312,18 @@ def product_year_id() -> Column:
 
 
 def _allocate(w: DataFrame) -> DataFrame:
-    return w.select(product_year_id().alias("Year_ID"), *ALLOCATION_COLUMNS[1:-1], allocated_freight())
+    return w.select(product_year_id().alias("Year_ID"), *ALLOCATION_COLUMNS[1:-1],
+                    money.from_units(freight_cents(), 2).cast(money.MONEY).alias("Allocated_Freight"))
 
 
 def allocated_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
-    """V13 with products as ids: what the reports per product add up."""
-    return share_lines(m, fanout, slices).withColumn("Allocated_Freight", allocated_freight())
+    """V13 with products as ids, and the freight in cents: what the reports per
+    product add up."""
+    return share_lines(m, fanout, slices).withColumn("__u_Allocated_Freight", freight_cents())
+
+
+def scale_of(c: str) -> int:
+    return 2 if c == "Allocated_Freight" else SHARED[c][3]
 
 
 @mart
@@ -345,8 +373,8 @@ def allocation_summary(m: Marts, frame: str = "cumulative") -> DataFrame:
     rounded half up to cents, quantity average truncated to an integer.
     ``frame="year"`` averages each year on its own (the stated intent)."""
     a = allocated_lines(m, True)
-    sums = {f"__u_{src}": F.sum(money.to_units(F.col(src), 4)) for src in set(SUMMARY_AVERAGES.values())}
-    counts = {f"__n_{src}": F.count(src) for src in set(SUMMARY_AVERAGES.values())}
+    sums = {f"__s_{src}": F.sum(F.col(f"__u_{src}") * 10 ** (4 - scale_of(src))) for src in SUMMARY_AVERAGES.values()}
+    counts = {f"__n_{src}": F.count(f"__u_{src}") for src in SUMMARY_AVERAGES.values()}
     pre = a.groupBy("Product_ID", "per_Year").agg(F.sum("Q").alias("__q"), F.count("Q").alias("__nq"),
                                                   *[v.alias(k) for k, v in sums.items()],
                                                   *[v.alias(k) for k, v in counts.items()])
@@ -356,7 +384,7 @@ def allocation_summary(m: Marts, frame: str = "cumulative") -> DataFrame:
     return run.select(
         "per_Year", product_year_id().alias("Year_ID"), "Product_ID", "Product_Name", "Category",
         F.when(F.col("__nq") > 0, F.call_function("div", F.col("__q"), F.col("__nq"))).cast("int").alias("Quantity_SOld"),
-        *[money.avg_rounded(F.col(f"__u_{src}"), F.col(f"__n_{src}"), 4, 2).cast(money.MONEY).alias(out)
+        *[money.avg_rounded(F.col(f"__s_{src}"), F.col(f"__n_{src}"), 4, 2).cast(money.MONEY).alias(out)
           for out, src in SUMMARY_AVERAGES.items()],
     )
 
@@ -366,10 +394,8 @@ def products_report(m: Marts) -> DataFrame:
     """Product-year totals over the (deduplicated) share rows."""
     g = share_lines(m, True).groupBy("per_Year", "Product_ID").agg(
         F.sum("Q").alias("Q_Sold"),
-        money.ratio(F.sum("SP"), F.count("SP")).alias("Avarage_SP"),
-        F.sum("Discount_Amount").alias("Discount"),
-        F.sum("Detailed_Net_Sales").alias("N_Sales"),
-        F.sum("Detailed_Net_Profit").alias("N_Profit"))
+        money.ratio(summed("SP", F.col("__u_SP")), F.count("__u_SP")).alias("Avarage_SP"),
+        *[summed(c, F.col(f"__u_{c}")).alias(n) for c, n in (("Discount_Amount", "Discount"), ("Detailed_Net_Sales", "N_Sales"), ("Detailed_Net_Profit", "N_Profit"))])
     year_id = concat_lenient(F.col("per_Year").cast("string"), "-", F.col("Product_ID").cast("string"))
     return with_names(m, g).select(year_id.alias("Year_ID"), "per_Year", "Product_ID", "Product_Name", "Category",
                     "Q_Sold", "Avarage_SP", "Discount", "N_Sales", "N_Profit")
@@ -420,18 +446,16 @@ def half_year_report(m: Marts, slices, tag: str, divisor_year: dict[int, int] |
     g = allocated_lines(m, fanout, slices).groupBy("per_Year", "Product_ID").agg(
         F.sum("Q").alias("Q_Sold"),
         F.count("Order_ID").alias("Assigned_Orders"),
-        F.sum("SP").alias("__sp_sum"), F.count("SP").alias("__sp_n"),
-        F.sum("Total_Sales").alias("Total_Sales"),
-        F.sum("Discount_Amount").alias("Discount"),
-        F.sum("Detailed_Net_Sales").alias("N_Sales"),
-        F.count("Detailed_Net_Sales").alias("__ns_n"),
-        F.sum("Detailed_Net_Profit").alias("Net_Profit"),
-        F.sum("Allocated_Freight").alias("Freight"),
+        summed("SP", F.col("__u_SP")).alias("__sp_sum"), F.count("__u_SP").alias("__sp_n"),
+        *[summed(c, F.col(f"__u_{c}")).alias(n) for c, n in (
+            ("Total_Sales", "Total_Sales"), ("Discount_Amount", "Discount"), ("Detailed_Net_Sales", "N_Sales"), ("Detailed_Net_Profit", "Net_Profit"))],
+        F.count("__u_Detailed_Net_Sales").alias("__ns_n"),
+        money.sum_units(F.col("__u_Allocated_Freight"), 2).alias("Freight"),
         # The rates of all lines, also of those that collapsed.
-        F.sum(F.when(F.col("Product_ID").isNotNull(), F.col("Discount") * F.col("__copies"))).alias("Discount_pct"))
+        money.sum_units(F.when(F.col("Product_ID").isNotNull(), F.col("__u_Discount") * F.col("__copies")), 4).alias("Discount_pct"))
     # Period divisors: one row per slice year, from the order totals.
     div = order_totals(m, fanout, slices).groupBy(F.year("__date").alias("per_Year")).agg(
-        F.count("O_ID").alias("orders"), F.sum("__discount").alias("discount"), F.sum("__net_sales").alias("net_sales"))
+        F.count("O_ID").alias("orders"), F.sum("__shown_Discount_Amount").alias("discount"), F.sum("__shown_Detailed_Net_Sales").alias("net_sales"))
     of_period = period_lookup(div, "per_Year")
     year = F.col("per_Year")
     if divisor_year:

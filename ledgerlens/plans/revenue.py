@@ -33,18 +33,29 @@ def order_header(m: Marts) -> DataFrame:
     return o.join(c, "CustomerID", "left")
 
 
-def line_amounts() -> dict[str, Column]:
-    """Money of an order line: gross is price times quantity, net the rule of
-    ``money.net_sales``."""
-    gross = money.to_money(F.col("UnitPrice") * F.col("Quantity"))
-    net = money.net_from_gross(gross, F.col("Discount"))
-    return {
-        "Total_Sales": gross,
-        "Discount_Amount": money.discount_amount(gross, F.col("Discount")),
-        "Detailed_Net_Sales": net,
-        "Detailed_Net_Profit": money.margin(net),
-        "Expected_Profit": money.margin(gross),
-    }
+#: V1's money columns: the line's integer amount, and its scale.
+AMOUNTS = {
+    "Total_Sales": ("gross", 4), "Discount_Amount": ("off", 2), "Detailed_Net_Sales": ("net", 2),
+    "Detailed_Net_Profit": ("profit", 2), "Expected_Profit": ("expected", 2),
+}
+
+
+def details(m: Marts) -> DataFrame:
+    """Order lines with price and discount in units of 10^-4 as well."""
+    od = m.t.order_details
+    known = {"_price": "UnitPrice", "_rate": "Discount"}
+    return od.withColumns({c: money.to_units(F.col(d), 4) for c, d in known.items() if c not in od.columns})
+
+
+def line_amounts(price: str = "_price", quantity: str = "Quantity", rate: str = "_rate") -> dict[str, Column]:
+    """Money of an order line as integers: gross is price times quantity, net the
+    rule of ``money.net_sales``."""
+    return money.line_units(F.col(price), F.col(quantity), F.col(rate))
+
+
+def line_money(units: dict[str, Column]) -> dict[str, Column]:
+    """V1's money columns of those integers."""
+    return {c: money.from_units(units[u], scale).cast(money.MONEY) for c, (u, scale) in AMOUNTS.items()}
 
 
 def header_columns(m: Marts) -> dict[str, Column]:
@@ -64,19 +75,22 @@ def header_columns(m: Marts) -> dict[str, Column]:
 
 
 def _joined_lines(m: Marts) -> DataFrame:
-    rt = m.t.order_details.join(order_header(m), "OrderID", "left")
-    columns = header_columns(m) | line_amounts() | {
+    rt = details(m).join(order_header(m), "OrderID", "left")
+    columns = header_columns(m) | line_money(line_amounts()) | {
         "O_ID": F.col("OrderID"), "P_ID": F.col("ProductID"), "Q": F.col("Quantity"),
         "SP": F.col("UnitPrice"), "Discount": F.col("Discount"),
     }
     names = [*REVENUE_COLUMNS, "_Freight", "_CompanyName"]
+    columns |= {c: F.col(c) for c in ("_price", "_rate")}
+    names += ["_price", "_rate"]
     return rt.select(*[columns[c].alias(c) for c in names], dates.half_code(F.col("OrderDate")).alias(HALF))
 
 
 @mart
 def revenue_lines(m: Marts) -> DataFrame:
     """V1 plus internal columns (``_Freight``, ``_CompanyName``, ``_Half``) that
-    later marts would otherwise fetch by joining Orders/Customers again."""
+    later marts would otherwise fetch by joining Orders/Customers again, and the
+    integers (``_price``, ``_rate``) that sums are taken from."""
     lines = _joined_lines(m)
     if m.line_store:
         return read_line_store(m.spark, m.line_store, lines.schema)
@@ -120,8 +134,9 @@ def order_rollup(m: Marts) -> DataFrame:
     the order id and ten order attributes; the attributes come from the order's
     own row, so summing the lines by order id and joining the header to the
     sums gives the same rows, hashes one number and sorts nothing."""
-    amounts = line_amounts() | {"Q": F.col("Quantity")}
-    sums = m.t.order_details.groupBy("OrderID").agg(*[F.sum(amounts[c]).alias(a) for c, a in LINE_MEASURES.items()])
+    units = line_amounts()
+    sums = details(m).groupBy("OrderID").agg(F.sum("Quantity").alias(LINE_MEASURES["Q"]), *[
+        money.sum_units(units[u], scale).alias(LINE_MEASURES[c]) for c, (u, scale) in AMOUNTS.items() if c in LINE_MEASURES])
     joined = sums.join(order_header(m), "OrderID", "left")
     return m.shared(joined.select(F.col("OrderID").alias("O_ID"), *[c.alias(n) for n, c in header_columns(m).items()],
                                   *LINE_MEASURES.values()), "order_rollup", "O_ID")

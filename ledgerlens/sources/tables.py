@@ -69,6 +69,7 @@ class SalesTables:
 
     # orders:        OrderID, CustomerID, EmployeeID, OrderDate, RequiredDate, ShippedDate, ShipVia, Freight
     # order_details: OrderID, ProductID, Quantity, UnitPrice, Discount, ExtendedPrice
+    #                (and, if known, price and discount in units of 10^-4: _price, _rate)
     # customers:     CustomerID, CompanyName, Country
     # products:      ProductID, ProductName, CategoryID, SupplierID, UnitPrice, UnitsInStock, ReorderLevel, Discontinued
     # categories:    CategoryID, CategoryName
@@ -136,16 +137,30 @@ def orders_from_raw(raw_orders: DataFrame, window=None) -> DataFrame:
 
 
 def details_from_raw(raw_lines: DataFrame) -> DataFrame:
-    gross = F.col("l_extendedprice").cast(money.MONEY)
+    """Order lines. The source's prices and rates are floating point numbers of
+    few decimals: they become integers of 10^-4 at once (``_price``, ``_rate``),
+    and decimals only where a decimal column is read."""
     qty = F.col("l_quantity").cast("int")
-    return raw_lines.select(
+    units = raw_lines.select(
         F.col("l_orderkey").alias("OrderID"),
         F.col("l_partkey").alias("ProductID"),
         qty.alias("Quantity"),
-        money.unit_price_from_gross(gross, qty).alias("UnitPrice"),
-        F.col("l_discount").cast(money.RATE).alias("Discount"),
-        gross.alias("ExtendedPrice"),
+        _ten_thousandths("l_extendedprice").alias("_gross"),
+        _ten_thousandths("l_discount").alias("_rate"),
     )
+    priced = units.withColumn("_price", money.div_half_up(F.col("_gross"), F.col("Quantity")))
+    return priced.select(
+        "OrderID", "ProductID", "Quantity",
+        money.from_units(F.col("_price"), 4).alias("UnitPrice"),
+        money.from_units(F.col("_rate"), 4).cast(money.RATE).alias("Discount"),
+        money.from_units(F.col("_gross"), 4).alias("ExtendedPrice"),
+        "_price", "_rate",
+    )
+
+
+def _ten_thousandths(name: str):
+    """A number as the nearest integer of 10^-4."""
+    return F.floor(F.col(name).cast("double") * 10_000 + 0.5)
 
 
 def categories_from_raw(raw_part: DataFrame) -> DataFrame:

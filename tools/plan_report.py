@@ -2,8 +2,7 @@
 
 usage: python tools/plan_report.py [sf_dir] > PLANS.md
 
-Each query is built standalone (no persisted base marts), executed into the
-no-op sink, and its final adaptive plan is scanned for shuffles, broadcasts,
+Each query is executed on its own into the no-op sink, and its adaptive plan is scanned for shuffles, broadcasts,
 join strategies, scans (with their pushed filters) and reused exchanges.
 """
 
@@ -23,14 +22,11 @@ from ledgerlens.session import build_session  # noqa: E402
 
 def nodes(plan):
     """Physical operators of an executed plan, descending into adaptive query
-    stages; persisted-mart scans are leaves (their own plans ran earlier)."""
+    stages."""
     name = plan.getClass().getSimpleName()
     if name == "AdaptiveSparkPlanExec":
         yield from nodes(plan.executedPlan())
         return
-    if name == "TableCacheQueryStageExec":
-        yield "InMemoryTableScanExec", plan
-        return
     if name.endswith("QueryStageExec"):  # shuffle, broadcast and result stages
         yield from nodes(plan.plan())
         return
@@ -63,7 +59,6 @@ def summarise(plan) -> dict:
         "bhj": count("BroadcastHashJoinExec"),
         "smj": count("SortMergeJoinExec"),
         "windows": count("WindowExec"),
-        "cached": count("InMemoryTableScanExec"),
         "reused": count("ReusedExchangeExec"),
         "scans": scans,
         "pushed_dates": pushed,
@@ -78,23 +73,16 @@ def main() -> None:
           "Each query is run into the no-op sink and its physical plan is inspected (the adaptive plan may "
           "still turn a sort-merge join into a broadcast at run time when a side is measured small). "
           "Shuffle keys are hash-partitioning keys of exchanges; scans list table and number of columns "
-          "read; persisted base marts are counted as in-memory scans, not re-expanded.\n")
-    for title, persist in (("Default: base marts persisted once per session", "memory"),
-                           ("Standalone: every query recomputes from the parquet files", False)):
-        print(f"\n## {title}\n")
-        print("| Query | Shuffles | Shuffle keys | Broadcasts (BHJ) | SMJ | Windows | Persisted-mart scans | Parquet scans (table:cols) | Window filter pushed |")
-        print("|---|---|---|---|---|---|---|---|---|")
-        shared = Marts.load(spark, sf_dir, persist="memory")
-        for key in HEADLINE:
-            m = shared if persist else Marts.load(spark, sf_dir, persist=False)
-            df = present(QUERIES[key](m))
-            df.write.format("noop").mode("overwrite").save()
-            s = summarise(df._jdf.queryExecution().executedPlan())
-            cached = s["cached"]
-            scans = ", ".join(f"{t}:{n}" for t, n in s["scans"]) or "-"
-            print(f"| `{key}` | {s['shuffles']} | {'; '.join(s['shuffle_keys'])} | {s['broadcasts']} ({s['bhj']}) | "
-                  f"{s['smj']} | {s['windows']} | {cached} | {scans} | {'yes' if s['pushed_dates'] else '-'} |")
-        shared.release()
+          "read. Totals that a scalar subquery brings are planned apart and not counted here.\n")
+    print("| Query | Shuffles | Shuffle keys | Reused | Broadcasts (BHJ) | SMJ | Windows | Parquet scans (table:cols) | Dates pushed |")
+    print("|---|---|---|---|---|---|---|---|---|")
+    for key in HEADLINE:
+        df = present(QUERIES[key](Marts.load(spark, sf_dir)))
+        df.write.format("noop").mode("overwrite").save()
+        s = summarise(df._jdf.queryExecution().executedPlan())
+        scans = ", ".join(f"{t}:{n}" for t, n in s["scans"]) or "-"
+        print(f"| `{key}` | {s['shuffles']} | {'; '.join(s['shuffle_keys'])} | {s['reused']} | {s['broadcasts']} ({s['bhj']}) | "
+              f"{s['smj']} | {s['windows']} | {scans} | {'yes' if s['pushed_dates'] else '-'} |")
     spark.stop()
 
 
