@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import dates
 from ledgerlens.functions.text import concat_strict, left
 from ledgerlens.plans.context import Marts, mart
-from ledgerlens.plans.revenue import lines_in, order_lines
+from ledgerlens.plans.revenue import customer_orders, lines_in
 
 COUNTRY_COLUMNS = ["Country", "Country_ID", "Year", "Annual_Sales", "Annual_Profit"]
 
@@ -25,7 +25,7 @@ def _country_year(rows: DataFrame, id_tag: str, sales: str = "O_Net_Sales", prof
 @mart
 def country_transactions(m: Marts) -> DataFrame:
     """V4: net sales and profit per country and year."""
-    return _country_year(order_lines(m), "-")
+    return _country_year(customer_orders(m), "-")
 
 
 def country_slices(m: Marts, periods, tag: str) -> DataFrame:
@@ -33,7 +33,7 @@ def country_slices(m: Marts, periods, tag: str) -> DataFrame:
     stored half-years where there are such, else of the order grain."""
     if m.line_store:
         return _country_year(lines_in(m, periods), tag, "Detailed_Net_Sales", "Detailed_Net_Profit")
-    return _country_year(order_lines(m).where(dates.in_any(F.col("O_Date"), periods)), tag)
+    return _country_year(customer_orders(m).where(dates.in_any(F.col("O_Date"), periods)), tag)
 
 
 @mart

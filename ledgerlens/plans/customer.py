@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import concat_strict, left
 from ledgerlens.plans.context import Marts, mart
-from ledgerlens.plans.revenue import order_lines
+from ledgerlens.plans.revenue import customer_orders
 
 NEW = "New_Customer"
 OLD = "Old_Customer"
@@ -23,7 +23,7 @@ def customer_transactions(m: Marts) -> DataFrame:
     """V7: purchases per customer order; amount paid = net purchases + freight
     (NULL freight gives a NULL amount). Every grouping key of the view is a
     function of the order id, so this is a projection of the order grain."""
-    o = order_lines(m)
+    o = customer_orders(m)
     return o.select(
         "per_Year", "C_ID",
         left(F.col("_CompanyName"), 15).alias("CO_Name"),
@@ -43,7 +43,7 @@ def customer_transactions(m: Marts) -> DataFrame:
 @mart
 def customer_classification(m: Marts) -> DataFrame:
     """V8: ``New_Customer`` when the first order year is ``m.new_customer_year``."""
-    o = order_lines(m)
+    o = customer_orders(m)
     g = o.groupBy("C_ID", left(F.col("_CompanyName"), 15).alias("C_Name")).agg(
         F.min("per_Year").alias("_first_year"))
     cls = F.when(F.col("_first_year") == m.new_customer_year, F.lit(NEW)).otherwise(F.lit(OLD))

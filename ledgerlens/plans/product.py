@@ -22,7 +22,7 @@ from ledgerlens.functions.text import concat_lenient, concat_strict, left
 from ledgerlens.operators.running import running_totals
 from ledgerlens.operators.shares import period_lookup, share
 from ledgerlens.plans.context import Marts, mart
-from ledgerlens.plans.revenue import line_amounts, lines_in, order_lines, revenue_lines
+from ledgerlens.plans.revenue import line_amounts, order_lines, sold_lines
 from ledgerlens.sources.line_store import HALF
 
 # Stock classes (fixed values).
@@ -58,7 +58,7 @@ def stock_status(m: Marts) -> DataFrame:
 def product_half_rollup(m: Marts, periods: tuple = ()) -> DataFrame:
     """Line measures summed per product and half-year: the one pass over the
     lines behind V10, V11, V18-V21 and V24. ``periods`` limits it to slices."""
-    rt = lines_in(m, periods) if periods else revenue_lines(m)
+    rt = sold_lines(m, periods)
     units = line_amounts(quantity="Q")
     return rt.groupBy("P_ID", F.col(HALF).alias("half")).agg(
         F.sum("Q").alias("Q_Sold"),
@@ -98,7 +98,7 @@ def product_transactions(m: Marts) -> DataFrame:
 def product_period_rollup(m: Marts) -> DataFrame:
     """Net sales and quantity per product and year, and per product, year and
     half, in one pass (GROUPING SETS); ``Half`` is NULL on the year's rows."""
-    rt = revenue_lines(m).select("P_ID", F.year("O_Date").alias("per_Year"), (F.col(HALF) % 10).cast("int").alias("half"), "Q",
+    rt = sold_lines(m).select("P_ID", F.year("O_Date").alias("per_Year"), (F.col(HALF) % 10).cast("int").alias("half"), "Q",
                                  line_amounts(quantity="Q")["net"].alias("net"))
     g = rt.groupingSets([["P_ID", "per_Year"], ["P_ID", "per_Year", "half"]], "P_ID", "per_Year", "half").agg(
         F.grouping("half").cast("int").alias("Whole_Year"), F.sum("Q").alias("Q_Sold"), money.sum_units(F.col("net"), 2).alias("P_Net_Sales"))
@@ -169,7 +169,7 @@ def with_names(m: Marts, df: DataFrame, product: str = "Product_ID") -> DataFram
 def product_fanout(m: Marts) -> DataFrame:
     """Per product its number of product-year rows in V10, the fan-out factor of
     the source's product-only join."""
-    years = revenue_lines(m).select("P_ID", F.year("O_Date").alias("per_Year")).distinct()
+    years = sold_lines(m).select("P_ID", F.year("O_Date").alias("per_Year")).distinct()
     return years.groupBy(F.col("P_ID").alias("__f_P")).agg(F.count(F.lit(1)).alias("__w"))
 
 
@@ -212,7 +212,7 @@ def base_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
     """The lines that V12 shows, with ``__copies``, how many lines of V1 each
     stands for: identical lines of an order collapse in the source's DISTINCT
     (``fanout=True``), and none do in the corrected form."""
-    rt = lines_in(m, slices) if slices else revenue_lines(m)
+    rt = sold_lines(m, slices)
     if fanout:
         return rt.groupBy(*LINE_KEYS).agg(F.count(F.lit(1)).alias("__copies"))
     return rt.select(*LINE_KEYS, F.lit(1).cast("bigint").alias("__copies"))

@@ -59,18 +59,16 @@ def line_money(units: dict[str, Column]) -> dict[str, Column]:
 
 
 def header_columns(m: Marts) -> dict[str, Column]:
-    """What V1 and V2 take from the order header."""
+    """What V1 and V2 take from the order itself."""
     return {
         "O_Date": F.col("OrderDate"),
         "Required_Date": F.col("RequiredDate"),
         "Shipped_Date": dates.impute_date(F.col("ShippedDate"), F.col("OrderDate"), m.impute_days),
         "C_ID": F.col("CustomerID"),
-        "Country": F.col("Country"),
         "E_ID": F.col("EmployeeID"),
         "ShipVia": F.col("ShipVia"),
         "Shipping_Status": F.when(F.col("ShippedDate").isNull(), F.lit(IN_TRANSIT)).otherwise(F.lit(SHIPPED)),
         "_Freight": F.col("Freight"),
-        "_CompanyName": F.col("_CompanyName"),
     }
 
 
@@ -81,7 +79,7 @@ def _joined_lines(m: Marts) -> DataFrame:
         "SP": F.col("UnitPrice"), "Discount": F.col("Discount"),
     }
     names = [*REVENUE_COLUMNS, "_Freight", "_CompanyName"]
-    columns |= {c: F.col(c) for c in ("_price", "_rate")}
+    columns |= {c: F.col(c) for c in ("Country", "_CompanyName", "_price", "_rate")}
     names += ["_price", "_rate"]
     return rt.select(*[columns[c].alias(c) for c in names], dates.half_code(F.col("OrderDate")).alias(HALF))
 
@@ -109,10 +107,28 @@ def store_lines(m: Marts, folder: str) -> str:
 def lines_in(m: Marts, periods) -> DataFrame:
     """V1's lines within calendar periods. The half-years are named as well, so
     a stored table reads their folders only."""
-    rt = revenue_lines(m).where(dates.in_any(F.col("O_Date"), periods))
+    return _within(m, revenue_lines(m), periods)
+
+
+def _within(m: Marts, rt: DataFrame, periods) -> DataFrame:
+    rt = rt.where(dates.in_any(F.col("O_Date"), periods))
     return rt.where(F.col(HALF).isin(sorted({h for p in periods for h in p.halves}))) if m.line_store else rt
 
 
+@mart
+def sold_lines(m: Marts, periods: tuple = ()) -> DataFrame:
+    """V1's lines (within calendar periods, if any are given) as far as products
+    need them: no customer is joined for these."""
+    if m.line_store or m.persist:
+        rt = revenue_lines(m)
+    else:
+        orders = m.t.orders.select("OrderID", F.col("OrderDate").alias("O_Date"), F.col("Freight").alias("_Freight"))
+        rt = details(m).join(orders, "OrderID", "left").withColumnsRenamed({"OrderID": "O_ID", "ProductID": "P_ID", "Quantity": "Q"})
+        rt = rt.withColumn(HALF, dates.half_code(F.col("O_Date")))
+    rt = rt.select("O_ID", "P_ID", "O_Date", "_Freight", "Q", "_price", "_rate", HALF)
+    return _within(m, rt, periods) if periods else rt
+
+
 @mart
 def revenue_transactions(m: Marts) -> DataFrame:
     """V1: one row per order line."""
@@ -132,12 +148,12 @@ LINE_MEASURES = {
 def order_rollup(m: Marts) -> DataFrame:
     """Order grain with internal columns. The source groups the joined lines by
     the order id and ten order attributes; the attributes come from the order's
-    own row, so summing the lines by order id and joining the header to the
+    own row, so summing the lines by order id and joining the orders to the
     sums gives the same rows, hashes one number and sorts nothing."""
     units = line_amounts()
     sums = details(m).groupBy("OrderID").agg(F.sum("Quantity").alias(LINE_MEASURES["Q"]), *[
         money.sum_units(units[u], scale).alias(LINE_MEASURES[c]) for c, (u, scale) in AMOUNTS.items() if c in LINE_MEASURES])
-    joined = sums.join(order_header(m), "OrderID", "left")
+    joined = sums.join(m.t.orders, "OrderID", "left")
     return m.shared(joined.select(F.col("OrderID").alias("O_ID"), *[c.alias(n) for n, c in header_columns(m).items()],
                                   *LINE_MEASURES.values()), "order_rollup", "O_ID")
 
@@ -151,7 +167,7 @@ ORDER_COLUMNS = [
 
 @mart
 def order_lines(m: Marts) -> DataFrame:
-    """V2 columns plus internal ``Country``/``_CompanyName``."""
+    """V2's columns."""
     return order_rollup(m).select(
         F.year("O_Date").alias("per_Year"),
         F.month("O_Date").alias("per_Month"),
@@ -159,10 +175,17 @@ def order_lines(m: Marts) -> DataFrame:
         money.cast_decimal(dates.days_between(F.col("O_Date"), F.col("Shipped_Date")), 2).alias("Days_to_Ship"),
         "O_ID", "C_ID", "E_ID", *LINE_MEASURES.values(),
         F.col("_Freight").alias("Freight"),
-        "Shipping_Status", "ShipVia", "Country", "_CompanyName",
+        "Shipping_Status", "ShipVia",
     )
 
 
+@mart
+def customer_orders(m: Marts) -> DataFrame:
+    """V2's columns with the customer's ``Country`` and ``_CompanyName``."""
+    c = m.t.customers.select(F.col("CustomerID").alias("__c_ID"), F.col("CompanyName").alias("_CompanyName"), "Country")
+    return order_lines(m).join(c, F.col("C_ID") == F.col("__c_ID"), "left").drop("__c_ID")
+
+
 @mart
 def order_transactions(m: Marts) -> DataFrame:
     """V2: one row per order."""

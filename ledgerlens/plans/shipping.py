@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import dates, money
 from ledgerlens.functions.text import concat_strict, left
 from ledgerlens.plans.context import Marts, mart
-from ledgerlens.plans.revenue import SHIPPED, order_lines
+from ledgerlens.plans.revenue import SHIPPED, customer_orders
 
 SHIPPING_COLUMNS = [
     "per_Year", "ODate", "Required_Date", "Shipped_Date", "O_ID", "Days_to_Ship", "O_Date", "C_ID",
@@ -22,7 +22,7 @@ SHIPPING_COLUMNS = [
 def shipping_report(m: Marts) -> DataFrame:
     """One row per order with its shipper and the on-time flag (shipped,
     and not after the required date)."""
-    o = order_lines(m)
+    o = customer_orders(m)
     s = m.t.shippers.select(F.col("ShipperID").alias("ShipVia"), F.col("CompanyName").alias("Shipping_Company"))
     j = o.join(s, "ShipVia", "left")
     on_time = F.when((F.col("Shipped_Date") <= F.col("Required_Date")) & (F.col("Shipping_Status") == SHIPPED),

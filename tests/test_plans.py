@@ -58,6 +58,11 @@ def test_scans_of_the_lines(m, mart, most):
     assert line_scans(mart(m)) <= most
 
 
+@pytest.mark.parametrize("mart", [revenue.order_transactions, revenue.monthly_transactions, employee.employee_transactions, product.product_details, product.allocation, product.p_sales_h1])
+def test_customers_are_read_where_they_are_shown(m, mart):
+    assert "customer.parquet" not in mart(m)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_period_totals_are_one_reused_subquery(m):
     df = product.product_details(m)
     df.collect()
