@@ -51,7 +51,7 @@ LEAST_PROB = 1e-12
 #: Words scored together by the vectorised passes.
 BATCH = 20_000
 #: Scored words kept per worker.
-CACHED = 200_000
+CACHED = 500_000
 
 #: Letters with the marks that follow them.
 _LETTERS = regex.compile(r"(?:\p{L}\p{M}*+)++")
