@@ -168,8 +168,10 @@ def with_names(m: Marts, df: DataFrame, product: str = "Product_ID") -> DataFram
 @mart
 def product_fanout(m: Marts) -> DataFrame:
     """Per product its number of product-year rows in V10, the fan-out factor of
-    the source's product-only join."""
-    years = sold_lines(m).select("P_ID", F.year("O_Date").alias("per_Year")).distinct()
+    the source's product-only join. A task's lines hold most of its products once
+    a year: they are dealt by product and year first, so no table of them is
+    built next to the sorted join with the orders."""
+    years = sold_lines(m).select("P_ID", F.year("O_Date").alias("per_Year")).repartition("P_ID", "per_Year").distinct()
     return years.groupBy(F.col("P_ID").alias("__f_P")).agg(F.count(F.lit(1)).alias("__w"))
 
 
@@ -214,36 +216,28 @@ def base_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
     (``fanout=True``), and none do in the corrected form."""
     rt = sold_lines(m, slices)
     if fanout:
-        return rt.groupBy(*LINE_KEYS).agg(F.count(F.lit(1)).alias("__copies"))
+        # Hardly any line collapses, so the groups are about the lines: dealt
+        # anew, they are told apart in a task that holds nothing else.
+        return rt.repartition("O_ID", "P_ID").groupBy(*LINE_KEYS).agg(F.count(F.lit(1)).alias("__copies"))
     return rt.select(*LINE_KEYS, F.lit(1).cast("bigint").alias("__copies"))
 
 
-@mart
-def order_product_sums(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
-    """Narrow (order, product) sums over all lines: in the fanned-out form, each
-    line counts once per product-year row."""
-    units = line_measures()
-    sums = base_lines(m, fanout, slices).groupBy("O_ID", "P_ID").agg(
-        *[summed(c, units[c] * F.col("__copies")).alias(t) for c, (_, t, _, _) in SHARED.items()],
-        F.max("O_Date").alias("__date"), *[summed(c, units[c]).alias(f"__shown_{c}") for c in SHOWN])
-    if not fanout:
-        return sums
-    weighted = sums.join(product_fanout(m), F.col("P_ID") == F.col("__f_P"), "left")
-    weight = F.coalesce(F.col("__w"), F.lit(1))
-    return weighted.select("O_ID", "P_ID", *[(F.col(t) * weight).alias(t) for _, t, _, _ in SHARED.values()], "__date", *[f"__shown_{c}" for c in SHOWN])
-
-
 # Measures whose period totals over the lines shown are asked for.
 SHOWN = ("Discount_Amount", "Detailed_Net_Sales")
 
 
 @mart
 def order_totals(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
-    """What an order's lines are divided by, one row per order; and its date and
-    the discounts and net sales of the lines shown."""
-    pairs = order_product_sums(m, fanout, slices)
-    return pairs.groupBy("O_ID").agg(*[F.sum(t).alias(t) for _, t, _, _ in SHARED.values()], F.max("__date").alias("__date"),
-                                     *[F.sum(f"__shown_{c}").alias(f"__shown_{c}") for c in SHOWN])
+    """What an order's lines are divided by, one row per order (in the fanned-out
+    form, each line counts once per product-year row); and its date and the
+    discounts and net sales of the lines shown."""
+    lines, times = base_lines(m, fanout, slices), F.col("__copies")
+    if fanout:
+        lines = lines.join(product_fanout(m), F.col("P_ID") == F.col("__f_P"), "left")
+        times = times * F.coalesce(F.col("__w"), F.lit(1))
+    units = line_measures()
+    return lines.groupBy("O_ID").agg(*[summed(c, units[c] * times).alias(t) for c, (_, t, _, _) in SHARED.items()],
+                                     F.max("O_Date").alias("__date"), *[summed(c, units[c]).alias(f"__shown_{c}") for c in SHOWN])
 
 
 @mart
