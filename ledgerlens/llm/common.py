@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text handled at a time by the vectorised passes (one text at least).
 CHUNK_BYTES = 2 << 20
 #: Bytes hashed at a time.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def _give_back() -> None:
@@ -88,6 +88,12 @@ def worker_object(kind: str, shared, build: Callable[[object], object]) -> objec
     return _BUILT[kind][1]
 
 
+def drop_worker_objects() -> None:
+    """Let go of what an earlier operator built in this worker: workers live on,
+    and an operator that builds nothing would hold its tables beside its own."""
+    _BUILT.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (finaliser with odd multipliers)."""
     x = x.astype(np.uint64, copy=True)

@@ -43,11 +43,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import chunks, hash_words, materialize, mix, set_aside, text_bytes
+from ledgerlens.llm.common import chunks, drop_worker_objects, hash_words, materialize, mix, set_aside, text_bytes
 from ledgerlens.llm.ngram_join import _bit_table, in_table, suspect_column, text_digest
 from ledgerlens.llm.setjoin import distinct_sorted, sums
 
@@ -64,12 +65,20 @@ NEEDED_BITS = 1 << 27
 ROWS_AT_ONCE = 1 << 17
 #: Counters sent together.
 BLOCK = 1 << 15
+#: Bytes of text handled at a time: the arrays of its words take some fifty times that.
+TEXT_BYTES = 1 << 19
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first, texts) of the runs of a batch's texts that are handled at a time."""
+    for first, last in chunks(pc.binary_length(column).fill_null(0).to_pylist(), TEXT_BYTES):
+        yield first, column.slice(first, last - first).to_pylist()
 
 
 def _line_words(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, document, line, word hash, owner) for runs of texts: the
     lines that have words, by text and number, and their words."""
-    for first, last in chunks([len(t or "") for t in texts]):
+    for first, last in chunks([len(t or "") for t in texts], TEXT_BYTES):
         raws = [text_bytes(t).lower() for t in texts[first:last]]
         raw = b"\n".join(raws)
         with np.errstate(over="ignore"):
@@ -96,13 +105,13 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     that aren't zero, ``BLOCK`` at a time, to be added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_objects()
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for first, last in chunks([len(t or "") for t in texts]):
+            for _first, texts in _runs(batch.column(0)):
                 with np.errstate(over="ignore"):
-                    values, _starts = hash_words(b"\n".join(text_bytes(t) for t in texts[first:last]).lower())
-                total += np.bincount(_bucket(values).astype(np.int64), minlength=BUCKETS)
+                    values, _starts = hash_words(b"\n".join(text_bytes(t) for t in texts).lower())
+                np.add.at(total, _bucket(values).astype(np.int64), 1)
         for block, part in enumerate(total.reshape(-1, BLOCK)):
             full = np.flatnonzero(part)
             if len(full):
@@ -151,22 +160,23 @@ def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: i
     code = int(8 * np.log2(limit))  # of the counters that stand for at most limit
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_objects()
         rarity = np.frombuffer(counts.value, dtype=np.uint8)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             ids = batch.column(0).cast(pa.int64())
-            for first, last, doc, line, values, owner in _line_words(texts):
-                with np.errstate(over="ignore"):
-                    part = _index_lines(values, owner, len(line), rarity, num, den, code)
-                if part is None:
-                    continue
-                keep, columns = part
-                td = np.array([xxhash.xxh3_64_intdigest(text_bytes(t)) for t in texts[first:last]], dtype=np.uint64).view(np.int64)
-                where = doc[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(first + where)), pa.array(td[where]), pa.array(line[keep]), *columns],
-                    names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "p1", "p2", "keys", "pairs"],
-                )
+            for at, texts in _runs(batch.column(1)):
+                for first, last, doc, line, values, owner in _line_words(texts):
+                    with np.errstate(over="ignore"):
+                        part = _index_lines(values, owner, len(line), rarity, num, den, code)
+                    if part is None:
+                        continue
+                    keep, columns = part
+                    td = np.array([xxhash.xxh3_64_intdigest(text_bytes(t)) for t in texts[first:last]], dtype=np.uint64).view(np.int64)
+                    where = doc[keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(at + first + where)), pa.array(td[where]), pa.array(line[keep]), *columns],
+                        names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "p1", "p2", "keys", "pairs"],
+                    )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(index, LINES)
@@ -248,22 +258,24 @@ def word_sets(docs: DataFrame, text: str, needed) -> DataFrame:
     """(k1, k2, n, words) of the lines whose place is in the bit table."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_objects()
         bits = np.frombuffer(needed.value, dtype=np.uint8)
         for batch in batches:
-            wanted = []
-            for t in batch.column(0).to_pylist():
-                lines = (t or "").split("\n")
-                td = np.uint64(xxhash.xxh3_64_intdigest(text_bytes(t)))
-                hit = in_table(bits, _place(np.full(len(lines), td), np.arange(len(lines), dtype=np.int32)))
-                wanted += [lines[i] for i in np.flatnonzero(hit)]
-            for _first, _last, _doc, line, values, owner in _line_words(wanted):
-                values, owner = distinct_sorted(values, owner)
-                sizes = np.bincount(owner, minlength=len(line))
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                with np.errstate(over="ignore"):
-                    k1, k2 = _set_ids(values, starts)
-                words = pa.ListArray.from_arrays(_offsets(owner, len(sizes)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), words], names=["k1", "k2", "n", "words"])
+            for _at, texts in _runs(batch.column(0)):
+                wanted = []
+                for t in texts:
+                    lines = (t or "").split("\n")
+                    td = np.uint64(xxhash.xxh3_64_intdigest(text_bytes(t)))
+                    hit = in_table(bits, _place(np.full(len(lines), td), np.arange(len(lines), dtype=np.int32)))
+                    wanted += [lines[i] for i in np.flatnonzero(hit)]
+                for _first, _last, _doc, line, values, owner in _line_words(wanted):
+                    values, owner = distinct_sorted(values, owner)
+                    sizes = np.bincount(owner, minlength=len(line))
+                    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    with np.errstate(over="ignore"):
+                        k1, k2 = _set_ids(values, starts)
+                    words = pa.ListArray.from_arrays(_offsets(owner, len(sizes)), pa.array(values.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), words], names=["k1", "k2", "n", "words"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(build, "k1 long, k2 long, n int, words array<long>")
 
@@ -320,6 +332,7 @@ def joined_lists(rows: DataFrame, num: int, den: int, most: int) -> DataFrame:
     rows: they come sorted by key, so a task holds some lists at a time."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_objects()
         held, size = [], 0
         for batch in batches:
             held.append([c.to_numpy() for c in batch.columns])
