@@ -122,9 +122,11 @@ def chunks(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
-#: Blank, tab, line feed, vertical tab, form feed, carriage return.
-_GAP = np.zeros(256, dtype=bool)
-_GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+def _gaps(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are a blank, tab, line feed, vertical tab, form feed or carriage return."""
+    return (raw == 0x20) | (raw - np.uint8(0x09) <= 0x04)
+
+
 #: An odd number and its inverse modulo 2^64: word hashes are polynomials in it.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -151,11 +153,14 @@ def hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
             end = min(ends, default=len(raw))
         piece = np.frombuffer(raw, dtype=np.uint8, count=end - at, offset=at)
         gap = np.ones(len(piece) + 2, dtype=bool)
-        gap[1:-1] = _GAP[piece]
-        begin, stop = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        gap[1:-1] = _gaps(piece)
+        edges = np.flatnonzero(gap[:-1] != gap[1:])  # a word's begin, its end, the next one's begin
+        begin, stop = edges[::2], edges[1::2]
         up, down = _powers(max(PIECE_BYTES, len(piece)))
         sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=sums[1:])
+        weights = np.add(piece, 1, dtype=np.uint64)
+        weights *= up[: len(piece)]
+        np.cumsum(weights, out=sums[1:])
         hashes.append(mix((sums[stop] - sums[begin]) * down[begin]))
         starts.append(begin + at)
         at = end
@@ -170,9 +175,9 @@ def word_stops(raw: bytes) -> np.ndarray:
     while at < len(raw):
         piece = np.frombuffer(raw, dtype=np.uint8, count=min(PIECE_BYTES, len(raw) - at), offset=at)
         gap = np.ones(len(piece) + 1, dtype=bool)
-        gap[:-1] = _GAP[piece]
+        gap[:-1] = _gaps(piece)
         if at + len(piece) < len(raw):
-            gap[-1] = _GAP[raw[at + len(piece)]]
+            gap[-1] = _gaps(np.frombuffer(raw, np.uint8, 1, at + len(piece)))[0]
         stops.append(np.flatnonzero(~gap[:-1] & gap[1:]) + (at + 1))
         at += len(piece)
     return np.concatenate(stops) if stops else np.empty(0, np.int64)

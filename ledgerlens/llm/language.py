@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, worker_object
+from ledgerlens.llm.common import drop_worker_objects, materialize, worker_object
 
 UNKNOWN_LANGUAGE = "und"
 MAX_LANGUAGES = 64
@@ -48,8 +48,10 @@ ROUNDS = 3
 SMOOTHING = 0.1
 #: No piece is less likely, so that a word of LONGEST letters stays above zero.
 LEAST_PROB = 1e-12
-#: Words scored together by the vectorised passes.
-BATCH = 20_000
+#: Words scored together by the vectorised passes, which hold some 3 KB a word.
+BATCH = 4_000
+#: Texts scored together.
+TEXTS = 200
 #: Scored words kept per worker.
 CACHED = 500_000
 
@@ -259,6 +261,7 @@ def word_counts(train: DataFrame, text: str, lang: str) -> DataFrame:
     """(language, word, n) over all training documents, summed per task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_objects()
         for batch in batches:
             tables: dict[str, Counter] = {}
             for t, language in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -304,6 +307,7 @@ def _expected(counts: DataFrame, shared) -> DataFrame:
     """Expected counts by (language, piece) of one round."""
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_objects()
         texts, languages, probs = shared.value
         pieces = _pieces(texts)
         total = np.zeros((len(texts) + 1, len(languages)))
@@ -346,9 +350,8 @@ def predict_column(spark: SparkSession, model: LanguageModel, text: Column | str
         languages = shared.value[1]
         scores_of = worker_object("language", shared, lambda v: WordScores(v[0], v[2]))
         langs, scores = [], []
-        rows = texts.to_pylist()
-        for at in range(0, len(rows), 200):
-            split = [words_of(t) if languages else [] for t in rows[at:at + 200]]
+        for at in range(0, len(texts), TEXTS):
+            split = [words_of(t) if languages else [] for t in texts.slice(at, TEXTS).to_pylist()]
             total = scores_of.sums(split)
             best = total.argmax(axis=1) if languages else np.zeros(len(split), dtype=int)
             odds = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if languages else best

@@ -16,10 +16,11 @@ word (blank ones) stay.
    Sets so small that only an equal one can match have no keys: their class
    decides. Sets that one common word may suffice for (num/den of 1/2 or less)
    have their frequent words as keys as well.
-3. Classes of a key's list are joined if sizes (length filter), positions
-   (positional filter) and a 64-bit parity of the sets, which can't differ in
-   more bits than the sets do in words, allow a match; a parity of 128 bits
-   tests the pairs so found. A list that yields more
+3. Entries (a key and a class) are dealt by blocks of keys, and each block's lists
+   formed where it arrives. Classes of a key's list are joined if sizes (length
+   filter), positions (positional filter) and a 64-bit parity of the sets, which
+   can't differ in more bits than the sets do in words, allow a match; a parity of
+   128 bits tests the pairs so found. A list that yields more
    than ``LONG_LIST`` / 16 pairs a member, or is longer than ``LIST_LIMIT``, isn't
    joined with itself: its members are compared with the first class of the list,
    and only those that do not match it with the other earlier ones. So a group
@@ -61,8 +62,12 @@ LIST_LIMIT = 1000
 LONG_LIST = 256
 #: Bits of the table of candidate lines, a broadcast of 16 MB at any size of input.
 NEEDED_BITS = 1 << 27
-#: Rows of sorted lists compared at a time.
-ROWS_AT_ONCE = 1 << 17
+#: Entries of lists dealt at a time, and the least held before lists are sifted.
+ROWS_AT_ONCE = 1 << 18
+#: Classes that a task remembers.
+MET = 1 << 20
+#: Keys are dealt in this many blocks at least, and this many a part of the lines.
+LEAST_BLOCKS, BLOCKS_A_PART = 1 << 12, 8
 #: Counters sent together.
 BLOCK = 1 << 15
 #: Bytes of text handled at a time: the arrays of its words take some fifty times that.
@@ -150,13 +155,13 @@ def _set_ids(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(sums(values, starts)).view(np.int64), mix(sums(mix(values ^ np.uint64(0x13198A2E03707344)), starts)).view(np.int64)
 
 
-KEYS = "array<struct<key:long,pos:int>>"
-LINES = f"doc_id long, td long, line int, k1 long, k2 long, n int, bits long, p1 long, p2 long, keys {KEYS}, pairs {KEYS}"
+#: keys: 64-bit keys one after another, places: as many 32-bit positions.
+LINES = "doc_id long, td long, line int, k1 long, k2 long, n int, bits long, p1 long, p2 long, keys binary, places binary"
 
 
 def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: int, limit: int) -> DataFrame:
     """One row per line with a word: where it is, its set's id,
-    size and parity, its words that are keys and its pairs that are."""
+    size and parity, the words and pairs that are its keys and their positions."""
     code = int(8 * np.log2(limit))  # of the counters that stand for at most limit
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +180,7 @@ def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: i
                     where = doc[keep]
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(at + first + where)), pa.array(td[where]), pa.array(line[keep]), *columns],
-                        names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "p1", "p2", "keys", "pairs"],
+                        names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "p1", "p2", "keys", "places"],
                     )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -225,15 +230,17 @@ def _index_lines(values, owner, n_lines, rarity, num, den, limit):
         where.append(hp[same + step] - 1)  # one common word stands before it
         who.append(ho[same])
         step += 1
-    pairs = _lists(np.concatenate(keys), np.concatenate(where), np.concatenate(who), len(sizes))
-    alone = _lists(values[rare], pos[rare], owner[rare], len(sizes))
-    return keep, [pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), pa.array(bits), pa.array(p1), pa.array(p2), alone, pairs]
+    keys, where, who = (np.concatenate([*x, y]) for x, y in ((keys, values[rare]), (where, pos[rare]), (who, owner[rare])))
+    order = np.argsort(who, kind="stable")
+    ends = np.cumsum(np.bincount(who, minlength=len(sizes)))
+    return keep, [pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), pa.array(bits), pa.array(p1), pa.array(p2),
+                  _binaries(keys[order], ends), _binaries(where[order].astype(np.uint32), ends)]
 
 
-def _lists(keys: np.ndarray, pos: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
-    order = np.argsort(owner, kind="stable")
-    entry = pa.StructArray.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(pos[order].astype(np.int32))], names=["key", "pos"])
-    return pa.ListArray.from_arrays(_offsets(owner, n), entry)
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of values, one after another up to each of ``ends``, as their bytes."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _offsets(owner: np.ndarray, n: int) -> pa.Array:
@@ -299,14 +306,11 @@ def _close(n, m, pos_n, pos_m, bits_n, bits_m, num: int, den: int) -> np.ndarray
 
 def _list_pairs(key, k1, n, pos, bits, num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y), x < y: the classes of each key's list that may match, and the keys
-    of lists with more than ``most`` such pairs a member, given up. Lists are
-    walked by size, each member up to the last that the length filter allows."""
-    order = np.lexsort((pos, k1, n, key))
-    key, k1, n, pos, bits = key[order], k1[order], n[order], pos[order], bits[order]
-    fresh = np.ones(len(key), dtype=bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (k1[1:] != k1[:-1])
-    key, k1, n, pos, bits = key[fresh], k1[fresh], n[fresh].astype(np.int64), pos[fresh].astype(np.int64), bits[fresh].view(np.uint64)
+    of lists with more than ``most`` such pairs a member, given up. Entries come
+    by key and class, each once. Lists are walked by size, each member up to the last that the length filter allows."""
     number = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else np.empty(0, np.int64)
+    order = np.argsort(number << 16 | n, kind="stable")
+    key, k1, n, pos, bits = key[order], k1[order], n[order].astype(np.int64), pos[order].astype(np.int64), bits[order]
     room = np.bincount(number) * most
     left, right, at, step = [], [], np.arange(len(key)), 1
     while len(at := at[at + step < len(key)]):
@@ -326,39 +330,152 @@ def _list_pairs(key, k1, n, pos, bits, num: int, den: int, most: int) -> tuple[n
     return np.minimum(x, y), np.maximum(x, y), key[np.flatnonzero(np.diff(number, prepend=-1))][room < 0]
 
 
-def joined_lists(rows: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """(x, y, given_up): classes that share a key and may match, or as x a key
-    whose list was given up. For keys whose lists are of at most ``LIST_LIMIT``
-    rows: they come sorted by key, so a task holds some lists at a time."""
+#: A class in a key's list. Of a key, the 32 bits after those of its block: two
+#: keys that share them have one list, which costs time and loses nothing. A size
+#: beyond ``MOST`` counts as that, at position 0: the filters then let more pairs
+#: through (so large sets differ in more words than a parity has bits).
+ENTRY = np.dtype([("k1", np.int64), ("bits", np.uint64), ("key", np.uint32), ("n", np.uint16), ("pos", np.uint16)])
+MOST = (1 << 16) - 1
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def dealt_entries(lines: DataFrame, bits: int) -> DataFrame:
+    """(block, entries): the entries of all lists by the first ``bits`` bits of
+    their keys. A task leaves out classes that it has met not long ago: all lines
+    of a class have the same entries."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_objects()
-        held, size = [], 0
+        # A class is remembered at the place of its last bits, where another of
+        # the same bits follows it; at first, by values that belong elsewhere.
+        met, held, size = ~np.arange(MET), [], 0
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            size += batch.num_rows
+            k1 = batch.column(0).to_numpy()
+            at = np.unique(k1, return_index=True)[1]
+            at = at[met[k1[at] & (MET - 1)] != k1[at]]
+            met[k1[at] & (MET - 1)] = k1[at]
+            chosen = [c.take(pa.array(at)) for c in batch.columns]
+            keys = np.frombuffer(b"".join(chosen[3].to_pylist()), np.uint64)
+            owner = np.repeat(np.arange(len(at)), pc.binary_length(chosen[3]).to_numpy() // 8)
+            n, pos = chosen[1].to_numpy()[owner], np.frombuffer(b"".join(chosen[4].to_pylist()), np.uint32)
+            part = np.empty(len(keys), ENTRY)
+            part["key"], part["n"], part["pos"] = keys >> np.uint64(32 - bits), np.minimum(n, MOST), np.where(n < MOST, pos, 0)
+            part["k1"], part["bits"] = (chosen[i].to_numpy()[owner] for i in (0, 2))
+            held.append(((keys >> np.uint64(64 - bits)).astype(np.int32), part))
+            size += len(part)
             if size >= ROWS_AT_ONCE:
-                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
-                yield from found([c[:cut] for c in columns])
-                held = [[c[cut:] for c in columns]]
-                size = len(held[0][0])
+                yield blocks(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
         if size:
-            yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield blocks(*map(np.concatenate, zip(*held)))
+
+    def blocks(block: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(block, kind="stable")
+        ends = np.flatnonzero(np.diff(block[order], append=-1)) + 1
+        return pa.RecordBatch.from_arrays([pa.array(block[order][ends - 1]), _binaries(part[order], ends)], names=["block", "entries"])
+
+    return lines.select("k1", "n", "bits", "keys", "places").mapInArrow(deal, "block int, entries binary")
+
+
+class _Block:
+    """The lists of a block of keys, as their entries come. A list found to be
+    longer than ``limit`` isn't held: its entries go on as members."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.held, self.size, self.room, self.long = limit, [], 0, ROWS_AT_ONCE, np.empty(0, np.uint32)
+
+    def add(self, entries: np.ndarray) -> np.ndarray:
+        """Takes entries; returns those of lists that aren't held."""
+        gone = np.isin(entries["key"], self.long)
+        self.held.append(entries[~gone])
+        self.size += len(entries) - int(gone.sum())
+        return np.concatenate([entries[gone], self.sift()]) if self.size > self.room else entries[gone]
+
+    def sift(self, last: bool = False) -> np.ndarray:
+        """Holds each entry once, and at the ``last`` time only lists of several;
+        returns those of lists that have become too long."""
+        rows = np.concatenate([np.empty(0, ENTRY), *self.held])
+        key = np.ascontiguousarray(rows["key"])
+        if last:
+            order = np.argsort(key)
+            same = key[order[1:]] == key[order[:-1]]
+            several = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else same
+            rows = rows[order[several]]
+            key = np.ascontiguousarray(rows["key"])
+        order = np.lexsort((rows["k1"], key))
+        rows, key = rows[order], key[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (rows["k1"][1:] != rows["k1"][:-1])
+        rows, key = rows[fresh], key[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        sizes = np.diff(starts, append=len(key))
+        self.long = np.union1d(self.long, key[starts[sizes > self.limit]])
+        gone = np.repeat(sizes > self.limit, sizes)
+        self.held, self.size = [rows[~gone]], int((~gone).sum())
+        self.room = max(ROWS_AT_ONCE, 2 * self.size)
+        return rows[gone]
+
+
+LISTS = "key long, x long, y long, n int, pos int, bits long, member boolean"
+
+
+def joined_lists(lines: DataFrame, num: int, den: int, limit: int, most: int) -> DataFrame:
+    """Classes x and y that share a key and may match, or (``member``) a key and
+    class x of a list that is longer than ``limit`` or yields more than ``most``
+    pairs a member. Keys are dealt in blocks, so many that a task holds few lists."""
 
-    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x, y, given_up = _list_pairs(*columns, num, den, most)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_objects()
+        block, lists, sifted, size = None, _Block(limit), [], 0
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for first, last in zip(cuts, cuts[1:]):
+                if last > first and of[first] != block:
+                    yield from members(block, lists.sift(last=True))
+                    sifted.append((block, lists.held[0]))
+                    size += lists.size
+                    block, lists = int(of[first]), _Block(limit)
+                    if size >= ROWS_AT_ONCE:
+                        yield from found(sifted)
+                        sifted, size = [], 0
+                for a, b in chunks(pc.binary_length(batch.column(1).slice(first, last - first)).to_pylist(), ENTRY.itemsize * ROWS_AT_ONCE):
+                    entries = b"".join(batch.column(1).slice(first + a, b - a).to_pylist())
+                    yield from members(block, lists.add(np.frombuffer(entries, ENTRY)))
+        yield from members(block, lists.sift(last=True))
+        yield from found([*sifted, (block, lists.held[0])])
+
+    def found(sifted: list[tuple[int | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """What the lists of some blocks yield."""
+        rows = np.concatenate([part for _, part in sifted])
+        keys = np.concatenate([whole(block, part) for block, part in sifted])
+        x, y, given_up = _list_pairs(keys, *(np.ascontiguousarray(rows[c]) for c in ("k1", "n", "pos", "bits")), num, den, most)
+        up = np.isin(keys, given_up)
+        yield from entries_of(keys[up], rows[up])
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
         fresh = np.ones(len(x), dtype=bool)
         fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        x, y = x[fresh], y[fresh]
-        for a, b, flag in ((x, y, False), (given_up, given_up, True)):
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), flag))], names=["x", "y", "given_up"])
+        yield from batch(int(fresh.sum()), x=x[fresh], y=y[fresh], member=np.zeros(int(fresh.sum()), dtype=bool))
+
+    def whole(block: int | None, rows: np.ndarray) -> np.ndarray:
+        return rows["key"].astype(np.int64) + ((block or 0) << 32)
+
+    def members(block: int | None, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        return entries_of(whole(block, rows), rows)
+
+    def entries_of(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = {c: rows[c].astype(np.int32) for c in ("n", "pos")} | {"bits": rows["bits"].astype(np.uint64).view(np.int64), "key": keys}
+        yield from batch(len(rows), x=np.ascontiguousarray(rows["k1"]), member=np.ones(len(rows), dtype=bool), **columns)
+
+    def batch(size: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        types = {"n": pa.int32(), "pos": pa.int32(), "member": pa.bool_()}
+        names = [c.split()[0] for c in LISTS.split(", ")]
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in names], names=names)
 
-    dealt = rows.select("key", "k1", "n", "pos", "bits").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(join, "x long, y long, given_up boolean")
+    parts = max(LEAST_BLOCKS, BLOCKS_A_PART * lines.rdd.getNumPartitions())
+    dealt = dealt_entries(lines, min(24, (parts - 1).bit_length())).repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(join, LISTS)
 
 
 def _matching(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -384,28 +501,19 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     at = F.struct("doc_id", "td", "line")
     same = [F.first(x).alias(x) for x in ("n", "p1", "p2")]
     classes = materialize(lines.groupBy("k1", "k2").agg(F.min(at).alias("c"), F.count(F.lit(1)).alias("copies"), *same), "line-classes")
-    classes = classes.select("*", "c.*")
-    number = classes.select("k1", "c")
-
-    def keyed(column: str) -> DataFrame:
-        rows = lines.select("k1", "n", "bits", F.explode(column).alias("k"))
-        return rows.select(F.col("k.key").alias("key"), "k1", F.col("k.pos").alias("pos"), "n", "bits")
-
-    rows = materialize(keyed("pairs").distinct(), "line-word-pairs")
-    heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    listed = rows.join(heads, "key")
-    short = listed.where(F.col("size") <= LIST_LIMIT).drop("size")
-    joined = materialize(joined_lists(keyed("keys").unionByName(short), num, den, LONG_LIST // 16), "line-lists")
-    near = joined.where("NOT given_up").select("x", "y").distinct()
-    given_up = joined.where("given_up").select(F.col("x").alias("key"))
-    member = classes.select("k1", "c", "n", "p1", "p2")
+    joined = materialize(joined_lists(lines, num, den, LIST_LIMIT, LONG_LIST // 16), "line-lists")
+    near = joined.where("NOT member").select("x", "y").distinct()
+    # Classes that some list may decide about: few of all, which are read once.
+    named = joined.select(F.col("x").alias("k1")).union(joined.where("NOT member").select("y")).distinct()
+    listed = materialize(classes.select("*", "c.*").join(named, "k1", "left_semi"), "line-listed")
+    member = listed.select("k1", "c", "n", "p1", "p2")
     i, j = (member.select(*[F.col(x).alias(side + x) for x in member.columns]) for side in "ij")
     differ = F.bit_count(F.col("ip1").bitwiseXOR(F.col("jp1"))) + F.bit_count(F.col("ip2").bitwiseXOR(F.col("jp2")))
     both = near.join(i, F.col("x") == F.col("ik1")).join(j, (F.col("y") == F.col("jk1")) & (F.lit(num + den) * differ <= F.lit(den - num) * (F.col("in") + F.col("jn"))))
     pairs = both.select(F.greatest("ic", "jc").alias("c"), F.least("ic", "jc").alias("e"))
 
-    long_ = keyed("keys").unionByName(short).join(given_up, "key").distinct().unionByName(listed.where(F.col("size") > LIST_LIMIT).drop("size"))
-    long_ = materialize(long_.join(number, "k1").drop("k1"), "line-long-lists")
+    long_ = joined.where("member").select("key", F.col("x").alias("k1"), "pos", "n", "bits").distinct()
+    long_ = materialize(long_.join(listed.select("k1", "c"), "k1").drop("k1"), "line-long-lists")
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
     first = long_.groupBy("key").agg(F.min("c").alias("c"), F.min_by("bits", "c").alias("bits"), F.min_by(packed, "c").alias("at"))
     first = first.select("key", "c", "bits", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
@@ -416,18 +524,18 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return joined.select(F.col("a.c").alias("c"), F.col("b.c").alias("e"))
 
     wanted = materialize(pairs.unionByName(earlier(long_, first)).distinct(), "line-pairs")
-    found = materialize(_matching(wanted, docs, text, classes, num, den).select("c").distinct(), "line-later")
+    found = materialize(_matching(wanted, docs, text, listed, num, den).select("c").distinct(), "line-later")
     # Members of long lists that are not decided yet, against all earlier ones.
     rest = earlier(long_.join(found, "c", "left_anti"), long_).distinct()
     rest = materialize(rest.join(wanted, ["c", "e"], "left_anti"), "line-rest")
     if not rest.isEmpty():
-        found = found.union(_matching(rest, docs, text, classes, num, den).select("c")).distinct()
+        found = found.union(_matching(rest, docs, text, listed, num, den).select("c")).distinct()
 
     # A class goes as a whole if it matches an earlier one, else all but its first line.
-    marked = classes.select("c", "k1", "k2", "doc_id", "td", "line", "copies").join(found.withColumnRenamed("c", "later"), F.col("c") == F.col("later"), "left")
-    marked = marked.where("later IS NOT NULL OR copies > 1").select(
-        F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.when(F.col("later").isNull(), F.struct("doc_id", "td", "line")).alias("stays")
-    )
+    none = F.lit(None).cast(classes.schema["c"].dataType)
+    later = listed.join(found, "c", "left_semi").select("k1", "k2", none.alias("stays"))
+    rest = classes.where("copies > 1").select("k1", "k2", F.col("c").alias("stays")).join(later, ["k1", "k2"], "left_anti")
+    marked = later.union(rest).withColumnsRenamed({"k1": "c1", "k2": "c2"})
     hit = lines.select("doc_id", "td", "line", "k1", "k2").join(marked, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     return hit.where(~F.struct("doc_id", "td", "line").eqNullSafe(F.col("stays"))).select("doc_id", "td", "line").distinct()
 
