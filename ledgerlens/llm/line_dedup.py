@@ -512,8 +512,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     both = near.join(i, F.col("x") == F.col("ik1")).join(j, (F.col("y") == F.col("jk1")) & (F.lit(num + den) * differ <= F.lit(den - num) * (F.col("in") + F.col("jn"))))
     pairs = both.select(F.greatest("ic", "jc").alias("c"), F.least("ic", "jc").alias("e"))
 
-    long_ = joined.where("member").select("key", F.col("x").alias("k1"), "pos", "n", "bits").distinct()
-    long_ = materialize(long_.join(listed.select("k1", "c"), "k1").drop("k1"), "line-long-lists")
+    # Members of long lists: a class is found once for all lists that it is in.
+    long_ = joined.where("member").groupBy(F.col("x").alias("k1")).agg(F.collect_set(F.struct("key", "pos")).alias("of"), *[F.first(x).alias(x) for x in ("n", "bits")])
+    long_ = long_.join(listed.select("k1", "c"), "k1").select("c", "n", "bits", F.inline("of"))
+    long_ = materialize(long_, "line-long-lists")
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
     first = long_.groupBy("key").agg(F.min("c").alias("c"), F.min_by("bits", "c").alias("bits"), F.min_by(packed, "c").alias("at"))
     first = first.select("key", "c", "bits", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
