@@ -34,6 +34,14 @@ def _give_back() -> None:
 _give_back()
 
 
+def _trim() -> None:
+    """Return what has been freed between pieces still in use to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,6 +92,7 @@ def worker_object(kind: str, shared, build: Callable[[object], object]) -> objec
     key = f"{kind}-{getattr(shared, '_path', None) or id(shared)}"
     if kind not in _BUILT or _BUILT[kind][0] != key:
         _BUILT.clear()
+        _trim()
         _BUILT[kind] = key, build(shared.value), shared  # kept, so that its id stays its own
     return _BUILT[kind][1]
 
@@ -91,7 +100,9 @@ def worker_object(kind: str, shared, build: Callable[[object], object]) -> objec
 def drop_worker_objects() -> None:
     """Let go of what an earlier operator built in this worker: workers live on,
     and an operator that builds nothing would hold its tables beside its own."""
-    _BUILT.clear()
+    if _BUILT:
+        _BUILT.clear()
+        _trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, set_aside, text_bytes
+from ledgerlens.llm.common import drop_worker_objects, materialize, set_aside, text_bytes
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -134,6 +134,7 @@ def match_column(index, text: Column | str) -> Column:
 
     @F.arrow_udf(MATCH)
     def match(texts: pa.Array) -> pa.Array:
+        drop_worker_objects()
         known = index.value
         sizes, spans, items = [], [], []
         for t in texts:

@@ -1,10 +1,13 @@
 """Words are scored a small run at a time, whose arrays are all that a worker holds
-beside its table of scored words."""
+beside its table of scored words; a dropped table's memory goes back to the system."""
 
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -33,3 +36,33 @@ def test_many_words_take_little_memory(score):
         tracemalloc.stop()
     assert whole == pytest.approx(sum(score(pieces, probs, words[at:at + 500]) for at in range(0, len(words), 500)))
     assert peak < 25 << 20, peak
+
+
+GIVEN_BACK = """
+import numpy as np
+from ledgerlens.llm import common
+
+def resident():
+    return int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) >> 10
+
+class Shared:
+    value, _path = 1, "x"
+
+kept = []
+def build(_):
+    out = []
+    for _ in range(2000):  # pieces in use lie between those that go
+        out.append(np.ones(100_000, np.uint8))
+        kept.append(np.ones(2_000, np.uint8))
+    return out
+
+common.worker_object("other", Shared, build)
+before = resident()
+common.drop_worker_objects()
+print(before - resident())
+"""
+
+
+def test_dropped_tables_go_back_to_the_system():
+    out = subprocess.run([sys.executable, "-c", GIVEN_BACK], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) > 150
