@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at a time by the vectorised passes (one text at least).
 CHUNK_BYTES = 2 << 20
-#: Bytes hashed at a time.
-PIECE_BYTES = 1 << 18
+#: Bytes hashed at a time: of arrays that the C library keeps and hands out again.
+PIECE_BYTES = 1 << 16
 
 
 def _give_back() -> None:

@@ -26,10 +26,12 @@ word (blank ones) stay.
    and only those that do not match it with the other earlier ones. So a group
    of near copies costs no more than its members, and no match is lost that
    decides about a line.
-4. What remains is verified on the full sets, built for candidates only.
+4. What remains is verified on the full sets, built for candidates only, in one
+   reading of the texts.
 
 Texts are rewritten where the removed lines' documents are joined by id and
-text digest; other documents aren't shuffled.
+Spark's hash of the text, so a text goes to Python only where lines are cut;
+other documents aren't shuffled.
 
 Words: A-Z in lower case, runs of characters other than blank, tab, vertical
 tab, form feed and carriage return; compared by 64-bit hashes, sets by 128
@@ -50,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import chunks, drop_worker_objects, hash_words, materialize, mix, set_aside, text_bytes
-from ledgerlens.llm.ngram_join import _bit_table, in_table, suspect_column, text_digest
+from ledgerlens.llm.ngram_join import _bit_table, in_table, suspect_column
 from ledgerlens.llm.setjoin import distinct_sorted, sums
 
 NUM, DEN = 80, 100
@@ -70,8 +72,9 @@ MET = 1 << 20
 LEAST_BLOCKS, BLOCKS_A_PART = 1 << 12, 8
 #: Counters sent together.
 BLOCK = 1 << 15
-#: Bytes of text handled at a time: the arrays of its words take some fifty times that.
-TEXT_BYTES = 1 << 19
+#: Bytes of text handled at a time: the arrays of its words take some fifty times
+#: that, each less than the C library returns to the system when it is freed.
+TEXT_BYTES = 1 << 18
 
 
 def _runs(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -88,18 +91,24 @@ def _line_words(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
         raw = b"\n".join(raws)
         with np.errstate(over="ignore"):
             values, starts = hash_words(raw)
-        breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+        breaks, sizes, used, owner = _by_line(raw, starts)
         begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])[:-1]])
-        bounds = np.searchsorted(starts, breaks)  # words before each line's end
-        sizes = np.diff(np.concatenate([[0], bounds, [len(starts)]]))
-        used = np.flatnonzero(sizes)  # line numbers over all texts
-        owner = np.repeat(np.arange(len(used)), sizes[used])
         first_word = (np.cumsum(sizes) - sizes)[used]
         doc = np.searchsorted(begins, starts[first_word], side="right") - 1
         line = used - np.searchsorted(breaks, begins[doc])
         yield first, last, doc, line.astype(np.int32), values, owner
 
 
+def _by_line(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(breaks, sizes, used, owner): where lines end, how many words each has,
+    the numbers of those with words, and which of these each word belongs to."""
+    breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+    bounds = np.searchsorted(starts, breaks)  # words before each line's end
+    sizes = np.diff(np.concatenate([[0], bounds, [len(starts)]]))
+    used = np.flatnonzero(sizes)  # line numbers over all texts
+    return breaks, sizes, used, np.repeat(np.arange(len(used)), sizes[used])
+
+
 def _bucket(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(20)) & np.uint64(BUCKETS - 1)
 
@@ -156,12 +165,12 @@ def _set_ids(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 #: keys: 64-bit keys one after another, places: as many 32-bit positions.
-LINES = "doc_id long, td long, line int, k1 long, k2 long, n int, bits long, p1 long, p2 long, keys binary, places binary"
+LINES = "doc_id long, td long, th long, line int, k1 long, k2 long, n int, bits long, p1 long, p2 long, keys binary, places binary"
 
 
 def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: int, limit: int) -> DataFrame:
-    """One row per line with a word: where it is, its set's id,
-    size and parity, the words and pairs that are its keys and their positions."""
+    """One row per line with a word: where it is (``td`` orders texts of one id,
+    ``th`` is Spark's hash of the text), its set's id, size and parity, the words and pairs that are its keys and their positions."""
     code = int(8 * np.log2(limit))  # of the counters that stand for at most limit
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +188,11 @@ def line_index(docs: DataFrame, doc_id: str, text: str, counts, num: int, den: i
                     td = np.array([xxhash.xxh3_64_intdigest(text_bytes(t)) for t in texts[first:last]], dtype=np.uint64).view(np.int64)
                     where = doc[keep]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(at + first + where)), pa.array(td[where]), pa.array(line[keep]), *columns],
-                        names=["doc_id", "td", "line", "k1", "k2", "n", "bits", "p1", "p2", "keys", "places"],
+                        [ids.take(pa.array(at + first + where)), pa.array(td[where]), batch.column(2).take(pa.array(at + first + where)), pa.array(line[keep]), *columns],
+                        names=["doc_id", "td", "th", "line", "k1", "k2", "n", "bits", "p1", "p2", "keys", "places"],
                     )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     return rows.mapInArrow(index, LINES)
 
 
@@ -270,15 +279,19 @@ def word_sets(docs: DataFrame, text: str, needed) -> DataFrame:
         bits = np.frombuffer(needed.value, dtype=np.uint8)
         for batch in batches:
             for _at, texts in _runs(batch.column(0)):
-                wanted = []
-                for t in texts:
-                    lines = (t or "").split("\n")
-                    td = np.uint64(xxhash.xxh3_64_intdigest(text_bytes(t)))
-                    hit = in_table(bits, _place(np.full(len(lines), td), np.arange(len(lines), dtype=np.int32)))
-                    wanted += [lines[i] for i in np.flatnonzero(hit)]
-                for _first, _last, _doc, line, values, owner in _line_words(wanted):
-                    values, owner = distinct_sorted(values, owner)
-                    sizes = np.bincount(owner, minlength=len(line))
+                raws = [text_bytes(t) for t in texts]
+                raw = b"\n".join(raws)
+                ends = np.append(np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10), len(raw))
+                sizes = np.array([r.count(b"\n") + 1 for r in raws])  # lines of each text
+                td = np.array([xxhash.xxh3_64_intdigest(r) for r in raws], dtype=np.uint64)
+                line = np.arange(len(ends)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                hit = np.flatnonzero(in_table(bits, _place(np.repeat(td, sizes), line.astype(np.int32))))
+                wanted = b"\n".join([raw[begin:end] for begin, end in zip((np.append(-1, ends)[hit] + 1).tolist(), ends[hit].tolist())]).lower()
+                with np.errstate(over="ignore"):
+                    values, starts = hash_words(wanted)
+                if len(values):
+                    values, owner = distinct_sorted(values, _by_line(wanted, starts)[3])
+                    sizes = np.bincount(owner)
                     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                     with np.errstate(over="ignore"):
                         k1, k2 = _set_ids(values, starts)
@@ -370,13 +383,27 @@ def dealt_entries(lines: DataFrame, bits: int) -> DataFrame:
             yield blocks(*map(np.concatenate, zip(*held)))
 
     def blocks(block: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(block, kind="stable")
-        ends = np.flatnonzero(np.diff(block[order], append=-1)) + 1
-        return pa.RecordBatch.from_arrays([pa.array(block[order][ends - 1]), _binaries(part[order], ends)], names=["block", "entries"])
+        # A stable sort of 16-bit numbers takes linear time.
+        order = np.argsort(block.astype(np.uint16) if bits <= 16 else block, kind="stable")
+        block = block[order]
+        ends = np.flatnonzero(np.diff(block, append=-1)) + 1
+        return pa.RecordBatch.from_arrays([pa.array(block[ends - 1]), _binaries(part[order], ends)], names=["block", "entries"])
 
     return lines.select("k1", "n", "bits", "keys", "places").mapInArrow(deal, "block int, entries binary")
 
 
+def _by_key(key: np.ndarray, k1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, key, k1) of entries by key and class: those of a key by the first
+    half of the class, and by the whole where two classes share that."""
+    packed = key.astype(np.uint64) << np.uint64(32) | k1.view(np.uint64) >> np.uint64(32)
+    order = np.argsort(packed)
+    packed, classes = packed[order], k1[order]
+    if ((packed[1:] == packed[:-1]) & (classes[1:] != classes[:-1])).any():
+        order = np.lexsort((k1, key))
+        return order, key[order], k1[order]
+    return order, (packed >> np.uint64(32)).astype(np.uint32), classes
+
+
 class _Block:
     """The lists of a block of keys, as their entries come. A list found to be
     longer than ``limit`` isn't held: its entries go on as members."""
@@ -395,18 +422,14 @@ class _Block:
         """Holds each entry once, and at the ``last`` time only lists of several;
         returns those of lists that have become too long."""
         rows = np.concatenate([np.empty(0, ENTRY), *self.held])
-        key = np.ascontiguousarray(rows["key"])
+        order, key, k1 = _by_key(np.ascontiguousarray(rows["key"]), np.ascontiguousarray(rows["k1"]))
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        fresh = new.copy()
+        fresh[1:] |= k1[1:] != k1[:-1]
         if last:
-            order = np.argsort(key)
-            same = key[order[1:]] == key[order[:-1]]
-            several = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else same
-            rows = rows[order[several]]
-            key = np.ascontiguousarray(rows["key"])
-        order = np.lexsort((rows["k1"], key))
-        rows, key = rows[order], key[order]
-        fresh = np.ones(len(key), dtype=bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (rows["k1"][1:] != rows["k1"][:-1])
-        rows, key = rows[fresh], key[fresh]
+            fresh &= ~(new & np.append(new[1:], True))
+        rows, key = rows[order[fresh]], key[fresh]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         sizes = np.diff(starts, append=len(key))
         self.long = np.union1d(self.long, key[starts[sizes > self.limit]])
@@ -479,14 +502,16 @@ def joined_lists(lines: DataFrame, num: int, den: int, limit: int, most: int) ->
     return dealt.mapInArrow(join, LISTS)
 
 
-def _matching(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of classes (c later, e earlier) that match, by their full sets."""
-    spark = docs.sparkSession
-    names = pairs.select("c").union(pairs.select("e")).distinct()
+def _full_sets(names: DataFrame, docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
+    """(c, words): the full sets of the classes named."""
     places = classes.select("c", "k1", "k2", "td", "line").join(names, "c", "left_semi")
-    needed = spark.sparkContext.broadcast(_bit_table(places.select(_place_column("td", "line").alias("d1")), NEEDED_BITS))
+    needed = docs.sparkSession.sparkContext.broadcast(_bit_table(places.select(_place_column("td", "line").alias("d1")), NEEDED_BITS))
     raw = word_sets(docs, text, needed).groupBy("k1", "k2").agg(F.first("words").alias("words"))
-    sets = materialize(raw.join(places.select("c", "k1", "k2"), ["k1", "k2"]).select("c", "words"), "line-sets")
+    return materialize(raw.join(places.select("c", "k1", "k2"), ["k1", "k2"]).select("c", "words"), "line-sets")
+
+
+def _matching(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of classes (c later, e earlier) that match, by their full sets."""
     left, right = sets.withColumnRenamed("words", "c_words"), sets.withColumnsRenamed({"c": "e", "words": "e_words"})
     both = F.size(F.array_intersect("c_words", "e_words"))
     same = F.lit(den) * both >= F.lit(num) * (F.size("c_words") + F.size("e_words") - both)
@@ -495,6 +520,12 @@ def _matching(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame,
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, td, line) of every line that matches an earlier one."""
+    return _later_lines(docs, doc_id, text, num, den).select("doc_id", "td", "line").distinct()
+
+
+def _later_lines(docs: DataFrame, doc_id: str, text: str, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, td, th, line) of every line that matches an earlier one, as often
+    as there are rows of its id and text."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(word_counts(docs, text).tobytes())
     lines = materialize(line_index(docs, doc_id, text, counts, num, den, LIST_LIMIT), "lines")
@@ -527,20 +558,23 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return joined.select(F.col("a.c").alias("c"), F.col("b.c").alias("e"))
 
     wanted = materialize(pairs.unionByName(earlier(long_, first)).distinct(), "line-pairs")
-    found = materialize(_matching(wanted, docs, text, listed, num, den).select("c").distinct(), "line-later")
+    # Any member of a long list may have to be compared further on.
+    names = wanted.select("c").union(wanted.select("e")).union(long_.select("c")).distinct()
+    sets = _full_sets(names, docs, text, listed)
+    found = materialize(_matching(wanted, sets, num, den).select("c").distinct(), "line-later")
     # Members of long lists that are not decided yet, against all earlier ones.
     rest = earlier(long_.join(found, "c", "left_anti"), long_).distinct()
     rest = materialize(rest.join(wanted, ["c", "e"], "left_anti"), "line-rest")
     if not rest.isEmpty():
-        found = found.union(_matching(rest, docs, text, listed, num, den).select("c")).distinct()
+        found = found.union(_matching(rest, sets, num, den).select("c")).distinct()
 
     # A class goes as a whole if it matches an earlier one, else all but its first line.
     none = F.lit(None).cast(classes.schema["c"].dataType)
     later = listed.join(found, "c", "left_semi").select("k1", "k2", none.alias("stays"))
     rest = classes.where("copies > 1").select("k1", "k2", F.col("c").alias("stays")).join(later, ["k1", "k2"], "left_anti")
     marked = later.union(rest).withColumnsRenamed({"k1": "c1", "k2": "c2"})
-    hit = lines.select("doc_id", "td", "line", "k1", "k2").join(marked, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    return hit.where(~F.struct("doc_id", "td", "line").eqNullSafe(F.col("stays"))).select("doc_id", "td", "line").distinct()
+    hit = lines.select("doc_id", "td", "th", "line", "k1", "k2").join(marked, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
+    return hit.where(~F.struct("doc_id", "td", "line").eqNullSafe(F.col("stays"))).select("doc_id", "td", "th", "line")
 
 
 def _cut(text: Column, lines: Column) -> Column:
@@ -564,15 +598,15 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """``docs`` with later matches cut from the text (and, if ``count`` is given,
     the number of lines cut in that column)."""
     spark = docs.sparkSession
-    gone = repeated_lines(docs, doc_id, text, **kw).groupBy(F.col("doc_id").alias("_id"), F.col("td").alias("_td")).agg(F.collect_list("line").alias("_gone"))
+    gone = _later_lines(docs, doc_id, text, **kw).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_gone"))
     gone = materialize(gone, "lines-gone")
-    table = spark.sparkContext.broadcast(_bit_table(gone.select(F.col("_td").alias("d1"))))
-    docs, back = set_aside(docs.drop(count) if count else docs, "_own_td", "_suspect", "_cut", "_id", "_td", "_gone")
+    table = spark.sparkContext.broadcast(_bit_table(gone.select(F.col("_th").alias("d1"))))
+    docs, back = set_aside(docs.drop(count) if count else docs, "_own_th", "_suspect", "_cut", "_id", "_th", "_gone")
     kept = docs.columns
-    marked = docs.select(*kept).withColumn("_own_td", text_digest(F.col(text))).withColumn("_suspect", suspect_column(table, F.col("_own_td")))
+    marked = docs.select(*kept).withColumn("_own_th", F.xxhash64(text)).withColumn("_suspect", suspect_column(table, F.col("_own_th")))
     none = F.lit(0).cast("long")
     clear = marked.where(~F.col("_suspect")).select(*kept, none.alias("_cut"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_td") == F.col("_td"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th"))
     joined = marked.where(F.col("_suspect")).join(gone, same, "left")
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_cut(F.col(text), F.col("_gone")))
     changed = joined.select(*[c for c in kept if c != text], new.alias(text), F.coalesce(F.size("_gone").cast("long"), none).alias("_cut")).select(*kept, "_cut")
