@@ -76,8 +76,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty one with all columns."""
     docs = docs.drop("n_tokens", "ids", "ids_sha256", "decoded_sha256")
     rows, back = set_aside(docs, "_decoded")
-    shared = bpe.vocabulary(spark, word_vocabulary())
-    coded = rows.withColumn("ids", bpe.encode_column(shared, "text")).withColumn("_decoded", bpe.decode_column(shared, "ids"))
+    coded = bpe.code(rows, word_vocabulary(), decoded="_decoded")
     return coded.select(
         *[F.col(c).alias(back.get(c, c)) for c in rows.columns],
         F.size("ids").cast("long").alias("n_tokens"),

@@ -52,8 +52,8 @@ LEAST_PROB = 1e-12
 BATCH = 4_000
 #: Texts scored together.
 TEXTS = 200
-#: Scored words kept per worker.
-CACHED = 500_000
+#: Scored words kept per worker: two generations of this many.
+CACHED = 150_000
 
 #: Letters with the marks that follow them.
 _LETTERS = regex.compile(r"(?:\p{L}\p{M}*+)++")
@@ -364,12 +364,23 @@ def predict_column(spark: SparkSession, model: LanguageModel, text: Column | str
 
 
 class WordScores:
-    """Word scores of one model: word -> row of a matrix, filled as words come."""
+    """Word scores of one model: word -> row of a matrix, filled as words come.
+    When full, the words move to an older generation, from which they come back
+    if met again."""
 
     def __init__(self, vocabulary: list[str], probs: np.ndarray) -> None:
         self.pieces, self.probs = _pieces(vocabulary), probs
         self.rows: dict[str, int] = {}
         self.logs = np.empty((CACHED, probs.shape[1]))
+        self.older, self.older_logs = self.rows, self.logs
+
+    def scored(self, words: list[str]) -> np.ndarray:
+        """Scores of words that aren't in the newer generation."""
+        at = np.fromiter((self.older.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        out = self.older_logs[at]
+        new = np.flatnonzero(at < 0)
+        out[new] = word_logs(self.pieces, self.probs, [words[i] for i in new])
+        return out
 
     def sums(self, split: list[list[str]]) -> np.ndarray:
         """Summed scores of each list of words, one column per model."""
@@ -379,12 +390,11 @@ class WordScores:
             return out
         new = list(set(flat).difference(self.rows))
         if len(self.rows) + len(new) > CACHED:
-            self.rows.clear()
             new = list(set(flat))
-        if len(new) > CACHED:
-            self.logs = np.empty((len(new), self.probs.shape[1]))
+            self.older, self.older_logs = self.rows, self.logs
+            self.rows, self.logs = {}, np.empty((max(CACHED, len(new)), self.probs.shape[1]))
         first = len(self.rows)
-        self.logs[first:first + len(new)] = word_logs(self.pieces, self.probs, new)
+        self.logs[first:first + len(new)] = self.scored(new)
         self.rows.update(zip(new, range(first, first + len(new)), strict=True))
         at = np.fromiter(map(self.rows.__getitem__, flat), dtype=np.int64, count=len(flat))
         sizes = np.array([len(ws) for ws in split])

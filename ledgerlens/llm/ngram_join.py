@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,14 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[tuple[int, int
             yield first, last, values, who, np.bincount(who, minlength=last - first)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str | None], pa.Array]]:
+    """(first, texts, ids of the whole batch) of the runs of texts (column 1 of
+    the batches) that are handled at a time."""
+    for batch in batches:
+        for first, last in chunks(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
+            yield first, batch.column(1).slice(first, last - first).to_pylist(), batch.column(0)
+
+
 def _digests(values: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each set (0 for empty ones)."""
     out = np.zeros((2, len(sizes)), dtype=np.uint64)
@@ -98,9 +107,9 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den:
     """(doc_id, td, n, d1, d2, keys): text digest, set size, set digests, index keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_objects()
         limit = threshold(num, den)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for at, texts, ids in _runs(batches):
             for first, last, values, owner, sizes in shingle_sets(texts, width):
                 with np.errstate(over="ignore"):
                     d1, d2 = _digests(values, owner, sizes)
@@ -109,7 +118,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den:
                 td = [xxhash.xxh3_64_intdigest(text_bytes(t)) for t in texts[first:last]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, last - first).cast(pa.int64()),
+                        ids.slice(at + first, last - first).cast(pa.int64()),
                         pa.array(np.array(td, dtype=np.uint64).view(np.int64)),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(d1), pa.array(d2),
@@ -137,12 +146,12 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, width: int, needed) -> Da
     """(d1, d2, n, shingles) of the documents that are in the bit table."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_objects()
         bits = np.frombuffer(needed.value, dtype=np.uint8)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for at, texts, ids in _runs(batches):
             td = np.array([xxhash.xxh3_64_intdigest(text_bytes(t)) for t in texts], dtype=np.uint64)
-            ids = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            texts = [t for t, hit in zip(texts, in_table(bits, place_hash(td, ids)), strict=True) if hit]
+            places = place_hash(td, ids.slice(at, len(texts)).to_numpy(zero_copy_only=False).view(np.uint64))
+            texts = [t for t, hit in zip(texts, in_table(bits, places), strict=True) if hit]
             for first, last, values, owner, sizes in shingle_sets(texts, width):
                 with np.errstate(over="ignore"):
                     d1, d2 = _digests(values, owner, sizes)

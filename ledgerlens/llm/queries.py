@@ -32,11 +32,8 @@ def sha256_hex(text) -> F.Column:
 
 def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
-    shared = bpe.vocabulary(spark, vocabulary or word_vocabulary())
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.select("doc_id", bpe.encode_column(shared, "text").alias("ids"))
-    both = coded.withColumn("decoded", bpe.decode_column(shared, "ids"))
-    return both.select(
+    return bpe.code(docs, vocabulary or word_vocabulary()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
