@@ -58,12 +58,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None, distinct: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends
-    there, so a lost executor costs a re-read and not a recomputation."""
+    there, so a lost executor costs a re-read and not a recomputation.
+    distinct: its values hardly repeat, so none are looked up in dictionaries."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.option("parquet.enable.dictionary", not distinct).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

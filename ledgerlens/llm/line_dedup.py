@@ -29,9 +29,8 @@ word (blank ones) stay.
 4. What remains is verified on the full sets, built for candidates only, in one
    reading of the texts.
 
-Texts are rewritten where the removed lines' documents are joined by id and
-Spark's hash of the text, so a text goes to Python only where lines are cut;
-other documents aren't shuffled.
+Texts are rewritten by Spark's functions where the removed lines' documents are
+joined by id and Spark's hash of the text; other documents aren't shuffled.
 
 Words: A-Z in lower case, runs of characters other than blank, tab, vertical
 tab, form feed and carriage return; compared by 64-bit hashes, sets by 128
@@ -68,6 +67,8 @@ NEEDED_BITS = 1 << 27
 ROWS_AT_ONCE = 1 << 18
 #: Classes that a task remembers.
 MET = 1 << 20
+#: Sets that a task remembers.
+SETS_MET = 1 << 17
 #: Keys are dealt in this many blocks at least, and this many a part of the lines.
 LEAST_BLOCKS, BLOCKS_A_PART = 1 << 12, 8
 #: Counters sent together.
@@ -83,6 +84,14 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield first, column.slice(first, last - first).to_pylist()
 
 
+def _joined_runs(column: pa.Array) -> Iterator[bytes]:
+    """The texts of each such run (null: empty) with line feeds between them."""
+    for first, last in chunks(pc.binary_length(column).fill_null(0).to_pylist(), TEXT_BYTES):
+        run = column.slice(first, last - first).fill_null("")
+        offsets = pa.array([0, len(run)], pa.int32())
+        yield pc.binary_join(pa.ListArray.from_arrays(offsets, run), pa.scalar("\n", run.type))[0].as_buffer().to_pybytes()
+
+
 def _line_words(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, document, line, word hash, owner) for runs of texts: the
     lines that have words, by text and number, and their words."""
@@ -122,9 +131,9 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
         drop_worker_objects()
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for _first, texts in _runs(batch.column(0)):
+            for raw in _joined_runs(batch.column(0)):
                 with np.errstate(over="ignore"):
-                    values, _starts = hash_words(b"\n".join(text_bytes(t) for t in texts).lower())
+                    values, _starts = hash_words(raw.lower())
                 np.add.at(total, _bucket(values).astype(np.int64), 1)
         for block, part in enumerate(total.reshape(-1, BLOCK)):
             full = np.flatnonzero(part)
@@ -272,11 +281,14 @@ def _place_column(td: str, line: str) -> Column:
 
 
 def word_sets(docs: DataFrame, text: str, needed) -> DataFrame:
-    """(k1, k2, n, words) of the lines whose place is in the bit table."""
+    """(k1, k2, n, words) of the lines whose place is in the bit table. A task
+    leaves out sets that it has met not long ago, as copies of a text have them."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_objects()
         bits = np.frombuffer(needed.value, dtype=np.uint8)
+        # As in dealt_entries; a set is met if both halves of its name are.
+        met = np.stack([~np.arange(SETS_MET), np.zeros(SETS_MET, np.int64)])
         for batch in batches:
             for _at, texts in _runs(batch.column(0)):
                 raws = [text_bytes(t) for t in texts]
@@ -295,8 +307,12 @@ def word_sets(docs: DataFrame, text: str, needed) -> DataFrame:
                     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                     with np.errstate(over="ignore"):
                         k1, k2 = _set_ids(values, starts)
+                    at = k1 & (SETS_MET - 1)
+                    new = np.flatnonzero((met[0][at] != k1) | (met[1][at] != k2))
+                    met[0][at], met[1][at] = k1, k2
                     words = pa.ListArray.from_arrays(_offsets(owner, len(sizes)), pa.array(values.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), words], names=["k1", "k2", "n", "words"])
+                    rows = pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int32)), words], names=["k1", "k2", "n", "words"])
+                    yield rows.take(pa.array(new))
 
     return docs.select(F.col(text).alias("text")).mapInArrow(build, "k1 long, k2 long, n int, words array<long>")
 
@@ -311,31 +327,27 @@ def _may_match(a: str, b: str, num: int, den: int) -> Column:
     return length & position & parity
 
 
-def _close(n, m, pos_n, pos_m, bits_n, bits_m, num: int, den: int) -> np.ndarray:
-    """The same filters over arrays."""
-    rest = np.minimum(n - pos_n, m - pos_m)
-    differ = np.bitwise_count(bits_n ^ bits_m).astype(np.int64)
-    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * rest >= num * (n + m)) & ((num + den) * differ <= (den - num) * (n + m))
-
-
 def _list_pairs(key, k1, n, pos, bits, num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y), x < y: the classes of each key's list that may match, and the keys
     of lists with more than ``most`` such pairs a member, given up. Entries come
     by key and class, each once. Lists are walked by size, each member up to the last that the length filter allows."""
     number = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else np.empty(0, np.int64)
-    order = np.argsort(number << 16 | n, kind="stable")
-    key, k1, n, pos, bits = key[order], k1[order], n[order].astype(np.int64), pos[order].astype(np.int64), bits[order]
+    place = number << 16 | n
+    order = np.argsort(place, kind="stable")
+    place, key, k1, n, pos, bits = place[order], key[order], k1[order], n[order].astype(np.int64), pos[order].astype(np.int64), bits[order]
+    stop = np.searchsorted(place, number << 16 | np.minimum(den * n // num, MOST), side="right")  # the length filter
     room = np.bincount(number) * most
     left, right, at, step = [], [], np.arange(len(key)), 1
-    while len(at := at[at + step < len(key)]):
-        to = at + step
-        at = at[(key[to] == key[at]) & (num * n[to] <= den * n[at])]
-        to = at + step
-        ok = _close(n[at], n[to], pos[at], pos[to], bits[at], bits[to], num, den)
+    while len(at := at[at + step < stop[at]]):
+        # The parity first, which few pairs pass; then the positions.
+        differ = np.bitwise_count(bits[at] ^ bits[at + step]).astype(np.int64)
+        i = at[(num + den) * differ <= (den - num) * (n[at] + n[at + step])]
+        j = i + step
+        ok = (num + den) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= num * (n[i] + n[j])
         if ok.any():
-            left.append(at[ok])
-            right.append(to[ok])
-            np.subtract.at(room, number[at[ok]], 1)
+            left.append(i[ok])
+            right.append(j[ok])
+            np.subtract.at(room, number[i[ok]], 1)
             at = at[room[number[at]] >= 0]
         step += 1
     i, j = (np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
@@ -506,7 +518,8 @@ def _full_sets(names: DataFrame, docs: DataFrame, text: str, classes: DataFrame)
     """(c, words): the full sets of the classes named."""
     places = classes.select("c", "k1", "k2", "td", "line").join(names, "c", "left_semi")
     needed = docs.sparkSession.sparkContext.broadcast(_bit_table(places.select(_place_column("td", "line").alias("d1")), NEEDED_BITS))
-    raw = word_sets(docs, text, needed).groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    # Few rows of a set are left by the tasks: they are sorted once, where they arrive.
+    raw = word_sets(docs, text, needed).repartition("k1", "k2").groupBy("k1", "k2").agg(F.first("words").alias("words"))
     return materialize(raw.join(places.select("c", "k1", "k2"), ["k1", "k2"]).select("c", "words"), "line-sets")
 
 
@@ -528,16 +541,16 @@ def _later_lines(docs: DataFrame, doc_id: str, text: str, num: int = NUM, den: i
     as there are rows of its id and text."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(word_counts(docs, text).tobytes())
-    lines = materialize(line_index(docs, doc_id, text, counts, num, den, LIST_LIMIT), "lines")
+    lines = materialize(line_index(docs, doc_id, text, counts, num, den, LIST_LIMIT), "lines", None, True)
     # Classes of equal sets; c is a class's first line.
     at = F.struct("doc_id", "td", "line")
     same = [F.first(x).alias(x) for x in ("n", "p1", "p2")]
-    classes = materialize(lines.groupBy("k1", "k2").agg(F.min(at).alias("c"), F.count(F.lit(1)).alias("copies"), *same), "line-classes")
-    joined = materialize(joined_lists(lines, num, den, LIST_LIMIT, LONG_LIST // 16), "line-lists")
+    classes = materialize(lines.groupBy("k1", "k2").agg(F.min(at).alias("c"), F.count(F.lit(1)).alias("copies"), *same), "line-classes", None, True)
+    joined = materialize(joined_lists(lines, num, den, LIST_LIMIT, LONG_LIST // 16), "line-lists", None, True)
     near = joined.where("NOT member").select("x", "y").distinct()
     # Classes that some list may decide about: few of all, which are read once.
     named = joined.select(F.col("x").alias("k1")).union(joined.where("NOT member").select("y")).distinct()
-    listed = materialize(classes.select("*", "c.*").join(named, "k1", "left_semi"), "line-listed")
+    listed = materialize(classes.select("*", "c.*").join(named.hint("shuffle_hash"), "k1", "left_semi"), "line-listed")
     member = listed.select("k1", "c", "n", "p1", "p2")
     i, j = (member.select(*[F.col(x).alias(side + x) for x in member.columns]) for side in "ij")
     differ = F.bit_count(F.col("ip1").bitwiseXOR(F.col("jp1"))) + F.bit_count(F.col("ip2").bitwiseXOR(F.col("jp2")))
@@ -573,25 +586,13 @@ def _later_lines(docs: DataFrame, doc_id: str, text: str, num: int = NUM, den: i
     later = listed.join(found, "c", "left_semi").select("k1", "k2", none.alias("stays"))
     rest = classes.where("copies > 1").select("k1", "k2", F.col("c").alias("stays")).join(later, ["k1", "k2"], "left_anti")
     marked = later.union(rest).withColumnsRenamed({"k1": "c1", "k2": "c2"})
-    hit = lines.select("doc_id", "td", "th", "line", "k1", "k2").join(marked, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
+    hit = lines.select("doc_id", "td", "th", "line", "k1", "k2").join(marked.hint("shuffle_hash"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     return hit.where(~F.struct("doc_id", "td", "line").eqNullSafe(F.col("stays"))).select("doc_id", "td", "th", "line")
 
 
 def _cut(text: Column, lines: Column) -> Column:
     """A text without the lines of the given numbers."""
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, numbers: pa.Array) -> pa.Array:
-        drop_worker_objects()
-        out = []
-        for t, gone in zip(texts.to_pylist(), numbers.to_pylist(), strict=True):
-            if t and gone:
-                drop = set(gone)
-                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    return cut(text, lines)
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda _line, i: ~F.array_contains(lines, i)), "\n")
 
 
 def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: str | None = None, **kw) -> DataFrame:
@@ -607,7 +608,7 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     none = F.lit(0).cast("long")
     clear = marked.where(~F.col("_suspect")).select(*kept, none.alias("_cut"))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th"))
-    joined = marked.where(F.col("_suspect")).join(gone, same, "left")
+    joined = marked.where(F.col("_suspect")).join(gone.hint("shuffle_hash"), same, "left")
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_cut(F.col(text), F.col("_gone")))
     changed = joined.select(*[c for c in kept if c != text], new.alias(text), F.coalesce(F.size("_gone").cast("long"), none).alias("_cut")).select(*kept, "_cut")
     out = clear.unionByName(changed)
