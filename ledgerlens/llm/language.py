@@ -53,7 +53,7 @@ BATCH = 4_000
 #: Texts scored together.
 TEXTS = 200
 #: Scored words kept per worker: two generations of this many.
-CACHED = 150_000
+CACHED = 200_000
 
 #: Letters with the marks that follow them.
 _LETTERS = regex.compile(r"(?:\p{L}\p{M}*+)++")
