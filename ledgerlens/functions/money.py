@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -76,17 +76,21 @@ def line_units(price: Column, quantity: Column, discount: Column) -> dict[str, C
     }
 
 
-def sum_units(units: Column, scale: int) -> Column:
-    """Sum of integers of 10^-scale units as DECIMAL(28,4). Cents are added up as
-    they are; finer units as cents and the rest of a cent, so that the sum
-    has room for 9 * 10^16 (Spark raises beyond it)."""
+def sum_units(units: Column, scale: int, over: WindowSpec | None = None) -> Column:
+    """Sum of integers of 10^-scale units as DECIMAL(28,4), of a group or ``over`` a
+    window. Cents are added up as they are; finer units as cents and the rest of a
+    cent, so that the sum has room for 9 * 10^16 (Spark raises beyond it)."""
     if scale <= MONEY_SCALE:
-        return from_units(F.sum(units), scale, 28).cast(MONEY_SUM)
+        return from_units(sum_over(units, over), scale, 28).cast(MONEY_SUM)
     step = F.lit(10 ** (scale - MONEY_SCALE))
-    whole, rest = F.sum(F.call_function("div", units, step)), F.sum(units % step)
+    whole, rest = sum_over(F.call_function("div", units, step), over), sum_over(units % step, over)
     return (from_units(whole, MONEY_SCALE, 28) + from_units(rest, scale, 28)).cast(MONEY_SUM)
 
 
+def sum_over(c: Column, over: WindowSpec | None = None) -> Column:
+    return F.sum(c) if over is None else F.sum(c).over(over)
+
+
 def margin(amount: Column, rate: Decimal = PROFIT_MARGIN) -> Column:
     """Profit at a fixed margin, rounded per line."""
     return round_money(amount * dec(rate))

@@ -14,7 +14,7 @@ lines, through one scalar subquery.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, money
@@ -22,7 +22,7 @@ from ledgerlens.functions.text import concat_lenient, concat_strict, left
 from ledgerlens.operators.running import running_totals
 from ledgerlens.operators.shares import period_lookup, share
 from ledgerlens.plans.context import Marts, mart
-from ledgerlens.plans.revenue import line_amounts, order_lines, sold_lines
+from ledgerlens.plans.revenue import dated_orders, line_amounts, order_lines, sold_lines, undated_lines
 from ledgerlens.sources.line_store import HALF
 
 # Stock classes (fixed values).
@@ -192,10 +192,10 @@ def line_measures() -> dict[str, Column]:
     return {c: units[u] for c, (_, _, u, _) in SHARED.items()}
 
 
-def summed(c: str, amount: Column) -> Column:
+def summed(c: str, amount: Column, over: WindowSpec | None = None) -> Column:
     """The sum of a measure's integers, in its own type."""
     scale = SHARED[c][3]
-    return F.sum(amount) if scale is None else money.sum_units(amount, scale)
+    return money.sum_over(amount, over) if scale is None else money.sum_units(amount, scale, over)
 
 
 WEIGHTED_COLUMNS = [
@@ -240,6 +240,37 @@ def order_totals(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
                                      F.max("O_Date").alias("__date"), *[summed(c, units[c]).alias(f"__shown_{c}") for c in SHOWN])
 
 
+NAMES = ("Product_Name", "Category")
+
+
+@mart
+def named_lines(m: Marts) -> DataFrame:
+    """The lines of ``base_lines(fanout=True)`` with their order's totals and their
+    products' names. A line is moved twice: by product, where it takes the fan-out
+    factor and the names while it is narrow, and by order, where identical ones
+    collapse, the order is joined and the totals are summed. A total is a window
+    over an order's lines: an aggregate joined back would deal all lines once more.
+
+    A line weighs its product's fan-out factor in the totals. If ``part`` has a
+    product n times, its lines are shown n times, but weigh once: with the first
+    name; with the others the weight is -1, -2, ..., which counts as 0."""
+    stored = bool(m.line_store or m.persist)
+    further = F.row_number().over(Window.partitionBy("__n_P").orderBy(*NAMES)) - 1
+    lines = sold_lines(m).drop(HALF) if stored else undated_lines(m)
+    lines = lines.join(product_fanout(m), F.col("P_ID") == F.col("__f_P"), "left")
+    lines = lines.join(product_names(m).withColumn("__further", further), F.col("P_ID") == F.col("__n_P"), "left")
+    weight = F.when(F.col("__further") > 0, -F.col("__further")).otherwise(F.coalesce(F.col("__w"), F.lit(1)))
+    lines = lines.withColumn("__weight", weight).drop("__f_P", "__w", "__n_P", "__further")
+    lines = lines.repartition("O_ID").groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    if not stored:
+        orders = dated_orders(m).repartition("OrderID").groupBy("OrderID", "O_Date", "_Freight").agg(F.count(F.lit(1)).alias("__orders"))
+        lines = lines.join(orders, F.col("O_ID") == F.col("OrderID"), "left")
+        lines = lines.withColumn("__copies", F.col("__copies") * F.coalesce(F.col("__orders"), F.lit(1)))
+    units, times, order = line_measures(), F.col("__copies") * F.greatest(F.col("__weight"), F.lit(0)), Window.partitionBy("O_ID")
+    totals = {t: F.when(F.col("O_ID").isNotNull(), summed(c, units[c] * times, order)) for c, (_, t, _, _) in SHARED.items()}
+    return lines.select(*LINE_KEYS, "__copies", *NAMES, *[total.alias(t) for t, total in totals.items()])
+
+
 @mart
 def share_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
     """Order lines with their order's totals, products as ids.
@@ -250,7 +281,11 @@ def share_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
     an aggregate joined back, so a hot order is split by AQE instead of landing
     in one window."""
     totals = order_totals(m, fanout, slices).select(F.col("O_ID").alias("__t_O"), *[t for _, t, _, _ in SHARED.values()])
-    lines = base_lines(m, fanout, slices).join(totals, F.col("O_ID") == F.col("__t_O"), "left").drop("__t_O")
+    return with_measures(base_lines(m, fanout, slices).join(totals, F.col("O_ID") == F.col("__t_O"), "left").drop("__t_O"))
+
+
+def with_measures(lines: DataFrame) -> DataFrame:
+    """V12's columns of lines that have their order's totals."""
     units = line_measures()
     return lines.select(
         F.col("O_Date").alias("Order_Date"),
@@ -263,13 +298,17 @@ def share_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
         "_Freight", "__copies", *[t for _, t, _, _ in SHARED.values()],
         # The same as integers, for sums.
         F.col("_rate").alias("__u_Discount"), *[units[c].alias(f"__u_{c}") for c in SHARED],
+        *[c for c in NAMES if c in lines.columns],
     )
 
 
 @mart
 def weighted_lines(m: Marts, fanout: bool, slices: tuple = ()) -> DataFrame:
     """Order lines with each measure's share of its order, and product names."""
-    out = with_names(m, share_lines(m, fanout, slices))
+    if fanout and not slices:
+        out = with_measures(named_lines(m))
+    else:
+        out = with_names(m, share_lines(m, fanout, slices))
     for c, (wa, t, _, _) in SHARED.items():
         out = out.withColumn(wa, share(F.col(c), F.col(t), zero_guard=(wa == "WA_Discount")))
     return m.shared(out, "weighted_lines_fanout" if fanout else "weighted_lines", "Order_ID")

@@ -115,6 +115,18 @@ def _within(m: Marts, rt: DataFrame, periods) -> DataFrame:
     return rt.where(F.col(HALF).isin(sorted({h for p in periods for h in p.halves}))) if m.line_store else rt
 
 
+@mart
+def dated_orders(m: Marts) -> DataFrame:
+    """What products need of an order: its date and freight."""
+    return m.t.orders.select("OrderID", F.col("OrderDate").alias("O_Date"), F.col("Freight").alias("_Freight"))
+
+
+@mart
+def undated_lines(m: Marts) -> DataFrame:
+    """The lines by themselves, before they are joined to ``dated_orders``."""
+    return details(m).select(F.col("OrderID").alias("O_ID"), F.col("ProductID").alias("P_ID"), F.col("Quantity").alias("Q"), "_price", "_rate")
+
+
 @mart
 def sold_lines(m: Marts, periods: tuple = ()) -> DataFrame:
     """V1's lines (within calendar periods, if any are given) as far as products
@@ -122,8 +134,7 @@ def sold_lines(m: Marts, periods: tuple = ()) -> DataFrame:
     if m.line_store or m.persist:
         rt = revenue_lines(m)
     else:
-        orders = m.t.orders.select("OrderID", F.col("OrderDate").alias("O_Date"), F.col("Freight").alias("_Freight"))
-        rt = details(m).join(orders, "OrderID", "left").withColumnsRenamed({"OrderID": "O_ID", "ProductID": "P_ID", "Quantity": "Q"})
+        rt = details(m).join(dated_orders(m), "OrderID", "left").withColumnsRenamed({"OrderID": "O_ID", "ProductID": "P_ID", "Quantity": "Q"})
         rt = rt.withColumn(HALF, dates.half_code(F.col("O_Date")))
     rt = rt.select("O_ID", "P_ID", "O_Date", "_Freight", "Q", "_price", "_rate", HALF)
     return _within(m, rt, periods) if periods else rt
