@@ -7,7 +7,8 @@ averages (V16), product-year report (V17), discount-rate sums (V18-V21),
 half-year product reports (V22/V22b/V23) and category performance (V24).
 
 Lines are read with the columns and periods that a mart needs. Products are
-ids until a mart shows them: names are joined to lines or sums at the end.
+ids until a mart shows them: names are joined to lines or sums at the end, except
+in V12 and V13, which show all lines (``named_lines``).
 Period totals come from the order totals, not from a further pass over the
 lines, through one scalar subquery.
 """
